@@ -136,4 +136,5 @@ def count_texts(buf: np.ndarray, offs: np.ndarray, path: str) -> np.ndarray:
     doc, codes, distinct = pieces_of(buf, offs, special_string(path))
     if not len(codes):
         return np.zeros(len(offs) - 1, np.int64)
-    return np.bincount(doc, weights=m.size[m(distinct)][codes], minlength=len(offs) - 1).astype(np.int64)
+    place = m(distinct)
+    return np.bincount(doc, weights=m.size[place][codes], minlength=len(offs) - 1).astype(np.int64)
