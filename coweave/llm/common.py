@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once in a session, however the driver came by it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_coweave_shipped", False):
+        return
+    top = Path(__file__).parent.parent
+    at = Path(tempfile.mkdtemp(prefix="coweave-")) / "coweave_package.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(at))
+    sc._coweave_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +56,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only these two columns, under fixed names, so that no other column's name can clash."""
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

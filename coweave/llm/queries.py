@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .common import table
+from .common import crc_mod5, table
 
 
 def _bpe() -> str:
@@ -17,6 +17,20 @@ def op7_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), _bpe(), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op7_token_counts,)}
+def op8_language_id(spark, sf_dir):
+    from .language_id import identify, learn_profiles
+
+    docs = table(spark, sf_dir, "documents")
+    profiles = learn_profiles(docs.filter(crc_mod5() != 0))
+    return identify(docs, profiles).withColumn("held_out", crc_mod5() == 0).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_bpe_codec(spark, sf_dir):
+    from .bpe_codec import bpe_round_trip
+
+    return bpe_round_trip(table(spark, sf_dir, "documents"), _bpe())
+
+
+QUERIES = {f.__name__: f for f in (op7_token_counts, op8_language_id, op10_bpe_codec)}
 
 ORACLES: dict[str, str] = {}
