@@ -11,6 +11,24 @@ def _bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: host, path, verdict
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op1_quality_rules(spark, sf_dir):
+    from .quality_rules import judge
+
+    judged = judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_url_filter(spark, sf_dir):
+    from .url_filter import filter_urls
+
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def op7_token_counts(spark, sf_dir):
     from .token_counts import token_counts
 
@@ -31,6 +49,27 @@ def op10_bpe_codec(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), _bpe())
 
 
-QUERIES = {f.__name__: f for f in (op7_token_counts, op8_language_id, op10_bpe_codec)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op7_token_counts, op8_language_id, op10_bpe_codec)}
+
+_HOST = "regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*')"
+
+ORACLES: dict[str, str] = {
+    "op2_url_filter": f"""
+        WITH p AS (
+            SELECT page_id, coalesce(url, '') AS url,
+                   CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN {_HOST} ELSE '' END AS raw_host
+            FROM pages),
+        h AS (
+            SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   CASE WHEN instr(url, '://') > 0
+                        THEN regexp_extract(substr(url, instr(url, '://') + 3 + length(raw_host)), '^[^?#]*') ELSE '' END AS path
+            FROM p),
+        r(rule_host, rule_path, v) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+        m AS (
+            SELECT h.page_id, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+                   max_by(v, length(rule_host || rule_path)) AS v
+            FROM h, r
+            WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            GROUP BY h.page_id)
+        SELECT h.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM h LEFT JOIN m ON h.page_id = m.page_id""",
+}
