@@ -29,6 +29,12 @@ def op2_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_decontaminate(spark, sf_dir):
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark, sf_dir):
     from .token_counts import token_counts
 
@@ -49,7 +55,7 @@ def op10_bpe_codec(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), _bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op7_token_counts, op8_language_id, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op4_decontaminate, op7_token_counts, op8_language_id, op10_bpe_codec)}
 
 _HOST = "regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*')"
 
