@@ -35,6 +35,12 @@ def op4_decontaminate(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_dedup(spark, sf_dir):
+    from .line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark, sf_dir):
     from .token_counts import token_counts
 
@@ -55,7 +61,7 @@ def op10_bpe_codec(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), _bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op4_decontaminate, op7_token_counts, op8_language_id, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op4_decontaminate, op5_line_dedup, op7_token_counts, op8_language_id, op10_bpe_codec)}
 
 _HOST = "regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*')"
 
