@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as V
+from .bits import bit_filter, in_filter
 from .common import id_and_text, materialize
 
 SIMILARITY, LEAST_WORDS = 0.8, 5
 BUCKETS = 1 << 18
-FILTER_BITS = 1 << 26
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -91,21 +91,6 @@ def bucket_counts(docs: DataFrame, least_words: int) -> np.ndarray:
     return out
 
 
-def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A set of FILTER_BITS bits with those of all keys: a Bloom filter of one hash and fixed size."""
-    words = FILTER_BITS // 64
-    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
-    got = keys.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("m")).toArrow()
-    out = np.zeros(words, np.uint64)
-    out[got["w"].to_numpy()] = got["m"].to_numpy().view(np.uint64)
-    return out
-
-
-def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    k = np.mod(keys.view(np.int64), FILTER_BITS)
-    return (bits[k >> 6] >> (k & 63).astype(np.uint64)) & np.uint64(1) == 1
-
-
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lines: doc_id, number, key, size of every line with enough words; gone: doc_id, number of those that go)."""
     docs = id_and_text(docs, id_col, text_col)

@@ -55,13 +55,19 @@ def op8_language_id(spark, sf_dir):
     return identify(docs, profiles).withColumn("held_out", crc_mod5() == 0).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_jaccard_join(spark, sf_dir):
+    from .jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_codec(spark, sf_dir):
     from .bpe_codec import bpe_round_trip
 
     return bpe_round_trip(table(spark, sf_dir, "documents"), _bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op4_decontaminate, op5_line_dedup, op7_token_counts, op8_language_id, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op4_decontaminate, op5_line_dedup, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec)}
 
 _HOST = "regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*')"
 
