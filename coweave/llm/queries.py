@@ -29,6 +29,14 @@ def op2_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op3_token_files(spark, sf_dir):
+    from .token_files import read_digests, scratch_path, write_tokens
+
+    path = scratch_path(spark)
+    write_tokens(table(spark, sf_dir, "documents"), path, _bpe(), end_id=2)
+    return read_digests(spark, path)
+
+
 def op4_decontaminate(spark, sf_dir):
     from .decontaminate import contaminated
 
@@ -67,7 +75,7 @@ def op10_bpe_codec(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), _bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op4_decontaminate, op5_line_dedup, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_token_files, op4_decontaminate, op5_line_dedup, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec)}
 
 _HOST = "regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*')"
 
