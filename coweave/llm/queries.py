@@ -49,6 +49,14 @@ def op5_line_dedup(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_class_lm(spark, sf_dir):
+    from .class_lm import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model, rest = train(docs.filter(crc_mod5() != 1))
+    return score(docs, model, rest, crc_mod5() == 1)
+
+
 def op7_token_counts(spark, sf_dir):
     from .token_counts import token_counts
 
@@ -75,7 +83,7 @@ def op10_bpe_codec(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), _bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_token_files, op4_decontaminate, op5_line_dedup, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_token_files, op4_decontaminate, op5_line_dedup, op6_class_lm, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec)}
 
 _HOST = "regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*')"
 
