@@ -52,10 +52,10 @@ def f2(v):
 
 
 def _rounded(df):
-    return df.withColumns({c: F.round(c, 5) for c in ("weight_1n", "weight_pair")})
+    return df.withColumns({c: F.round(c, 8) for c in ("weight_1n", "weight_pair")})
 
 
-@query("f3_pair_aggregate", f"WITH {EVENTS} SELECT least(u, v) AS u, greatest(u, v) AS v, count(DISTINCT item) AS count, round(sum(w1), 5) AS weight_1n, round(sum(w2), 5) AS weight_pair, min(year) AS first_year, max(year) AS last_year FROM ev GROUP BY 1, 2")
+@query("f3_pair_aggregate", f"WITH {EVENTS} SELECT least(u, v) AS u, greatest(u, v) AS v, count(DISTINCT item) AS count, round(sum(w1), 8) AS weight_1n, round(sum(w2), 8) AS weight_pair, min(year) AS first_year, max(year) AS last_year FROM ev GROUP BY 1, 2")
 def f3(v):
     return _rounded(E.aggregate_pairs(events_of(v)))
 
@@ -71,16 +71,16 @@ def f4(v):
     return E.aggregate_pairs(E.select_events(events_of(v), v.nodes_p, layer="proj"), min_count=3).select("u", "v", "count")
 
 
-@query("f5_ego_ties", f"WITH {TIES} SELECT ego, alter, cnt AS count, first_year, last_year, round(w1n, 5) AS w1n, cls FROM ties")
+@query("f5_ego_ties", f"WITH {TIES} SELECT ego, alter, cnt AS count, first_year, last_year, round(w1n, 8) AS w1n, cls FROM ties")
 def f5(v):
-    return ties_of(v).withColumn("w1n", F.round("w1n", 5)).select("ego", "alter", "count", "first_year", "last_year", "w1n", "cls")
+    return ties_of(v).withColumn("w1n", F.round("w1n", 8)).select("ego", "alter", "count", "first_year", "last_year", "w1n", "cls")
 
 
-@query("f9_map_pairs", f"WITH {CAPPED}, k AS (SELECT * FROM nodes_p WHERE institution IS NOT NULL) SELECT s AS u, t AS v, round(sum(w1), 5) AS w FROM pe JOIN k a ON a.node_id = s JOIN k b ON b.node_id = t GROUP BY 1, 2 HAVING sum(w1) >= 0.5")
+@query("f9_map_pairs", f"WITH {CAPPED}, k AS (SELECT * FROM nodes_p WHERE institution IS NOT NULL) SELECT s AS u, t AS v, round(sum(w1), 8) AS w FROM pe JOIN k a ON a.node_id = s JOIN k b ON b.node_id = t GROUP BY 1, 2 HAVING sum(w1) >= 0.5")
 def f9(v):
     placed = v.nodes_p.filter("institution IS NOT NULL").select("node_id")
     e = edges_of(v).join(placed.toDF("source_node_id"), "source_node_id", "left_semi").join(placed.toDF("target_node_id"), "target_node_id", "left_semi")
-    return e.groupBy(F.col("source_node_id").alias("u"), F.col("target_node_id").alias("v")).agg(F.sum("weight_1n").alias("w")).filter("w >= 0.5").withColumn("w", F.round("w", 5))
+    return e.groupBy(F.col("source_node_id").alias("u"), F.col("target_node_id").alias("v")).agg(F.sum("weight_1n").alias("w")).filter("w >= 0.5").withColumn("w", F.round("w", 8))
 
 
 @query("f11_incident_pairs", f"WITH {TIES} SELECT least(ego, alter) AS u, greatest(ego, alter) AS v, max(cnt) AS count, max(last_year) - min(first_year) + 1 AS span FROM ties GROUP BY 1, 2")

@@ -7,6 +7,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: Names in braces are base tables or earlier entries.
 SQL = {
     "papers_p": "select o_orderkey as paper_id, cast(year(o_orderdate) as int) as year, o_orderpriority as pub_category, o_orderstatus <> 'P' as edge_eligible, o_totalprice as amount from {orders}",
@@ -24,6 +26,7 @@ class Views:
     """The base tables and the stand-ins of one folder, as lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship(spark)
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
