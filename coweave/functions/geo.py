@@ -74,7 +74,7 @@ def locate(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", m
     before rings are walked. The polygons are counted, and broadcast up to ``most_polygons``; beyond that cells of ten degrees
     make the join an equi-join."""
     first = F.get("rings", F.lit(0))
-    box = polygons.select("ord", "name", "rings", *[f(F.transform(first, lambda p, c=c: p[c])).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))])
+    box = polygons.select("ord", "name", "rings", *[f(first[c]).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))])
     inside = (F.col(x) >= F.col("lox")) & (F.col(x) <= F.col("hix")) & (F.col(y) >= F.col("loy")) & (F.col(y) <= F.col("hiy"))
     keyed = points.withColumn("_row", F.monotonically_increasing_id())
     if polygons.count() <= most_polygons:
