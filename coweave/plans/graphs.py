@@ -46,7 +46,7 @@ def j2(v):
     return G.degree(sparse(v))
 
 
-@query("j3_betweenness", f"WITH {PATHS}, n AS (SELECT count(DISTINCT u) AS n FROM nb), b AS (SELECT l.t AS node, sum(l.sigma * r.sigma / p.sigma::DOUBLE) AS b FROM sp l JOIN sp r ON r.s = l.t JOIN sp p ON p.s = l.s AND p.t = r.t AND p.d = l.d + r.d WHERE l.s < r.t GROUP BY 1) SELECT DISTINCT nb.u AS node, round(coalesce(b.b, 0) * 2.0 / ((n - 1) * (n - 2)), 8) AS betweenness FROM nb CROSS JOIN n LEFT JOIN b ON b.node = nb.u")
+@query("j3_betweenness", f"WITH {PATHS}, n AS (SELECT count(DISTINCT u) AS n FROM nb), b AS (SELECT l.t AS node, sum(l.sigma * r.sigma / p.sigma::DOUBLE) AS b FROM sp l JOIN sp r ON r.s = l.t JOIN sp p ON p.s = l.s AND p.t = r.t AND p.d = l.d + r.d WHERE l.s < r.t GROUP BY 1) SELECT DISTINCT nb.u AS node, round(coalesce(b.b, 0) * CASE WHEN n > 2 THEN 2.0 / ((n - 1) * (n - 2)) ELSE 1.0 END, 8) AS betweenness FROM nb CROSS JOIN n LEFT JOIN b ON b.node = nb.u")
 def j3(v):
     return G.betweenness(sparse(v, True)).withColumn("betweenness", F.round("betweenness", 8))
 
@@ -71,7 +71,7 @@ def j7(v):
     return G.leiden(sparse(v))
 
 
-@query("j8_modularity", f"WITH {GRAPH}, e AS (SELECT count AS w, a.institution AS cu, b.institution AS cv FROM gr JOIN nodes_p a ON a.node_id = u JOIN nodes_p b ON b.node_id = v WHERE a.institution IS NOT NULL AND b.institution IS NOT NULL), m AS (SELECT sum(w) AS m, sum(w) FILTER (cu = cv) AS i FROM e), k AS (SELECT c, sum(w) AS k FROM (SELECT cu AS c, w FROM e UNION ALL SELECT cv, w FROM e) GROUP BY 1) SELECT round(any_value(i)::DOUBLE / any_value(m) - sum((k / (2.0 * m)) ** 2), 8) AS modularity FROM k, m")
+@query("j8_modularity", f"WITH {GRAPH}, e AS (SELECT count AS w, a.institution AS cu, b.institution AS cv FROM gr JOIN nodes_p a ON a.node_id = u JOIN nodes_p b ON b.node_id = v WHERE a.institution IS NOT NULL AND b.institution IS NOT NULL), m AS (SELECT sum(w) AS m, sum(w) FILTER (cu = cv) AS i FROM e), k AS (SELECT c, sum(w) AS k FROM (SELECT cu AS c, w FROM e UNION ALL SELECT cv, w FROM e) GROUP BY 1) SELECT round(coalesce(any_value(i), 0)::DOUBLE / any_value(m) - sum((k / (2.0 * m)) ** 2), 8) AS modularity FROM k, m")
 def j8(v):
     part = _attr(v).filter("attribute IS NOT NULL").withColumnRenamed("attribute", "community")
     return G.modularity(sparse(v), part, "count").select(F.round("modularity", 8).alias("modularity"))
