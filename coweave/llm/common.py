@@ -4,28 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once in a session, however the driver came by it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_coweave_shipped", False):
-        return
-    top = Path(__file__).parent.parent
-    at = Path(tempfile.mkdtemp(prefix="coweave-")) / "coweave_package.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(str(at))
-    sc._coweave_shipped = True
+from ..session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +32,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """The table written to the shared folder and read back: its lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
+    ship(spark)
     at = f"{scratch_dir(spark)}/coweave-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(StructType(df.schema.fields)).parquet(at)
@@ -60,6 +48,16 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of the table has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -67,3 +65,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def crc_mod5():
     """crc32 of the id as text, modulo 5: the fold of a document."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa.Table]:
+    """From sorted batches, tables that hold every run of equal ``group`` columns whole; only the last run is held back."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        last = np.ones(len(b), bool)
+        for c in group:
+            x = b.column(c).to_numpy()
+            last &= x == x[-1]
+        cut = 0 if last.all() else len(b) - int(np.argmin(last[::-1]))
+        if held and (cut or any(held[-1].column(c)[-1].as_py() != b.column(c)[0].as_py() for c in group)):
+            yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks()
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([b.slice(0, cut)])
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from . import vectext as V
 from .bits import bit_filter, in_filter
-from .common import id_and_text, materialize
-from .components import components
+from .common import fresh, id_and_text, materialize, whole_runs
+from .components import components, least_labels
 
 SIMILARITY, SHINGLE = 0.8, 5
-COORDINATES, LIMIT, BLOCK = 96, 128, 512
+COORDINATES, LIMIT, BLOCK = 96, 512, 512
 NEAR, LINK, PAIR = 0.8, 0.5, 0.6
 RECALL = 0.9999
 _RNG = np.random.default_rng(20)
@@ -106,41 +106,6 @@ def _matrix(column: pa.Array, kind=np.uint32) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), COORDINATES)
 
 
-def _by_node(batches, columns: list[str], group: list[str]):
-    """Complete runs of equal group columns from sorted batches: dictionaries of arrays with whole runs."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not len(b):
-            continue
-        keys = [b.column(c).to_numpy() for c in group]
-        same = np.ones(len(b), bool)
-        for k in keys:
-            same &= k == k[-1]
-        cut = len(b) - int(np.argmin(same[::-1])) if not same.all() else 0
-        if cut:
-            yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks()
-            held = []
-        elif held and any(held[-1].column(c)[-1].as_py() != b.column(c)[0].as_py() for c in group):
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = []
-        held.append(b.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least row of each row's component, by hooking and jumping."""
-    lab = np.arange(n)
-    while True:
-        old = lab.copy()
-        m = np.minimum(lab[a], lab[b])
-        np.minimum.at(lab, a, m)
-        np.minimum.at(lab, b, m)
-        lab = np.minimum(lab, lab[lab])
-        if (lab == old).all():
-            return lab
-
-
 def candidates(keys: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links among keys (key, sig) that hold every pair of the similarity within their components."""
     start = roots(similarity)
@@ -154,7 +119,7 @@ def candidates(keys: DataFrame, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(child), b.column("key").take(pa.array(row))], ["node", "key"])
 
     def brute(batches):
-        for t in _by_node(batches, ["node", "key", "sig"], ["node"]):
+        for t in whole_runs(batches, ["node"]):
             node, key, sig = t["node"].to_numpy(), t["key"].to_numpy(), _matrix(t["sig"])
             sig8 = sig.astype(np.uint8)
             a, b, d = [], [], 1
@@ -168,7 +133,7 @@ def candidates(keys: DataFrame, similarity: float) -> DataFrame:
                 b.append(i + d)
                 d += 1
             none = np.zeros(0, np.int64)
-            lab = _least_labels(len(node), np.concatenate([none, *a]), np.concatenate([none, *b]))
+            lab = least_labels(len(node), np.concatenate([none, *a]), np.concatenate([none, *b]))
             at = np.flatnonzero(lab != np.arange(len(node)))
             yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(key[lab[at]])], ["a", "b"])
 
@@ -183,12 +148,12 @@ def candidates(keys: DataFrame, similarity: float) -> DataFrame:
             row, child = children(node[rest], sig[rest], similarity)
             yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(key[rest[row]]), pa.nulls(len(row), pa.int64())], ["node", "key", "to"])
 
-    rows = materialize(keys.select("key", "sig").mapInArrow(first, "node long, key long").distinct(), "nodes")
+    rows = materialize(keys.select("key", "sig").mapInArrow(first, "node long, key long"), "nodes")
     found = []
     while True:
         sizes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("pivot")).filter("n > 1"), "sizes")
         small = rows.join(sizes.filter(F.col("n") <= LIMIT).select("node"), "node", "left_semi").join(keys.select("key", "sig"), "key")
-        found.append(materialize(small.repartition("node").sortWithinPartitions("node", "key").select("node", "key", "sig").mapInArrow(brute, "a long, b long").distinct(), "links"))
+        found.append(materialize(small.repartition("node").sortWithinPartitions("node", "key").select("node", "key", "sig").mapInArrow(brute, "a long, b long"), "links"))
         large = sizes.filter(F.col("n") > LIMIT)
         if large.isEmpty():
             break
@@ -196,7 +161,7 @@ def candidates(keys: DataFrame, similarity: float) -> DataFrame:
         tried = rows.join(pivots, "node").join(keys.select("key", "sig"), "key").select("node", "key", "sig", "pivot", "pivot_sig")
         split = materialize(tried.mapInArrow(pivot, "node long, key long, to long"), "split")
         found.append(split.filter("node IS NULL").select(F.col("key").alias("a"), F.col("to").alias("b")))
-        rows = materialize(split.filter("node IS NOT NULL").select("node", "key").distinct(), "nodes")
+        rows = materialize(split.filter("node IS NOT NULL").select("node", "key"), "nodes")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -219,7 +184,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(key[lead]), pa.ListArray.from_arrays(pa.array(ends), pa.array(g[V.ranges(offs[:-1][lead], n)].view(np.int64)))], ["key", "set"])
 
     def compare(batches):
-        for t in _by_node(batches, [], ["root", "i", "j"]):
+        for t in whole_runs(batches, ["root", "i", "j"]):
             group = np.stack([t[c].to_numpy() for c in ("root", "i", "j")])
             cut = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)]))
             key, block = t["key"].to_numpy(), t["block"].to_numpy()
@@ -259,7 +224,7 @@ def _compare_block(key: np.ndarray, block: np.ndarray, flat: np.ndarray, sizes:
     if (block != block[0]).any():
         ok &= block[:, None] != block[None, :]
     x, y = np.nonzero(np.triu(ok))
-    lab = _least_labels(n, x, y)
+    lab = least_labels(n, x, y)
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ok.sum(axis=1).astype(np.int64)), pa.array(key[lab])], ["key", "links", "root"])
 
 
@@ -291,5 +256,6 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, without those of classes that have a document with a lower id; of rows that repeat an
     id and a text one stays; rows without an id stay."""
-    gone = jaccard_join(docs, similarity, id_col, text_col).filter("doc_id <> class_id").select(F.col("doc_id").alias("_coweave_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_coweave_id"), "left_anti").dropDuplicates([id_col, text_col])
+    (name,) = fresh(docs, "copy_id")
+    gone = jaccard_join(docs, similarity, id_col, text_col).filter("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti").dropDuplicates([id_col, text_col])
