@@ -182,21 +182,20 @@ def train(docs: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, tab
             codes, distinct, _ = V.factorize(prev * size + nxt)
             yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(codes, minlength=len(distinct)).astype(np.int64))], ["pair", "n"])
 
-    def dense(key, t):
-        row = np.zeros(size)
-        row[t["b"].to_numpy()] = t["n"].to_numpy()
-        return pa.table({"a": pa.array([key[0].as_py()], pa.int32()), "row": pa.array([row.tobytes()], pa.binary())})
+    def packed(key, t):
+        cols = [pa.array([t[c].to_numpy().astype(kind).tobytes()], pa.binary()) for c, kind in (("b", np.int32), ("n", np.float64))]
+        return pa.table({"a": pa.array([key[0].as_py()], pa.int32()), "cols": cols[0], "counts": cols[1]})
 
     def cluster(t):
         m = np.zeros((size, size), np.float64)
-        for a, row in zip(t["a"].to_pylist(), t["row"], strict=True):
-            m[a] = np.frombuffer(row.as_buffer(), np.float64)
+        for a, c, n in zip(t["a"].to_pylist(), t["cols"].to_pylist(), t["counts"].to_pylist(), strict=True):
+            m[a, np.frombuffer(c, np.int32)] = np.frombuffer(n, np.float64)
         x = Exchange(m, classes)
         return pa.table({"cls": pa.array([x.run(sweeps).tolist()], pa.list_(pa.int32())), "cc": pa.array([x.cc.ravel().tolist()], pa.list_(pa.float64()))})
 
     counts = texts.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     split = counts.select((F.col("pair") / size).cast("int").alias("a"), (F.col("pair") % size).cast("int").alias("b"), "n")
-    rows = materialize(split.groupBy("a").applyInArrow(dense, "a int, row binary"), "pairs")
+    rows = materialize(split.groupBy("a").applyInArrow(packed, "a int, cols binary, counts binary"), "pairs")
     got = rows.groupBy(F.lit(0).alias("_all")).applyInArrow(cluster, "cls array<int>, cc array<double>").collect()
     cls = np.array(got[0]["cls"], np.int64) if got else np.zeros(size, np.int64)
     cc = np.array(got[0]["cc"]).reshape(classes, classes) if got else np.zeros((classes, classes))

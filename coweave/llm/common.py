@@ -22,10 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_coweave_scratch", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="coweave-scratch-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = sc._coweave_scratch = tempfile.mkdtemp(prefix="coweave-scratch-")
     return at
 
 
