@@ -7,10 +7,12 @@ itself stays: so the result does not depend on the order in which pairs are foun
 1. Tokens are ordered by rarity: by how often their hash bucket occurs over all lines, then by hash. Any fixed order gives the
    same result; this one makes prefixes rare. The table of buckets has a fixed size and is broadcast.
 2. Lines with equal sets are one key with its first place; only keys are joined.
-3. Each key posts the tokens of its prefix with their positions. Equal tokens meet; the length filter and the positional filter
-   drop pairs that cannot reach the similarity. First each key is tried against the earliest key of each of its tokens, which
-   settles groups of many similar lines in one linear step; only keys without a match go on to the full join. Those joins are
-   equi-joins on the token, which Spark splits where a token is hot.
+3. Each key posts the tokens of its prefix with their positions; tokens that no other line has are left out. Equal tokens
+   meet; the length filter, the positional filter and a parity filter (the bits in which the sets' parities differ are at most
+   the tokens in which the sets do) drop pairs that cannot reach the similarity. Tokens whose bucket has up to LIMIT lines meet
+   in sorted runs. For the others, each key is first tried against the earliest key of each of its tokens, which settles groups
+   of many similar lines in one linear step; only keys without a match go on to the full join. Those joins are equi-joins on
+   the token, which Spark splits where a token is hot.
 4. Candidates are verified on their whole sets. Those are read from the texts once more, for the keys in question only, which
    a bit set of fixed size picks out.
 
@@ -20,8 +22,6 @@ empty tables give no rows; other columns are ignored. Ties in place cannot occur
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 
 from . import vectext as V
 from .bits import bit_filter, in_filter
-from .common import id_and_text, materialize
+from .common import fresh, id_and_text, materialize, whole_runs
 
 SIMILARITY, LEAST_WORDS = 0.8, 5
-BUCKETS = 1 << 18
+BUCKETS = 1 << 22
+#: Tokens in up to so many lines are joined in sorted runs, others by equi-joins that Spark can split.
+LIMIT = 1024
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -55,7 +57,7 @@ def line_sets(texts: pa.Array, least_words: int) -> dict[str, np.ndarray]:
     own = np.repeat(np.arange(len(head)), words)
     keep = words[own] >= least_words
     own, h = own[keep], h[keep]
-    order = np.lexsort((h, own))
+    order = _by_line(own, h, 20)
     own, h = own[order], h[order]
     first = np.ones(len(h), bool)
     first[1:] = (own[1:] != own[:-1]) | (h[1:] != h[:-1])
@@ -69,81 +71,150 @@ def line_sets(texts: pa.Array, least_words: int) -> dict[str, np.ndarray]:
     return {"doc": doc[at], "number": number, "size": size, "key": key.view(np.int64), "tok": h, "tok_line": own}
 
 
+def _by_line(own: np.ndarray, h: np.ndarray, drop: int, rank: np.ndarray | None = None) -> np.ndarray:
+    """Order by line, rank (under 2^16) and hash, whose lowest bits are left out where the lines' numbers fit beside the rest."""
+    if len(own) and int(own[-1]) >= 1 << 20:
+        return np.lexsort((h, own) if rank is None else (h, rank, own))
+    key = own.astype(np.uint64) << np.uint64(44) | h >> np.uint64(drop)
+    if rank is not None:
+        key |= rank.astype(np.uint64) << np.uint64(28)
+    return np.argsort(key, kind="stable")
+
+
 def prefix_length(size, similarity: float):
     """Tokens of a set, rarest first, among which every similar set has one of its own prefix."""
     return size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
 
 
 def bucket_counts(docs: DataFrame, least_words: int) -> np.ndarray:
-    """How often each bucket's tokens occur in lines: a table of fixed size."""
+    """How often each bucket's tokens occur in lines with enough words, at most 65,535: a table of fixed size."""
 
     def run(batches):
         total = np.zeros(BUCKETS, np.int64)
         for b in V.slices_by_bytes(batches, "text"):
-            tok = line_sets(b.column("text"), least_words)["tok"]
-            total += np.bincount((tok & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            buf, offs = V.text_buffer(b.column("text"))
+            start, length, doc = V.words(buf, offs)
+            line = np.searchsorted(np.flatnonzero(buf[: int(offs[-1])] == 10), start) + doc
+            enough = np.bincount(line)[line] >= least_words
+            total += np.bincount(_bucket(V.hash_spans(buf, start[enough], length[enough])), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
+    counts = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(65535)).cast("int").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.uint16)
     out[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     return out
 
 
+def _bucket(tok: np.ndarray) -> np.ndarray:
+    return (tok & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _place():
+    """Order of documents and lines as one number; a null id comes first."""
+    return F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("number").cast("decimal(10,0)")
+
+
+def _need(sa, sb, similarity: float):
+    """The overlap that two sets of these sizes need."""
+    return (sa + sb) * (similarity / (1 + similarity)) - 1e-9
+
+
+def _close(a: dict, b: dict, similarity: float) -> np.ndarray:
+    """Length, positional (for the first common token) and parity filter: odd bits of the sets' parities differ at most as often
+    as the sets do."""
+    sa, sb = a["size"], b["size"]
+    need = np.ceil(_need(sa, sb, similarity)).astype(np.int64)
+    ok = np.minimum(sa, sb) >= np.maximum(sa, sb) * similarity - 1e-9
+    ok &= np.minimum(sa - a["pos"], sb - b["pos"]) >= need
+    odd = sum(np.bitwise_count((a[p] ^ b[p]).view(np.uint64)).astype(np.int64) for p in ("p0", "p1"))
+    return ok & (odd <= sa + sb - 2 * need) & (a["key"] != b["key"])
+
+
+def _feasible(similarity: float):
+    """The same for the columns of two aliases a and b."""
+    sa, sb = F.col("a.size"), F.col("b.size")
+    need = F.ceil(_need(sa, sb, similarity))
+    odd = F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))) + F.bit_count(F.col("a.p1").bitwiseXOR(F.col("b.p1")))
+    return (F.least(sa, sb) >= F.greatest(sa, sb) * similarity - 1e-9) & (F.least(sa - F.col("a.pos"), sb - F.col("b.pos")) >= need) & (odd <= sa + sb - 2 * need)
+
+
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lines: doc_id, number, key, size of every line with enough words; gone: doc_id, number of those that go)."""
+    """(lines: doc_id, number, key of every line with enough words; gone: doc_id, number of those that go)."""
     docs = id_and_text(docs, id_col, text_col)
-    spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(bucket_counts(docs, least_words))
+    counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, least_words))
 
     def post(batches):
-        """One row for each line; a key's first row in a batch carries the postings."""
+        """One row for each line; a key's first row in a batch carries its postings, but for tokens that occur once."""
         for b in V.slices_by_bytes(batches, "text"):
             s = line_sets(b.column("text"), least_words)
             _, _, lead = V.factorize(s["key"])
             head = np.zeros(len(s["key"]), bool)
             head[lead] = True
-            rare = counts.value[(s["tok"] & np.uint64(BUCKETS - 1)).astype(np.int64)]
+            cut = np.cumsum(s["size"]) - s["size"]
+            bit = (s["tok"] >> np.uint64(50)).astype(np.int64) & 127
+            parity = [np.bitwise_xor.reduceat(np.where(bit >> 6 == k, np.uint64(1) << (bit & 63).astype(np.uint64), np.uint64(0)), cut) if len(cut) else np.zeros(0, np.uint64) for k in (0, 1)]
             mine = head[s["tok_line"]]
-            tok, own, rare = s["tok"][mine], s["tok_line"][mine], rare[mine]
-            order = np.lexsort((tok, rare, own))
-            tok, own = tok[order], own[order]
+            tok, own = s["tok"][mine], s["tok_line"][mine]
+            n = counts.value[_bucket(tok)].astype(np.int64)
+            order = _by_line(own, tok, 36, n)
+            tok, own, n = tok[order], own[order], n[order]
             size = np.where(head, s["size"], 0)
+            start = np.cumsum(size) - size
             take = np.where(head, np.minimum(prefix_length(s["size"], similarity), s["size"]), 0)
-            tok = tok[V.ranges(np.cumsum(size) - size, take)]
-            ends = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(s["doc"])), pa.array(s["number"].astype(np.int32)), pa.array(s["key"]), pa.array(s["size"].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(tok.view(np.int64)))], ["doc_id", "number", "key", "size", "prefix"])
-
-    all_lines = materialize(docs.mapInArrow(post, "doc_id long, number int, key long, size int, prefix array<long>"), "lines")
-    lines = all_lines.select("doc_id", "number", "key", "size")
-    place = F.struct("doc_id", "number")
-    keys = materialize(all_lines.groupBy("key").agg(F.min(place).alias("first"), F.max("size").alias("size"), F.max("prefix").alias("prefix")), "keys")
-    posts = keys.select("key", "first", "size", F.posexplode("prefix").alias("pos", "token"))
-
-    def feasible(a: str, b: str):
-        """Length filter and positional filter (of the first common token) for the pair."""
-        sa, sb = F.col(f"{a}.size"), F.col(f"{b}.size")
-        need = F.ceil((sa + sb) * (similarity / (1 + similarity)) - 1e-9)
-        left = F.least(sa - F.col(f"{a}.pos"), sb - F.col(f"{b}.pos"))
-        return (F.least(sa, sb) >= F.greatest(sa, sb) * similarity - 1e-9) & (left >= need)
-
-    earliest = posts.groupBy("token").agg(F.min(F.struct("first", "key", "size", "pos")).alias("e"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", "e.*").alias("a")
-    p = posts.alias("b")
-    tried = p.join(earliest, "token").filter((F.col("a.key") != F.col("b.key")) & feasible("a", "b")).select(F.col("a.key").alias("ka"), F.col("b.key").alias("kb")).distinct()
-    settled = materialize(verified(docs, tried, similarity, least_words), "settled")
-    open_posts = posts.join(settled.select("key"), "key", "left_anti").alias("b")
-    rest = open_posts.join(posts.alias("a"), "token").filter((F.col("a.first") < F.col("b.first")) & feasible("a", "b")).select(F.col("a.key").alias("ka"), F.col("b.key").alias("kb")).distinct()
-    matched = settled.unionByName(materialize(verified(docs, rest, similarity, least_words), "matched"))
-    state = keys.select(F.col("key").alias("k"), "first").join(matched.select(F.col("key").alias("k"), F.lit(True).alias("matched")), "k", "left")
+            at = V.ranges(start, take)
+            at = at[n[at] > 1]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(own[at], minlength=len(head)))]).astype(np.int32)
+            listed = pa.StructArray.from_arrays([pa.array((tok[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array((at - start[own[at]]).astype(np.int32)), pa.array(n[at] > LIMIT)], ["token", "pos", "hot"])
+            cols = [b.column("doc_id").take(pa.array(s["doc"])), pa.array(s["number"].astype(np.int32)), pa.array(s["key"]), pa.array(s["size"].astype(np.int32)), *(pa.array(p.view(np.int64)) for p in parity), pa.ListArray.from_arrays(pa.array(ends), listed)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "number", "key", "size", "p0", "p1", "posts"])
+
+    def meet(batches):
+        """Pairs of keys that share a token and pass the filters, from postings sorted by token and key."""
+        columns = ("token", "key", "size", "pos", "p0", "p1")
+        for t in whole_runs(batches, ["token"]):
+            c = {k: t[k].to_numpy() for k in columns}
+            once = np.ones(len(c["key"]), bool)
+            once[1:] = (c["key"][1:] != c["key"][:-1]) | (c["token"][1:] != c["token"][:-1])
+            c = {k: x[once].astype(np.int64) for k, x in c.items()}
+            x, y, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
+            while d < len(c["key"]):
+                i = np.flatnonzero(c["token"][d:] == c["token"][:-d])
+                if not i.size:
+                    break
+                i = i[_close({k: v[i] for k, v in c.items()}, {k: v[i + d] for k, v in c.items()}, similarity)]
+                x.append(c["key"][i])
+                y.append(c["key"][i + d])
+                d += 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)), pa.array(np.concatenate(y))], ["x", "y"])
+
+    all_lines = materialize(docs.mapInArrow(post, "doc_id long, number int, key long, size int, p0 long, p1 long, posts array<struct<token:int,pos:int,hot:boolean>>"), "lines")
+    lines = all_lines.select("doc_id", "number", "key")
+    keys = materialize(lines.groupBy("key").agg(F.min(_place()).alias("first")), "keys")
+    posts = all_lines.select("key", "size", "p0", "p1", F.explode("posts").alias("t")).select("key", "size", "p0", "p1", "t.*")
+    cool = posts.filter("NOT hot").select("token", "key", "size", "pos", "p0", "p1").repartition("token").sortWithinPartitions("token", "key")
+    near = cool.mapInArrow(meet, "x long, y long").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    places = [keys.select(F.col("key").alias(k), F.col("first").alias(f"{k}_first")) for k in ("x", "y")]
+    later = F.col("x_first") < F.col("y_first")
+    near = near.join(places[0], "x").join(places[1], "y").select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("ka"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("kb"))
+    # tokens that may be in many lines: the earliest line of each first, then the full join for lines without a match
+    hot = materialize(posts.filter("hot").drop("hot").distinct().join(keys, "key"), "hot")
+    earliest = hot.groupBy("token").agg(F.min(F.struct("first", "key", "size", "pos", "p0", "p1")).alias("e")).select("token", "e.*")
+    tried = hot.alias("b").join(earliest.alias("a"), "token").filter((F.col("a.first") < F.col("b.first")) & _feasible(similarity)).select(F.col("a.key").alias("ka"), F.col("b.key").alias("kb"))
+    settled = verified(docs, near.union(tried).distinct(), similarity, least_words)
+    rest = hot.join(settled.select("key"), "key", "left_anti").alias("b").join(hot.alias("a"), "token").filter((F.col("a.first") < F.col("b.first")) & _feasible(similarity)).select(F.col("a.key").alias("ka"), F.col("b.key").alias("kb")).distinct()
+    matched = settled.unionByName(verified(docs, rest, similarity, least_words)).select(F.col("key").alias("k"), F.lit(True).alias("matched"))
+    state = keys.join(matched, F.col("key") == F.col("k"), "left").select(F.col("key").alias("k"), "first", "matched")
     flagged = lines.join(state, lines["key"] == state["k"])
-    gone = flagged.filter(F.col("matched").isNotNull() | ~place.eqNullSafe(F.col("first"))).select("doc_id", "number")
+    gone = flagged.filter(F.col("matched").isNotNull() | (_place() > F.col("first"))).select("doc_id", "number")
     return lines, gone
 
 
 def verified(docs: DataFrame, pairs: DataFrame, similarity: float, least_words: int) -> DataFrame:
     """key: the kb of the pairs (ka, kb) whose sets are similar enough."""
     pairs = materialize(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs.select(F.col("kb").alias("key"))
     wanted = materialize(pairs.select(F.col("ka").alias("key")).union(pairs.select("kb")).distinct(), "wanted")
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "key"))
 
@@ -170,7 +241,7 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float, least_words:
             yield b.select(["kb"]).filter(pa.array(ok, pa.bool_()))
 
     rows = pairs.join(sets.select(F.col("key").alias("ka"), F.col("set").alias("sa")), "ka").join(sets.select(F.col("key").alias("kb"), F.col("set").alias("sb")), "kb").select("kb", "sa", "sb")
-    return rows.mapInArrow(compare, "kb long").select(F.col("kb").alias("key")).distinct()
+    return materialize(rows.mapInArrow(compare, "kb long").select(F.col("kb").alias("key")).distinct(), "matched")
 
 
 def _lists(column: pa.Array):
@@ -192,10 +263,11 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, least_words: int
 
 def drop_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, without the lines that go; rows of which no word is left go as well."""
+    key, lost, new = fresh(docs, "line_doc", "lines_gone", "text_left")
     _, gone = duplicate_lines(docs, similarity, least_words, id_col, text_col)
-    removed = gone.groupBy("doc_id").agg(F.collect_set("number").alias("_coweave_removed")).withColumnRenamed("doc_id", "_coweave_id")
-    joined = docs.join(removed, docs[id_col].cast("long").eqNullSafe(F.col("_coweave_id")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_coweave_removed", i)), "\n")
-    changed = F.col("_coweave_removed").isNotNull()
-    rows = joined.withColumn("_coweave_text", F.when(changed, kept).otherwise(F.col(text_col))).filter(~changed | F.col("_coweave_text").rlike("[^ \\t-\\r]"))
-    return rows.select(*[(F.col("_coweave_text").alias(c) if c == text_col else docs[c]) for c in docs.columns])
+    removed = gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("number").alias(lost))
+    joined = docs.join(removed, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    changed = F.col(lost).isNotNull()
+    rows = joined.withColumn(new, F.when(changed, kept).otherwise(F.col(text_col))).filter(~changed | F.col(new).rlike("[^ \\t-\\r]"))
+    return rows.select(*[F.col(new).alias(c) if c == text_col else F.col(c) for c in docs.columns])
