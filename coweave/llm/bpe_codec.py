@@ -288,10 +288,10 @@ class Automaton:
         return np.where(ok, place, -1)
 
 
-def lexicon(docs: DataFrame, tokenizer: str, most: int = 50_000, least: int = 4, id_col: str = "doc_id", text_col: str = "text") -> bytes:
+def lexicon(docs: DataFrame, tokenizer: str, most: int = 50_000, least: int = 3, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """The compiled lexicon of the ``most`` most frequent pieces over all documents.
 
-    A batch of about 12 MB of text contributes the pieces that occur ``least`` times in it or oftener; the sums pick the words.
+    A batch of about 6 MB of text contributes the pieces that occur ``least`` times in it or oftener; the sums pick the words.
     ``most`` bounds what reaches the driver and what is broadcast (under 8 MB).
     """
 
@@ -400,7 +400,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, data: bytes | None = None, w
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches):
-        for b in V.slices_by_bytes(batches, "text", 8 << 20):
+        for b in V.slices_by_bytes(batches, "text", 4 << 20):
             codec = _codec(tokenizer, shared)
             ids, counts = codec.encode(*V.text_buffer(b.column("text")))
             raw, offs = codec.decode(ids, counts)

@@ -46,7 +46,7 @@ def special_string(path: str) -> bytes:
 class Memo:
     """Ids of the pieces seen by this worker. Bounded: emptied when it holds more than ``most`` pieces."""
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 200_000):
         self.encode, self.most = encode, most
         self.clear()
 

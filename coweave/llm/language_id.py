@@ -88,7 +88,7 @@ def learn_profiles(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     """The ``length`` most frequent n-gram codes of each language, by rank; bounded by the number of languages."""
 
     def count(batches):
-        for b in V.slices_by_bytes(batches, "text"):
+        for b in V.slices_by_bytes(batches, "text", 3 << 20):
             langs = b.column("lang").to_pylist()
             s, offs = symbols(*V.text_buffer(b.column("text")))
             order = {x: i for i, x in enumerate(sorted(set(langs)))}

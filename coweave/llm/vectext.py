@@ -45,7 +45,7 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return buf, offs - lo
 
 
-def slices_by_bytes(batches, column: str, most: int = 12 << 20):
+def slices_by_bytes(batches, column: str, most: int = 6 << 20):
     """Arrow record batches cut or passed on so that a piece holds about ``most`` bytes of text; a longer text stays whole."""
     for batch in batches:
         texts = batch.column(column)
