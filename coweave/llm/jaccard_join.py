@@ -10,8 +10,10 @@
    similarity is a metric, whatever is similar to a member that left is within LINK of the pivot, so no partner is lost, and a
    bucket of copies of one text empties in a linear step. The rest is split further. Buckets are routed by their counts; no
    large one is ever gathered in a task.
-4. Pairs of 0.8 meet in one repetition's first level with a probability of 1 - 0.2 ^ (sampled coordinates); REPEATS is the least
-   number for which all repetitions together reach RECALL.
+4. Pairs of 0.8 meet in one repetition's first level with a probability of 1 - 0.2 ^ (sampled coordinates). A bucket that is
+   split keeps a pair only if it samples a coordinate on which the two agree, so what a coordinate is worth falls with the
+   depth. The keys of split buckets get further repetitions, until those reach RECALL at the greatest depth that was met: a
+   pair that no bucket of the first repetitions settled has either met in none or has both its keys in split ones.
 5. Links so far are candidates. Their components are cut into blocks, and pairs of blocks are compared on whole shingle sets,
    which are read from the texts for those keys only. That gives every key's number of links, and its final component.
 
@@ -89,10 +91,19 @@ def sampled(node: np.ndarray, similarity: float) -> np.ndarray:
     return h < np.uint64(int(2**64 / (similarity * COORDINATES)))
 
 
-def roots(similarity: float) -> np.ndarray:
-    """As many first buckets as make a pair of just this similarity meet with a probability of RECALL."""
-    node = V.mix(np.arange(1, 1000, dtype=np.uint64)).view(np.int64)
-    need = math.log(1 - RECALL) / math.log(1 - similarity)
+def survival(similarity: float, depth: int) -> float:
+    """How likely a pair of just this similarity in a bucket still is in one bucket after ``depth`` splits."""
+    q = 1.0
+    for _ in range(depth):
+        q = 1 - (1 - q / COORDINATES) ** COORDINATES
+    return q
+
+
+def roots(similarity: float, depth: int = 0) -> np.ndarray:
+    """As many first buckets as make a pair of just this similarity meet with a probability of RECALL in buckets that come from
+    ``depth`` splits. Those of a lower depth come first."""
+    need = math.log(1 - RECALL) / math.log(1 - similarity * survival(similarity, depth))
+    node = V.mix(np.arange(1, 1000 + 2 * math.ceil(need), dtype=np.uint64)).view(np.int64)
     return node[: 1 + int(np.searchsorted(np.cumsum(sampled(node, similarity).sum(axis=1)), need))]
 
 
@@ -108,15 +119,17 @@ def _matrix(column: pa.Array, kind=np.uint32) -> np.ndarray:
 
 def candidates(keys: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links among keys (key, sig) that hold every pair of the similarity within their components."""
-    start = roots(similarity)
     rate = COORDINATES
 
-    def first(batches):
-        for b in batches:
-            sig = _matrix(b.column("sig"))
-            for r in start:
-                row, child = children(np.full(len(b), r), sig, similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(child), b.column("key").take(pa.array(row))], ["node", "key"])
+    def first(start):
+        def run(batches):
+            for b in batches:
+                sig = _matrix(b.column("sig"))
+                for r in start:
+                    row, child = children(np.full(len(b), r), sig, similarity)
+                    yield pa.RecordBatch.from_arrays([pa.array(child), b.column("key").take(pa.array(row))], ["node", "key"])
+
+        return run
 
     def brute(batches):
         for t in whole_runs(batches, ["node"]):
@@ -146,22 +159,33 @@ def candidates(keys: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(key[at]), pa.array(p[at])], ["node", "key", "to"])
             rest = np.flatnonzero(agree < NEAR * rate)
             row, child = children(node[rest], sig[rest], similarity)
+            end = np.setdiff1d(rest, rest[row])  # their bucket samples no coordinate
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(end), pa.int64()), pa.array(key[end]), pa.nulls(len(end), pa.int64())], ["node", "key", "to"])
             yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(key[rest[row]]), pa.nulls(len(row), pa.int64())], ["node", "key", "to"])
 
-    rows = materialize(keys.select("key", "sig").mapInArrow(first, "node long, key long"), "nodes")
-    found = []
-    while True:
-        sizes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("pivot")).filter("n > 1"), "sizes")
-        small = rows.join(sizes.filter(F.col("n") <= LIMIT).select("node"), "node", "left_semi").join(keys.select("key", "sig"), "key")
-        found.append(materialize(small.repartition("node").sortWithinPartitions("node", "key").select("node", "key", "sig").mapInArrow(brute, "a long, b long"), "links"))
-        large = sizes.filter(F.col("n") > LIMIT)
-        if large.isEmpty():
-            break
-        pivots = large.select("node", "pivot").join(keys.select(F.col("key").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-        tried = rows.join(pivots, "node").join(keys.select("key", "sig"), "key").select("node", "key", "sig", "pivot", "pivot_sig")
-        split = materialize(tried.mapInArrow(pivot, "node long, key long, to long"), "split")
-        found.append(split.filter("node IS NULL").select(F.col("key").alias("a"), F.col("to").alias("b")))
-        rows = materialize(split.filter("node IS NOT NULL").select("node", "key"), "nodes")
+    found, done, most, members = [], 0, 0, keys.select("key", "sig")
+    while done < len(start := roots(similarity, most)):
+        rows = materialize(members.mapInArrow(first(start[done:]), "node long, key long"), "nodes")
+        hot, done, depth = [], len(start), 0
+        while True:
+            sizes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("pivot")).filter("n > 1"), "sizes")
+            small = rows.join(sizes.filter(F.col("n") <= LIMIT).select("node"), "node", "left_semi").join(keys.select("key", "sig"), "key")
+            found.append(materialize(small.repartition("node").sortWithinPartitions("node", "key").select("node", "key", "sig").mapInArrow(brute, "a long, b long"), "links"))
+            large = sizes.filter(F.col("n") > LIMIT)
+            if large.isEmpty():
+                break
+            depth += 1
+            pivots = large.select("node", "pivot").join(keys.select(F.col("key").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
+            tried = rows.join(pivots, "node").join(keys.select("key", "sig"), "key").select("node", "key", "sig", "pivot", "pivot_sig")
+            split = materialize(tried.mapInArrow(pivot, "node long, key long, to long"), "split")
+            found.append(split.filter("to IS NOT NULL").select(F.col("key").alias("a"), F.col("to").alias("b")))
+            rows = materialize(split.filter("node IS NOT NULL").select("node", "key"), "nodes")
+            hot = hot or [split.filter("to IS NULL").select("key").distinct()]
+        if done == len(roots(similarity)):  # the first repetitions, which hold all keys
+            if not hot:
+                break
+            members = materialize(keys.select("key", "sig").join(hot[0], "key", "left_semi"), "hot")
+        most = max(most, depth)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -330,6 +330,26 @@ def test_jaccard_join_of_a_large_group(spark):
     assert all(r["class_id"] == r["doc_id"] and r["n_links"] == 0 for r in got if r["doc_id"] >= 100)
 
 
+def test_jaccard_join_around_a_common_passage(spark):
+    """Buckets over LIMIT of texts that share a passage only: every pair of similar ones is found, as brute force finds them."""
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(100)]
+    rows = []
+    for i in range(700):
+        own = [f"o{i}_{k}" for k in range(54)]
+        for j in range(2):
+            rows.append((2 * i + j, " ".join(shared + own)))
+            for at in (10, 27, 44):
+                own[at] = f"c{rng.random()}"
+    a, b = shingles(rows[0][1]), shingles(rows[1][1])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.86 and len(a & shingles(rows[2][1])) < 0.5 * len(a | shingles(rows[2][1]))
+    old, jaccard_join.LIMIT = jaccard_join.LIMIT, 128
+    got = {r["doc_id"]: r for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    jaccard_join.LIMIT = old
+    lost = [i for i in range(700) if got[2 * i + 1]["class_id"] != 2 * i or got[2 * i]["n_links"] != 1]
+    assert not lost
+
+
 def test_components_both_ways(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(500, 530)]
