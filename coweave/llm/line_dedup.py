@@ -161,7 +161,8 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words
             tok, own, n = tok[order], own[order], n[order]
             size = np.where(head, s["size"], 0)
             start = np.cumsum(size) - size
-            take = np.where(head, np.minimum(prefix_length(s["size"], similarity), s["size"]), 0)
+            joins = head & (s["size"] >= (similarity - 1e-9) * (s["size"] + 1))  # smaller sets are only similar to equal ones
+            take = np.where(joins, np.minimum(prefix_length(s["size"], similarity), s["size"]), 0)
             at = V.ranges(start, take)
             at = at[n[at] > 1]
             ends = np.concatenate([[0], np.cumsum(np.bincount(own[at], minlength=len(head)))]).astype(np.int32)

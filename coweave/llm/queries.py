@@ -46,7 +46,7 @@ def op4_decontaminate(spark, sf_dir):
 def op5_line_dedup(spark, sf_dir):
     from .line_dedup import line_dedup
 
-    return line_dedup(table(spark, sf_dir, "documents"))
+    return line_dedup(table(spark, sf_dir, "documents"), least_words=1)
 
 
 def op6_class_lm(spark, sf_dir):

@@ -213,6 +213,18 @@ def test_drop_lines(spark):
     same(line_dedup.drop_lines(d).collect(), [(1, f"{line}\nkeep", 7), (3, None, 9), (4, "", 9), (5, "short line", 9), (6, "short line", 9)])
 
 
+def test_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from coweave.llm import queries
+
+    texts = ["menu\none two three four", "Read more\nmenu\na b", "one two three four five\nread more\n\nRead more\nb a c", "b a"]
+    d = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n int")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_line_dedup(spark, str(tmp_path)).collect()
+    same([(r["doc_id"], r["n_lines"], r["removed"]) for r in got], [(0, 2, []), (1, 3, [1]), (2, 4, [0, 3]), (3, 1, [0])])
+    same(corpus_pipeline.drop_repeated_lines(spark, d, str(tmp_path)).collect(), [(0, texts[0], 5), (1, "Read more\na b", 5), (2, "read more\n\nb a c", 5)])
+
+
 def test_class_lm(docs, rows, empty):
     model, rest = class_lm.train(docs.filter(crc_mod5() != 1), frequent=40, classes=8, table=60)
     got = class_lm.score(docs, model, rest, crc_mod5() == 1).collect()
