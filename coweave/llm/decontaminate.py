@@ -1,16 +1,19 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, and Smith-Waterman alignment scores them.
 
-Words are lower-cased runs of letters, marks and digits. A first pass counts in how many documents each three-word gram of the
-test items occurs. Of every ``STEP`` consecutive grams of an item the rarest becomes a seed, so that a seed survives wherever
-a few words in a row do. A second pass finds the seeds in every document; seeds of one item near one diagonal make a passage,
-which is aligned with the item: equal words score 2, others and gaps cost 1. The score is the best local alignment over the
-best possible one; a document with a passage of at least ``least`` is contaminated by the item.
-
-Test items are a stated query set. They are taken in blocks whose total size is checked before they are collected, so any
-number of them works; what reaches the driver in a block is bounded by it.
-
-Defined cases: null texts have no words; items of fewer than three words have no seed and match nothing; repeated document rows
-each give their rows; items with equal text match alike; empty tables give no rows; other columns are ignored or kept.
+Words are lower-cased runs of letters, marks and digits. A gram is three words of four in a row: the first two and the third or
+the fourth. So a gram stays whole where every third word is changed, left out or has one put before it. A first pass counts in
+how many documents each gram of the test items occurs. Seeds are the grams that occur at all in up to RARE documents, and of the
+others those that occur at most twice as often as the rarest of some STEP grams in a row around them. (Grams that occur nowhere
+match nothing, so they are never the rarest.) A second pass finds the seeds in every document; seeds of one item near one
+diagonal make a passage, which is aligned with the item: equal words score 2, others and gaps cost 1. The score is the best local
+alignment over the best possible one; a document with a passage of at least ``least`` is contaminated by the item.
+
+Test items are a stated query set. Each distinct text is one query. They are taken in blocks whose total size is checked before
+they are collected, so any number of them works; what reaches the driver in a block is bounded by it, or is one longer item.
+
+Defined cases: null texts have no words; items of fewer than three words have no seed and match nothing; whole texts are used,
+however long; of equally good passages of a document and an item the last counts; repeated document rows each give their rows;
+items with equal text match alike, each under its id; empty tables give no rows; other columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from . import vectext as V
 from .common import id_and_text, ship
 
-GRAM, STEP, LEAST = 3, 4, 0.5
+GRAM, STEP, LEAST, RARE = 3, 4, 0.5, 1000
 BLOCK_BYTES = 8 << 20
 _C = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -51,13 +54,16 @@ def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return V.hash_spans(buf, start, length), doc
 
 
-def grams(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Hash of the gram that starts at each word; 0 where the document ends within it."""
-    g = np.zeros(len(h), np.uint64)
-    if len(h) >= GRAM:
-        g[: -GRAM + 1] = V.mix(h[:-2] * _C[0] + h[1:-1] * _C[1] + h[2:] * _C[2]) | np.uint64(1)
-        g[: -GRAM + 1][doc[2:] != doc[:-2]] = 0
-    return g
+def grams(h: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+    """Hashes of both grams that start at each word; 0 where the document ends within one."""
+    out = []
+    for last in (GRAM - 1, GRAM):
+        g = np.zeros(len(h), np.uint64)
+        if len(h) > last:
+            g[:-last] = V.mix(h[:-last] * _C[0] + h[1 : len(h) - last + 1] * _C[1] + h[last:] * _C[2]) | np.uint64(1)
+            g[:-last][doc[last:] != doc[:-last]] = 0
+        out.append(g)
+    return out
 
 
 class Lookup:
@@ -87,22 +93,43 @@ class Items:
         h, doc = normal_words(pa.array(texts, pa.string()))
         cut = np.searchsorted(doc, np.arange(len(ids) + 1))
         self.words = [h[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        g = grams(h, doc)
-        self.grams = [g[a:b][g[a:b] > 0] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        self.all = np.concatenate([np.zeros(0, np.uint64), *self.grams])
-
-    def pick(self, frequency: dict[int, int]) -> None:
-        seeds = []
-        for k, g in enumerate(self.grams):
-            f = np.array([frequency.get(int(x), 0) for x in g.view(np.int64)], np.int64)
-            chosen = {min(range(a, min(a + STEP, len(g))), key=lambda i, f=f: (f[i], i)) for a in range(max(1, len(g) - STEP + 1))} if len(g) else set()
-            seeds += [(int(g[i]), k, i) for i in sorted(chosen)]
-        seeds.sort()
-        key = np.array([s[0] for s in seeds], np.uint64)
-        self.seed_item, self.seed_at = np.array([s[1] for s in seeds], np.int64), np.array([s[2] for s in seeds], np.int64)
-        self.lookup = Lookup(key)
-        self.first = np.searchsorted(key, self.lookup.keys)
-        self.many = np.diff(np.append(self.first, len(key)))
+        self.size = np.diff(cut)
+        self.grams = [(g[g > 0], doc[g > 0], (np.arange(len(g)) - cut[doc])[g > 0]) for g in grams(h, doc)]  # gram, item, word
+        self.all = np.unique(np.concatenate([g for g, _, _ in self.grams]))
+
+    def pick(self, gram: np.ndarray, n: np.ndarray) -> None:
+        """Choose the seeds from the document counts of the grams that occur."""
+        order = np.argsort(gram)
+        gram, n = np.append(gram[order], np.uint64(0)), np.append(n[order], 0)
+        chosen = []
+        for g, item, at in self.grams:
+            place = np.searchsorted(gram[:-1], g)
+            f = np.where(gram[place] == g, n[place], 0)
+            keep = (f > 0) & ((f <= RARE) | (f <= 2 * _rarest_around(np.where(f > 0, f, np.int64(1) << 60), item)))
+            chosen.append((g[keep], item[keep], at[keep]))
+        g, item, at = (np.concatenate(x) for x in zip(*chosen, strict=True))
+        order = np.lexsort((at, item, g))
+        g, self.seed_item, self.seed_at = g[order], item[order], at[order]
+        self.lookup = Lookup(g)
+        self.first = np.searchsorted(g, self.lookup.keys)
+        self.many = np.diff(np.append(self.first, len(g)))
+        del self.grams, self.all
+
+
+def _rarest_around(f: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """For each gram of sorted items the greatest of the least counts of the windows of STEP grams that hold it."""
+    n = len(f)
+    start, end = np.searchsorted(item, item), np.searchsorted(item, item, side="right")
+    here, least = np.arange(n), f.copy()
+    for k in range(1, STEP):
+        inside = here + k < end
+        least[inside] = np.minimum(least[inside], f[here[inside] + k])
+    least[(here + STEP > end) & (here != start)] = 0
+    out = least.copy()
+    for k in range(1, STEP):
+        inside = here - k >= start
+        out[inside] = np.maximum(out[inside], least[here[inside] - k])
+    return out
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -123,7 +150,8 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 def matches(texts: pa.Array, items: Items, least: float) -> list[tuple[int, int, float, int, int]]:
     """(document, item, score, first word, word after the last) of each contaminated pair of a batch."""
     h, doc = normal_words(texts)
-    at, place = items.lookup(grams(h, doc))
+    hits = [items.lookup(g) for g in grams(h, doc)]
+    at, place = (np.concatenate(x) for x in zip(*hits, strict=True))
     if not len(at):
         return []
     many = items.many[place]
@@ -132,11 +160,13 @@ def matches(texts: pa.Array, items: Items, least: float) -> list[tuple[int, int,
     item, begin = items.seed_item[seed], at - items.seed_at[seed]
     order = np.lexsort((begin, item, doc[at]))
     item, begin, owner = item[order], begin[order], doc[at][order]
-    size = np.array([len(w) for w in items.words])[item]
+    size = items.size[item]
     new = np.ones(len(item), bool)
     new[1:] = (item[1:] != item[:-1]) | (owner[1:] != owner[:-1]) | (begin[1:] - begin[:-1] > size[1:] // 2 + 4)
     lo = np.flatnonzero(new)
     hi = np.append(lo[1:], len(item)) - 1
+    enough = (hi > lo) | (size[lo] < 16)  # what scores a half of a longer item holds more than one of its grams
+    lo, hi = lo[enough], hi[enough]
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
     doc_lo, doc_hi = np.searchsorted(doc, owner[lo]), np.searchsorted(doc, owner[lo], side="right")
     pad = size[lo] // 4 + 4
@@ -156,63 +186,66 @@ def matches(texts: pa.Array, items: Items, least: float) -> list[tuple[int, int,
     return [(*k, *v) for k, v in found.items()]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[tuple[list, list]]:
-    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    parts = 1 + (int(total) + 16 * int(n)) // block_bytes
-    return [part for k in range(parts) if (part := _collect(rows, k, parts, block_bytes))[0]]
+def _queries(benchmark: DataFrame, text_col: str) -> DataFrame:
+    """The distinct texts under a key, the hash of each."""
+    rows = benchmark.select(F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL").distinct()
+    return rows.select(F.xxhash64("text").alias("item"), "text")
 
 
-def _collect(rows: DataFrame, k: int, parts: int, block_bytes: int) -> tuple[list, list]:
-    got = sorted((r["item_id"] is not None, r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect())
-    return [g[1] for g in got], [g[2] for g in got]
+def _blocks(benchmark: DataFrame, text_col: str, block_bytes: int) -> list[tuple[list, list]]:
+    rows = _queries(benchmark, text_col)
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = 1 + (int(total) + 16 * int(n)) // block_bytes
+    blocks = (sorted((r["item"], r["text"]) for r in rows.filter(F.pmod("item", F.lit(parts)) == k).collect()) for k in range(parts))
+    return [([i for i, _ in b], [t for _, t in b]) for b in blocks if b]
 
 
-def _prepared(docs: DataFrame, benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str):
+def _prepared(docs: DataFrame, benchmark: DataFrame, block_bytes: int, doc_col: str, text_col: str):
     """A broadcast of the items, with seeds, for each block of the benchmark."""
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    for ids, contents in _blocks(benchmark, id_col, "text", block_bytes):
+    texts = docs.select(F.col(doc_col).cast("string").alias("text"))
+    for ids, contents in _blocks(benchmark, text_col, block_bytes):
         items = Items(ids, contents)
-        keys = spark.sparkContext.broadcast(np.unique(items.all))
+        keys = spark.sparkContext.broadcast(items.all)
 
         def count(batches, keys=keys):
             look = Lookup(keys.value)
             for b in V.slices_by_bytes(batches, "text"):
                 h, doc = normal_words(b.column("text"))
-                at, place = look(grams(h, doc))
+                hits = [look(g) for g in grams(h, doc)]
+                at, place = (np.concatenate(x) for x in zip(*hits, strict=True))
                 pair = np.unique(place * (len(b) + 1) + doc[at]) // (len(b) + 1)
                 g, n = np.unique(pair, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(look.keys[g].view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
-        seen = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # grams of this block at most
-        items.pick({r[0]: r[1] for r in seen})
+        seen = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # grams of this block at most
+        items.pick(seen["gram"].to_numpy().view(np.uint64), seen["n"].to_numpy())
         yield spark.sparkContext.broadcast(items)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, score, first_word, end_word: the best passage of each contaminated pair of document row and item."""
-    schema = "doc_id long, item_id long, score double, first_word long, end_word long"
-    out = None
-    for shared in _prepared(docs, benchmark, block_bytes, item_col, text_col):
+    schema = "doc_id long, item long, score double, first_word long, end_word long"
+    out = docs.sparkSession.createDataFrame([], schema)
+    for shared in _prepared(docs, benchmark, block_bytes, text_col, item_text_col):
 
         def run(batches, shared=shared):
             for b in V.slices_by_bytes(batches, "text"):
                 got = matches(b.column("text"), shared.value, least)
                 ids = b.column("doc_id").to_pylist()
                 cols = [[ids[m[0]] for m in got], [shared.value.ids[m[1]] for m in got], *([m[k] for m in got] for k in (2, 3, 4))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "first_word", "end_word"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item", "score", "first_word", "end_word"])
 
-        part = id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+        out = out.unionByName(id_and_text(docs, id_col, text_col).mapInArrow(run, schema))
+    named = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.xxhash64(F.col(item_text_col).cast("string")).alias("item")).distinct()
+    return out.join(named, "item").select("doc_id", "item_id", "score", "first_word", "end_word")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that no item contaminates."""
     k = docs.columns.index(text_col)
-    for shared in list(_prepared(docs, benchmark, block_bytes, item_col, text_col)):
+    for shared in list(_prepared(docs, benchmark, block_bytes, text_col, item_text_col)):
 
         def run(batches, shared=shared):
             for b in batches:
