@@ -1,17 +1,20 @@
 """LM scoring with Brown class-based n-grams: P(w | v) = P(class of w | class of v) * P(w | class of w).
 
 1. Words of all training documents are counted. The FREQUENT most frequent, and GROUPS groups of all other spellings (by last
-   letters and length), are the elements that exchange clustering works on: so every word, seen or not, has a class, and the
-   clustering's size does not grow with the corpus while its counts do.
+   letters and length), are the elements that exchange clustering works on, so its size does not grow with the corpus.
 2. Element pairs are counted over all training texts. In one task, whose input is at most the square of the number of elements,
    elements move one by one to the class that raises the likelihood of the class bigrams most, until few move.
-3. Transitions are smoothed towards the class frequencies; emissions add 0.5 to each word of a class and to one unseen word.
-4. Texts are scored where they lie. Counts of the TABLE most frequent words are broadcast; all others are looked up by a join
-   on the word, whose left side is split where a word is hot.
+3. Every other word of the table (the TABLE most frequent words) is exchanged against those classes: the classes of its
+   neighbours are counted over all training texts, and it goes where they are most likely. Words beyond the table, and words never
+   seen, stay in the class of their spelling group.
+4. Class bigrams are counted once more with the final classes. Transitions are smoothed towards the class frequencies; emissions
+   add 0.5 to each word of a class and to one unseen word.
+5. Texts are scored where they lie. Counts and classes of the table are broadcast; counts of all other words are looked up by a
+   join on the word, whose left side is split where a word is hot.
 
 Words are known by 64-bit hashes. Defined cases: a null text has the end token only; a null id neither trains nor is held out;
-without training tokens all counts are 0; repeated rows each count and each give a row; empty tables give no rows; other
-columns are ignored.
+without training tokens all counts are 0; of words with equal counts at the table's edge a hash picks which it holds; whole texts
+are used, however long; repeated rows each count and each give a row; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import materialize, ship
+from .common import materialize, ship, whole_runs
 
 FREQUENT, GROUPS, CLASSES, TABLE = 4096, 256, 64, 1 << 20
 SWEEPS, PRIOR = 6, 5.0
@@ -104,22 +107,34 @@ def _f(x: np.ndarray) -> np.ndarray:
 class Model:
     """What scoring needs, of bounded size."""
 
-    def __init__(self, table: np.ndarray, count: np.ndarray, frequent: np.ndarray, cls: np.ndarray, cc: np.ndarray, ends: int, tokens_: int, kinds: int, class_n: np.ndarray, class_v: np.ndarray):
-        self.table, self.count, self.frequent, self.cls = table, count, frequent, cls
+    def __init__(self, table: np.ndarray, count: np.ndarray, cls: np.ndarray, group_cls: np.ndarray, cc: np.ndarray, ends: int, tokens_: int, kinds: int, class_n: np.ndarray, class_v: np.ndarray):
+        self.table, self.count, self.cls, self.group_cls = table, count, cls, group_cls
         self.ends, self.tokens, self.kinds = ends, tokens_, kinds
-        share = (cc.sum(axis=0) + 1) / (cc.sum() + len(cc))
-        self.step = np.log10((cc + PRIOR * share) / (cc.sum(axis=1, keepdims=True) + PRIOR))
+        self.step = np.log10(transitions(cc))
         self.mass = np.log10(class_n + 0.5 * (class_v + 1))
         self.base = math.log10(tokens_ + 0.5 * (kinds + 1))
 
-    def elements(self, h: np.ndarray, group: np.ndarray) -> np.ndarray:
-        return elements(h, group, self.frequent)
+
+def transitions(cc: np.ndarray) -> np.ndarray:
+    """P(next class | class) from the counts of class pairs."""
+    share = (cc.sum(axis=0) + 1) / (cc.sum() + len(cc))
+    return (cc + PRIOR * share) / (cc.sum(axis=1, keepdims=True) + PRIOR)
+
+
+def place_in(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each word in a sorted table, and whether it is there."""
+    at = np.minimum(np.searchsorted(table, h), max(len(table) - 1, 0))
+    return at, table[at] == h if len(table) else np.zeros(len(h), bool)
+
+
+def classes_of(h: np.ndarray, group: np.ndarray, table: np.ndarray, cls: np.ndarray, group_cls: np.ndarray) -> np.ndarray:
+    at, hit = place_in(table, h)
+    return np.where(hit, cls[at], group_cls[group]) if len(table) else group_cls[group]
 
 
 def elements(h: np.ndarray, group: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Element of each word: 0 is the end, then the groups, then the frequent words by sorted hash."""
-    at = np.minimum(np.searchsorted(frequent, h), max(len(frequent) - 1, 0))
-    hit = frequent[at] == h if len(frequent) else np.zeros(len(h), bool)
+    at, hit = place_in(frequent, h)
     return np.where(hit, GROUPS + 1 + at, group)
 
 
@@ -135,17 +150,25 @@ def _sequences(e: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, n
     return prev, nxt
 
 
-def _cut(counts: DataFrame, most: int) -> int:
-    """The least count for which no more than about ``most`` words have it or a greater one, from a histogram of fixed size."""
-    bucket = F.floor(F.log2("n") * 16).cast("int")
-    rows = sorted(counts.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).collect(), key=lambda r: -r["b"])
-    cut, seen = 1 << 62, 0
-    for r in rows:
-        seen += r["k"]
-        if seen > most:
+def _most_frequent(words: DataFrame, most: int) -> Column:
+    """Whether a word is one of about ``most`` most frequent, by two histograms: of ranges of counts, and of the counts in the
+    range where the edge lies; of the words with just the count at the edge a hash picks a part."""
+    span = F.floor(F.log2("n") * 16).cast("int")
+    ranges = sorted(((r["b"], r["k"]) for r in words.groupBy(span.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    seen = 0
+    for b, k in ranges:
+        if seen + k > most:
+            break
+        seen += k
+    else:
+        return F.lit(True)
+    edge = sorted(((r["n"], r["k"]) for r in words.filter(span == b).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    for n, k in edge:
+        if seen + k > most:
             break
-        cut = r["least"]
-    return cut
+        seen += k
+    part = (most - seen) * (1 << 20) // k
+    return (F.col("n") > n) | ((F.col("n") == n) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < part))
 
 
 def train(docs: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, table: int = TABLE, sweeps: int = SWEEPS, text_col: str = "text") -> tuple[Model, DataFrame]:
@@ -163,13 +186,12 @@ def train(docs: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, tab
     words = materialize(texts.mapInArrow(count, "word long, grp int, n long").groupBy("word").agg(F.first("grp").alias("grp"), F.sum("n").alias("n")), "words")
     ends = texts.count()
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    cut = _cut(words, table)
-    known = words.filter(F.col("n") >= cut).toArrow()  # about ``table`` rows at most
-    h, n, grp = known["word"].to_numpy().view(np.uint64), known["n"].to_numpy(), known["grp"].to_numpy().astype(np.int64)
+    top = _most_frequent(words, table)
+    known = words.filter(top).toArrow()  # about ``table`` rows
+    h, n = known["word"].to_numpy().view(np.uint64), known["n"].to_numpy()
     order = np.argsort(h)
-    h, n, grp = h[order], n[order], grp[order]
-    top = np.sort(np.lexsort((h, -n))[:frequent])
-    often = h[top]
+    h, n = h[order], n[order]
+    often = h[np.sort(np.lexsort((h, -n))[:frequent])]
     shared = spark.sparkContext.broadcast(often)
     size = GROUPS + 1 + len(often)
 
@@ -197,17 +219,91 @@ def train(docs: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, tab
     split = counts.select((F.col("pair") / size).cast("int").alias("a"), (F.col("pair") % size).cast("int").alias("b"), "n")
     rows = materialize(split.groupBy("a").applyInArrow(packed, "a int, cols binary, counts binary"), "pairs")
     got = rows.groupBy(F.lit(0).alias("_all")).applyInArrow(cluster, "cls array<int>, cc array<double>").collect()
-    cls = np.array(got[0]["cls"], np.int64) if got else np.zeros(size, np.int64)
+    element_cls = np.array(got[0]["cls"], np.int64) if got else np.zeros(size, np.int64)
     cc = np.array(got[0]["cc"]).reshape(classes, classes) if got else np.zeros((classes, classes))
-    element = elements(h, grp, often)
-    class_n, class_v = np.bincount(cls[element], n, classes), np.bincount(cls[element], minlength=classes).astype(float)
-    for r in words.filter(F.col("n") < cut).groupBy("grp").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():  # one row for each group
-        class_n[cls[r["grp"]]] += r["n"]
-        class_v[cls[r["grp"]]] += r["k"]
+    group_cls = element_cls[: GROUPS + 1]
+    at, hit = place_in(often, h)
+    cls = element_cls[GROUPS + 1 + at] if len(often) else np.zeros(0, np.int64)
+    rest = h[~hit]
+    if len(rest):
+        placed = materialize(_neighbours(texts, often, element_cls[GROUPS + 1 :], rest, group_cls, classes).mapInArrow(_exchanged(cc, classes), "word long, cls int"), "classes").toArrow()
+        by = np.argsort(placed["word"].to_numpy().view(np.uint64))
+        cls[~hit] = placed["cls"].to_numpy()[by]  # each word of rest occurs, so it has a row
+        cc = _class_pairs(texts, h, cls, group_cls, classes)
+    class_n, class_v = np.bincount(cls, n, classes), np.bincount(cls, minlength=classes).astype(float)
+    beyond = words.filter(~top)
+    for r in beyond.groupBy("grp").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():  # one row for each group
+        class_n[group_cls[r["grp"]]] += r["n"]
+        class_v[group_cls[r["grp"]]] += r["k"]
     class_n[END] += ends
     class_v[END] += ends > 0
-    model = Model(h, n, often, cls, cc, ends, int(total) + ends, int(kinds) + (ends > 0), class_n, class_v)
-    return model, words.filter(F.col("n") < cut).select("word", "n")
+    model = Model(h, n, cls, group_cls, cc, ends, int(total) + ends, int(kinds) + (ends > 0), class_n, class_v)
+    return model, beyond.select("word", "n")
+
+
+def _neighbours(texts: DataFrame, often: np.ndarray, often_cls: np.ndarray, rest: np.ndarray, group_cls: np.ndarray, classes: int) -> DataFrame:
+    """word, code, n, sorted by word: how often a word of ``rest`` stands before class code, or after class code - classes."""
+    shared = texts.sparkSession.sparkContext.broadcast((often, often_cls, rest, group_cls))
+
+    def run(batches):
+        often, often_cls, rest, group_cls = shared.value
+        for b in V.slices_by_bytes(batches, "text"):
+            w, group, doc = tokens(b.column("text"))
+            codes, distinct, first = V.factorize(w)
+            c = classes_of(distinct, group[first], often, often_cls, group_cls)[codes] if len(w) else w.astype(np.int64)
+            _, wanted = place_in(rest, distinct)
+            last = np.ones(len(w), bool)
+            last[:-1] = doc[1:] != doc[:-1]
+            after = np.where(last, END, np.append(c[1:], END)[: len(c)])
+            before = np.where(np.append(True, last[:-1])[: len(c)], END, np.append(END, c[:-1])[: len(c)])
+            i = np.flatnonzero(wanted[codes]) if len(w) else codes
+            codes, seen, _ = V.factorize(np.concatenate([codes[i] * 2 * classes + after[i], codes[i] * 2 * classes + classes + before[i]]))
+            yield pa.RecordBatch.from_arrays([pa.array(distinct[seen // (2 * classes)].view(np.int64)), pa.array((seen % (2 * classes)).astype(np.int32)), pa.array(np.bincount(codes, minlength=len(seen)).astype(np.int64))], ["word", "code", "n"])
+
+    counts = texts.mapInArrow(run, "word long, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    return counts.repartition("word").sortWithinPartitions("word")
+
+
+def _exchanged(cc: np.ndarray, classes: int):
+    """From words' neighbour counts the class under which these are most likely; the end's class takes no word."""
+    p = transitions(cc)
+    back = np.log(p) - np.log((cc.sum(axis=0) + 1) / (cc.sum() + classes))
+    value = np.concatenate([np.log(p), back.T], axis=1)  # of a class for each code
+
+    def run(batches):
+        for t in whole_runs(batches, ["word"]):
+            word = t["word"].to_numpy()
+            head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            for lo in range(0, len(head), 4096):
+                a, b = head[lo], head[lo + 4096] if lo + 4096 < len(head) else len(word)
+                own = np.searchsorted(head, np.arange(a, b), side="right") - 1 - lo
+                m = np.zeros((min(4096, len(head) - lo), 2 * classes))
+                m[own, t["code"].to_numpy()[a:b]] = t["n"].to_numpy()[a:b]
+                gain = m @ value.T
+                gain[:, END] = -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(word[head[lo : lo + 4096]]), pa.array(gain.argmax(axis=1).astype(np.int32))], ["word", "cls"])
+
+    return run
+
+
+def _class_pairs(texts: DataFrame, table: np.ndarray, cls: np.ndarray, group_cls: np.ndarray, classes: int) -> np.ndarray:
+    """How often each class follows each over all texts."""
+    shared = texts.sparkSession.sparkContext.broadcast((table, cls, group_cls))
+
+    def run(batches):
+        total = np.zeros(classes * classes, np.int64)
+        for b in V.slices_by_bytes(batches, "text"):
+            w, group, doc = tokens(b.column("text"))
+            codes, distinct, first = V.factorize(w)
+            c = classes_of(distinct, group[first], *shared.value)[codes] if len(w) else w.astype(np.int64)
+            prev, nxt = _sequences(c, doc, len(b))
+            total += np.bincount(prev * classes + nxt, minlength=classes * classes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes * classes, dtype=np.int32)), pa.array(total)], ["pair", "n"])
+
+    out = np.zeros(classes * classes)
+    for r in texts.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # classes squared
+        out[r["pair"]] = r["n"]
+    return out.reshape(classes, classes)
 
 
 def score(docs: DataFrame, model: Model, rest: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,14 +318,13 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, held_out: Column, id_c
             docs_ = len(b)
             w, group, doc = tokens(b.column("text"))
             codes, distinct, first = V.factorize(w)
-            at = np.minimum(np.searchsorted(m.table, distinct), max(len(m.table) - 1, 0))
-            hit = m.table[at] == distinct if len(m.table) else np.zeros(len(distinct), bool)
+            at, hit = place_in(m.table, distinct)
             c = np.where(hit, m.count[at], 0) if len(m.table) else np.zeros(len(distinct), np.int64)
-            element = m.elements(distinct, group[first])
-            prev, nxt = _sequences(element[codes] if len(w) else w.astype(np.int64), doc, docs_)
+            cls = classes_of(distinct, group[first], m.table, m.cls, m.group_cls)
+            prev, nxt = _sequences(cls[codes] if len(w) else w.astype(np.int64), doc, docs_)
             n = np.bincount(doc, minlength=docs_)
             own = np.repeat(np.arange(docs_), n + 1)
-            step = np.bincount(own, m.step[m.cls[prev], m.cls[nxt]] - m.mass[m.cls[nxt]], docs_)
+            step = np.bincount(own, m.step[prev, nxt] - m.mass[nxt], docs_)
             logs = np.where(hit, np.log10(c + 0.5), 0.0)
             listed = np.bincount(doc, logs[codes], docs_) + math.log10(m.ends + 0.5)
             known = np.bincount(doc, hit[codes], docs_).astype(np.int64) + (m.ends > 0)
