@@ -1,14 +1,16 @@
 """Language identification by rank-order profiles: a document's most frequent n-grams against those of each language.
 
-N-grams of one to three letters are counted over lower-cased words, whose borders count as a blank; anything that is not a
-letter separates words. A profile lists a language's most frequent n-grams by rank. The out-of-place distance sums, over the
-document's own ranking, how far each n-gram's rank is from its rank in the profile; n-grams the profile lacks cost the
+N-grams of one to five characters are counted over lower-cased words of letters and marks, whose borders count as a blank;
+anything else separates words. A profile lists a language's most frequent n-grams by rank. The out-of-place distance sums, over
+the document's own ranking, how far each n-gram's rank is from its rank in the profile; n-grams the profile lacks cost the
 profile's length. The nearest language wins, ties by name; score is one less the distance over the largest possible distance.
+N-grams, of any script, are known by hashes of 20 bits; equal counts are ranked by them.
 
 Profiles are learned from all given documents: counts by language and n-gram are summed, whatever their number.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; so is every text if nothing could be learned;
-rows with null language teach nothing; repeated rows each give a row; other columns are ignored; whole texts are used.
+Defined cases: null texts and texts without a letter (marks alone are none) are ``und`` with score 0; so is every text if nothing
+could be learned; rows with null language teach nothing; repeated rows each give a row; empty tables give no rows; other columns
+are ignored or kept; whole texts are used, however long.
 """
 
 from __future__ import annotations
@@ -24,27 +26,24 @@ from pyspark.sql import functions as F
 from . import vectext as V
 from .common import id_and_text, ship
 
-LENGTH = 300
-_PAIR, _TRIPLE = 1 << 12, 1 << 18
-CODES = 1 << 19
-
-
-def _symbol(char: str) -> int:
-    """0: no letter; 1 to 26: a to z; 27 to 63: other letters, by code point."""
-    if not unicodedata.category(char).startswith(("L", "M")):
-        return 0
-    low = char.lower()[0]
-    return ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % 37
+LENGTH, LONGEST = 300, 5
+BITS = 20
+CODES = 1 << BITS
+#: Set in the symbols of marks.
+_MARK = 1 << 21
+_K = np.uint64(0x9E3779B97F4A7C15)
 
 
 @functools.cache
-def _ascii() -> np.ndarray:
-    return np.array([_symbol(chr(i)) if i < 128 else 0 for i in range(256)], np.uint8)
+def _symbol(cp: int) -> int:
+    """0: no letter and no mark; else the lower-cased code point."""
+    kind = unicodedata.category(chr(cp))[0]
+    return ord(chr(cp).lower()[0]) if kind == "L" else cp | _MARK if kind == "M" else 0
 
 
 @functools.cache
-def _wide(cp: int) -> int:
-    return _symbol(chr(cp))
+def _ascii() -> np.ndarray:
+    return np.array([_symbol(i) if i < 128 else 0 for i in range(256)], np.int32)
 
 
 def symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +54,7 @@ def symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = (buf[:n] & 0xC0) != 0x80
     if lead.size:
         distinct, inverse = np.unique(cps, return_inverse=True)
-        sym[lead] = np.array([_wide(c) for c in distinct.tolist()], np.uint8)[inverse]
+        sym[lead] = np.array([_symbol(c) for c in distinct.tolist()], np.int32)[inverse]
     brk = np.zeros(n + 1, bool)
     brk[offs] = True
     chars = np.flatnonzero(keep)
@@ -78,10 +77,22 @@ def symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_codes(s: np.ndarray) -> np.ndarray:
-    """Codes of the n-grams of one text's symbols."""
-    two = (s[:-1] << 6) | s[1:]
-    three = (two[:-1] << 6) | s[2:]
-    return np.concatenate([s[s > 0], two[two > 0] | _PAIR, three[s[1:-1] > 0] | _TRIPLE])
+    """Codes of the n-grams of one text's symbols: of all runs with a letter or mark but at most one border at either end."""
+    x, inner = s.astype(np.uint64) + np.uint64(1), s > 0
+    out, h, whole = [], np.zeros(len(s), np.uint64), np.ones(len(s), bool)
+    for n in range(1, min(LONGEST, len(s)) + 1):
+        h = (h[: len(s) - n + 1] + x[n - 1 :]) * _K
+        if n == 1:
+            take = inner
+        elif n == 2:
+            take = inner[1:] | inner[:-1]
+        else:
+            whole = whole[: len(s) - n + 1] & inner[n - 2 : len(s) - 1]
+            take = whole
+        if n == 2:
+            whole = np.ones(len(s) - 1, bool)
+        out.append(((h[take] ^ h[take] >> np.uint64(29)) * _K >> np.uint64(64 - BITS)).astype(np.int32))
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 def learn_profiles(docs: DataFrame, length: int = LENGTH, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[int]]:
@@ -94,8 +105,7 @@ def learn_profiles(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
             order = {x: i for i, x in enumerate(sorted(set(langs)))}
             own = np.array([order[x] for x in langs])
             for lang, k in order.items():
-                codes = gram_codes(s[V.ranges(offs[:-1][own == k], np.diff(offs)[own == k])])
-                n = np.bincount(codes, minlength=CODES)
+                n = np.bincount(gram_codes(s[V.ranges(offs[:-1][own == k], np.diff(offs)[own == k])]), minlength=CODES)
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "code", "n"])
 
@@ -110,12 +120,16 @@ def learn_profiles(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     return found
 
 
-def rank_tables(profiles: dict[str, list[int]], length: int) -> tuple[list[str], np.ndarray]:
+def rank_tables(profiles: dict[str, list[int]], length: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names, the column of each code among those of all profiles (the last: in none), and the ranks by name and column."""
     names = sorted(profiles)
-    ranks = np.full((len(names), CODES), length, np.int32)
+    used = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(profiles[x], np.int64) for x in names)]))
+    column = np.full(CODES, len(used), np.int32)
+    column[used] = np.arange(len(used))
+    ranks = np.full((len(names), len(used) + 1), length, np.int32)
     for k, name in enumerate(names):
-        ranks[k, profiles[name]] = np.arange(len(profiles[name]))
-    return names, ranks
+        ranks[k, column[profiles[name]]] = np.arange(len(profiles[name]))
+    return names, column, ranks
 
 
 def ranking(codes: np.ndarray, length: int) -> np.ndarray:
@@ -123,28 +137,28 @@ def ranking(codes: np.ndarray, length: int) -> np.ndarray:
     codes = np.sort(codes)
     at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
     n = np.diff(np.append(at, len(codes)))
-    key = (n.astype(np.int64) << 20) + (CODES - codes[at])
+    key = (n.astype(np.int64) << BITS) + (CODES - 1 - codes[at])
     if len(key) > length:
         key = key[np.argpartition(-key, length - 1)[:length]]
     key = -np.sort(-key)
-    return CODES - (key & ((1 << 20) - 1))
+    return CODES - 1 - (key & (CODES - 1))
 
 
-def predict(s: np.ndarray, names: list[str], ranks: np.ndarray, length: int) -> tuple[str, float]:
-    if len(s) < 3 or not names or not s.any():
+def predict(s: np.ndarray, names: list[str], column: np.ndarray, ranks: np.ndarray, length: int) -> tuple[str, float]:
+    if not names or not ((s > 0) & (s < _MARK)).any():
         return "und", 0.0
     top = ranking(gram_codes(s), length)
-    place = np.arange(len(top))
-    far = np.minimum(np.abs(ranks[:, top] - place), length)
-    far[ranks[:, top] == length] = length
+    theirs = ranks[:, column[top]]
+    far = np.minimum(np.abs(theirs - np.arange(len(top))), length)
+    far[theirs == length] = length
     total = far.sum(axis=1)
     k = int(total.argmin())
     return names[k], 1.0 - float(total[k]) / (length * len(top))
 
 
-def _predictions(b: pa.RecordBatch, text: pa.Array, names, ranks, length) -> tuple[list[str], list[float]]:
+def _predictions(text: pa.Array, tables, length: int) -> tuple[list[str], list[float]]:
     s, offs = symbols(*V.text_buffer(text))
-    got = [predict(s[p:q], names, ranks, length) for p, q in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+    got = [predict(s[p:q], *tables, length) for p, q in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
     return [x for x, _ in got], [x for _, x in got]
 
 
@@ -153,9 +167,9 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], length: int = LENG
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # at most length codes for each language
 
     def run(batches):
-        names, ranks = rank_tables(shared.value, length)
+        tables = rank_tables(shared.value, length)
         for b in V.slices_by_bytes(batches, "text", 4 << 20):
-            lang, score = _predictions(b, b.column("text"), names, ranks, length)
+            lang, score = _predictions(b.column("text"), tables, length)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -168,12 +182,12 @@ def keep_identified(docs: DataFrame, profiles: dict[str, list[int]], least: floa
     at = docs.columns.index(text_col)
 
     def run(batches):
-        names, ranks = rank_tables(shared.value, length)
+        tables = rank_tables(shared.value, length)
         for b in batches:
             plain = pa.RecordBatch.from_arrays([b.column(at)], ["text"])
             keep: list[bool] = []
             for part in V.slices_by_bytes([plain], "text", 4 << 20):
-                lang, score = _predictions(part, part.column("text"), names, ranks, length)
+                lang, score = _predictions(part.column("text"), tables, length)
                 keep += [x != "und" and y > least for x, y in zip(lang, score, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
