@@ -3,12 +3,15 @@
 Each document gets integer counts and from them a few ratios. The sketch of a ratio is a histogram over geometric buckets of
 relative width ``GAMMA``: adding the counts of two sketches gives the sketch of both inputs, exactly and in any order, so a
 source of any size is summed before it is shuffled. From a group's sketch come the tenth, fiftieth and ninetieth percentile,
-each within one bucket; a ratio fails if it lies above the median by more than a number of spreads (or below, where too low
-is bad as well). Groups of few documents take the thresholds of their language, then of all documents. Documents join the
-thresholds of their group, salted so that a source with a third of all rows is split.
+each within one bucket. The spread above is the larger of the distances between neighbours of these, and a ratio fails if it lies
+above the ninetieth percentile by more than SPREADS such spreads; where too low is bad as well, it also fails if it lies below the
+tenth by more than SPREADS times its distance from the median. A least spread keeps one odd word or line of a short document from
+deciding where a group has hardly any spread. Groups of under ``least_docs`` documents take the thresholds of their language, then
+of all documents, as their percentiles say little; the column ``level`` says which were used. Documents join the thresholds of
+their group, salted so that a source with a third of all rows is split.
 
 Defined cases: a null text has no words and fails the base rule; null languages and sources are groups of their own; ratios
-over nothing are 0; repeated rows each count and each give a row; empty tables give no rows; other columns are ignored.
+over nothing are 0; whole texts are counted, however long; repeated rows each count and each give a row; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +27,15 @@ from . import vectext as V
 from .common import materialize, ship
 
 GAMMA = 1.02
-#: Ratio, number of spreads above the median that it may reach, least spread, and whether too low is bad as well.
+SPREADS = 3.0
+#: Ratio, least spread, and whether too low is bad as well.
 RULES = (
-    ("symbols_per_word", 6.0, 0.05, False),
-    ("chars_per_word", 6.0, 0.4, True),
-    ("dup_line_share", 6.0, 0.1, False),
-    ("repeat_share", 6.0, 0.06, False),
-    ("upper_share", 6.0, 0.05, False),
-    ("top_word_share", 6.0, 0.03, False),
+    ("symbols_per_word", 0.02, False),
+    ("chars_per_word", 0.1, True),
+    ("dup_line_share", 0.1, False),
+    ("repeat_share", 0.03, False),
+    ("upper_share", 0.01, False),
+    ("top_word_share", 0.02, False),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_top_word")
 _SYMBOL = np.zeros(256, bool)
@@ -121,17 +125,16 @@ def thresholds(sketch: DataFrame, least_docs: int = 100) -> DataFrame:
     q = s.groupBy(*group).agg(F.max("all").alias("docs"), at(0.1), at(0.5), at(0.9))
     q = q.filter((F.col("level") == 2) | (F.col("docs") >= least_docs))
     out = []
-    for name, k, floor, two_sided in RULES:
-        spread = F.greatest(F.col("q50") - F.col("q10"), F.lit(floor))
-        this = F.col("ratio") == name
-        out.append(F.max(F.when(this, F.col("q50") + k * spread)).alias(f"high_{name}"))
+    for name, floor, two_sided in RULES:
+        below, above, this = F.col("q50") - F.col("q10"), F.col("q90") - F.col("q50"), F.col("ratio") == name
+        out.append(F.max(F.when(this, F.col("q90") + SPREADS * F.greatest(above, below, F.lit(floor)))).alias(f"high_{name}"))
         if two_sided:
-            out.append(F.max(F.when(this, F.col("q50") - k * spread)).alias(f"low_{name}"))
+            out.append(F.max(F.when(this, F.col("q10") - SPREADS * F.greatest(below, F.lit(floor)))).alias(f"low_{name}"))
     return q.groupBy("level", "lang", "source").agg(*out)
 
 
 def judge(docs: DataFrame, least_docs: int = 100, salts: int = 32, **columns) -> DataFrame:
-    """doc_id, the counts, base_failed, kept, and the names of the ratios that failed, of each row."""
+    """doc_id, the counts, base_failed, kept, the names of the ratios that failed, and the level of the thresholds, of each row."""
     ratios = with_ratios(materialize(measure(docs, **columns), "quality"))
     limits = materialize(thresholds(sketches(ratios), least_docs), "limits")
     names = [c for c in limits.columns if c.startswith(("high_", "low_"))]
@@ -144,13 +147,14 @@ def judge(docs: DataFrame, least_docs: int = 100, salts: int = 32, **columns) ->
     d = d.join(by_source, F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0")) & (F.col("salt0") == F.col("salt")), "left")
     d = d.join(by_lang, F.col("lang").eqNullSafe(F.col("l1")) & (F.col("salt0") == F.col("salt1")), "left")
     d = d.join(overall, F.col("salt0") == F.col("salt2"), "left")
-    d = d.withColumn("limit", F.coalesce("own", "of_lang", "of_all"))
+    level = F.when(F.col("own").isNotNull(), "source").when(F.col("of_lang").isNotNull(), "language").otherwise("all")
+    d = d.withColumn("limit", F.coalesce("own", "of_lang", "of_all")).withColumn("level", level)
     failed = []
-    for name, _, _, two_sided in RULES:
+    for name, _, two_sided in RULES:
         bad = F.col(name) > F.col(f"limit.high_{name}")
         if two_sided:
             bad = bad | (F.col(name) < F.col(f"limit.low_{name}"))
         failed.append(F.when(bad, F.lit(name)))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     d = d.withColumn("base_failed", base).withColumn("failed", F.array_compact(F.array(*failed)))
-    return d.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed")
+    return d.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed", "level")
