@@ -15,11 +15,13 @@
    depth. The keys of split buckets get further repetitions, until those reach RECALL at the greatest depth that was met: a
    pair that no bucket of the first repetitions settled has either met in none or has both its keys in split ones.
 5. Links so far are candidates. Their components are cut into blocks, and pairs of blocks are compared on whole shingle sets,
-   which are read from the texts for those keys only. That gives every key's number of links, and its final component.
+   which are read from the texts for those keys only. That gives every key's number of links, and its final component. Blocks of
+   a large component hold sets of similar size only, as sets that differ more in size cannot be similar.
 
-Defined cases: null texts and texts without a word belong to no one (class of their own, no link); a null id is a document of
-its own row and its class id is the least id of its class, if any; rows that repeat an id with the same text are one more copy;
-ties cannot occur; empty tables give no rows; other columns are ignored.
+Sets are known by 64 bits of a hash. A document is an id with a text. Defined cases: null texts and texts without a word belong
+to no one (class of their own, no link); a null id is a document of its own row and its class id is the least id of its class, if
+any; rows that repeat an id with the same text are one more copy; rows with one id and different texts are different documents;
+whole texts are used, however long; empty tables give no rows; other columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectext as V
@@ -218,10 +220,15 @@ def exact_links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFr
             for p, q in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
                 yield _compare_block(key[p:q], block[p:q], flat[ends[p] : ends[q]], sizes[p:q], similarity)
 
-    member = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    member = member.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     sets = docs.select("text").mapInArrow(fetch, "key long, set array<long>").groupBy("key").agg(F.first("set").alias("set"))
-    rows = member.join(sets, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").join(sets, "key")
+    span = F.floor(F.log(F.size("set").cast("double")) / (math.log(1 / similarity) + 1e-9)).cast("long")  # similar sets: this one or the next
+    member = materialize(member.withColumn("span", F.when(F.col("n") > BLOCK, span).otherwise(F.lit(0).cast("long"))), "members")
+    blocks = member.groupBy("root", "span").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    near = blocks.select("root", F.col("blocks").alias("others"), F.col("span").alias("other_span"), F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1)).alias("span"))
+    rows = member.join(blocks, ["root", "span"]).withColumn("block", F.col("span") * (1 << 32) + F.pmod(F.xxhash64("key"), F.col("blocks")))
+    rows = rows.join(near, ["root", "span"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others").cast("long") - 1)))
+    rows = rows.withColumn("other", F.col("other_span") * (1 << 32) + F.col("other"))
     rows = rows.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "set")
     return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key").mapInArrow(compare, "key long, links long, root long")
 
@@ -252,34 +259,51 @@ def _compare_block(key: np.ndarray, block: np.ndarray, flat: np.ndarray, sizes:
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ok.sum(axis=1).astype(np.int64)), pa.array(key[lab])], ["key", "links", "root"])
 
 
-def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (least id of the documents linked to it, directly or not), n_links (different texts within the
-    similarity), n_copies (other documents with the same shingles) of each row."""
-    docs = id_and_text(docs, id_col, text_col)
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, text_hash, key of each row of docs (doc_id, text); state: key, root, links, n of each key)."""
 
     def sign(batches):
         for b in V.slices_by_bytes(batches, "text"):
             g, offs = shingle_sets(b.column("text"))
             sig = signatures(g, offs)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(set_keys(g, offs)), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(set_keys(g, offs)), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "text_hash", "key", "sig"])
 
-    signed = materialize(docs.mapInArrow(sign, "doc_id long, key long, sig binary"), "signed")
-    keys = materialize(signed.filter("key <> 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.max("sig").alias("sig")), "keys")
+    signed = materialize(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sign, "doc_id long, text_hash long, key long, sig binary"), "signed")
+    keys = materialize(signed.filter("key <> 0").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("sig").alias("sig")), "keys")
     groups = materialize(components(candidates(keys, similarity)), "groups")
     links = materialize(exact_links(docs, groups, similarity), "exact")
     final = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     number = links.groupBy("key").agg(F.sum("links").alias("links"))
-    state = keys.select("key", "least", "n").join(final, "key", "left").join(number, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    state = materialize(state, "state")
-    names = state.groupBy("root").agg(F.min("least").alias("class_id"))
-    state = state.join(names, "root").select(F.col("key").alias("k"), "class_id", F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_copies"))
-    out = signed.select("doc_id", "key").join(state, signed["key"] == state["k"], "left")
+    state = keys.select("key", "n").join(final, "key", "left").join(number, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return signed.drop("sig"), materialize(state, "state")
+
+
+def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (least id of the documents linked to it, directly or not), n_links (different texts within the
+    similarity), n_copies (other documents with the same shingles) of each row."""
+    rows, state = _classes(id_and_text(docs, id_col, text_col), similarity)
+    least = rows.filter("key <> 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    names = state.join(least, "key").groupBy("root").agg(F.min("least").alias("class_id"))
+    state = materialize(state.join(names, "root").select(F.col("key").alias("k"), "class_id", F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_copies")), "named")
+    out = rows.join(state, rows["key"] == state["k"], "left")
     return out.select("doc_id", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, without those of classes that have a document with a lower id; of rows that repeat an
-    id and a text one stays; rows without an id stay."""
-    (name,) = fresh(docs, "copy_id")
-    gone = jaccard_join(docs, similarity, id_col, text_col).filter("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti").dropDuplicates([id_col, text_col])
+    """The rows, with all their columns, less all but one of each class: the document with the least id stays (a null id is the
+    greatest), of documents with equal ids the one with the least hash of its text, and of rows that repeat both the one with
+    the least hash of all columns. Rows without a word stay. Rows are told apart by id and text, so another text with the same id
+    has its own fate."""
+    at, hashed, rank = fresh(docs, "copy_id", "copy_text", "copy_rank")
+    rows, state = _classes(id_and_text(docs, id_col, text_col), similarity)
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
+    of_key = rows.filter("key <> 0").groupBy("key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    of_key = of_key.withColumn("place", place).join(materialize(state.select("key", "root"), "roots"), "key")
+    best = of_key.groupBy("root").agg(F.min("place").alias("best"))
+    fates = of_key.join(best, "root").select(F.col("doc_id").alias(at), F.col("text_hash").alias(hashed), (F.col("place") != F.col("best")).alias("gone"), "times")
+    fates = materialize(fates.filter("gone OR times > 1"), "fates")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(at)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(hashed))
+    single = docs.join(fates, same, "left_anti")
+    order = F.row_number().over(Window.partitionBy(F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns if c != text_col])))
+    first = docs.join(fates.filter("NOT gone"), same, "left_semi").withColumn(rank, order).filter(F.col(rank) == 1)
+    return single.unionByName(first.select(*docs.columns))
