@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,23 +22,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Where that is unset a temporary one serves a local
+    session, as in tests; a cluster has no other folder that all can see, so it is an error there."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_coweave_scratch", None)
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = sc._coweave_scratch = tempfile.mkdtemp(prefix="coweave-scratch-")
     return at
 
 
+def _tables(spark: SparkSession) -> list[str]:
+    """Paths of the tables that ``materialize`` has written in this session and that are still there."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_coweave_tables"):
+        sc._coweave_tables = []
+    return sc._coweave_tables
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """The table written to the shared folder and read back: its lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     ship(spark)
     at = f"{scratch_dir(spark)}/coweave-{name}-{uuid.uuid4().hex}"
+    _tables(spark).append(at)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(StructType(df.schema.fields)).parquet(at)
 
 
+@contextlib.contextmanager
+def only_the_last_stays(spark: SparkSession) -> Iterator[None]:
+    """Of the tables that ``materialize`` writes inside, all but the last are deleted at the end."""
+    tables = _tables(spark)
+    before = len(tables)
+    yield
+    drop_tables(spark, tables[before:-1])
+
+
+def last_table(spark: SparkSession) -> str:
+    """Path of the table that ``materialize`` wrote last."""
+    return _tables(spark)[-1]
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        at = hadoop(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _tables(spark).remove(path)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
