@@ -78,12 +78,14 @@ def locate(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", m
     inside = (F.col(x) >= F.col("lox")) & (F.col(x) <= F.col("hix")) & (F.col(y) >= F.col("loy")) & (F.col(y) <= F.col("hiy"))
     keyed = points.withColumn("_row", F.monotonically_increasing_id())
     if polygons.count() <= most_polygons:
-        met = keyed.join(F.broadcast(box), inside & in_polygon(F.col(x), F.col(y), F.col("rings")), "left")
+        met = keyed.join(F.broadcast(box), inside, "left")
     else:
-        cells = box.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("lox") / 10), F.floor(F.col("hix") / 10))))
-        met = keyed.withColumn("_c", F.floor(F.col(x) / 10)).join(cells, (F.col("_c") == F.col("_cell")) & inside & in_polygon(F.col(x), F.col(y), F.col("rings")), "left")
+        span = lambda c: F.explode(F.sequence(F.floor(F.col(f"lo{c}") / 10), F.floor(F.col(f"hi{c}") / 10)))
+        cells = box.withColumn("_cx", span("x")).withColumn("_cy", span("y"))
+        met = keyed.withColumns({"_px": F.floor(F.col(x) / 10), "_py": F.floor(F.col(y) / 10)}).join(cells, (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")) & inside, "left")
     own = points.columns
-    return met.groupBy("_row", *own).agg(F.min(F.struct("ord", "name")).alias("m")).select(*own, F.col("m.name").alias("place"))
+    hit = F.when(in_polygon(F.col(x), F.col(y), F.col("rings")), F.struct("ord", "name"))
+    return met.groupBy("_row", *own).agg(F.min(hit).alias("m")).select(*own, F.col("m.name").alias("place"))
 
 
 def ring_area(ring: Column) -> Column:
@@ -93,6 +95,17 @@ def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)) / 2
 
 
+def densify(ring: Column, longest: float) -> Column:
+    """The ring with points added evenly on edges that are longer than ``longest`` in x or y; its last edge closes it."""
+    nxt = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+
+    def edge(p, q):
+        steps = F.greatest(F.lit(1), F.ceil(F.round(F.greatest(F.abs(p["x"] - q["x"]), F.abs(p["y"] - q["y"])) / longest, 6)).cast("int"))
+        return F.transform(F.sequence(F.lit(0), steps - 1), lambda i: F.struct((p["x"] + (q["x"] - p["x"]) * i / steps).alias("x"), (p["y"] + (q["y"] - p["y"]) * i / steps).alias("y")))
+
+    return F.flatten(F.zip_with(ring, nxt, edge))
+
+
 def simplify(epsilon: float):
     """Column function: indices of the points that a polyline keeps when none may lie further than epsilon from it."""
 

@@ -81,11 +81,17 @@ def select_events(events: DataFrame, nodes: DataFrame, layer: str = "all", year_
     return e.drop("u_type", "v_type", "u_inst", "v_inst")
 
 
-def aggregate_pairs(events: DataFrame, min_count: int = 1, min_weight: float = 0.0, by_layer: bool = False, with_items: bool = False) -> DataFrame:
+def items_of(item: str, once: bool) -> Column:
+    """Number of distinct items of a group. once: a pair has each item in one event at most, as events from ``paper_edges`` and
+    ``project_edges`` do; then counting them needs no second shuffle."""
+    return F.count(F.lit(1)) if once else F.count_distinct(item)
+
+
+def aggregate_pairs(events: DataFrame, min_count: int = 1, min_weight: float = 0.0, by_layer: bool = False, with_items: bool = False, once: bool = False) -> DataFrame:
     """Events rolled up to unordered pairs: distinct items, weights, first and last year, and the sorted items if asked for."""
     e = events.withColumns({"a": F.least("u", "v"), "b": F.greatest("u", "v")})
     items = [F.array_sort(F.collect_set("item")).alias("items")] if with_items else []
-    out = e.groupBy(F.col("a").alias("u"), F.col("b").alias("v"), *(["layer"] if by_layer else [])).agg(F.count_distinct("item").alias("count"), F.sum("weight_1n").alias("weight_1n"), F.sum("weight_pair").alias("weight_pair"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), *items)
+    out = e.groupBy(F.col("a").alias("u"), F.col("b").alias("v"), *(["layer"] if by_layer else [])).agg(items_of("item", once).alias("count"), F.sum("weight_1n").alias("weight_1n"), F.sum("weight_pair").alias("weight_pair"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), *items)
     return out.filter((F.col("count") >= min_count) & (F.col("weight_1n") >= min_weight))
 
 
@@ -105,11 +111,13 @@ def node_class(nodes: DataFrame) -> Column:
     )
 
 
-def ego_ties(edges: DataFrame, nodes: DataFrame, max_authors: int | None = None) -> DataFrame:
-    """One row for each roster member and collaborator: count of papers, first and last year, weight, class of the alter."""
+def ego_ties(edges: DataFrame, nodes: DataFrame, max_authors: int | None = None, once: bool = False) -> DataFrame:
+    """One row for each roster member and collaborator: count of papers, first and last year, weight, least number of authors of
+    their papers, class of the alter. Pairs are summed before they are turned both ways."""
     e = edges if max_authors is None else edges.filter(F.col("n_authors") < max_authors)
     roster = nodes.filter("node_type = 'roster'").select(F.col("node_id").alias("ego"))
-    ties = both_directions(e).join(roster, "ego", "left_semi").groupBy("ego", "alter").agg(F.count_distinct("paper_id").alias("count"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.sum("weight_1n").alias("w1n"))
+    pairs = e.groupBy("source_node_id", "target_node_id").agg(items_of("paper_id", once).alias("count"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.sum("weight_1n").alias("w1n"), F.min("n_authors").alias("least_authors"))
+    ties = both_directions(pairs).join(roster, "ego", "left_semi")
     return ties.join(nodes.select(F.col("node_id").alias("alter"), node_class(nodes).alias("cls")), "alter", "left").withColumn("cls", F.coalesce("cls", F.lit("unknown")))
 
 

@@ -5,15 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut through the reliable checkpoint folder; a temporary one where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="coweave-graph-"))
-    return df.checkpoint()
+from .lineage import cut
 
 
 def neighbours(pairs: DataFrame) -> DataFrame:
@@ -24,49 +16,87 @@ def degree(pairs: DataFrame) -> DataFrame:
     return neighbours(pairs).groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-def connected_components(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """node, component (its least node), by passing least labels and jumping to the label's own label."""
-    nb = neighbours(pairs).persist()
-    labels = _cut(nb.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
-    for _ in range(most_rounds):
-        near = nb.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("new"), "label")
-        jump = step.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        done = _cut(step.join(jump, "new").select("node", F.least("new", "further").alias("new"), "label"))
-        changed = done.filter("new <> label").isEmpty()
-        labels = done.select("node", F.col("new").alias("label"))
-        if changed:
+def connected_components(pairs: DataFrame, local_edges: int = 1 << 20) -> DataFrame:
+    """node, component (its least node): in one task while the pairs are few, counted beforehand, else by alternating large and
+    small stars until nothing changes."""
+    e = cut(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    return _components_in_a_task(e) if e.count() <= local_edges else _components_by_stars(e)
+
+
+def _components_in_a_task(e: DataFrame) -> DataFrame:
+    kind = dict(e.dtypes)["u"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        above: dict = {}
+
+        def top(x):
+            while above.setdefault(x, x) != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for b in batches:
+            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+                u, v = sorted((top(u), top(v)))
+                above[v] = u
+        if above:
+            nodes = sorted(above)
+            yield pa.RecordBatch.from_pydict({"node": nodes, "component": [top(x) for x in nodes]})
+
+    return e.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+
+
+def _components_by_stars(e: DataFrame) -> DataFrame:
+    while True:
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        step = cut(small.filter("u <> v").distinct())
+        same = [d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (e, step)]
+        e = step
+        if same[0] == same[1]:
             break
-    nb.unpersist()
-    return labels.select("node", F.col("label").alias("component"))
+    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def shortest_paths(pairs: DataFrame, most_depth: int = 50) -> DataFrame:
+def shortest_paths(pairs: DataFrame) -> DataFrame:
     """s, t, d, sigma (number of shortest paths) of every ordered pair of distinct connected nodes: breadth-first levels from
-    all sources at once. Its result is quadratic in the nodes of a component; it is for sparse graphs of people."""
-    nb = neighbours(pairs).persist()
-    found = front = _cut(nb.groupBy(F.col("u").alias("s"), F.col("v").alias("t")).agg(F.lit(1).alias("d"), F.lit(1.0).alias("sigma")))
-    for depth in range(2, most_depth):
+    all sources at once, until no pair is new. Its result is quadratic in the nodes of a component; it is for graphs of people."""
+    nb = cut(neighbours(pairs))
+    found = front = cut(nb.groupBy(F.col("u").alias("s"), F.col("v").alias("t")).agg(F.lit(1).alias("d"), F.lit(1.0).alias("sigma")))
+    depth = 2
+    while True:
         step = front.join(nb.select(F.col("u").alias("t"), F.col("v").alias("x")), "t").filter("s <> x").groupBy("s", F.col("x").alias("t")).agg(F.sum("sigma").alias("sigma"))
-        front = _cut(step.join(found.select("s", "t"), ["s", "t"], "left_anti").select("s", "t", F.lit(depth).alias("d"), "sigma"))
+        front = cut(step.join(found.select("s", "t"), ["s", "t"], "left_anti").select("s", "t", F.lit(depth).alias("d"), "sigma"))
         if front.isEmpty():
-            break
-        found = found.union(front)
-    nb.unpersist()
-    return found
+            return found
+        found, depth = found.union(front), depth + 1
 
 
 def betweenness(pairs: DataFrame, n_nodes: int | None = None, paths: DataFrame | None = None) -> DataFrame:
     """node, betweenness: share of shortest paths between other nodes through it, over all pairs of the ``n_nodes`` nodes (those
-    with a pair, unless more are given)."""
-    p = _cut(paths if paths is not None else shortest_paths(pairs))
-    n = n_nodes or neighbours(pairs).select("u").distinct().count()
-    left, right = p.toDF("s", "v", "d1", "g1"), p.toDF("v", "t", "d2", "g2")
-    through = left.join(right, "v").filter("s < t").join(p, ["s", "t"]).filter("d1 + d2 = d")
-    total = through.groupBy(F.col("v").alias("node")).agg(F.sum(F.col("g1") * F.col("g2") / F.col("sigma")).alias("b"))
-    nodes = neighbours(pairs).select(F.col("u").alias("node")).distinct()
+    with a pair, unless more are given). Shares are passed back level by level from the ends of the paths, so that the work is
+    that of the edges between levels, not of all pairs of paths."""
+    p = cut(paths if paths is not None else shortest_paths(pairs))
+    nb = cut(neighbours(pairs))
+    n = n_nodes or nb.select("u").distinct().count()
+    total, below = None, None
+    for level in range(p.agg(F.max("d")).first()[0] or 0, 1, -1):
+        ends = p.filter(F.col("d") == level).select("s", "t", "sigma")
+        share = ends.withColumn("x", F.lit(0.0)) if below is None else ends.join(below, ["s", "t"], "left").fillna(0.0, ["x"])
+        back = share.select("s", "t", ((1 + F.col("x")) / F.col("sigma")).alias("c")).join(nb.select(F.col("u").alias("t"), F.col("v").alias("w")), "t")
+        before = p.filter(F.col("d") == level - 1).select("s", F.col("t").alias("w"), "sigma")
+        below = cut(back.join(before, ["s", "w"]).groupBy("s", F.col("w").alias("t")).agg(F.sum(F.col("sigma") * F.col("c")).alias("x")))
+        total = below if total is None else total.union(below)
+    nodes = nb.select(F.col("u").alias("node")).distinct()
     scale = 2.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return nodes.join(total, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+    if total is None:
+        return nodes.withColumn("betweenness", F.lit(0.0))
+    sums = total.groupBy(F.col("t").alias("node")).agg((F.sum("x") / 2).alias("b"))
+    return nodes.join(sums, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def path_statistics(paths: DataFrame) -> DataFrame:
@@ -75,15 +105,24 @@ def path_statistics(paths: DataFrame) -> DataFrame:
 
 
 def transitivity(pairs: DataFrame) -> DataFrame:
-    """Three times the triangles over the connected triples."""
-    a, b, c = (pairs.select("u", "v").toDF(*n) for n in (("x", "y"), ("y", "z"), ("x", "z")))
-    triangles = a.join(b, "y").join(c, ["x", "z"]).agg(F.count(F.lit(1)).alias("triangles"))
-    triples = degree(pairs).agg(F.coalesce(F.sum(F.col("degree") * (F.col("degree") - 1) / 2), F.lit(0.0)).alias("triples"))
+    """Three times the triangles over the connected triples. Each pair points to the end of higher degree, so that hubs start
+    few wedges."""
+    k = degree(pairs)
+    e = pairs.select("u", "v").join(k.toDF("u", "ku"), "u").join(k.toDF("v", "kv"), "v")
+    up = (F.col("ku") < F.col("kv")) | ((F.col("ku") == F.col("kv")) & (F.col("u") < F.col("v")))
+    out = e.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("y"))
+    a, b = out, out.withColumnRenamed("y", "z")
+    wedges = a.join(b, "x").filter("y < z").select("y", "z")
+    closed = pairs.select(F.least("u", "v").alias("y"), F.greatest("u", "v").alias("z"))
+    triangles = wedges.join(closed, ["y", "z"]).agg(F.count(F.lit(1)).alias("triangles"))
+    triples = k.agg(F.coalesce(F.sum(F.col("degree") * (F.col("degree") - 1) / 2), F.lit(0.0)).alias("triples"))
     return triangles.crossJoin(triples).select("triangles", F.col("triples").cast("bigint").alias("triples"), (3 * F.col("triangles") / F.nullif("triples", F.lit(0.0))).alias("transitivity"))  # one row each
 
 
-def density(pairs: DataFrame, n_nodes: int) -> DataFrame:
-    return pairs.agg((2 * F.count(F.lit(1)) / F.lit(n_nodes * (n_nodes - 1))).alias("density"))
+def density(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs over the possible pairs of the nodes, isolates included."""
+    n, m = nodes.agg(F.count(F.lit(1)).alias("n")), pairs.agg(F.count(F.lit(1)).alias("m"))
+    return m.crossJoin(n).select((2 * F.col("m") / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0))).alias("density"))  # one row each
 
 
 def modularity(pairs: DataFrame, partition: DataFrame, weight: str) -> DataFrame:
@@ -135,7 +174,8 @@ def leiden(pairs: DataFrame, weight: str = "count", seed: int = 0, rounds: int =
 
     A component is one group, so this is for graphs whose components fit an executor."""
     comp = connected_components(pairs)
-    rows = pairs.join(comp.toDF("u", "component"), "u").select("component", "u", "v", F.col(weight).cast("double").alias("w"), F.sum(F.col(weight).cast("double")).over(Window.partitionBy()).alias("m"))
+    total = pairs.agg(F.sum(F.col(weight).cast("double")).alias("m"))
+    rows = pairs.join(comp.toDF("u", "component"), "u").select("component", "u", "v", F.col(weight).cast("double").alias("w")).crossJoin(F.broadcast(total))  # one row
 
     def run(pdf):
         import pandas as pd
@@ -147,6 +187,7 @@ def leiden(pairs: DataFrame, weight: str = "count", seed: int = 0, rounds: int =
 
 def _leiden(pdf, seed: int, rounds: int) -> list[tuple[str, str]]:
     import random
+    from collections import deque
 
     m = float(pdf["m"].iloc[0])
     names = sorted(set(pdf["u"]) | set(pdf["v"]))
@@ -164,10 +205,12 @@ def _leiden(pdf, seed: int, rounds: int) -> list[tuple[str, str]]:
         n = len(graph)
         strength = [sum(g.values()) + 2 * loops[i] for i, g in enumerate(graph)]
         com, total = list(range(n)), strength[:]
-        moved_any, queue = False, list(range(n))
-        rng.shuffle(queue)
+        moved_any, order = False, list(range(n))
+        rng.shuffle(order)
+        queue, waiting = deque(order), set(order)
         while queue:
-            i = queue.pop(0)
+            i = queue.popleft()
+            waiting.discard(i)
             near: dict[int, float] = {}
             for j, w in graph[i].items():
                 near[com[j]] = near.get(com[j], 0.0) + w
@@ -178,7 +221,9 @@ def _leiden(pdf, seed: int, rounds: int) -> list[tuple[str, str]]:
             total[new] += strength[i]
             if new != old and gain(new) != gain(old):
                 moved_any, com[i] = True, new
-                queue += [j for j in graph[i] if com[j] != new and j not in queue]
+                more = [j for j in graph[i] if com[j] != new and j not in waiting]
+                queue.extend(more)
+                waiting.update(more)
             else:
                 total[new] -= strength[i]
                 total[old] += strength[i]

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import METHOD_STRENGTH, PLAUSIBLE_FIELDS
 from ..functions.names import compatible
-from .papers import first_by
+from .papers import first_by, numbered
 
 
 def wanted_keys(wanted: DataFrame, cache: DataFrame, key: str, per_call: int = 50) -> DataFrame:
-    """Keys that the cache lacks (found or known to be missing), in numbered batches of a lookup call."""
+    """Keys that the cache lacks (found or known to be missing), in batches of ``per_call`` by ascending key, numbered from 0."""
     missing = wanted.select(key).distinct().join(cache.select(key), key, "left_anti")
-    return missing.select(key, F.floor(F.pmod(F.xxhash64(key), F.lit(1 << 20)) * per_call / (1 << 20)).cast("int").alias("batch"))
+    return numbered(missing, key, "_at").select(key, F.floor(F.col("_at") / per_call).cast("int").alias("batch"))
 
 
 def best_search_hit(hits: DataFrame, name: str, found: str) -> DataFrame:

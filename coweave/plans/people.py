@@ -142,7 +142,7 @@ VIEW = f"""{EVENTS}, vn AS (SELECT *, node_type <> 'roster' AS ext FROM nodes_p
  ve AS (SELECT ev.*, a.ext AS ae, b.ext AS be, a.institution AS ai, b.institution AS bi, a.country AS ac, b.country AS bc FROM ev JOIN vn a ON a.node_id = u JOIN vn b ON b.node_id = v)"""
 VPAIRS = f"{VIEW}, vs AS (SELECT * FROM ve WHERE year BETWEEN 1996 AND 1999 AND NOT (ae AND be)), vp AS (SELECT u, v, layer, sum(w1) AS weight, count(DISTINCT item) AS items FROM vs GROUP BY 1, 2, 3 HAVING count(DISTINCT item) >= 2)"
 KEY = "kk AS (SELECT node_id, CASE WHEN node_type <> 'roster' THEN 'B' || CASE WHEN unknown_place THEN '?' ELSE cast(country AS VARCHAR) END WHEN institution IS NOT NULL THEN 'I' || institution ELSE 'P' || node_id END AS key FROM nodes_p)"
-VQ = W.ViewerQuery(year_from=1996, year_to=1999, peers=False, min_items=2)
+VQ = W.ViewerQuery(year_from=1996, year_to=1999, peers=False, min_items=2, once=True)
 
 
 @query("c8_viewer_predicate", f"WITH {VIEW} SELECT layer, year, item, u, v FROM ve WHERE (ai IS NOT DISTINCT FROM 3 OR bi IS NOT DISTINCT FROM 3) AND NOT (ae AND be) AND NOT (coalesce(ai = bi, false) AND NOT ae AND NOT be)")

@@ -25,14 +25,14 @@ def titles(v):
     return v.documents.select(d.alias("paper_id"), key.alias("title_key"), F.concat_ws("|", "lang", "source").alias("authors_key"), F.when(d % 3 == 0, F.concat(F.lit("d"), d.cast("string"))).otherwise("").alias("doi"), (d % 5).alias("source_count"), (2000 + d % 10).cast("int").alias("year"))
 
 
-@query("e1_norm_title", f"SELECT doc_id, md5({TITLE}) AS k FROM documents WHERE lang = 'en'")
-def e1(v):
-    return v.documents.filter("lang = 'en'").select("doc_id", F.md5(N.strict_title(F.col("text")).cast("binary")).alias("k"))
+@query("e3_strict_title", f"SELECT doc_id, md5({TITLE}) AS k FROM documents")
+def e3(v):
+    return v.documents.select("doc_id", F.md5(N.strict_title(F.col("text")).cast("binary")).alias("k"))
 
 
-@query("e2_name_key", "SELECT doc_id, md5(regexp_replace(lower(strip_accents(replace(text, 'ß', 'ß'))), '[^0-9a-z]', '', 'g')) AS k FROM documents WHERE lang IN ('fr', 'es')")
+@query("e2_name_key", "SELECT doc_id, md5(regexp_replace(lower(strip_accents(replace(text, 'ß', 'ß'))), '[^0-9a-z]', '', 'g')) AS k FROM documents")
 def e2(v):
-    return v.documents.filter("lang IN ('fr', 'es')").select("doc_id", F.md5(N.name_key(F.col("text")).cast("binary")).alias("k"))
+    return v.documents.select("doc_id", F.md5(N.name_key(F.col("text")).cast("binary")).alias("k"))
 
 
 @query("e4_institution_key", "SELECT p_partkey, regexp_replace(lower(p_name), '[^0-9a-z]', '', 'g') AS k FROM part")
@@ -120,15 +120,15 @@ def m20(v):
     return v.orders.select("o_orderkey", money(F.concat(F.lit("NT$ "), F.format_number(F.round("o_totalprice"), 0))).alias("amount"))
 
 
-@query("e19_project_families", "WITH b AS (SELECT l_partkey % 500 AS t, cast(year(l_shipdate) AS INT) AS year, l_suppkey FROM lineitem WHERE l_quantity >= 45) SELECT 'J-' || substr(sha1(year || '|' || t), 1, 12) AS project_key, 'JF-' || substr(sha1(cast(t AS VARCHAR)), 1, 12) AS project_family_key, count(DISTINCT l_suppkey) AS members, count(*) AS source_record_count FROM b GROUP BY t, year")
+@query("e19_project_families", "WITH b AS (SELECT l_partkey % 500 AS t, cast(year(l_shipdate) AS INT) AS year, l_suppkey FROM lineitem) SELECT 'J-' || substr(sha1(year || '|' || t), 1, 12) AS project_key, 'JF-' || substr(sha1(cast(t AS VARCHAR)), 1, 12) AS project_family_key, count(DISTINCT l_suppkey) AS members, count(*) AS source_record_count FROM b GROUP BY t, year")
 def e19(v):
-    rows = v.lineitem.filter("l_quantity >= 45").select((F.col("l_partkey") % 500).cast("string").alias("title_key"), F.year("l_shipdate").alias("year"), F.lit("t").alias("title"), F.col("l_suppkey").alias("member"), F.col("l_returnflag").alias("category"), F.col("l_orderkey").alias("record_id"))
+    rows = v.lineitem.select((F.col("l_partkey") % 500).cast("string").alias("title_key"), F.year("l_shipdate").alias("year"), F.lit("t").alias("title"), F.col("l_suppkey").alias("member"), F.col("l_returnflag").alias("category"), F.col("l_orderkey").alias("record_id"))
     return R.build_projects(rows).select("project_key", "project_family_key", F.size("members").cast("bigint").alias("members"), "source_record_count")
 
 
-@query("e23_coappearance", "WITH v AS (SELECT l_suppkey, l_partkey % 20 AS a, count(DISTINCT l_orderkey) AS votes FROM lineitem WHERE l_quantity > 40 GROUP BY 1, 2) SELECT l_suppkey AS node_id, a AS author_id, votes, CASE WHEN votes >= 2 THEN 'coappearance' ELSE 'coappearance_single' END AS method FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, a) AS rn FROM v) WHERE rn = 1")
+@query("e23_coappearance", "WITH v AS (SELECT l_suppkey, l_partkey % 20 AS a, count(DISTINCT l_orderkey) AS votes FROM lineitem GROUP BY 1, 2) SELECT l_suppkey AS node_id, a AS author_id, votes, CASE WHEN votes >= 2 THEN 'coappearance' ELSE 'coappearance_single' END AS method FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, a) AS rn FROM v) WHERE rn = 1")
 def e23(v):
-    links = v.lineitem.filter("l_quantity > 40").select(F.col("l_suppkey").alias("node_id"), (F.col("l_partkey") % 20).alias("author_id"), F.col("l_orderkey").alias("paper_id"))
+    links = v.lineitem.select(F.col("l_suppkey").alias("node_id"), (F.col("l_partkey") % 20).alias("author_id"), F.col("l_orderkey").alias("paper_id"))
     return L.coappearance(links)
 
 
@@ -201,9 +201,9 @@ def d16(v):
     return L.align_by_position(a, rows.select("o_custkey", "when", "y"), "o_custkey", "o_orderkey", "when", ["y"]).select("o_custkey", "ordinal", "aligned")
 
 
-@query("a19_wanted_keys", "SELECT DISTINCT l_suppkey AS key FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 = 0)")
+@query("a19_wanted_keys", "WITH w AS (SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size % 4 = 0)) SELECT key, cast(floor((row_number() OVER (ORDER BY key) - 1) / 50) AS INT) AS batch FROM w")
 def a19(v):
-    return L.wanted_keys(v.lineitem.select(F.col("l_suppkey").alias("key")), v.supplier.filter("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("key")), "key").select("key")
+    return L.wanted_keys(v.lineitem.select(F.col("l_partkey").alias("key")), v.part.filter("p_size % 4 = 0").select(F.col("p_partkey").alias("key")), "key")
 
 
 @query("o10_merge_caches", "SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2")

@@ -15,10 +15,9 @@ SQL = {
     "pa_p": "select l_orderkey as paper_id, lpad(cast(l_suppkey as varchar(20)), 6, '0') as node_id, min(l_linenumber) as ln from {lineitem} group by l_orderkey, l_suppkey",
     "nodes_p": "select lpad(cast(s_suppkey as varchar(20)), 6, '0') as node_id, case when s_suppkey % 3 = 0 then 'roster' else 'external' end as node_type, case when s_suppkey % 7 = 1 then null else s_nationkey end as institution, n_regionkey as country, (s_suppkey % 3 <> 0 and s_suppkey % 11 = 5) as unknown_place, s_name as name, s_acctbal as value from {supplier} join {nation} on s_nationkey = n_nationkey",
     "merges_p": "select lpad(cast(s_suppkey as varchar(20)), 6, '0') as from_node_id, lpad(cast(s_suppkey - 1 as varchar(20)), 6, '0') as to_node_id from {supplier} where s_suppkey % 50 = 7 and s_suppkey % 3 <> 0",
-    "projects_p": "select l_partkey as family, cast(year(l_shipdate) as int) as year, lpad(cast(l_suppkey as varchar(20)), 6, '0') as member, l_returnflag as category, l_linestatus as discipline from {lineitem} where l_quantity >= 45",
+    "projects_p": "select l_partkey * 100 + cast(l_quantity as int) as family, cast(year(l_shipdate) as int) as year, lpad(cast(l_suppkey as varchar(20)), 6, '0') as member, l_returnflag as category, l_linestatus as discipline from {lineitem}",
     "grants_p": "select o_orderkey as grant_id, o_custkey as teacher_id, o_totalprice as amount, cast(year(o_orderdate) as int) as year, o_orderpriority as grant_category, o_orderstatus <> 'P' as is_pi, o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM') as research, o_orderkey % 7 = 0 as marked from {orders}",
     "persons_p": "select c_custkey as teacher_id, c_nationkey as institution, c_mktsegment as attribute, c_acctbal as value from {customer}",
-    "sparse_p": "select o_orderkey as paper_id from {orders} where o_orderdate < timestamp '1995-02-01 00:00:00' and o_orderpriority = '1-URGENT'",
 }
 
 
