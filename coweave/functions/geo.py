@@ -138,3 +138,32 @@ def choose_place(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column, mos
     far = haversine_km(lat_a, lon_a, lat_b, lon_b) > most_km
     use_city = lat_a.isNull() | (lat_b.isNotNull() & far)
     return F.struct(F.when(use_city, lat_b).otherwise(lat_a).alias("lat"), F.when(use_city, lon_b).otherwise(lon_a).alias("lon"), F.when(use_city & lat_b.isNull(), "none").when(use_city, "city").otherwise("precise").alias("src"))
+
+
+def outlines(polygons: DataFrame, epsilon: float, least_area: float, longest: float) -> DataFrame:
+    """ord, name, rings on the map: rings below ``least_area`` go, long edges get points, points within ``epsilon`` of the line go,
+    and the rest is projected. polygons: ord, name, rings of (x lon, y lat)."""
+    real = F.filter("rings", lambda r: ring_area(r) >= least_area)
+    each = polygons.select("ord", "name", F.posexplode(real).alias("part", "ring")).withColumn("ring", densify(F.col("ring"), longest))
+    kept = simplify(epsilon)(F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"]))
+    points = F.transform(kept, lambda i: F.get("ring", i))
+
+    def projected(p):
+        a = azimuthal(p["y"], p["x"])
+        return F.struct(a["x"].alias("x"), a["y"].alias("y"))
+
+    rings = each.withColumn("points", points).select("ord", "name", "part", F.transform("points", projected).alias("ring"))
+    return rings.groupBy("ord", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "ring"))), lambda x: x["ring"]).alias("rings"))
+
+
+def packed_positions(members: DataFrame, radius: float = 1.0) -> DataFrame:
+    """node_id, dx, dy of people around their institution: by group and id they fill rings of 6, 12, 18, ... places outwards, so that
+    a group is a sector of neighbours. members: place, grp, node_id."""
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy("place").orderBy("grp", "node_id")) - 1
+    m = members.withColumn("i", at)
+    ring = F.ceil((F.sqrt(F.lit(9.0) + 12 * F.col("i")) - 3) / 6).cast("int")  # rings 0 to k hold 1 + 3k(k + 1) places
+    m = m.withColumn("ring", ring).withColumn("first", F.when(F.col("ring") > 0, 1 + 3 * F.col("ring") * (F.col("ring") - 1)).otherwise(0))
+    angle = F.when(F.col("ring") > 0, 2 * F.pi() * (F.col("i") - F.col("first")) / (6 * F.col("ring"))).otherwise(0.0)
+    return m.select("place", "node_id", "ring", (radius * F.col("ring") * F.cos(angle)).alias("dx"), (radius * F.col("ring") * F.sin(angle)).alias("dy"))

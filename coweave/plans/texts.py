@@ -221,12 +221,13 @@ def m12(v):
     return v.documents.filter("text IS NOT NULL").select("doc_id", F.size(lines).cast("bigint").alias("lines"))
 
 
-_TABLE = f"l AS (SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS x FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) r(i)), m AS (SELECT doc_id, i, x, regexp_matches(x, '{_DEGREE}') AS d, regexp_matches(x, '{_SCHOOL}') AS s FROM l), n AS (SELECT a.doc_id, a.i, a.x, (SELECT max_by(b.x, b.i) FROM m b WHERE b.doc_id = a.doc_id AND b.i BETWEEN a.i - 3 AND a.i - 1 AND b.d) AS y FROM m a WHERE a.s AND NOT a.d)"
+_CELL = "[^ ]+"
+_TABLE = f"l AS (SELECT doc_id, i, trim(string_split(coalesce(text, ''), chr(10))[i], ' ') AS x FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) r(i)), m AS (SELECT *, regexp_full_match(x, '{_CELL}') AS d, regexp_matches(x, '{_SCHOOL}') AS s FROM l), n AS (SELECT a.doc_id, a.i, max(b.i) AS k FROM m a JOIN m b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i - 3 AND a.i - 1 AND b.s WHERE a.d GROUP BY 1, 2), j AS (SELECT n.doc_id, n.i, string_agg(m.x, ' ' ORDER BY m.i) || ' PhD' AS told FROM n JOIN m ON m.doc_id = n.doc_id AND m.i BETWEEN n.k AND n.i - 1 GROUP BY 1, 2)"
 
 
-@query("m12_table_degree_lines", f"WITH {_TABLE} SELECT doc_id, count(*) AS lines, md5(string_agg(y || ' ' || x, '|' ORDER BY i)) AS k FROM n WHERE y IS NOT NULL AND length(y || ' ' || x) < 300 AND NOT regexp_matches(y || ' ' || x, '{_OTHER}') GROUP BY 1")
+@query("m12_table_degree_lines", f"WITH {_TABLE} SELECT doc_id, count(*) AS lines, md5(string_agg(told, '|' ORDER BY i)) AS k FROM j GROUP BY 1")
 def m12_table(v):
-    lines = A.table_degree_lines(F.col("text"), _DEGREE, _SCHOOL, _OTHER)
+    lines = A.table_degree_lines(F.col("text"), _CELL, _SCHOOL, "PhD")
     return v.documents.select("doc_id", lines.alias("l")).filter(F.size("l") > 0).select("doc_id", F.size("l").cast("bigint").alias("lines"), F.md5(F.array_join("l", "|").cast("binary")).alias("k"))
 
 

@@ -61,6 +61,41 @@ def read_geojson(spark: SparkSession, path: str, name: str) -> DataFrame:
     return rows.select((F.col("ord") * 1000 + F.col("part")).alias("ord"), "name", points.alias("rings"))
 
 
+def build_info(spark: SparkSession, path: str) -> dict:
+    """The stamp of a build; empty if there is none."""
+    rows = optional(spark, lambda: spark.read.option("multiLine", True).json(path), "built string").limit(1).collect()
+    return rows[0].asDict(recursive=True) if rows else {}
+
+
+def read_pdf_text(spark: SparkSession, path: str, pages: int = 1) -> DataFrame:
+    """path, text of the first pages of PDF files; empty where a file cannot be read, or pypdf is not installed."""
+
+    @F.pandas_udf("string")
+    def text(content):
+        import io
+
+        def first(data: bytes) -> str:
+            try:
+                from pypdf import PdfReader
+
+                return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages[:pages])
+            except Exception:  # a broken file is a page without text
+                return ""
+
+        return content.map(first)
+
+    return spark.read.format("binaryFile").load(path).select("path", text("content").alias("text"))
+
+
+def read_cards(pages: DataFrame, opening: str, fields: dict[str, str]) -> DataFrame:
+    """A row for each block of a page that begins with ``opening`` and ends at the next or at the end of the body; fields: name and
+    pattern, whose first group is the value. pages: url, html."""
+    body = F.regexp_replace("html", "(?is)</body.*$", "")
+    blocks = F.slice(F.split(body, opening), 2, 1 << 30)
+    cards = pages.select("url", F.posexplode(blocks).alias("ord", "card"))
+    return cards.select("url", "ord", *[F.trim(F.regexp_replace(F.regexp_extract("card", pattern, 1), "<[^>]+>", "")).alias(name) for name, pattern in fields.items()])
+
+
 def split_master(master: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Roster members and external authors of one table."""
     return master.filter("node_type = 'roster'"), master.filter("node_type <> 'roster'")

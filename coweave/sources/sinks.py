@@ -34,3 +34,18 @@ def payload(*columns: str, cut: dict[str, int] | None = None) -> Column:
 def work_queue(rows: DataFrame, key: str, degree: str, papers: str) -> DataFrame:
     """key, priority (degree * 100 + number of papers, 99 at most), most urgent first."""
     return rows.select(key, (F.col(degree) * 100 + F.least(F.col(papers), F.lit(99))).alias("priority")).orderBy(F.desc("priority"), key)
+
+
+def snapshot(rows: DataFrame, path: str) -> bool:
+    """Write the table unless the one at ``path`` has the same rows; whether it was written."""
+    from pyspark.errors import AnalysisException
+
+    digest = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*[d[c].cast("string") for c in rows.columns]).cast("decimal(38,0)"))).first())
+    try:
+        old = digest(rows.sparkSession.read.parquet(path).select(*rows.columns))
+    except AnalysisException:
+        old = None
+    if old == digest(rows):
+        return False
+    rows.write.mode("overwrite").parquet(path)
+    return True
