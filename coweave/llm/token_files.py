@@ -1,305 +1,86 @@
 """Token ids in files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
 A document's ids end with an end id; documents follow each other in ascending id order. Each row of the files is a segment of
-some documents with its ids cut into blocks of BLOCK. A block starts from an empty model, so any of them can be read alone, and
-all blocks of a segment are coded in step, one lane each.
+some documents with its ids cut into blocks of BLOCK, which the segment's head records. A block starts from an empty model, so
+any of them can be read alone. ``TokenCoder.java`` has the model and the format: order-0 to order-2 predictions of an id, turn by
+turn down a tree of the block's ids, mixed into one probability that drives a binary range coder. Any 32-bit id can be coded.
 
-Model of a lane: after the last two ids, an order-2 table predicts one id, an order-1 table two, and order 0 one (the majority
-so far). The next id is coded as the first prediction that is right, else by its number of bits and then its bits. That symbol's
-distribution mixes three sets of adaptive counts, kept without context, by the last id and by the last two, with weights that
-follow how much probability each gave to what came; the mix drives the arithmetic coder. All arithmetic is on integers.
+Python encodes the texts; packing and unpacking are functions of columns in the JVM.
 
-Segment bytes: magic, number of ids and of blocks, then for each block its number of ids, of bytes and the crc32 of its bytes,
-then the blocks.
-
-Defined cases: a null text is empty and has the end id only; rows with equal ids are ordered by a hash of their text; null ids
-come first; an empty table gives no files' rows; other columns are ignored. A block that fails its checksum raises an error.
+Defined cases: a null text is empty and has the end id only; a very long text is one segment; rows with equal ids are ordered by
+a hash of their text; null ids come first; an empty table gives no files' rows; other columns are ignored. A block that fails its
+checksum raises an error.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encoding
 from . import vectext as V
 from .common import id_and_text, scratch_dir, ship, shuffle_partitions
+from .jvm_coder import pack, unpack
 
-BLOCK = 2048
-MAGIC = np.uint32(0x314B5443)
-SYMBOLS, PREDICTED, SMALL = 16, 4, 8
-MOST_ID = 1 << 17
-CONTEXT1, CONTEXT2, SLOTS = 64, 128, 512
-STEP, FULL = 24, 8000
-_TOP, _BOT, _ALL = np.uint64(1 << 32), np.uint64(1 << 16), np.uint64((1 << 48) - 1)
-_D16, _D32 = np.uint64(16), np.uint64(32)
-
-
-class Model:
-    """The adaptive model of ``n`` lanes; the first m of them may take a step."""
-
-    def __init__(self, n: int):
-        self.c0 = np.ones((n, SYMBOLS), np.uint16)
-        self.c1 = np.ones((n * CONTEXT1, SYMBOLS), np.uint16)
-        self.c2 = np.ones((n * CONTEXT2, SYMBOLS), np.uint16)
-        self.t0, self.t1, self.t2 = (np.full(k, SYMBOLS, np.int64) for k in (n, n * CONTEXT1, n * CONTEXT2))
-        self.w = np.full((3, n), 85, np.int64)
-        self.p2 = np.zeros(n * SLOTS, np.int32)
-        self.p1 = np.zeros((n * SLOTS, 2), np.int32)
-        self.p0, self.lead = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.a, self.b = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.lane = np.arange(n)
-        self.guess, self.row = np.zeros((n, PREDICTED), np.int32), np.zeros((n, SYMBOLS), np.uint16)
-        self.f, self.g = np.zeros((n, SYMBOLS), np.int32), np.zeros((n, SYMBOLS), np.int32)  # reused by every step
-
-    def look(self, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """The predicted ids (m by PREDICTED) and the symbols' cumulative frequencies (m by SYMBOLS)."""
-        lane, a, b = self.lane[:m], self.a[:m], self.b[:m]
-        h1, h2 = a * 40503 >> 3, (a * 40503 + b * 30011) >> 2
-        self.i1, self.i2 = lane * CONTEXT1 + (h1 & (CONTEXT1 - 1)), lane * CONTEXT2 + (h2 & (CONTEXT2 - 1))
-        self.s1, self.s2 = lane * SLOTS + (h1 & (SLOTS - 1)), lane * SLOTS + (h2 & (SLOTS - 1))
-        guess = self.guess[:m]
-        guess[:, 0] = self.p2.take(self.s2)
-        guess[:, 1:3] = self.p1.take(self.s1, axis=0)
-        guess[:, 3] = self.p0[:m]
-        f, g, row = self.f[:m], self.g[:m], self.row[:m]
-        share = lambda k, t: ((self.w[k, :m] << 12) // t).astype(np.int32)[:, None]
-        np.multiply(self.c0[:m], share(0, self.t0[:m]), out=f)
-        for k, c, t, i in ((1, self.c1, self.t1, self.i1), (2, self.c2, self.t2, self.i2)):
-            c.take(i, axis=0, out=row, mode="clip")
-            f += np.multiply(row, share(k, t.take(i)), out=g)
-        f >>= 6
-        f += 1
-        return guess, np.cumsum(f, axis=1, out=f)
-
-    def learn(self, m: int, ids: np.ndarray, sym: np.ndarray) -> None:
-        lane = self.lane[:m]
-        for k, (c, t, i) in enumerate(((self.c0, self.t0, lane), (self.c1, self.t1, self.i1), (self.c2, self.t2, self.i2))):
-            flat, at, before = c.reshape(-1), i * SYMBOLS + sym, t.take(i)
-            had = flat.take(at).astype(np.int64)
-            w = self.w[k, :m]
-            w -= w >> 5
-            w += (had << 3) // before + 1
-            flat[at] = had + STEP
-            t[i] = before + STEP
-            full = np.flatnonzero(before > FULL - STEP)
-            if full.size:
-                j = i[full]
-                c[j] = (c[j] + 1) >> 1
-                t[j] = c[j].sum(axis=1)
-        ids32 = ids.astype(np.int32)
-        self.p2[self.s2] = ids32
-        old = self.p1[self.s1, 0]
-        miss = np.flatnonzero(old != ids32)
-        self.p1[self.s1[miss], 1] = old[miss]
-        self.p1[self.s1[miss], 0] = ids32[miss]
-        same = self.p0[:m] == ids32
-        gone = ~same & (self.lead[:m] == 0)
-        self.p0[:m][gone] = ids32[gone]
-        self.lead[:m] += np.where(same | gone, 1, -1).astype(np.int32)
-        self.b[:m] = self.a[:m]
-        self.a[:m] = ids
-
-
-def _bits(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1]
-
-
-def _lanes(n: int, block: int) -> tuple[np.ndarray, int]:
-    """Ids of each block; all but the last are full."""
-    blocks = -(-n // block)
-    size = np.full(blocks, block, np.int64)
-    if blocks:
-        size[-1] = n - block * (blocks - 1)
-    return size, blocks
-
-
-class Encoder:
-    def __init__(self, n: int, most: int):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, _ALL, np.uint64)
-        self.out = np.zeros((n, most), np.uint16)
-        self.at = np.zeros(n, np.int64)
-
-    def put(self, m: int, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        r = self.range[:m] // total
-        self.low[:m] = (self.low[:m] + start * r) & _ALL
-        self.range[:m] = r * size
-        self.shift(m)
-
-    def shift(self, m: int) -> None:
-        idx = np.arange(m)
-        while idx.size:
-            low, r = self.low[idx], self.range[idx]
-            same = (low ^ ((low + r) & _ALL)) < _TOP
-            need = same | (r < _BOT)
-            idx, low, r, same = idx[need], low[need], r[need], same[need]
-            if not idx.size:
-                return
-            r = np.where(same, r, (~low + np.uint64(1)) & (_BOT - np.uint64(1)))
-            self.out[idx, self.at[idx]] = (low >> _D32).astype(np.uint16)
-            self.at[idx] += 1
-            self.low[idx], self.range[idx] = (low << _D16) & _ALL, (r << _D16) & _ALL
-
-    def end(self) -> list[bytes]:
-        for _ in range(3):
-            self.out[np.arange(len(self.at)), self.at] = (self.low >> _D32).astype(np.uint16)
-            self.at += 1
-            self.low = (self.low << _D16) & _ALL
-        return [row[:k].astype("<u2").tobytes() for row, k in zip(self.out, self.at.tolist(), strict=True)]
-
-
-class Decoder:
-    def __init__(self, blocks: list[bytes]):
-        n = len(blocks)
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, _ALL, np.uint64)
-        self.data = np.zeros((n, max(map(len, blocks), default=0) // 2 + 4), np.uint64)
-        for i, b in enumerate(blocks):
-            self.data[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-        self.code = self.data[:, 0] << _D32 | self.data[:, 1] << _D16 | self.data[:, 2]
-        self.at = np.full(n, 3, np.int64)
-
-    def get(self, m: int, total: np.ndarray) -> np.ndarray:
-        self.range[:m] //= total
-        return np.minimum(((self.code[:m] - self.low[:m]) & _ALL) // self.range[:m], total - np.uint64(1))
-
-    def drop(self, m: int, start: np.ndarray, size: np.ndarray) -> None:
-        self.low[:m] = (self.low[:m] + start * self.range[:m]) & _ALL
-        self.range[:m] *= size
-        idx = np.arange(m)
-        while idx.size:
-            low, r = self.low[idx], self.range[idx]
-            same = (low ^ ((low + r) & _ALL)) < _TOP
-            need = same | (r < _BOT)
-            idx, low, r, same = idx[need], low[need], r[need], same[need]
-            if not idx.size:
-                return
-            r = np.where(same, r, (~low + np.uint64(1)) & (_BOT - np.uint64(1)))
-            self.code[idx] = ((self.code[idx] << _D16) | self.data[idx, self.at[idx]]) & _ALL
-            self.at[idx] += 1
-            self.low[idx], self.range[idx] = (low << _D16) & _ALL, (r << _D16) & _ALL
-
-
-def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """The bytes of a segment."""
-    if len(ids) and int(ids.max()) >= MOST_ID:
-        raise ValueError(f"ids must be below {MOST_ID}")
-    size, n = _lanes(len(ids), block)
-    model, coder = Model(n), Encoder(n, 3 * block + 8)
-    table = np.zeros((n, block), np.int64)
-    table.ravel()[: len(ids)] = ids
-    one = np.uint64(1)
-    for t in range(block if n else 0):
-        m = n if t < size[-1] else n - 1
-        if not m:
-            break
-        x = table[:m, t]
-        guess, cum = model.look(m)
-        bits = _bits(x)
-        right = guess == x[:, None]
-        hit = right.any(axis=1)
-        sym = np.where(hit, right.argmax(axis=1), PREDICTED + np.maximum(bits - SMALL, 0))
-        rows = model.lane[:m]
-        at = rows * SYMBOLS + sym
-        high = cum.reshape(-1).take(at)
-        low = np.where(sym > 0, cum.reshape(-1).take(at - (sym > 0)), 0)
-        coder.put(m, low.astype(np.uint64), (high - low).astype(np.uint64), cum[:, -1].astype(np.uint64))
-        k = np.where(hit, 0, np.where(bits <= SMALL, SMALL, bits - 1))
-        rest = np.where(hit, 0, np.where(bits <= SMALL, x, x - (np.int64(1) << np.maximum(bits - 1, 0))))
-        coder.put(m, rest.astype(np.uint64), one, one << k.astype(np.uint64))
-        model.learn(m, x, sym)
-    blocks = coder.end() if n else []
-    head = np.array([MAGIC, len(ids), n], np.uint32).tobytes()
-    return head + b"".join(np.array([s, len(b), zlib.crc32(b)], np.uint32).tobytes() for s, b in zip(size.tolist(), blocks, strict=True)) + b"".join(blocks)
-
-
-def unpack(data: bytes, block: int = BLOCK) -> np.ndarray:
-    """The ids of a segment; every block's checksum is tested."""
-    magic, total, n = np.frombuffer(data[:12], np.uint32)
-    if magic != MAGIC:
-        raise ValueError("not a segment of token ids")
-    entries = np.frombuffer(data[12 : 12 + 12 * int(n)], np.uint32).reshape(-1, 3)
-    at, blocks = 12 + 12 * int(n), []
-    for _, size, crc in entries.tolist():
-        blocks.append(data[at : at + size])
-        at += size
-        if zlib.crc32(blocks[-1]) != crc:
-            raise ValueError(f"block {len(blocks) - 1} fails its checksum")
-    n = int(n)
-    model, coder = Model(n), Decoder(blocks)
-    out = np.zeros((n, block), np.int64)
-    one = np.uint64(1)
-    for t in range(block if n else 0):
-        m = n if t < entries[-1, 0] else n - 1
-        if not m:
-            break
-        guess, cum = model.look(m)
-        v = coder.get(m, cum[:, -1].astype(np.uint64)).astype(np.int32)
-        sym = np.count_nonzero(cum <= v[:, None], axis=1)
-        rows = model.lane[:m]
-        at = rows * SYMBOLS + sym
-        high = cum.reshape(-1).take(at)
-        low = np.where(sym > 0, cum.reshape(-1).take(at - (sym > 0)), 0)
-        coder.drop(m, low.astype(np.uint64), (high - low).astype(np.uint64))
-        hit = sym < PREDICTED
-        bits = sym - PREDICTED + SMALL
-        k = np.where(hit, 0, np.where(bits == SMALL, SMALL, bits - 1))
-        v = coder.get(m, one << k.astype(np.uint64))
-        coder.drop(m, v, one)
-        escaped = np.where(bits == SMALL, 0, np.int64(1) << np.maximum(bits - 1, 0)) + v.astype(np.int64)
-        x = np.where(hit, guess[rows, np.minimum(sym, PREDICTED - 1)], escaped)
-        out[:m, t] = x
-        model.learn(m, x, sym)
-    return out.ravel()[: int(total)]
-
-
+BLOCK, SEGMENT_BYTES = 1 << 17, 4 << 20
 SEGMENT = "shard int, first long, doc_ids array<long>, counts array<long>, data binary"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_bytes: int = SEGMENT_BYTES, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text with the library, append end_id to each, and write the segments to ``path``, documents ascending.
 
     Shards are ranges of ids; ``first`` counts the ids of the shard before the segment."""
 
     def run(batches):
         shard, first = TaskContext.get().partitionId(), 0
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         for b in V.slices_by_bytes(batches, "text", segment_bytes):
             ids, counts = encoding.encode_texts(*V.text_buffer(b.column("text")), tokenizer)
-            ends = np.cumsum(counts)
-            ids = np.insert(ids.astype(np.int64), ends, end_id)
+            ids = np.insert(ids.astype("<u4"), np.cumsum(counts), end_id)
             counts = counts + 1
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([first], pa.int64()), one(b.column("doc_id")), one(pa.array(counts)), pa.array([pack(ids)], pa.binary())], ["shard", "first", "doc_ids", "counts", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([first], pa.int64()), one(b.column("doc_id")), one(pa.array(counts)), pa.array([ids.tobytes()], pa.binary())], ["shard", "first", "doc_ids", "counts", "data"])
             first += len(ids)
 
-    rows = id_and_text(docs, id_col, text_col)
-    tie = F.xxhash64("text")
-    ranged = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    ranged.mapInArrow(run, SEGMENT).write.option("compression", "uncompressed").parquet(path)
+    spark, tie = docs.sparkSession, F.xxhash64("text")
+    order = (F.col("doc_id").asc_nulls_first(), tie)
+    ranged = id_and_text(docs, id_col, text_col).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    coded = ranged.mapInArrow(run, SEGMENT).withColumn("data", pack(spark, F.col("data"), block))
+    coded.write.option("compression", "uncompressed").parquet(path)
 
 
-def read_tokens(spark, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), ids of each document in the files at ``path``."""
     return _read(spark, path, "ids array<int>", lambda ids, ends: [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))])
 
 
-def read_digests(spark, path: str) -> DataFrame:
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) of each document."""
 
     def digest(ids, ends):
-        raw = memoryview(ids.astype("<u4").tobytes())
+        raw = memoryview(ids.tobytes())
         return [pa.array(np.diff(ends)), pa.array([zlib.crc32(raw[4 * p : 4 * q]) for p, q in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())]
 
     return _read(spark, path, "n_tokens long, ids_crc32 long", digest)
 
 
-def _read(spark, path: str, schema: str, make) -> DataFrame:
+def read_block(spark: SparkSession, path: str, shard: int, first: int, block: int) -> np.ndarray:
+    """The ids of one block of the segment of a shard that begins after ``first`` ids; no other block is decoded."""
+    rows = spark.read.schema(SEGMENT).parquet(path).filter((F.col("shard") == shard) & (F.col("first") == first))
+    got = rows.select(unpack(spark, F.col("data"), block).alias("ids")).first()
+    if got is None:
+        raise ValueError(f"shard {shard} has no segment at {first}")
+    return np.frombuffer(got["ids"], "<u4")
+
+
+def _read(spark: SparkSession, path: str, schema: str, make) -> DataFrame:
     ship(spark)
-    files = spark.read.schema(SEGMENT).parquet(path)
+    segments = spark.read.schema(SEGMENT).parquet(path)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
@@ -309,10 +90,12 @@ def _read(spark, path: str, schema: str, make) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 at = pa.array(b.column("first")[r].as_py() + ends[:-1])
                 shard = pa.array(np.full(len(counts), b.column("shard")[r].as_py(), np.int32))
-                yield pa.RecordBatch.from_arrays([docs, shard, at, *make(unpack(b.column("data")[r].as_buffer().to_pybytes()), ends)], ["doc_id", "shard", "at", *names])
+                ids = np.frombuffer(b.column("ids")[r].as_buffer(), "<u4")
+                yield pa.RecordBatch.from_arrays([docs, shard, at, *make(ids, ends)], ["doc_id", "shard", "at", *names])
 
-    found = files.mapInArrow(run, f"doc_id long, shard int, at long, {schema}")
-    total = files.groupBy("shard").agg(F.max(F.col("first") + F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()  # one row for each shard
+    decoded = segments.select("shard", "first", "doc_ids", "counts", unpack(spark, F.col("data")).alias("ids"))
+    found = decoded.mapInArrow(run, f"doc_id long, shard int, at long, {schema}")
+    total = segments.groupBy("shard").agg(F.max(F.col("first") + F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()  # one row for each shard
     base, seen = [], 0
     for shard, n in sorted((r["shard"], r["n"]) for r in total):
         base.append((shard, seen))
@@ -321,7 +104,5 @@ def _read(spark, path: str, schema: str, make) -> DataFrame:
     return found.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), *names)
 
 
-def scratch_path(spark) -> str:
-    import uuid
-
+def scratch_path(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/coweave-tokens-{uuid.uuid4().hex}"
