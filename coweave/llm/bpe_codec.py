@@ -5,8 +5,8 @@ states, and gives a byte string of bounded size. Its arcs carry numbers whose su
 words, and the ids of a word stand at its place. Workers map that file into memory and walk all distinct pieces of a batch in
 step; pieces that the lexicon lacks are merged exactly, all in step as well. The lexicon only changes the speed.
 
-Defined cases: a null text counts as empty; an empty text has no ids; the string of the added token becomes its id, as in the
-library, and is decoded to itself; rows are treated one by one, so repeated rows, null ids and other columns need no rule; an
+Defined cases: a null text counts as empty; an empty text has no ids; a very long text is encoded whole; the string of the added
+token becomes its id, as in the library, and is decoded to itself; rows are treated one by one, so repeated rows, null ids and other columns need no rule; an
 empty table gives no rows.
 """
 
@@ -319,7 +319,7 @@ class Codec:
 
     def __init__(self, tokenizer: str, data: bytes):
         self.path, self.t, self.lexicon = tokenizer, tables(tokenizer), Automaton(data)
-        self.memo = encoding.Memo(self.encode_pieces)
+        self.memo = encoding.Memo(self.encode_pieces, 200_000)
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         place = self.lexicon.find(pieces)

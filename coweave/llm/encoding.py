@@ -44,9 +44,9 @@ def special_string(path: str) -> bytes:
 
 
 class Memo:
-    """Ids of the pieces seen by this worker. Bounded: emptied when it holds more than ``most`` pieces."""
+    """Ids of the pieces seen by this worker. Bounded: when it holds more than ``most`` pieces, only those of the batch stay."""
 
-    def __init__(self, encode, most: int = 200_000):
+    def __init__(self, encode, most: int = 400_000):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -68,10 +68,18 @@ class Memo:
         self.used += len(flat)
         self.at.update(zip(pieces, range(n, m), strict=True))
 
+    def _keep(self, pieces: list[bytes]) -> None:
+        at = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        flat, sizes, encode = self.flat[V.ranges(self.start[at], self.size[at])], self.size[at], self.encode
+        self.clear()
+        self.encode = lambda _: (flat, sizes)
+        self._add(pieces)
+        self.encode = encode
+
     def __call__(self, pieces: list[bytes]) -> np.ndarray:
         """Places of the distinct pieces in start and size."""
         if len(self.at) > self.most:
-            self.clear()
+            self._keep([p for p in pieces if p in self.at])
         get = self.at.get
         new = [p for p in pieces if get(p) is None]
         if new:
@@ -80,21 +88,31 @@ class Memo:
 
 
 def library_encode(path: str):
-    """Encoder of distinct pieces by the library, in batches of about 256 KB."""
+    """Encoder of distinct pieces by the library, in texts of about 64 KB: pieces joined by the added token's string, at which
+    the library splits a text before anything else. Without such a token each piece is a text."""
+    special = special_string(path)
 
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        tok, flat, sizes, at = library(path), [], [], 0
+        tok, found, at = library(path), [np.zeros(0, np.uint32)], 0
+        end = np.array([(1 << 32) - 1], np.uint32)  # no id; stands behind each piece's ids
+        border = tok.token_to_id(special.decode()) if special else None
         while at < len(pieces):
-            to, room = at, 1 << 18
+            to, room = at, 1 << 16
             while to < len(pieces) and (to == at or room > 0):
                 room -= len(pieces[to]) + 16
                 to += 1
-            for e in tok.encode_batch_fast([p.decode() for p in pieces[at:to]], add_special_tokens=False):
-                ids = e.ids
-                flat += ids
-                sizes.append(len(ids))
+            part = [p.decode() for p in pieces[at:to]]
+            if border is None or special in pieces[at:to]:
+                for e in tok.encode_batch_fast(part, add_special_tokens=False):
+                    found += [np.array(e.ids, np.uint32), end]
+            else:
+                for e in tok.encode_batch_fast([special.decode().join(part)], add_special_tokens=False):
+                    ids = np.array(e.ids, np.uint32)
+                    found += [np.where(ids == border, end, ids), end]
             at = to
-        return np.array(flat, np.uint32), np.array(sizes, np.int64)
+        flat = np.concatenate(found)
+        cut = np.flatnonzero(flat == end)
+        return flat[flat != end], np.diff(np.concatenate([[-1], cut])) - 1
 
     return encode
 
