@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import ship
+from .vectext import give_back_memory
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +49,15 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     at = f"{scratch_dir(spark)}/coweave-{name}-{uuid.uuid4().hex}"
     _tables(spark).append(at)
     df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(StructType(df.schema.fields)).parquet(at)
+    out = spark.read.schema(StructType(df.schema.fields)).parquet(at)
+    out._coweave_table = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once all that was made from them is written itself."""
+    for t in tables:
+        drop_tables(t.sparkSession, [t._coweave_table])
 
 
 @contextlib.contextmanager
@@ -121,3 +130,5 @@ def whole_runs(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[
         held.append(b.slice(cut))
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held.clear()
+    give_back_memory()

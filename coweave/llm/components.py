@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -31,7 +31,11 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, a: str = "a", b: str = "b", local_edges: int = 1 << 20) -> DataFrame:
     """key, root (the least key of its component) of every end of an edge (pairs of long; loops and repeats may occur)."""
     e = materialize(edges.filter(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    return _in_one_task(e) if e.count() <= local_edges else _by_stars(e)
+    if e.count() > local_edges:
+        return _by_stars(e)
+    out = materialize(_in_one_task(e), "components")
+    discard(e)
+    return out
 
 
 def _in_one_task(e: DataFrame) -> DataFrame:
@@ -57,7 +61,10 @@ def _by_stars(e: DataFrame) -> DataFrame:
         hooked = small.select(F.col("x").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         hooked = materialize(hooked, "edges")
         same = [d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (e, hooked)]
+        discard(e)
         e = hooked
         if same[0] == same[1]:
             break
-    return e.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("root")).union(e.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
+    out = materialize(e.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("root")).union(e.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct()), "components")
+    discard(e)
+    return out

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import vectext as V
 from .bits import bit_filter, in_filter
-from .common import fresh, id_and_text, materialize, whole_runs
+from .common import discard, fresh, id_and_text, materialize, whole_runs
 from .components import components, least_labels
 
 SIMILARITY, SHINGLE = 0.8, 5
@@ -120,7 +120,8 @@ def _matrix(column: pa.Array, kind=np.uint32) -> np.ndarray:
 
 
 def candidates(keys: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links among keys (key, sig) that hold every pair of the similarity within their components."""
+    """(a, b): links among keys (key, sig, sig8) that hold every pair of the similarity within their components. Agreement is counted
+    on the lowest eight bits of each coordinate, where one in 256 agrees by chance: links are only candidates."""
     rate = COORDINATES
 
     def first(start):
@@ -135,14 +136,12 @@ def candidates(keys: DataFrame, similarity: float) -> DataFrame:
 
     def brute(batches):
         for t in whole_runs(batches, ["node"]):
-            node, key, sig = t["node"].to_numpy(), t["key"].to_numpy(), _matrix(t["sig"])
-            sig8 = sig.astype(np.uint8)
+            node, key, sig = t["node"].to_numpy(), t["key"].to_numpy(), _matrix(t["sig8"], np.uint8)
             a, b, d = [], [], 1
             while d < len(node):
                 i = np.flatnonzero(node[d:] == node[:-d])
                 if not i.size:
                     break
-                i = i[(sig8[i] == sig8[i + d]).sum(axis=1) >= PAIR * rate]
                 i = i[(sig[i] == sig[i + d]).sum(axis=1) >= PAIR * rate]
                 a.append(i)
                 b.append(i + d)
@@ -154,9 +153,9 @@ def candidates(keys: DataFrame, similarity: float) -> DataFrame:
 
     def pivot(batches):
         for b in batches:
-            sig, other = _matrix(b.column("sig")), _matrix(b.column("pivot_sig"))
+            sig, other = _matrix(b.column("sig")), _matrix(b.column("pivot_sig"), np.uint8)
             node, key, p = (b.column(c).to_numpy() for c in ("node", "key", "pivot"))
-            agree = (sig == other).sum(axis=1)
+            agree = (sig.astype(np.uint8) == other).sum(axis=1)
             at = np.flatnonzero((agree >= LINK * rate) & (key != p))
             yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(key[at]), pa.array(p[at])], ["node", "key", "to"])
             rest = np.flatnonzero(agree < NEAR * rate)
@@ -171,18 +170,21 @@ def candidates(keys: DataFrame, similarity: float) -> DataFrame:
         hot, done, depth = [], len(start), 0
         while True:
             sizes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("pivot")).filter("n > 1"), "sizes")
-            small = rows.join(sizes.filter(F.col("n") <= LIMIT).select("node"), "node", "left_semi").join(keys.select("key", "sig"), "key")
-            found.append(materialize(small.repartition("node").sortWithinPartitions("node", "key").select("node", "key", "sig").mapInArrow(brute, "a long, b long"), "links"))
+            small = rows.join(sizes.filter(F.col("n") <= LIMIT).select("node"), "node", "left_semi").join(keys.select("key", "sig8"), "key")
+            found.append(materialize(small.repartition("node").sortWithinPartitions("node", "key").select("node", "key", "sig8").mapInArrow(brute, "a long, b long"), "links"))
             large = sizes.filter(F.col("n") > LIMIT)
             if large.isEmpty():
+                discard(rows, sizes)
                 break
             depth += 1
-            pivots = large.select("node", "pivot").join(keys.select(F.col("key").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
+            pivots = large.select("node", "pivot").join(keys.select(F.col("key").alias("pivot"), F.col("sig8").alias("pivot_sig")), "pivot")
             tried = rows.join(pivots, "node").join(keys.select("key", "sig"), "key").select("node", "key", "sig", "pivot", "pivot_sig")
             split = materialize(tried.mapInArrow(pivot, "node long, key long, to long"), "split")
-            found.append(split.filter("to IS NOT NULL").select(F.col("key").alias("a"), F.col("to").alias("b")))
+            found.append(materialize(split.filter("to IS NOT NULL").select(F.col("key").alias("a"), F.col("to").alias("b")).distinct(), "links"))
+            hot = hot or [materialize(split.filter("to IS NULL").select("key").distinct(), "hot")]
+            discard(rows, sizes)
             rows = materialize(split.filter("node IS NOT NULL").select("node", "key"), "nodes")
-            hot = hot or [split.filter("to IS NULL").select("key").distinct()]
+            discard(split)
         if done == len(roots(similarity)):  # the first repetitions, which hold all keys
             if not hot:
                 break
@@ -191,7 +193,9 @@ def candidates(keys: DataFrame, similarity: float) -> DataFrame:
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out
+    links = materialize(out.distinct(), "links")
+    discard(*found)
+    return links
 
 
 def exact_links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
@@ -230,7 +234,9 @@ def exact_links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFr
     rows = rows.join(near, ["root", "span"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others").cast("long") - 1)))
     rows = rows.withColumn("other", F.col("other_span") * (1 << 32) + F.col("other"))
     rows = rows.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "set")
-    return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key").mapInArrow(compare, "key long, links long, root long")
+    out = materialize(rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key").mapInArrow(compare, "key long, links long, root long"), "exact")
+    discard(member)
+    return out
 
 
 def _compare_block(key: np.ndarray, block: np.ndarray, flat: np.ndarray, sizes: np.ndarray, similarity: float) -> pa.RecordBatch:
@@ -266,16 +272,21 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         for b in V.slices_by_bytes(batches, "text"):
             g, offs = shingle_sets(b.column("text"))
             sig = signatures(g, offs)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(set_keys(g, offs)), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "text_hash", "key", "sig"])
-
-    signed = materialize(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sign, "doc_id long, text_hash long, key long, sig binary"), "signed")
-    keys = materialize(signed.filter("key <> 0").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("sig").alias("sig")), "keys")
-    groups = materialize(components(candidates(keys, similarity)), "groups")
-    links = materialize(exact_links(docs, groups, similarity), "exact")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(set_keys(g, offs)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], ["doc_id", "text_hash", "key", "sig", "sig8"])
+
+    signed = materialize(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sign, "doc_id long, text_hash long, key long, sig binary, sig8 binary"), "signed")
+    keys = materialize(signed.filter("key <> 0").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("sig").alias("sig"), F.max("sig8").alias("sig8")), "keys")
+    near = candidates(keys, similarity)
+    groups = components(near)
+    discard(near)
+    links = exact_links(docs, groups, similarity)
+    discard(groups)
     final = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     number = links.groupBy("key").agg(F.sum("links").alias("links"))
     state = keys.select("key", "n").join(final, "key", "left").join(number, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    return signed.drop("sig"), materialize(state, "state")
+    state = materialize(state, "state")
+    discard(links, final, keys)
+    return signed.drop("sig", "sig8"), state
 
 
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
