@@ -4,14 +4,16 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from coweave.llm import bpe_codec, class_lm, decontaminate, encoding, jaccard_join, language_id, line_dedup, quality_rules, token_counts, token_files, url_filter
+from coweave.llm import bpe_codec, class_lm, decontaminate, encoding, jaccard_join, jvm_coder, language_id, line_dedup, quality_rules, token_counts, token_files, url_filter
 from coweave.llm import vectext as V
 from coweave.llm.common import crc_mod5
 from coweave.llm.components import components
@@ -104,52 +106,116 @@ def test_quality_thresholds_adapt(spark):
     assert all(kept.values())
 
 
+def test_quality_verdict_by_hand(spark):
+    """The verdict from plain counts: percentiles from sorted buckets, by source, language or over all."""
+    rng = random.Random(13)
+
+    def text():
+        w = [rng.choice(WORDS) for _ in range(rng.randint(30, 120))]
+        for _ in range(rng.choice((0, 0, 1, 4, 30))):
+            w[rng.randrange(len(w))] = rng.choice(("a # b", "XX YY", "same", "\nsame line\n", "verylongwordhereindeed"))
+        return " ".join(w)
+
+    rows = [(i, text(), rng.choice(("en",) * 8 + ("fr",) * 4 + ("it",)), rng.choice(("s1", "s1", "s1", "s2", f"s{i}", None))) for i in range(400)]
+    judged = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), least_docs=60).collect()}
+    over = {"symbols_per_word": ("n_symbols", "n_words"), "chars_per_word": ("word_chars", "n_words"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words"), "upper_share": ("n_upper", "word_chars"), "top_word_share": ("n_top_word", "n_words")}
+    ratio = {i: {k: r[a] / r[b] if r[b] else 0.0 for k, (a, b) in over.items()} for i, r in judged.items()}
+    levels = Counter()
+    for i, _, lang, source in rows:
+        for level, same_group in (("source", lambda r: r[2:] == (lang, source)), ("language", lambda r: r[2] == lang), ("all", lambda r: True)):  # noqa: B023
+            group = [ratio[r[0]] for r in rows if same_group(r)]
+            if len(group) >= 60 or level == "all":
+                break
+        failed = []
+        for k, floor, two_sided in quality_rules.RULES:
+            buckets = sorted(math.ceil(math.log(g[k]) / math.log(1.02)) if g[k] > 0 else -math.inf for g in group)
+            q10, q50, q90 = (1.02 ** (b - 0.5) if b > -math.inf else 0.0 for b in (buckets[math.ceil(q * len(buckets) - 1e-9) - 1] for q in (0.1, 0.5, 0.9)))
+            if ratio[i][k] > q90 + 3 * max(q90 - q50, q50 - q10, floor) or two_sided and ratio[i][k] < q10 - 3 * max(q50 - q10, floor):
+                failed.append(k)
+        r = judged[i]
+        levels[level] += 1
+        assert (r["level"], r["failed"], r["kept"]) == (level, failed, not failed and not r["base_failed"])
+    assert len(levels) == 3 and 0 < sum(bool(r["failed"]) for r in judged.values()) < 200
+
+
 def test_url_filter(spark):
     rules = spark.createDataFrame([("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), (None, "/", "block")], "host string, path string, verdict string")
     urls = ["http://example.com/en/1?x=/", "https://a.example.com/en/", "http://www.EXAMPLE.com/en/z#q", "http://badexample.com/en/", "http://x.net/es/a", "http://x.net/fr", "http://com", "ftp://com/", None, "", "no scheme", "http://", "http://x.net?/es/", "http://x.net/es/a"]
-    got = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(spark.createDataFrame([(i, u, "h", 3) for i, u in enumerate(urls)], "page_id long, url string, key string, salt int"), rules, salts=3).collect()}
+    got = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(spark.createDataFrame([(i, u, "h", 3) for i, u in enumerate(urls)], "page_id long, url string, key string, salt int"), rules, parts=3).collect()}
     assert got == {
         (0, "example.com", "/en/1", "example.com/en/", "block"), (1, "a.example.com", "/en/", "example.com/en/", "block"), (2, "www.example.com", "/en/z", "www.example.com/en/", "allow"),
         (3, "badexample.com", "/en/", "com/", "allow"), (4, "x.net", "/es/a", "net/es/", "block"), (5, "x.net", "/fr", None, "allow"), (6, "com", "", None, "allow"), (7, "com", "/", "com/", "allow"),
         (8, "", "", None, "allow"), (9, "", "", None, "allow"), (10, "", "", None, "allow"), (11, "", "", None, "allow"), (12, "x.net", "", None, "allow"), (13, "x.net", "/es/a", "net/es/", "block"),
     }
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+    pages = spark.createDataFrame([(1, "http://a.com/" + "x" * 100_000), (None, "http://a.com/"), (None, "http://a.com/")], "page_id long, url string")
+    none = spark.createDataFrame([], "host string, path string, verdict string")
+    assert [r["verdict"] for r in url_filter.filter_urls(pages, none).collect()] == ["allow"] * 3
+    got = url_filter.filter_urls(pages, spark.createDataFrame([("com", "/x", "allow"), ("com", "/x", "block")], "host string, path string, verdict string"))
+    same([(r["page_id"], r["rule"], r["verdict"]) for r in got.collect()], [(1, "com/x", "block"), (None, None, "allow"), (None, None, "allow")])
 
 
 def test_url_filter_against_brute_force(spark):
     rng = random.Random(8)
     names = ["a", "b", "a.b", "b.a", "c.a.b", "b.b.a"]
-    rules = {(rng.choice(names), rng.choice(("/", "/x", "/x/", "/x/y", "/z"))): rng.choice(("allow", "block")) for _ in range(14)}
+    rules = {(rng.choice(names), rng.choice(("", "/", "/x", "/x/", "/x/y", "/z"))): rng.choice(("allow", "block")) for _ in range(18)}
     urls = [f"http://{rng.choice(names + ['d.a', 'ab'])}{rng.choice(('', '/', '/x', '/xy', '/x/y/z', '/zz', '/q'))}" for _ in range(300)]
     made = spark.createDataFrame([(h, p, v) for (h, p), v in rules.items()], "host string, path string, verdict string")
-    for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), made, default="none", salts=5).collect():
+    for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), made, default="none", parts=5).collect():
         fit = [(len(h + p), len(h), h + p, v) for (h, p), v in rules.items() if (r["host"] == h or r["host"].endswith("." + h)) and r["path"].startswith(p)]
         assert (r["rule"], r["verdict"]) == (max(fit)[2:] if fit else (None, "none"))
 
 
+def packed(spark, ids, block):
+    raw = spark.createDataFrame([(bytearray(np.asarray(ids).astype("<u4").tobytes()),)], "ids binary")
+    return bytes(raw.select(jvm_coder.pack(spark, F.col("ids"), block)).first()[0])
+
+
+def unpacked(spark, data, block=-1):
+    got = spark.createDataFrame([(bytearray(data),)], "data binary").select(jvm_coder.unpack(spark, F.col("data"), block)).first()[0]
+    return np.frombuffer(got, "<u4")
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 300])
-def test_coder(n):
+def test_coder(spark, n):
     rng = np.random.default_rng(n)
-    for ids in (rng.integers(0, 50257, n), rng.integers(0, 9, n), np.minimum(rng.zipf(1.2, n), token_files.MOST_ID - 1)):
-        data = token_files.pack(ids, 64)
-        assert (token_files.unpack(data, 64) == ids).all()
+    for ids in (rng.integers(0, 50257, n), rng.integers(0, 9, n), rng.integers(0, 1 << 32, n), np.full(n, 7), np.minimum(rng.zipf(1.2, n), (1 << 31) - 1)):
+        data = packed(spark, ids, 64)
+        assert (unpacked(spark, data) == ids).all()
+        for k in range(-(-n // 64)):
+            assert (unpacked(spark, data, k) == ids[64 * k : 64 * k + 64]).all()
     if n:
         bad = bytearray(data)
         bad[-1] ^= 1
-        with pytest.raises(ValueError, match="checksum"):
-            token_files.unpack(bytes(bad), 64)
+        with pytest.raises(Exception, match="fails its checksum"):
+            unpacked(spark, bad)
+
+
+def test_coder_beats_the_entropy_of_single_ids(spark):
+    """Ids that depend on the last one: fewer bits than their own frequencies allow."""
+    rng = np.random.default_rng(5)
+    ids = [3]
+    while len(ids) < 100_000:
+        ids.append((ids[-1] * 17 + rng.integers(0, 4)) % 500)
+    n = np.bincount(ids)
+    n = n[n > 0] / len(ids)
+    assert len(packed(spark, ids, 1 << 17)) * 8 / len(ids) < 0.5 * -(n * np.log2(n)).sum()
 
 
 def test_token_files(spark, docs, rows, empty, tmp_path):
-    known = [r for r in rows if r[0] != 12]  # a repeated id has no one order
-    token_files.write_tokens(docs.filter("doc_id IS NULL OR doc_id <> 12"), str(tmp_path / "t"), BPE, segment_bytes=20_000)
+    token_files.write_tokens(docs, str(tmp_path / "t"), BPE, segment_bytes=20_000, block=256)
+    tie = {(r["doc_id"], r["text"]): r["h"] for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
     start, want = 0, []
-    for r in sorted(known, key=lambda r: (r[0] is not None, r[0])):
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0], tie[r[0], r[1]])):
         ids = [*library_ids([r[1]])[0], 2]
         want.append((r[0], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     same(token_files.read_digests(spark, str(tmp_path / "t")).select("doc_id", "start", "n_tokens", "ids_crc32").collect(), want)
     assert {r["doc_id"]: r["ids"] for r in token_files.read_tokens(spark, str(tmp_path / "t")).collect()}[5] == [*library_ids([rows[5][1]])[0], 2]
+    first = spark.read.parquet(str(tmp_path / "t")).filter("shard = 0").orderBy("first").first()
+    assert (token_files.read_block(spark, str(tmp_path / "t"), 0, first["first"], 1) == unpacked(spark, first["data"])[256:512]).all()
+    with pytest.raises(ValueError, match="no segment"):
+        token_files.read_block(spark, str(tmp_path / "t"), 0, -5, 0)
     token_files.write_tokens(empty, str(tmp_path / "e"), BPE)
     assert token_files.read_digests(spark, str(tmp_path / "e")).count() == 0
 
@@ -157,15 +223,16 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
 def test_decontaminate(spark, empty):
     rng = random.Random(6)
     items = [(i, prose(rng, 30)) for i in range(6)] + [(6, "two words"), (7, None), (8, "")]
+    items += [(9, items[3][1])]  # an equal text
     edited = items[2][1].split(" ")
     edited[3], edited[11] = "other", "words"
     del edited[20]
-    rows = [(0, prose(rng, 50) + " " + items[0][1].upper() + " " + prose(rng, 50)), (1, items[1][1]), (2, prose(rng, 20) + " " + " ".join(edited)), (3, prose(rng, 200)), (4, None), (5, ""), (1, items[1][1]), (None, items[3][1])]
+    rows = [(0, prose(rng, 50) + " " + items[0][1].upper() + " " + prose(rng, 50)), (1, items[1][1]), (2, prose(rng, 20) + " " + " ".join(edited)), (3, prose(rng, 200)), (4, None), (5, ""), (1, items[1][1]), (None, items[3][1]), (5000, prose(rng, 30_000) + items[4][1])]
     d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.contaminated(d, bench)
     got = [(r["doc_id"], r["item_id"]) for r in found.collect()]
-    same(got, [(0, 0), (1, 1), (1, 1), (2, 2), (None, 3)])
+    same(got, [(0, 0), (1, 1), (1, 1), (2, 2), (None, 3), (None, 9), (5000, 4)])
     assert found.filter("doc_id = 1").first()["score"] == 1
     same([(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, bench, block_bytes=200).collect()], got)
     same([(r["doc_id"],) for r in decontaminate.drop_contaminated(d, bench).collect()], [(3,), (4,), (5,)])
@@ -173,44 +240,140 @@ def test_decontaminate(spark, empty):
     assert decontaminate.contaminated(d, bench.filter("item_id > 100")).count() == 0
 
 
+def aligned(a, b):
+    """Best local alignment by the plain table: match 2, mismatch and gap -1."""
+    h = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
+    return h.max()
+
+
+def test_decontaminate_finds_evenly_edited_copies(spark):
+    """Every document against every item by the plain table; copies with a word changed, left out or put in every 3 to 10 words, beside a whole copy."""
+    rng = random.Random(16)
+    voc = [f"{a}{b}" for a in WORDS if "'" not in a for b in ("", "an", "or", "ik")]
+    text = lambda n: [rng.choice(voc) for _ in range(n)]
+    items = [text(n) for n in (60, 24, 60, 40, 18)]
+    docs = [text(60) + items[0] + text(40), text(300), text(20)]
+    for every in range(3, 11):
+        for it in items:
+            for edit in ("change", "drop", "add"):
+                new = []
+                for i, w in enumerate(it):
+                    if i % every != every - 1 or edit == "add":
+                        new.append(w)
+                    if i % every == every - 1 and edit != "drop":
+                        new.append(rng.choice(voc))
+                docs.append(text(rng.randint(0, 60)) + new + text(rng.randint(0, 60)))
+    want = {(d, i): aligned(it, doc) / (2 * len(it)) for d, doc in enumerate(docs) for i, it in enumerate(items)}
+    want = {k: s for k, s in want.items() if s >= 0.5}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(d, bench).collect()}
+    assert set(got) <= set(want)
+    assert len(got) >= 0.98 * len(want) and len(want) >= 110
+    assert all(s >= want[k] - 0.1 for k, s in got.items())
+
+
+def test_seeds_of_items(spark):
+    items = decontaminate.Items([1, 2], ["a b c d e f g h", "x y z"])
+    g, item, at = items.grams[0]
+    count = np.array([5000, 9000, 0, 4000, 0, 0, 0])
+    gram = np.concatenate([g[:6], g[6:7]])
+    items.pick(gram[count > 0], count[count > 0])
+    assert sorted(items.seed_at.tolist()) == [0, 3]  # 9000 is over twice the rarest of each four grams around it
+    items = decontaminate.Items([1], ["a b c d e f g h"])
+    items.pick(gram[:2], np.array([2, 900]))
+    assert sorted(items.seed_at.tolist()) == [0, 1]
+
+
 def test_alignment_by_plain_dynamic_programming():
     rng = np.random.default_rng(3)
     for _ in range(30):
         a, b = rng.integers(0, 4, 12), rng.integers(0, 4, 20)
-        h = np.zeros((13, 21), int)
-        for i in range(12):
-            for j in range(20):
-                h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
-        assert decontaminate.align(a, b)[0] == h.max()
+        assert decontaminate.align(a, b)[0] == aligned(a, b)
 
 
 def line_sets(rows):
-    out = {}
-    for r in rows:
-        for i, line in enumerate((r[1] or "").split("\n")):
-            w = frozenset(words_of(line))
-            if len(words_of(line)) >= line_dedup.LEAST_WORDS:
-                out[(r[0] is not None, r[0] or 0), i] = w
-    return out
+    """Words of each line by its place: id, line number, text."""
+    return {((r[0] is not None, r[0] or 0), i, r[1]): frozenset(words_of(line)) for r in rows for i, line in enumerate((r[1] or "").split("\n")) if words_of(line)}
 
 
-def test_line_dedup(docs, rows, empty):
+def removed_lines(rows):
     sets = line_sets(rows)
-    gone = {k for k, s in sets.items() if any(o < k and len(s & t) >= 0.8 * len(s | t) - 1e-9 for o, t in sets.items())}
+    return {k for k, s in sets.items() if any(o < k and len(s & t) >= 0.8 * len(s | t) - 1e-9 for o, t in sets.items())}
+
+
+def test_line_dedup(docs, rows, empty):
+    gone = removed_lines(rows)
     for limit in (1024, 2):  # the second sends nearly all tokens through the joins for hot ones
         line_dedup.LIMIT, old = limit, line_dedup.LIMIT
         got = line_dedup.line_dedup(docs).collect()
         line_dedup.LIMIT = old
-        assert {((r["doc_id"] is not None, r["doc_id"] or 0), i) for r in got for i in r["removed"]} == gone
-        assert len(got) == len({r[0] for r in rows})
+        same([(r["doc_id"], i) for r in got for i in r["removed"]], [(k[0][1] if k[0][0] else None, k[1]) for k in gone])
+        assert all(r["n_removed"] == len(r["removed"]) <= r["n_lines"] for r in got)
+        same([(r["doc_id"], r["n_lines"]) for r in got], {(r[0], r[1]): (r[0], sum(bool(words_of(x)) for x in (r[1] or "").split("\n"))) for r in rows}.values())
     assert len(gone) > 10
     assert line_dedup.line_dedup(empty).count() == 0
+    assert line_dedup.drop_lines(empty).count() == 0
+
+
+def test_line_dedup_of_edited_lines(spark):
+    """Lines that differ in some words only, and words from few to many lines, against all pairs."""
+    rng = random.Random(14)
+    lines = []
+    for _ in range(60):
+        w = [rng.choice(WORDS) for _ in range(rng.randint(4, 14))]
+        for _ in range(rng.randint(1, 5)):
+            v = w[:]
+            if rng.random() < 0.7:
+                v[rng.randrange(len(v))] = rng.choice(WORDS)
+            if rng.random() < 0.3:
+                v.insert(0, rng.choice(WORDS))
+            rng.shuffle(v)
+            lines.append(" ".join(v))
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(len(lines) // 4)]
+    gone = {(k[0][1], k[1]) for k in removed_lines(rows)}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit, group in ((1024, 400_000), (16, 40), (2, 400_000)):
+        old = line_dedup.LIMIT, line_dedup.GROUP
+        line_dedup.LIMIT, line_dedup.GROUP = limit, group
+        got = line_dedup.line_dedup(d).collect()
+        line_dedup.LIMIT, line_dedup.GROUP = old
+        assert {(r["doc_id"], i) for r in got for i in r["removed"]} == gone
+    assert 30 < len(gone) < len(lines) - 30
+
+
+def test_bucket_counts_add_up(spark):
+    d = spark.createDataFrame([(1, "a b\na"), (2, "a c"), (3, None)], "doc_id long, text string").repartition(3)
+    n = line_dedup.bucket_counts(line_dedup.parsed(d, 1))
+    assert sorted(n[n > 0].tolist()) == [1, 1, 3]
+    x = line_dedup._scaled(np.array([0, 5, 32767, 32768, 65536, 1 << 40]))
+    assert x[:4].tolist() == [0, 5, 32767, 32768] and x[4] == 32768 + 1024 and x[5] == 32768 + 1024 * 25
 
 
 def test_drop_lines(spark):
     line = "one two three four five six"
     d = spark.createDataFrame([(1, f"{line}\nkeep\n{line}", 7), (2, line, 8), (3, None, 9), (4, "", 9), (5, "short line", 9), (6, "short line", 9)], "doc_id long, text string, number int")
-    same(line_dedup.drop_lines(d).collect(), [(1, f"{line}\nkeep", 7), (3, None, 9), (4, "", 9), (5, "short line", 9), (6, "short line", 9)])
+    same(line_dedup.drop_lines(d).collect(), [(1, f"{line}\nkeep", 7), (3, None, 9), (4, "", 9), (5, "short line", 9)])
+    same(line_dedup.drop_lines(d, least_words=3).collect(), [(1, f"{line}\nkeep", 7), (3, None, 9), (4, "", 9), (5, "short line", 9), (6, "short line", 9)])
+
+
+def test_lines_are_dropped_by_row(spark):
+    """Rows with one id or none and different texts lose their own lines only; columns with the names used inside stay."""
+    line = "one two three four five six"
+    rows = [(1, f"x y z\n{line}", 1), (7, f"first of seven\n{line}\nmore", 2), (7, "other of seven\nprecious line that is nowhere else at all", 3), (None, "null text a", 4), (None, f"null text b c d e\n{line}", 5), (7, f"first of seven\n{line}\nmore", 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, text_hash int")
+    got = {r["text_hash"]: r["text"] for r in line_dedup.drop_lines(d).collect()}
+    assert got == {1: "x y z", 2: "first of seven\nmore", 3: rows[2][1], 4: "null text a", 5: rows[4][1], 6: "first of seven\nmore"}
+
+
+def test_very_long_line(spark):
+    words = [f"w{i}" for i in range(70_000)]
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(reversed(words[:69_000]))), (3, " ".join(words[:30_000]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["removed"] for r in line_dedup.line_dedup(d).collect()} == {1: [], 2: [0], 3: []}
 
 
 def test_short_lines(spark, tmp_path):
@@ -240,6 +403,63 @@ def test_class_lm(docs, rows, empty):
     assert {r["n_known"] for r in class_lm.score(docs, none, rest, crc_mod5() == 1).collect()} == {0}
 
 
+def test_class_lm_scores_by_hand(spark):
+    """All of the score but the choice of classes, from plain counts; words beyond the table are scored by joins."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(WORDS) if rng.random() < 0.7 else rng.choice("abcdefgh") for _ in range(rng.randint(0, 25)))) for i in range(120)] + [(500, None), (501, "never seen a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for table in (10_000, 30):
+        model, rest = class_lm.train(d.filter(crc_mod5() != 1), frequent=12, classes=6, table=table)
+        assert 0.5 * min(table, 70) <= len(model.table) <= 1.5 * table
+
+        def cls(w, model=model):
+            h, group, _ = class_lm.tokens(pa.array([w]))
+            return int(class_lm.classes_of(h, group, model.table, model.cls, model.group_cls)[0])
+
+        train = [words_of(lower(t)) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+        c = Counter(w for ws in train for w in [*ws, None])
+        group = {w: cls(w) if w else 0 for w in {*c, "never", "seen"}}
+        assert all(k > 0 for w, k in group.items() if w)
+        pair = Counter((a, b) for ws in train for a, b in zip([0, *(group[w] for w in ws)], [*(group[w] for w in ws), 0], strict=True))
+        into, out, total = Counter(), Counter(), sum(pair.values())
+        for (a, b), k in pair.items():
+            out[a] += k
+            into[b] += k
+        mass, kinds = Counter(), Counter()
+        for w, k in c.items():
+            mass[group[w]] += k
+            kinds[group[w]] += 1
+        step = lambda a, b: (pair[a, b] + 5 * (into[b] + 1) / (total + 6)) / (out[a] + 5)  # noqa: B023, E731
+        emit = lambda w: (c[w] + 0.5) / (mass[group[w]] + 0.5 * (kinds[group[w]] + 1))  # noqa: B023, E731
+        want = {}
+        for i, t in rows:
+            ws = [*words_of(lower(t)), None]
+            want[i] = sum(math.log10(step(a, group[w]) * emit(w)) for a, w in zip([0, *(group[w] for w in ws)], ws, strict=False))
+        got = {r["doc_id"]: r["score"] for r in class_lm.score(d, model, rest, crc_mod5() == 1).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_rare_words_join_the_class_of_their_neighbours(spark):
+    rng = random.Random(12)
+    kinds = [[f"{k}{i}" for i in range(30)] for k in ("red", "big", "car")]
+    text = lambda: " ".join(w for _ in range(12) for w in (rng.choice(k[: 3 + rng.randrange(28)]) for k in kinds))
+    d = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string")
+    model, _ = class_lm.train(d, frequent=12, classes=4, table=1000)
+    of = {}
+    for k in kinds:
+        h, group, _ = class_lm.tokens(pa.array([" ".join(k)]))
+        of[k[0]] = Counter(class_lm.classes_of(h, group, model.table, model.cls, model.group_cls).tolist()).most_common(1)[0]
+    assert len({c for c, _ in of.values()}) == 3
+    assert all(n >= 28 for _, n in of.values())
+
+
+def test_words_of_equal_count_fill_the_table(spark):
+    d = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(300)))], "doc_id long, text string")
+    model, rest = class_lm.train(d, frequent=20, classes=4, table=60)
+    assert 30 <= len(model.table) <= 90 and rest.count() == 300 - len(model.table)
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(0)
     n = rng.poisson(0.4, (30, 30)).astype(float)
@@ -293,6 +513,51 @@ def test_language_id(spark, empty):
     assert {r["lang_pred"] for r in language_id.identify(d, {}).collect()} == {"und"}
 
 
+def test_out_of_place_distance_by_hand(spark):
+    """Profiles and predictions from plain strings, in scripts of all kinds; marks alone are no letters."""
+    rng = random.Random(21)
+    voc = {"de": "wir haben schöne Häuser und Übung".split(), "ru": "мы имеем красивые дома и практику".split(), "zh": "我们 有 漂亮 的 房子 和 练习 时间".split(), "ar": "لدينا بيوت جميلة وممارسة كل يوم".split()}
+    rows = [(i, " ".join(rng.choice(voc[k]) for _ in range(rng.randint(1, 40))) + rng.choice(("", " 12!", "...")), k) for i in range(40) for k in voc]
+    rows += [(900, "\u0301\u0300", "de"), (901, "a\u0301", "de"), (902, "x", None)]
+
+    def code(g):
+        h, mask = 0, (1 << 64) - 1
+        for c in g:
+            h = (h + c + 1) * 0x9E3779B97F4A7C15 & mask
+        return ((h ^ h >> 29) * 0x9E3779B97F4A7C15 & mask) >> 44
+
+    def grams(text):
+        kind = lambda c: unicodedata.category(c)[0]
+        symbols, out = [0], Counter()
+        for c in text:
+            x = ord(c.lower()[0]) if kind(c) == "L" else ord(c) | 1 << 21 if kind(c) == "M" else 0
+            symbols += [x] if x or symbols[-1] else []
+        symbols += [0] if symbols[-1] else []
+        for n in range(1, 6):
+            for i in range(len(symbols) - n + 1):
+                g = symbols[i : i + n]
+                if any(g) and 0 not in g[1:-1]:
+                    out[code(g)] += 1
+        return out
+
+    def top(count):
+        return [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:300]]
+
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {k: top(sum((grams(t) for _, t, lang in rows if lang == k), Counter())) for k in voc}
+    profiles = language_id.learn_profiles(d)
+    assert profiles == learned
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(d, profiles).collect()}
+    want = {}
+    for i, t, _ in rows:
+        mine = top(grams(t))
+        far = {k: sum(min(abs(p.index(g) - r), 300) if g in p else 300 for r, g in enumerate(mine)) for k, p in learned.items()}
+        best = min(sorted(far), key=far.get)
+        want.setdefault(i, []).append((best, 1 - far[best] / (300 * len(mine))))
+    assert got[900] == ("und", 0.0)
+    assert all(any(got[i][0] == k and abs(got[i][1] - x) < 1e-9 for k, x in w) for i, w in want.items() if i != 900)
+
+
 def shingles(t):
     w = words_of(lower(t))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
@@ -321,7 +586,8 @@ def test_jaccard_join(docs, rows, empty):
     assert sum(map(len, near.values())) >= 20
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({by_id[i]["class_id"] if s else i for (i, _), s in sets.items() if i is not None})
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({by_id[i]["class_id"] if s else i for (i, _), s in sets.items()})
+    assert jaccard_join.keep_one(empty).count() == 0
     assert jaccard_join.jaccard_join(empty).count() == 0
 
 
@@ -342,6 +608,38 @@ def test_jaccard_join_of_a_large_group(spark):
     assert all(r["class_id"] == r["doc_id"] and r["n_links"] == 0 for r in got if r["doc_id"] >= 100)
 
 
+def test_copies_are_dropped_by_row(spark):
+    """Rows with one id or none and different texts have their own fates; of rows that repeat id and text one stays."""
+    t = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcde"]
+    rows = [(1, t[0], 1), (7, t[0], 2), (7, t[1], 3), (None, t[1], 4), (None, t[2], 5), (None, t[2], 6), (None, t[3], 7), (9, t[4], 8), (9, t[4], 9), (3, None, 10), (3, None, 11), (None, "", 12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, text_hash int").repartition(3)
+    got = sorted(r["text_hash"] for r in jaccard_join.keep_one(d).collect())
+    assert [x for x in got if x not in (5, 6, 8, 9)] == [1, 3, 7, 10, 11, 12]
+    assert len({5, 6} & set(got)) == 1 and len({8, 9} & set(got)) == 1
+    classes = sorted(((r["class_id"] is not None, r["class_id"] or 0, r["n_copies"]) for r in jaccard_join.jaccard_join(d).collect()))
+    assert classes == sorted([(True, 1, 1)] * 2 + [(True, 7, 1)] * 2 + [(False, 0, 1)] * 2 + [(False, 0, 0)] + [(True, 9, 1)] * 2 + [(True, 3, 0)] * 2 + [(False, 0, 0)])
+
+
+def test_jaccard_join_recall_at_depth(spark):
+    """Pairs just over the similarity in a table where nearly every bucket is split again and again."""
+    rng = random.Random(18)
+    common = [f"s{i}" for i in range(60)]
+    rows = []
+    for i in range(1000):
+        own = [f"o{i}_{k}" for k in range(60)]
+        rows.append((2 * i, " ".join(common + own)))
+        for at in rng.sample(range(5, 55), 2):
+            own[at] = f"c{i}_{at}"
+        rows.append((2 * i + 1, " ".join(common + own)))
+    sets = [shingles(t) for _, t in rows]
+    near = [len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1]) for i in range(1000)]
+    old, jaccard_join.LIMIT = jaccard_join.LIMIT, 64
+    got = {r["doc_id"]: r["class_id"] for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    jaccard_join.LIMIT = old
+    found = sum(got[2 * i + 1] == 2 * i for i in range(1000) if near[i])
+    assert sum(near) > 900 and found >= 0.95 * sum(near)
+
+
 def test_jaccard_join_around_a_common_passage(spark):
     """Buckets over LIMIT of texts that share a passage only: every pair of similar ones is found, as brute force finds them."""
     rng = random.Random(8)
