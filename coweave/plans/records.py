@@ -78,16 +78,22 @@ def e13(v):
     return m.select("paper_id", "doi", "source_count", F.size("merged_paper_ids").cast("bigint").alias("merged"))
 
 
-@query("e16_eligibility", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE 'incomplete_author_list' END AS hold_reason, o_orderkey % 2 = 0 AS edge_eligible FROM orders")
+_REASONS = ("x|conflicting_author_sets", "incomplete_author_list|conflicting_author_sets", "conflicting_author_sets", None, "", "publication_version_uncertain", "a|published_author_list_conflict|conflicting_author_sets|b")
+_KEPT = ("x", "incomplete_author_list", "", "", "", "publication_version_uncertain", "a|published_author_list_conflict|b")
+
+
+def _reasons():
+    return F.get(F.array(*[F.lit(x) for x in _REASONS]), (F.col("o_orderkey") % len(_REASONS)).cast("int"))
+
+
+@query("e16_eligibility", f"SELECT o_orderkey, ([{', '.join(repr(x) for x in _KEPT)}])[1 + o_orderkey % 7] AS hold_reason, o_orderkey % 7 NOT IN (1, 5, 6) AS edge_eligible FROM orders")
 def e16(v):
-    reason = F.when(F.col("o_orderkey") % 2 == 0, "x|conflicting_author_sets").otherwise("incomplete_author_list|conflicting_author_sets")
-    return R.recompute_eligibility(v.orders.select("o_orderkey", reason.alias("hold_reason")), ("conflicting_author_sets",))
+    return R.recompute_eligibility(v.orders.select("o_orderkey", _reasons().alias("hold_reason")), ("conflicting_author_sets",))
 
 
-@query("c10_blocked", "SELECT o_orderkey, o_orderkey % 3 = 0 AS blocked FROM orders")
+@query("c10_blocked", "SELECT o_orderkey, o_orderkey % 7 IN (1, 5, 6) AS blocked FROM orders")
 def c10(v):
-    reason = F.when(F.col("o_orderkey") % 3 == 0, "a|publication_version_uncertain").otherwise("a|b")
-    return v.orders.select("o_orderkey", C.is_blocked(reason).alias("blocked"))
+    return v.orders.select("o_orderkey", C.is_blocked(_reasons()).alias("blocked"))
 
 
 @query("c11_reason_subtract", "SELECT o_orderkey, array_to_string(list_filter(string_split(o_orderpriority || '|x|' || o_orderstatus, '|'), lambda r: r NOT IN ('x', 'F')), '|') AS kept FROM orders")
@@ -95,22 +101,25 @@ def c11(v):
     return v.orders.select("o_orderkey", C.subtract_reasons(F.concat_ws("|", "o_orderpriority", F.lit("x"), "o_orderstatus"), ("x", "F")).alias("kept"))
 
 
-@query("c2_roc_year", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN cast(year(o_orderdate) AS INT) ELSE -1 END AS year FROM orders")
+@query("c2_roc_year", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 IN (0, 6) THEN cast(year(o_orderdate) AS INT) ELSE -1 END AS year FROM orders")
 def c2(v):
     from ..operators.grants import roc_year
 
-    raw = v.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, (F.year("o_orderdate") - 1911).cast("string")).otherwise("x9").alias("raw"))
-    return raw.select("o_orderkey", F.coalesce(roc_year(F.col("raw")), F.lit(-1)).alias("year"))
+    y = (F.year("o_orderdate") - 1911).cast("string")
+    wide = F.translate(y, "0123456789", "０１２３４５６７８９")
+    raw = F.get(F.array(y, F.lit("x9"), F.lit(""), F.lit(None), F.concat(F.lit(" "), y), wide, F.concat(F.lit("0"), y)), (F.col("o_orderkey") % 7).cast("int"))
+    return v.orders.select("o_orderkey", raw.alias("raw"), "o_orderdate").select("o_orderkey", F.coalesce(roc_year(F.col("raw")), F.lit(-1)).alias("year"))
 
 
-@query("c7_role_and_mark", "SELECT o_orderkey, o_orderkey % 3 = 0 AS pi, o_orderkey % 4 = 0 AS marked FROM orders")
+@query("c7_role_and_mark", "SELECT o_orderkey, o_orderkey % 6 IN (0, 5) AS pi, o_orderkey % 5 IN (0, 2) AS marked FROM orders")
 def c7(v):
     from ..operators.grants import is_marked, is_pi
 
     k = F.col("o_orderkey")
-    role = F.when(k % 3 == 0, "計畫主持人").when(k % 3 == 1, "共同主持人").otherwise("研究員")
-    title = F.when(k % 4 == 0, "Trade (1/3)").otherwise("Trade 1/3")
-    return v.orders.select("o_orderkey", is_pi(role).alias("pi"), is_marked(title).alias("marked"))
+    role = F.get(F.array(*[F.lit(x) for x in ("計畫主持人", "共同主持人", "研究員", None, "", " 主持人 ")]), (k % 6).cast("int"))
+    title = F.get(F.array(*[F.lit(x) for x in ("Trade (1/3)", "Trade 1/3", "Trade （２／３）", "Trade (a/b)", None)]), (k % 5).cast("int"))
+    no = F.lit(False)
+    return v.orders.select("o_orderkey", F.coalesce(is_pi(role), no).alias("pi"), F.coalesce(is_marked(title), no).alias("marked"))
 
 
 @query("m20_money", "SELECT o_orderkey, round(o_totalprice) AS amount FROM orders")
@@ -223,17 +232,27 @@ def m1(v):
     return v.part.select("p_partkey", C.grant_category(F.get(raw, (F.col("p_partkey") % 6).cast("int"))).alias("category"))
 
 
-@query("m2_classes", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '中研院' WHEN 1 THEN '國立' ELSE '私立' END AS kind, CASE p_partkey % 3 WHEN 0 THEN '助理' WHEN 1 THEN '副' ELSE '正' END AS rank, CASE p_partkey % 4 WHEN 0 THEN '國內' WHEN 1 THEN '美國' WHEN 2 THEN '其他國外' END AS origin FROM part")
+@query("m2_classes", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '中研院' WHEN 1 THEN '國立' WHEN 4 THEN NULL ELSE '私立' END AS kind, CASE p_partkey % 5 WHEN 0 THEN '助理' WHEN 1 THEN '副' WHEN 4 THEN NULL ELSE '正' END AS rank, CASE p_partkey % 5 WHEN 0 THEN '國內' WHEN 1 THEN '美國' WHEN 2 THEN '其他國外' END AS origin FROM part")
 def m2(v):
     pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("p_partkey") % len(xs)).cast("int"))
-    return v.part.select("p_partkey", C.institution_type(pick(("中央研究院經濟研究所", "國立臺灣大學", "東吳大學"))).alias("kind"), C.rank_group(pick(("助理教授", "副教授", "教授"))).alias("rank"), C.phd_origin(pick(("TW", "US", "GB", ""))).alias("origin"))
+    return v.part.select("p_partkey", C.institution_type(pick(("中央研究院經濟研究所", "國立臺灣大學", "東吳大學", "", None))).alias("kind"), C.rank_group(pick(("助理教授", "副教授", "教授", "", None))).alias("rank"), C.phd_origin(pick(("TW", "US", "GB", "", None))).alias("origin"))
+
+
+_AFFILIATIONS = (
+    ("Department of Economics, National Taiwan University, Taipei", "National Taiwan University", "TW"),
+    ("Bank of Spain; Madrid", "Bank of Spain", "ES"),
+    ("Taiwan; School of Law, University of Tokyo, Japan.", "University of Tokyo", "JP"),
+    ("Room 5", "Room 5", ""),
+    ("", "", ""),
+    (None, "", ""),
+    ("國立政治大學, 台北", "國立政治大學", ""),
+    ("Ministry of Finance, U.S.A.", "Ministry of Finance", "US"),
+)
 
 
-@query("m5_normalize_affiliation", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'National Taiwan University' WHEN 1 THEN 'Bank of Spain' ELSE 'Room ' || p_partkey END AS institution, CASE p_partkey % 3 WHEN 0 THEN 'TW' WHEN 1 THEN 'ES' ELSE '' END AS country FROM part")
+@query("m5_normalize_affiliation", f"SELECT p_partkey, ([{', '.join(repr(x[1]) for x in _AFFILIATIONS)}])[1 + p_partkey % 8] AS institution, ([{', '.join(repr(x[2]) for x in _AFFILIATIONS)}])[1 + p_partkey % 8] AS country FROM part")
 def m5(v):
-    k = F.col("p_partkey") % 3
-    raw = F.when(k == 0, "Department of Economics, National Taiwan University, Taipei").when(k == 1, "Bank of Spain; Madrid").otherwise(F.concat(F.lit("Room "), F.col("p_partkey").cast("string")))
-    a = C.normalize_affiliation(raw)
+    a = C.normalize_affiliation(F.get(F.array(*[F.lit(x[0]) for x in _AFFILIATIONS]), (F.col("p_partkey") % 8).cast("int")))
     return v.part.select("p_partkey", a["institution"].alias("institution"), a["country"].alias("country"))
 
 
@@ -255,9 +274,9 @@ def m19(v):
     return v.pages.select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("QUERY"), F.lit("page")).alias("page"))
 
 
-@query("m24_han", "SELECT p_partkey, p_partkey % 2 = 0 AS han, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 0 END AS n FROM part")
+@query("m24_han", "SELECT p_partkey, p_partkey % 6 IN (0, 5) AS han, CASE p_partkey % 6 WHEN 0 THEN 2 WHEN 5 THEN 3 ELSE 0 END AS n FROM part")
 def m24(v):
-    text = F.when(F.col("p_partkey") % 2 == 0, "ab經濟c").otherwise("abc")
+    text = F.get(F.array(*[F.lit(x) for x in ("ab經濟c", "abc", None, "", "ＡＢカナ한글", "經 濟、學")]), (F.col("p_partkey") % 6).cast("int"))
     return v.part.select("p_partkey", N.has_han(text).alias("han"), N.han_count(text).alias("n"))
 
 
