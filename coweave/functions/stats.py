@@ -1,7 +1,7 @@
-"""Concentration, rank and regression statistics as grouped or windowed expressions.
+"""Concentration, rank and regression statistics.
 
-Global ranks are windows without a partition, so they run in one task; they are for per-person tables. Measures over raw rows
-aggregate first.
+Ranks come from counts of distinct values and their running totals by ranges, so no task sees all rows; only groups that the caller
+names are ranked within a window, over their distinct values.
 """
 
 from __future__ import annotations
@@ -9,34 +9,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running
 
-def _ranked(df: DataFrame, value: str, group: list[str], descending: bool = False, tie: str | None = None) -> tuple[DataFrame, list]:
-    order = [F.desc(value) if descending else F.asc(value), *([F.col(tie)] if tie else [])]
-    w = Window.partitionBy(*group).orderBy(*order)
-    all_ = Window.partitionBy(*group)
-    return df.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(all_)), group
+
+def _counts(df: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """group, value, _c (rows with it) and _a (rows of the group with a lesser value)."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    if group:
+        upto = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return counts.withColumn("_a", F.sum("_c").over(upto) - F.col("_c"))
+    return running(counts, [value], {"_a": F.col("_c")}).withColumn("_a", F.col("_a") - F.col("_c"))
+
+
+def _with(df: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:
+    return df.join(totals, group) if group else df.crossJoin(F.broadcast(totals))  # one row
 
 
 def gini(df: DataFrame, value: str, *group: str) -> DataFrame:
     """Gini coefficient of each group: sum of (2i - n - 1) x over n times the sum of x."""
-    d, g = _ranked(df.filter(F.col(value).isNotNull()), value, list(group))
-    num = F.sum((2 * F.col("_i") - F.col("_n") - 1) * F.col(value))
-    return d.groupBy(*g).agg((num / F.nullif(F.first("_n") * F.sum(value), F.lit(0.0))).alias("gini"))
+    d, x = _counts(df, value, list(group)), F.col(value) * F.col("_c")
+    n, total = F.sum("_c"), F.sum(x)
+    return d.groupBy(*group).agg(((F.sum(x * (2 * F.col("_a") + F.col("_c"))) - n * total) / F.nullif(n * total, F.lit(0.0))).alias("gini"))
 
 
 def top_share(df: DataFrame, value: str, q: float, *group: str) -> DataFrame:
     """Share of the total that the top max(1, round(n q)) hold; halves round to even."""
-    d, g = _ranked(df.filter(F.col(value).isNotNull()), value, list(group), descending=True)
-    k = F.greatest(F.lit(1), F.bround(F.col("_n") * q).cast("int"))
-    return d.groupBy(*g).agg((F.sum(F.when(F.col("_i") <= k, F.col(value)).otherwise(0.0)) / F.sum(value)).alias("share"))
+    d = _counts(df, value, list(group))
+    d = _with(d, d.groupBy(*group).agg(F.sum("_c").alias("_n")), list(group))
+    k = F.greatest(F.lit(1), F.bround(F.col("_n") * q).cast("long"))
+    above = F.col("_n") - F.col("_a") - F.col("_c")
+    taken = F.least(F.col("_c"), F.greatest(F.lit(0), k - above))
+    return d.groupBy(*group).agg((F.sum(taken * F.col(value)) / F.sum(F.col("_c") * F.col(value))).alias("share"))
 
 
 def lorenz(df: DataFrame, value: str, key: str) -> DataFrame:
     """population and value shares, cumulated from the poorest; ties by key."""
-    d, _ = _ranked(df, value, [], tie=key)
-    run = Window.orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = Window.partitionBy()
-    return d.select(key, (F.col("_i") / F.col("_n")).alias("population"), (F.sum(value).over(run) / F.sum(value).over(total)).alias("cumulative"))
+    d = running(df.select(key, value), [value, key], {"_i": F.lit(1), "_s": F.col(value)})
+    d = _with(d, df.agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_total")), [])
+    return d.select(key, (F.col("_i") / F.col("_n")).alias("population"), (F.col("_s") / F.col("_total")).alias("cumulative"))
 
 
 def at_lorenz(curve: DataFrame, x: float) -> DataFrame:
@@ -49,20 +59,21 @@ def at_lorenz(curve: DataFrame, x: float) -> DataFrame:
 
 
 def ccdf(df: DataFrame, value: str, key: str) -> DataFrame:
-    """Of the positive values in ascending order, 1 - i / n with i from 0."""
-    d, _ = _ranked(df.filter(F.col(value) > 0), value, [], tie=key)
+    """Of the positive values in ascending order, 1 - i / n with i from 0; ties by key."""
+    d = df.filter(F.col(value) > 0).select(key, value)
+    d = _with(running(d, [value, key], {"_i": F.lit(1)}), d.agg(F.count(F.lit(1)).alias("_n")), [])
     return d.select(key, F.col(value), (1 - (F.col("_i") - 1) / F.col("_n")).alias("ccdf"))
 
 
-def average_rank(value: str, *group: str) -> Column:
-    """Rank with ties at their mean."""
-    w = Window.partitionBy(*group).orderBy(value)
-    ties = Window.partitionBy(*group, value)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2
+def average_rank(df: DataFrame, value: str, name: str, *group: str) -> DataFrame:
+    """df with the rank of the value, ties at their mean; null values have none."""
+    ranks = _counts(df, value, list(group)).select(*group, value, (F.col("_a") + (F.col("_c") + 1) / 2).alias(name))
+    return df.join(ranks, [*group, value], "left").select(*df.columns, name)
 
 
-def percent_rank_average(value: str, *group: str) -> Column:
-    return average_rank(value, *group) / F.count(F.lit(1)).over(Window.partitionBy(*group))
+def percent_rank_average(df: DataFrame, value: str, name: str) -> DataFrame:
+    """df with the average rank over the number of rows."""
+    return _with(average_rank(df, value, name), df.agg(F.count(F.lit(1)).alias("_n")), []).withColumn(name, F.col(name) / F.col("_n")).drop("_n")
 
 
 def ols(df: DataFrame, x: str, y: str, *group: str) -> DataFrame:
@@ -75,13 +86,14 @@ def residuals(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, *group: str) -> DataFrame:
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_rx": average_rank(x, *group), "_ry": average_rank(y, *group)})
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = average_rank(average_rank(d, x, "_rx", *group), y, "_ry", *group)
     return d.groupBy(*group).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     """Rank correlation of x and y with z's rank taken out of both."""
-    d = df.withColumns({"_rx": average_rank(x), "_ry": average_rank(y), "_rz": average_rank(z)})
+    d = average_rank(average_rank(average_rank(df, x, "_rx"), y, "_ry"), z, "_rz")
     d = residuals(d, "_rz", "_rx").withColumnRenamed("residual", "_ex")
     d = residuals(d, "_rz", "_ry").withColumnRenamed("residual", "_ey")
     return d.agg(F.corr("_ex", "_ey").alias("rho"))

@@ -11,6 +11,7 @@ from ..functions import names as N
 from . import grants as G
 from . import linkage as L
 from .papers import first_by
+from .ranges import numbered
 
 
 def ordered_union(*lists: Column) -> Column:
@@ -163,8 +164,6 @@ def top_institutions(ties: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
 
 def edge_payload(events: DataFrame, nodes: DataFrame) -> DataFrame:
     """a, b (places of the ends in the sorted list of nodes), layer, year, item, w: what a page needs of an event."""
-    from .papers import numbered
-
     at = numbered(nodes.select("node_id").distinct(), "node_id", "at")
     e = events.join(at.toDF("u", "i"), "u").join(at.toDF("v", "j"), "v")
     return e.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.when(F.col("layer") == "pub", 0).otherwise(1).alias("layer"), "year", "item", F.round("weight_1n", 4).alias("w"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import METHOD_STRENGTH, PLAUSIBLE_FIELDS
 from ..functions.names import compatible
-from .papers import first_by, numbered
+from .papers import first_by
+from .ranges import numbered
 
 
 def wanted_keys(wanted: DataFrame, cache: DataFrame, key: str, per_call: int = 50) -> DataFrame:

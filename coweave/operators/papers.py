@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import BLOCKING_REASONS, is_blocked, subtract_reasons
 from .edges import surrogate
-from .lineage import cut
+from .ranges import numbered
 
 
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -16,16 +16,6 @@ def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows numbered from 0 by an ascending key. Ranges of keys are counted apart, so no task sorts all rows."""
-    ranged = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-    ranged = cut(ranged)
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # one row for each part
-    here = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return ranged.withColumn(name, here).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
-
-
 def years_of(dates: Column) -> Column:
     """Sorted distinct years of an array of dates that start with one."""
     y = F.transform(dates, lambda d: F.expr("try_cast(NULL AS int)") if d is None else F.substring(d, 1, 4))

@@ -200,7 +200,7 @@ def h15(v):
 
 @query("h16_pct_rank", f"WITH {PERSON} SELECT teacher_id, round((rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0) / count(*) OVER (), 8) AS pct FROM per")
 def h16(v):
-    return persons(v).select("teacher_id", F.round(S.percent_rank_average("n"), 8).alias("pct"))
+    return S.percent_rank_average(persons(v), "n", "pct").select("teacher_id", F.round("pct", 8).alias("pct"))
 
 
 @query("l5_ols", f"WITH {PERSON} SELECT round(regr_slope(log10(total), log10(n)), 6) AS slope, round(regr_intercept(log10(total), log10(n)), 6) AS intercept, round(corr(log10(n), log10(total)), 6) AS r, count(*) AS n FROM per")

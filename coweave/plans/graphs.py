@@ -137,7 +137,7 @@ _PCT = "(rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1)
 def d18(v):
     from ..functions.stats import percent_rank_average
 
-    pct = v.nodes_p.select(F.col("node_id").alias("v"), percent_rank_average("value").alias("pct"))
+    pct = percent_rank_average(v.nodes_p.select(F.col("node_id").alias("v"), "value"), "value", "pct").select("v", "pct")
     return G.neighbours(graph(v)).join(pct, "v").groupBy(F.col("u").alias("node")).agg(F.round(F.avg("pct"), 8).alias("partners"))
 
 
@@ -145,7 +145,7 @@ def d18(v):
 def o30(v):
     from ..functions.stats import percent_rank_average, quantile_group
 
-    pct = v.nodes_p.select(F.col("node_id").alias("v"), percent_rank_average("value").alias("pct"))
+    pct = percent_rank_average(v.nodes_p.select(F.col("node_id").alias("v"), "value"), "value", "pct").select("v", "pct")
     own = G.neighbours(graph(v)).join(pct, "v").groupBy(F.col("u").alias("node_id")).agg(F.avg("pct").alias("partners"))
     return own.join(quantile_group(v.nodes_p.select("node_id", "value"), "value"), "node_id").groupBy("quantile_group").agg(F.round(F.avg("partners"), 8).alias("partners"))
 

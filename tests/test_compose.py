@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from coweave.functions import affiliations as A
 from coweave.functions import departments as D
 from coweave.functions import geo as X
-from coweave.operators import candidates, lookups, papers
+from coweave.operators import candidates, lookups, ranges
 from coweave.operators import graph as G
 from coweave.plans import programs
 from coweave.sources import readers, sinks
@@ -112,7 +112,7 @@ def test_client():
 
 
 def test_numbering(spark):
-    got = papers.numbered(spark.range(1000).selectExpr("(id * 7919) % 1000 AS k").repartition(6), "k", "at").collect()
+    got = ranges.numbered(spark.range(1000).selectExpr("(id * 7919) % 1000 AS k").repartition(6), "k", "at").collect()
     assert all(r["k"] == r["at"] for r in got) and len(got) == 1000
 
 
