@@ -19,8 +19,8 @@ def one(spark, column):
 
 
 def test_average_rank(spark):
-    d = spark.createDataFrame([(1,), (1,), (3,), (9,)], "v int").select(S.percent_rank_average("v").alias("p"))
-    assert sorted(r[0] for r in d.collect()) == [0.375, 0.375, 0.75, 1.0]
+    d = S.percent_rank_average(spark.createDataFrame([(1,), (1,), (3,), (9,)], "v int"), "v", "p")
+    assert sorted(r["p"] for r in d.collect()) == [0.375, 0.375, 0.75, 1.0]
 
 
 def test_gaps(spark):
