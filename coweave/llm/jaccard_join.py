@@ -276,6 +276,8 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
 
     signed = materialize(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sign, "doc_id long, text_hash long, key long, sig binary, sig8 binary"), "signed")
     keys = materialize(signed.filter("key <> 0").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("sig").alias("sig"), F.max("sig8").alias("sig8")), "keys")
+    rows = materialize(signed.select("doc_id", "text_hash", "key"), "rows")
+    discard(signed)
     near = candidates(keys, similarity)
     groups = components(near)
     discard(near)
@@ -286,7 +288,7 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     state = keys.select("key", "n").join(final, "key", "left").join(number, "key", "left").withColumn("root", F.coalesce("root", "key"))
     state = materialize(state, "state")
     discard(links, final, keys)
-    return signed.drop("sig", "sig8"), state
+    return rows, state
 
 
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

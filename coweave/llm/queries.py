@@ -19,7 +19,7 @@ def op1_quality_rules(spark, sf_dir):
     from .quality_rules import judge
 
     judged = judge(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "level")
 
 
 def op2_url_filter(spark, sf_dir):
@@ -46,7 +46,7 @@ def op4_decontaminate(spark, sf_dir):
 def op5_line_dedup(spark, sf_dir):
     from .line_dedup import line_dedup
 
-    return line_dedup(table(spark, sf_dir, "documents"), least_words=1)
+    return line_dedup(table(spark, sf_dir, "documents"))
 
 
 def op6_class_lm(spark, sf_dir):

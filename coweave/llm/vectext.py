@@ -45,7 +45,22 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return buf, offs - lo
 
 
-def slices_by_bytes(batches, column: str, most: int = 6 << 20):
+@functools.cache
+def _allocator():
+    import ctypes
+
+    libc = ctypes.CDLL(None)
+    return libc if hasattr(libc, "malloc_trim") else None
+
+
+def give_back_memory() -> None:
+    """Return what this worker no longer uses to the system: idle workers are kept for the next task."""
+    pa.default_memory_pool().release_unused()
+    if _allocator():
+        _allocator().malloc_trim(0)
+
+
+def slices_by_bytes(batches, column: str, most: int = 4 << 20):
     """Arrow record batches cut or passed on so that a piece holds about ``most`` bytes of text; a longer text stays whole."""
     for batch in batches:
         texts = batch.column(column)
@@ -58,6 +73,7 @@ def slices_by_bytes(batches, column: str, most: int = 6 << 20):
             to = min(to, len(texts))
             yield batch.slice(at, to - at)
             at = to
+    give_back_memory()
 
 
 def _offsets(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
