@@ -3,17 +3,16 @@
 1. A document is the set of its five-word shingles (all words, if it has fewer). Documents with equal sets are one key.
 2. A key's signature holds the least of its shingles under COORDINATES hash functions; (coordinate, value) pairs are the tokens
    of the search: two keys share each with a probability equal to their Jaccard similarity.
-3. Each repetition starts at a root that holds all keys. A bucket samples each coordinate with a probability of
+3. Each repetition starts at a root that holds all keys. A root samples each coordinate with a probability of
    1 / (similarity * COORDINATES), and its members go on to the child buckets named by their values there. Buckets of up to
    LIMIT members are brute-forced on signatures. A larger one first tries one member as a pivot: what agrees with the pivot by
    NEAR or more is linked to it and leaves the bucket, what agrees by LINK or more is linked as well. As one less the
    similarity is a metric, whatever is similar to a member that left is within LINK of the pivot, so no partner is lost, and a
-   bucket of copies of one text empties in a linear step. The rest is split further. Buckets are routed by their counts; no
-   large one is ever gathered in a task.
-4. Pairs of 0.8 meet in one repetition's first level with a probability of 1 - 0.2 ^ (sampled coordinates). A bucket that is
-   split keeps a pair only if it samples a coordinate on which the two agree, so what a coordinate is worth falls with the
-   depth. The keys of split buckets get further repetitions, until those reach RECALL at the greatest depth that was met: a
-   pair that no bucket of the first repetitions settled has either met in none or has both its keys in split ones.
+   bucket of copies of one text empties in a linear step. The rest is split further, on SPLIT sampled coordinates, so that a pair
+   of 0.8 stays together in a child with a probability of 0.96. Buckets are routed by their counts; no large one is ever gathered
+   in a task.
+4. As many roots are taken as make such a pair meet with a probability of RECALL in buckets that come from DEPTH splits. That
+   probability is 0.998 after 8 splits and 0.98 after 16, by when a bucket has lost all but a few of the texts that share a passage.
 5. Links so far are candidates. Their components are cut into blocks, and pairs of blocks are compared on whole shingle sets,
    which are read from the texts for those keys only. That gives every key's number of links, and its final component. Blocks of
    a large component hold sets of similar size only, as sets that differ more in size cannot be similar.
@@ -39,9 +38,9 @@ from .common import discard, fresh, id_and_text, materialize, whole_runs
 from .components import components, least_labels
 
 SIMILARITY, SHINGLE = 0.8, 5
-COORDINATES, LIMIT, BLOCK = 96, 512, 512
-NEAR, LINK, PAIR = 0.8, 0.5, 0.6
-RECALL = 0.9999
+COORDINATES, LIMIT, BLOCK = 96, 2048, 512
+NEAR, LINK, PAIR = 0.72, 0.42, 0.6
+RECALL, SPLIT, DEPTH = 0.9999, 2, 3
 _RNG = np.random.default_rng(20)
 _MULT = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -95,13 +94,10 @@ def sampled(node: np.ndarray, similarity: float) -> np.ndarray:
 
 def survival(similarity: float, depth: int) -> float:
     """How likely a pair of just this similarity in a bucket still is in one bucket after ``depth`` splits."""
-    q = 1.0
-    for _ in range(depth):
-        q = 1 - (1 - q / COORDINATES) ** COORDINATES
-    return q
+    return (1 - (1 - similarity) ** SPLIT) ** depth
 
 
-def roots(similarity: float, depth: int = 0) -> np.ndarray:
+def roots(similarity: float, depth: int) -> np.ndarray:
     """As many first buckets as make a pair of just this similarity meet with a probability of RECALL in buckets that come from
     ``depth`` splits. Those of a lower depth come first."""
     need = math.log(1 - RECALL) / math.log(1 - similarity * survival(similarity, depth))
@@ -109,10 +105,23 @@ def roots(similarity: float, depth: int = 0) -> np.ndarray:
     return node[: 1 + int(np.searchsorted(np.cumsum(sampled(node, similarity).sum(axis=1)), need))]
 
 
-def children(node: np.ndarray, sig: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row and child bucket for each coordinate that the row's bucket samples."""
-    row, k = np.nonzero(sampled(node, similarity))
-    return row, V.mix(node.view(np.uint64)[row] + V.mix((k.astype(np.uint64) << np.uint64(32)) | sig[row, k].astype(np.uint64))).view(np.int64)
+def _children(node: np.ndarray, sig: np.ndarray, row: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return V.mix(node.view(np.uint64)[row] + V.mix((k.astype(np.uint64) << np.uint64(32)) | sig[row, k].astype(np.uint64))).view(np.int64)
+
+
+def first_children(root: int, sig: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and child bucket for each coordinate that a root samples."""
+    node = np.full(len(sig), root, np.int64)
+    row, k = np.nonzero(np.broadcast_to(sampled(node[:1], similarity), sig.shape)) if len(sig) else (node, node)
+    return row, _children(node, sig, row, k)
+
+
+def split_children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and child bucket for SPLIT different coordinates that the row's bucket samples."""
+    row = np.tile(np.arange(len(node)), SPLIT)
+    start, step = V.mix(node.view(np.uint64) ^ _MULT[0]), V.mix(node.view(np.uint64) ^ _MULT[1])
+    k = np.concatenate([(start + np.uint64(j) * (np.uint64(1) + step % np.uint64(COORDINATES - 1))) % np.uint64(COORDINATES) for j in range(SPLIT)])
+    return row, _children(node, sig, row, k.astype(np.int64))
 
 
 def _matrix(column: pa.Array, kind=np.uint32) -> np.ndarray:
@@ -129,7 +138,7 @@ def candidates(keys: DataFrame, similarity: float) -> DataFrame:
             for b in batches:
                 sig = _matrix(b.column("sig"))
                 for r in start:
-                    row, child = children(np.full(len(b), r), sig, similarity)
+                    row, child = first_children(r, sig, similarity)
                     yield pa.RecordBatch.from_arrays([pa.array(child), b.column("key").take(pa.array(row))], ["node", "key"])
 
         return run
@@ -137,12 +146,13 @@ def candidates(keys: DataFrame, similarity: float) -> DataFrame:
     def brute(batches):
         for t in whole_runs(batches, ["node"]):
             node, key, sig = t["node"].to_numpy(), t["key"].to_numpy(), _matrix(t["sig8"], np.uint8)
-            a, b, d = [], [], 1
-            while d < len(node):
-                i = np.flatnonzero(node[d:] == node[:-d])
-                if not i.size:
+            a, b, d, alive = [], [], 1, np.arange(len(node))
+            while True:
+                alive = alive[alive + d < len(node)]
+                alive = alive[node[alive] == node[alive + d]]
+                if not alive.size:
                     break
-                i = i[(sig[i] == sig[i + d]).sum(axis=1) >= PAIR * rate]
+                i = alive[(sig[alive] == sig[alive + d]).sum(axis=1) >= PAIR * rate]
                 a.append(i)
                 b.append(i + d)
                 d += 1
@@ -159,37 +169,26 @@ def candidates(keys: DataFrame, similarity: float) -> DataFrame:
             at = np.flatnonzero((agree >= LINK * rate) & (key != p))
             yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(key[at]), pa.array(p[at])], ["node", "key", "to"])
             rest = np.flatnonzero(agree < NEAR * rate)
-            row, child = children(node[rest], sig[rest], similarity)
-            end = np.setdiff1d(rest, rest[row])  # their bucket samples no coordinate
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(end), pa.int64()), pa.array(key[end]), pa.nulls(len(end), pa.int64())], ["node", "key", "to"])
+            row, child = split_children(node[rest], sig[rest])
             yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(key[rest[row]]), pa.nulls(len(row), pa.int64())], ["node", "key", "to"])
 
-    found, done, most, members = [], 0, 0, keys.select("key", "sig")
-    while done < len(start := roots(similarity, most)):
-        rows = materialize(members.mapInArrow(first(start[done:]), "node long, key long"), "nodes")
-        hot, done, depth = [], len(start), 0
-        while True:
-            sizes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("pivot")).filter("n > 1"), "sizes")
-            small = rows.join(sizes.filter(F.col("n") <= LIMIT).select("node"), "node", "left_semi").join(keys.select("key", "sig8"), "key")
-            found.append(materialize(small.repartition("node").sortWithinPartitions("node", "key").select("node", "key", "sig8").mapInArrow(brute, "a long, b long"), "links"))
-            large = sizes.filter(F.col("n") > LIMIT)
-            if large.isEmpty():
-                discard(rows, sizes)
-                break
-            depth += 1
-            pivots = large.select("node", "pivot").join(keys.select(F.col("key").alias("pivot"), F.col("sig8").alias("pivot_sig")), "pivot")
-            tried = rows.join(pivots, "node").join(keys.select("key", "sig"), "key").select("node", "key", "sig", "pivot", "pivot_sig")
-            split = materialize(tried.mapInArrow(pivot, "node long, key long, to long"), "split")
-            found.append(materialize(split.filter("to IS NOT NULL").select(F.col("key").alias("a"), F.col("to").alias("b")).distinct(), "links"))
-            hot = hot or [materialize(split.filter("to IS NULL").select("key").distinct(), "hot")]
+    found = []
+    rows = materialize(keys.select("key", "sig").mapInArrow(first(roots(similarity, DEPTH)), "node long, key long"), "nodes")
+    while True:
+        sizes = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("pivot")).filter("n > 1"), "sizes")
+        small = rows.join(sizes.filter(F.col("n") <= LIMIT).select("node"), "node", "left_semi").join(keys.select("key", "sig8"), "key")
+        found.append(materialize(small.repartition("node").sortWithinPartitions("node", "key").select("node", "key", "sig8").mapInArrow(brute, "a long, b long"), "links"))
+        large = sizes.filter(F.col("n") > LIMIT)
+        if large.isEmpty():
             discard(rows, sizes)
-            rows = materialize(split.filter("node IS NOT NULL").select("node", "key"), "nodes")
-            discard(split)
-        if done == len(roots(similarity)):  # the first repetitions, which hold all keys
-            if not hot:
-                break
-            members = materialize(keys.select("key", "sig").join(hot[0], "key", "left_semi"), "hot")
-        most = max(most, depth)
+            break
+        pivots = large.select("node", "pivot").join(keys.select(F.col("key").alias("pivot"), F.col("sig8").alias("pivot_sig")), "pivot")
+        tried = rows.join(pivots, "node").join(keys.select("key", "sig"), "key").select("node", "key", "sig", "pivot", "pivot_sig")
+        split = materialize(tried.mapInArrow(pivot, "node long, key long, to long"), "split")
+        found.append(materialize(split.filter("to IS NOT NULL").select(F.col("key").alias("a"), F.col("to").alias("b")).distinct(), "links"))
+        discard(rows, sizes)
+        rows = materialize(split.filter("node IS NOT NULL").select("node", "key"), "nodes")
+        discard(split)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -247,14 +246,13 @@ def _compare_block(key: np.ndarray, block: np.ndarray, flat: np.ndarray, sizes:
     new = np.cumsum(shared) - 1
     use = shared[code]
     code, own = new[code[use]], own[use]
-    both = np.zeros((n, n), np.float32)
-    order = np.argsort(code, kind="stable")
-    code, own = code[order], own[order]
-    for lo in range(0, int(shared.sum()), 4096):
-        a, b = np.searchsorted(code, (lo, lo + 4096))
-        m = np.zeros((n, 4096), np.float32)
-        m[own[a:b], code[a:b] - lo] = 1
-        both += m @ m.T
+    # a bit for each shared shingle; what two sets have in common is counted 64 shingles at a time
+    bits = np.zeros((n, int(shared.sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (own, code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))
+    both = np.zeros((n, n), np.int64)
+    for i in range(n):
+        both[i, i:] = np.bitwise_count(bits[i] & bits[i:]).sum(axis=1, dtype=np.int64)
+    both = np.maximum(both, both.T)
     total = (sizes[:, None] + sizes[None, :]) - both
     ok = both >= similarity * total - 1e-6
     np.fill_diagonal(ok, False)
