@@ -9,7 +9,7 @@ from ..functions import affiliations as A
 from ..functions.names import HAN
 
 # How far behind the name a line may stand, and the rank of each kind of page.
-MOST_DISTANCE = {"profile": 4000, "personal": 4000, "host_title": 4000, "list": 600}
+MOST_DISTANCE = {"profile": 1500, "personal": 1500, "host_title": 1500, "list": 400}
 SOURCE_RANK = {"profile": 0, "personal": 1, "host_title": 2, "list": 3}
 
 
