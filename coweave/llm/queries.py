@@ -83,7 +83,17 @@ def op10_bpe_codec(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), _bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_token_files, op4_decontaminate, op5_line_dedup, op6_class_lm, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec)}
+def op11_fill_in_middle(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .fill_in_middle import fill_in_middle, restored
+
+    cut = fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = [F.sha2(c.cast("binary"), 256).alias(f"{name}_sha256") for name, c in (("output", F.col("output")), ("restored", restored(F.col("output"), F.col("form"))))]
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_token_files, op4_decontaminate, op5_line_dedup, op6_class_lm, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec, op11_fill_in_middle)}
 
 _HOST = "regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*')"
 
