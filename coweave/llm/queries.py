@@ -93,7 +93,16 @@ def op11_fill_in_middle(spark, sf_dir):
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_token_files, op4_decontaminate, op5_line_dedup, op6_class_lm, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec, op11_fill_in_middle)}
+def op12_hard_negatives(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .hard_negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_token_files, op4_decontaminate, op5_line_dedup, op6_class_lm, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec, op11_fill_in_middle, op12_hard_negatives)}
 
 _HOST = "regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*')"
 
