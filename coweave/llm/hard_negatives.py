@@ -13,7 +13,7 @@ of all groups are merged. The sample only changes the work, never the answers: e
 
 Defined cases: rows with a null id, label or vector, or with a null or non-finite component, take no part; shorter vectors count as
 filled up with zeros; rows that repeat id, label and vector count once; rows with one id but different labels or vectors are rows of
-their own, and an anchor's own id is never its positive; equal scores are in the order of ids; an empty table, or one without
+their own; equal scores are in the order of ids; an empty table, or one without
 anchors, gives no rows; other columns are ignored. Squared norms of codes from 2^52 raise an error, as scores would not be exact.
 """
 
@@ -286,7 +286,8 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "label", "v", "ids"), "classes")
     index = Index(classes)
     anchors = rows.filter("anchor").select(F.col("id").alias("anchor_id"), "label", "v").distinct()
-    named = materialize(anchors.join(classes.select("cid", "label", "v"), ["label", "v"]).select("anchor_id", "cid"), "anchors")
+    own = F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c).alias("own")
+    named = materialize(anchors.join(classes.select("cid", "label", "v"), ["label", "v"]).select("anchor_id", "cid", own), "anchors")
     asked = classes.join(named.select("cid").distinct(), "cid", "left_semi").select(F.col("cid").alias("qid"), "label", "v")
     asked = materialize(asked.repartition(shuffle_partitions(spark), "qid"), "asked")
     near = index.nearest(asked.withColumns({"lo": F.lit(float("-inf")), "hi": F.lit(float("inf"))}), True, positives + 1)
@@ -300,6 +301,7 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     found = near.join(windows.join(lists, "qid").drop("qid"), ["cid", "p"], "left").groupBy("cid")
     answers = materialize(found.agg(F.sort_array(F.collect_list(F.struct("place", "id", "p", "hard"))).alias("found")), "answers")  # positives + 1
     index.drop(rows, classes, asked, windows)
-    own = F.slice(F.filter("found", lambda f: f["id"] != F.col("anchor_id")), 1, positives)
-    d = named.join(answers, "cid").select("anchor_id", F.explode(own).alias("f")).select("anchor_id", "f", F.explode("f.hard").alias("h"))
+    itself = lambda f: (f["id"] == F.col("anchor_id")) & (f["p"] == F.col("own"))  # noqa: E731  the anchor's row, or one with its id that is as good
+    others = F.sort_array(F.concat(F.filter("found", lambda f: ~itself(f)), F.slice(F.filter("found", itself), 2, positives)))
+    d = named.join(answers, "cid").select("anchor_id", F.explode(F.slice(others, 1, positives)).alias("f")).select("anchor_id", "f", F.explode("f.hard").alias("h"))
     return d.select("anchor_id", F.col("f.id").alias("positive_id"), F.col("h.rank").cast("int").alias("rank"), F.col("h.id").alias("negative_id"), F.col("f.p").alias("positive_score"), F.col("h.score").alias("negative_score"))

@@ -102,7 +102,14 @@ def op12_hard_negatives(spark, sf_dir):
     return mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_token_files, op4_decontaminate, op5_line_dedup, op6_class_lm, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec, op11_fill_in_middle, op12_hard_negatives)}
+def op13_warc_packages(spark, sf_dir):
+    from .warc_zip import round_trip, scratch_path
+
+    records = round_trip(table(spark, sf_dir, "pages"), scratch_path(spark))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_token_files, op4_decontaminate, op5_line_dedup, op6_class_lm, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec, op11_fill_in_middle, op12_hard_negatives, op13_warc_packages)}
 
 _HOST = "regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*')"
 
