@@ -99,10 +99,61 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     return d.agg(F.corr("_ex", "_ey").alias("rho"))
 
 
+def _same(left: str, right: str, group: list[str]) -> Column:
+    out = F.lit(True)
+    for g in group:
+        out = out & F.col(f"{left}{g}").eqNullSafe(F.col(f"{right}{g}"))
+    return out
+
+
+def by_group(rows: DataFrame, totals: DataFrame, group: list[str], how: str = "left") -> DataFrame:
+    """rows joined with the totals of their group; nulls are a group like others."""
+    if not group:
+        return rows.crossJoin(F.broadcast(totals))  # one row
+    return rows.join(totals.withColumnsRenamed({g: f"_t_{g}" for g in group}), _same("", "_t_", group), how).drop(*[f"_t_{g}" for g in group])
+
+
+def exact_quantiles(rows: DataFrame, group: list[str], value: str, cuts: dict[str, float]) -> DataFrame:
+    """group and a column for each cut: the exact quantile of the known values, between the two nearest of them if it falls there.
+
+    Values are counted, the counts run up along group and value by ranges of both, and the two values that hold a place are picked
+    from it by an aggregation: no task sees a group, however many rows or values it has. Groups without a known value have no row."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ran = running(counts, [*group, "_v"], {"_upto": F.col("_n")})
+    totals = ran.groupBy(*group).agg(F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.sum("_n").alias("_all"))
+    d = by_group(ran, totals, group, "inner").withColumn("_before", F.col("_upto") - F.col("_n") - F.col("_start"))
+    at = lambda place: F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_n")), F.col("_v")))
+    picked, out = [], []
+    for name, q in cuts.items():
+        place = (F.col("_all") - 1) * F.lit(q)
+        picked += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}"), F.max(place - F.floor(place)).alias(f"_in_{name}")]
+        out.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_in_{name}")).alias(name))
+    return d.groupBy(*group).agg(*picked).select(*group, *out)
+
+
+def exact_median(rows: DataFrame, group: list[str], value: str, name: str = "median") -> DataFrame:
+    return exact_quantiles(rows, group, value, {name: 0.5})
+
+
+def keep_top(rows: DataFrame, key: str, most: int, name: str = "kept", other: str = "other") -> DataFrame:
+    """rows with the key as text if it is one of the ``most`` with most rows (the least of equals first), else ``other``; what is then
+    aggregated by the new column, distinct counts too, is right for the rest as a whole."""
+    top = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_k").limit(most).select("_k")
+    d = rows.join(F.broadcast(top), F.col(key) == F.col("_k"), "left")  # ``most`` rows
+    return d.withColumn(name, F.coalesce(F.col("_k").cast("string"), F.lit(other))).drop("_k")
+
+
+def keep_large(rows: DataFrame, key: str, least: int, name: str = "kept", other: str = "other") -> DataFrame:
+    """rows with the key as text if at least ``least`` rows have it, else ``other``."""
+    large = rows.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select("_k")
+    return rows.join(large, F.col(key) == F.col("_k"), "left").withColumn(name, F.coalesce(F.col("_k").cast("string"), F.lit(other))).drop("_k")
+
+
 def quantile_group(df: DataFrame, value: str, cuts: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """1 for values up to the first quantile, and so on."""
-    q = df.agg(F.percentile(value, F.array(*[F.lit(c) for c in cuts])).alias("_q"))
-    return df.crossJoin(F.broadcast(q)).withColumn("quantile_group", F.lit(1) + sum(F.when(F.col(value) > F.get("_q", F.lit(i)), 1).otherwise(0) for i in range(len(cuts)))).drop("_q")  # one row
+    q = exact_quantiles(df, [], value, {f"_q{i}": c for i, c in enumerate(cuts)})
+    step = sum(F.when(F.col(value) > F.col(f"_q{i}"), 1).otherwise(0) for i in range(len(cuts)))
+    return df.crossJoin(F.broadcast(q)).withColumn("quantile_group", F.lit(1) + step).drop(*[f"_q{i}" for i in range(len(cuts))])  # one row
 
 
 def share_of_total(value: Column, *group: str) -> Column:

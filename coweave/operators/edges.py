@@ -35,20 +35,26 @@ def paper_edges(papers: DataFrame, authors: DataFrame) -> DataFrame:
     return pairs.select(surrogate("E-", 20, "paper_id", "source_node_id", "target_node_id").alias("edge_id"), "year", "paper_id", "source_node_id", "target_node_id", "n_authors", "weight_1n", "weight_pair")
 
 
-def project_edges(rows: DataFrame) -> DataFrame:
+def project_edges(rows: DataFrame, block: int = 256) -> DataFrame:
     """rows: family, year, member. Every pair of a family's members in every year of the family, with a mark whether both were
-    recorded in that year."""
-    members = rows.select("family", "member").distinct()
-    size = Window.partitionBy("family")
-    sized = members.withColumn("n_members", F.count(F.lit(1)).over(size)).filter("n_members > 1")
-    left = sized.withColumnRenamed("member", "source_node_id")
-    pairs = left.join(members.withColumnRenamed("member", "target_node_id"), "family").filter("source_node_id < target_node_id")
-    here = rows.select("family", "year", "member").distinct()
-    out = pairs.join(here.select("family", "year").distinct(), "family")
-    out = out.join(here.select("family", "year", F.col("member").alias("source_node_id"), F.lit(1).alias("a")), ["family", "year", "source_node_id"], "left")
-    out = out.join(here.select("family", "year", F.col("member").alias("target_node_id"), F.lit(1).alias("b")), ["family", "year", "target_node_id"], "left")
-    both = (F.coalesce("a", F.lit(0)) * F.coalesce("b", F.lit(0))).alias("both_recorded_this_year")
-    return out.withColumns(pair_weights("n_members")).select("family", "year", "source_node_id", "target_node_id", F.col("n_members").cast("int").alias("n_members"), both, "weight_1n", "weight_pair")
+    recorded in that year.
+
+    A family's members are dealt into blocks of about ``block``; a pair of blocks is a cell, and pairs are made within cells. So the
+    largest family is many small tasks, and its members are copied once for each of its blocks only."""
+    per = rows.groupBy("family", "member").agg(F.collect_set("year").alias("years"))
+    size = per.groupBy("family").agg(F.count(F.lit(1)).alias("n_members")).filter("n_members > 1")
+    span = rows.groupBy("family").agg(F.collect_set("year").alias("family_years"))
+    blocks = F.ceil(F.col("n_members") / block).cast("int")
+    dealt = per.join(size, "family").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
+    copies = dealt.select("family", "member", "years", "n_members", "b", other).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")})
+    left = copies.filter("b = i").select("family", "i", "j", "n_members", F.col("member").alias("m"), F.col("years").alias("ym"))
+    right = copies.filter("b = j").select("family", "i", "j", F.col("member").alias("n"), F.col("years").alias("yn"))
+    pairs = left.join(right, ["family", "i", "j"]).filter("i < j OR m < n").withColumns({"source_node_id": F.least("m", "n"), "target_node_id": F.greatest("m", "n")})
+    out = pairs.join(span, "family").select("*", F.explode("family_years").alias("year"))
+    both = (F.array_contains("ym", F.col("year")) & F.array_contains("yn", F.col("year"))).cast("int").alias("both_recorded_this_year")
+    key = surrogate("JE-", 16, "family", "year", "source_node_id", "target_node_id").alias("edge_id")
+    return out.withColumns(pair_weights("n_members")).select(key, "family", "year", "source_node_id", "target_node_id", F.col("n_members").cast("int").alias("n_members"), both, "weight_1n", "weight_pair")
 
 
 def edge_events(papers: DataFrame, projects: DataFrame) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import math
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, drop
+from .ranges import running
 
 
 def neighbours(pairs: DataFrame) -> DataFrame:
@@ -16,92 +23,98 @@ def degree(pairs: DataFrame) -> DataFrame:
     return neighbours(pairs).groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-def connected_components(pairs: DataFrame, local_edges: int = 1 << 20) -> DataFrame:
-    """node, component (its least node): in one task while the pairs are few, counted beforehand, else by alternating large and
-    small stars until nothing changes."""
+def connected_components(pairs: DataFrame) -> DataFrame:
+    """node, component (its least node), by alternating large and small stars until nothing changes: each pass hangs nodes on the
+    least node they know of, so their number grows with the logarithm of the longest path."""
     e = cut(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    return _components_in_a_task(e) if e.count() <= local_edges else _components_by_stars(e)
-
-
-def _components_in_a_task(e: DataFrame) -> DataFrame:
-    kind = dict(e.dtypes)["u"]
-
-    def run(batches):
-        import pyarrow as pa
-
-        above: dict = {}
-
-        def top(x):
-            while above.setdefault(x, x) != x:
-                above[x] = x = above[above[x]]
-            return x
-
-        for b in batches:
-            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
-                u, v = sorted((top(u), top(v)))
-                above[v] = u
-        if above:
-            nodes = sorted(above)
-            yield pa.RecordBatch.from_pydict({"node": nodes, "component": [top(x) for x in nodes]})
-
-    return e.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
-
-
-def _components_by_stars(e: DataFrame) -> DataFrame:
+    told = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = cut(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), e)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        step = cut(small.filter("u <> v").distinct())
-        same = [d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (e, step)]
-        e = step
-        if same[0] == same[1]:
+        e = cut(small.filter("u <> v").distinct(), large)
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == told:
             break
+        told = now
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def shortest_paths(pairs: DataFrame) -> DataFrame:
-    """s, t, d, sigma (number of shortest paths) of every ordered pair of distinct connected nodes: breadth-first levels from
-    all sources at once, until no pair is new. Its result is quadratic in the nodes of a component; it is for graphs of people."""
-    nb = cut(neighbours(pairs))
-    found = front = cut(nb.groupBy(F.col("u").alias("s"), F.col("v").alias("t")).agg(F.lit(1).alias("d"), F.lit(1.0).alias("sigma")))
-    depth = 2
-    while True:
+def largest_component(pairs: DataFrame) -> DataFrame:
+    """The pairs of the component with most nodes, the one with the least node of several."""
+    components = connected_components(pairs)
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    first = F.broadcast(sizes.orderBy(F.desc("n"), "component").limit(1).select("component"))
+    return pairs.join(components.join(first, "component").select(F.col("node").alias("u")), "u", "left_semi")
+
+
+# -- shortest paths ------------------------------------------------------------------------------------------------------------
+
+
+def _levels(nb: DataFrame, sources: DataFrame) -> list[DataFrame]:
+    """By distance from 1 on: s, t and sigma, the number of shortest paths, of the nodes t that far from a source s. A neighbour of a
+    level lies in it, in the one before or in the next, so two levels tell what is new."""
+    front = cut(nb.join(sources.select(F.col("node").alias("u")), "u", "left_semi").select(F.col("u").alias("s"), F.col("v").alias("t"), F.lit(1.0).alias("sigma")))
+    levels: list[DataFrame] = []
+    while not front.isEmpty():
+        levels.append(front)
+        seen = front.select("s", "t") if len(levels) < 2 else front.select("s", "t").union(levels[-2].select("s", "t"))
         step = front.join(nb.select(F.col("u").alias("t"), F.col("v").alias("x")), "t").filter("s <> x").groupBy("s", F.col("x").alias("t")).agg(F.sum("sigma").alias("sigma"))
-        front = cut(step.join(found.select("s", "t"), ["s", "t"], "left_anti").select("s", "t", F.lit(depth).alias("d"), "sigma"))
-        if front.isEmpty():
-            return found
-        found, depth = found.union(front), depth + 1
+        front = cut(step.join(seen, ["s", "t"], "left_anti"))
+    drop(front)
+    return levels
 
 
-def betweenness(pairs: DataFrame, n_nodes: int | None = None, paths: DataFrame | None = None) -> DataFrame:
-    """node, betweenness: share of shortest paths between other nodes through it, over all pairs of the ``n_nodes`` nodes (those
-    with a pair, unless more are given). Shares are passed back level by level from the ends of the paths, so that the work is
-    that of the edges between levels, not of all pairs of paths."""
-    p = cut(paths if paths is not None else shortest_paths(pairs))
-    nb = cut(neighbours(pairs))
-    n = n_nodes or nb.select("u").distinct().count()
-    total, below = None, None
-    for level in range(p.agg(F.max("d")).first()[0] or 0, 1, -1):
-        ends = p.filter(F.col("d") == level).select("s", "t", "sigma")
-        share = ends.withColumn("x", F.lit(0.0)) if below is None else ends.join(below, ["s", "t"], "left").fillna(0.0, ["x"])
-        back = share.select("s", "t", ((1 + F.col("x")) / F.col("sigma")).alias("c")).join(nb.select(F.col("u").alias("t"), F.col("v").alias("w")), "t")
-        before = p.filter(F.col("d") == level - 1).select("s", F.col("t").alias("w"), "sigma")
-        below = cut(back.join(before, ["s", "w"]).groupBy("s", F.col("w").alias("t")).agg(F.sum(F.col("sigma") * F.col("c")).alias("x")))
-        total = below if total is None else total.union(below)
+def _batches(nb: DataFrame, batch_rows: int):
+    """Nodes in batches of sources, so that a level of a batch makes about ``batch_rows`` rows at most: sources times edges."""
     nodes = nb.select(F.col("u").alias("node")).distinct()
-    scale = 2.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    if total is None:
-        return nodes.withColumn("betweenness", F.lit(0.0))
-    sums = total.groupBy(F.col("t").alias("node")).agg((F.sum("x") / 2).alias("b"))
-    return nodes.join(sums, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+    n = max(1, math.ceil(nodes.count() * nb.count() / batch_rows))
+    for k in range(n):
+        yield nodes.filter(F.pmod(F.xxhash64("node"), F.lit(n)) == k)
 
 
-def path_statistics(paths: DataFrame) -> DataFrame:
-    """Average shortest path and diameter over the pairs given."""
-    return paths.agg(F.avg("d").alias("average_path"), F.max("d").alias("diameter"))
+def betweenness(pairs: DataFrame, n_nodes: int | None = None, batch_rows: int = 1 << 30) -> DataFrame:
+    """node, betweenness: share of the shortest paths between other nodes that lead through it, over all pairs of the ``n_nodes`` nodes
+    (those with a pair, unless more are given, as isolated ones).
+
+    Sources are taken in batches. From each, levels go out, and what depends on a node is passed back from level to level; only a
+    sum for each node stays between batches, and no table of all pairs of nodes is ever made."""
+    nb = cut(neighbours(pairs))
+    n = n_nodes or nb.select("u").distinct().count()
+    total = cut(nb.select(F.col("u").alias("node"), F.lit(0.0).alias("b")).distinct())
+    for sources in _batches(nb, batch_rows):
+        levels = _levels(nb, sources)
+        below, spent = None, []
+        for before, ends in zip(levels[-2::-1], levels[:0:-1], strict=True):
+            share = ends.withColumn("x", F.lit(0.0)) if below is None else ends.join(below, ["s", "t"], "left").fillna(0.0, ["x"])
+            back = share.select("s", "t", ((1 + F.col("x")) / F.col("sigma")).alias("c")).join(nb.select(F.col("u").alias("t"), F.col("v").alias("w")), "t")
+            here = back.join(before.withColumnRenamed("t", "w"), ["s", "w"]).groupBy("s", F.col("w").alias("t")).agg(F.sum(F.col("sigma") * F.col("c")).alias("x"))
+            below = cut(here)
+            spent.append(below)
+        if spent:
+            sums = spent[0]
+            for s in spent[1:]:
+                sums = sums.union(s)
+            total = cut(total.union(sums.select(F.col("t").alias("node"), F.col("x").alias("b"))).groupBy("node").agg(F.sum("b").alias("b")), total, *spent)
+        drop(*levels)
+    drop(nb)
+    return total.select("node", (F.col("b") * (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0)).alias("betweenness"))
+
+
+def path_statistics(pairs: DataFrame, batch_rows: int = 1 << 30) -> DataFrame:
+    """average_path and diameter over the connected pairs of nodes."""
+    nb = cut(neighbours(pairs))
+    paths = total = longest = 0
+    for sources in _batches(nb, batch_rows):
+        levels = _levels(nb, sources)
+        for d, level in enumerate(levels, 1):
+            rows = level.count()
+            paths, total, longest = paths + rows, total + d * rows, max(longest, d)
+        drop(*levels)
+    drop(nb)
+    return pairs.sparkSession.createDataFrame([(total / paths if paths else None, longest or None)], "average_path double, diameter int")
 
 
 def transitivity(pairs: DataFrame) -> DataFrame:
@@ -148,116 +161,195 @@ def same_attribute_share(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
     return e.agg(F.count(F.lit(1)).alias("pairs"), F.avg((F.col("au") == F.col("av")).cast("double")).alias("same"))
 
 
-def permutation_test(pairs: DataFrame, attributes: DataFrame, draws: int, seed: str = "0", stratum: str | None = None) -> DataFrame:
-    """observed, mean, low, high (2.5 and 97.5 percentiles) and p of the same-attribute share when the attributes of nodes are
-    shuffled ``draws`` times, within the column ``stratum`` if given. Each draw's order is that of the MD5 of seed, draw and
-    node, so any engine draws the same."""
-    known = attributes.filter("attribute IS NOT NULL").withColumn("_s", F.col(stratum) if stratum else F.lit(0)).select("node", "attribute", "_s")
-    spark = pairs.sparkSession
-    every = known.crossJoin(spark.range(draws).withColumnRenamed("id", "draw"))  # draws: a number of the caller's
-    at = lambda *order: F.row_number().over(Window.partitionBy("draw", "_s").orderBy(*order))
-    shuffled = every.select("draw", "_s", "attribute", at(F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col("node")).cast("binary")), "node").alias("i"))
-    placed = every.select("draw", "_s", "node", at("node").alias("i")).join(shuffled, ["draw", "_s", "i"]).select("draw", "node", "attribute")
-    e = pairs.join(placed.toDF("draw", "u", "au"), "u").join(placed.toDF("draw", "v", "av"), ["draw", "v"])
-    null = e.groupBy("draw").agg(F.avg((F.col("au") == F.col("av")).cast("double")).alias("share"))
-    real = same_attribute_share(pairs, known.select("node", "attribute")).select(F.col("same").alias("observed"))
-    d = null.crossJoin(F.broadcast(real))  # one row
-    return d.groupBy("observed").agg(F.avg("share").alias("mean"), F.percentile("share", F.lit(0.025)).alias("low"), F.percentile("share", F.lit(0.975)).alias("high"), ((F.count_if(F.col("share") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
-
-
 def degree_bin(c):
     return F.when(c <= 1, "1").when(c == 2, "2").when(c <= 4, "3-4").when(c <= 8, "5-8").otherwise("9+")
 
 
-def leiden(pairs: DataFrame, weight: str = "count", seed: int = 0, rounds: int = 10) -> DataFrame:
-    """node, community: weighted modularity moves, refinement into connected parts and aggregation, in each component.
-
-    A component is one group, so this is for graphs whose components fit an executor."""
-    comp = connected_components(pairs)
-    total = pairs.agg(F.sum(F.col(weight).cast("double")).alias("m"))
-    rows = pairs.join(comp.toDF("u", "component"), "u").select("component", "u", "v", F.col(weight).cast("double").alias("w")).crossJoin(F.broadcast(total))  # one row
-
-    def run(pdf):
-        import pandas as pd
-
-        return pd.DataFrame(_leiden(pdf, seed, rounds), columns=["node", "community"])
-
-    return rows.groupBy("component").applyInPandas(run, "node string, community string")
-
-
-def _leiden(pdf, seed: int, rounds: int) -> list[tuple[str, str]]:
-    import random
-    from collections import deque
-
-    m = float(pdf["m"].iloc[0])
-    names = sorted(set(pdf["u"]) | set(pdf["v"]))
-    index = {x: i for i, x in enumerate(names)}
-    graph: list[dict[int, float]] = [{} for _ in names]
-    loops = [0.0] * len(names)
-    for u, v, w in zip(pdf["u"], pdf["v"], pdf["w"], strict=True):
-        a, b = index[u], index[v]
-        graph[a][b] = graph[a].get(b, 0.0) + w
-        graph[b][a] = graph[b].get(a, 0.0) + w
-    members = [[i] for i in range(len(names))]
-    rng = random.Random(seed)
-    best = list(range(len(names)))
-    for _ in range(rounds):
-        n = len(graph)
-        strength = [sum(g.values()) + 2 * loops[i] for i, g in enumerate(graph)]
-        com, total = list(range(n)), strength[:]
-        moved_any, order = False, list(range(n))
-        rng.shuffle(order)
-        queue, waiting = deque(order), set(order)
-        while queue:
-            i = queue.popleft()
-            waiting.discard(i)
-            near: dict[int, float] = {}
-            for j, w in graph[i].items():
-                near[com[j]] = near.get(com[j], 0.0) + w
-            old = com[i]
-            total[old] -= strength[i]
-            gain = lambda c: near.get(c, 0.0) - strength[i] * total[c] / (2 * m)  # noqa: B023, E731
-            new = max([old, *sorted(near)], key=lambda c: (gain(c), c == old))
-            total[new] += strength[i]
-            if new != old and gain(new) != gain(old):
-                moved_any, com[i] = True, new
-                more = [j for j in graph[i] if com[j] != new and j not in waiting]
-                queue.extend(more)
-                waiting.update(more)
-            else:
-                total[new] -= strength[i]
-                total[old] += strength[i]
-        # communities fall apart into their connected parts
-        part = [-1] * n
-        for i in range(n):
-            if part[i] < 0:
-                stack, part[i] = [i], i
-                while stack:
-                    x = stack.pop()
-                    for j in graph[x]:
-                        if part[j] < 0 and com[j] == com[i]:
-                            part[j] = i
-                            stack.append(j)
-        ids = {p: k for k, p in enumerate(sorted(set(part)))}
-        for i in range(n):
-            for x in members[i]:
-                best[x] = ids[part[i]]
-        if not moved_any or len(ids) == n:
+# -- permutation tests ---------------------------------------------------------------------------------------------------------
+
+
+def draw_keys(seed: str, draws: int, rounds: int) -> np.ndarray:
+    """Three numbers under 2^31 for each draw and round: the first hexadecimal digits of the MD5 of seed, draw and round."""
+    digests = (hashlib.md5(f"{seed}|{d}|{r}".encode()).hexdigest() for d in range(draws) for r in range(rounds))
+    return np.array([[int(h[8 * k : 8 * k + 8], 16) & 0x7FFFFFFF for k in range(3)] for h in digests], np.int64).reshape(draws, rounds, 3)
+
+
+def shuffled(places: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each of the places (of 0 to size - 1) goes in each draw: rows by places, columns by draws. In every round each place has
+    one partner, and a bit that both agree on says whether they swap; so a draw permutes the places of a size, and any place can be
+    followed alone."""
+    x, n = np.repeat(places[:, None], len(keys), 1), sizes[:, None]
+    for r in range(keys.shape[1]):
+        a, b, k = keys[:, r].T
+        partner = (k % n - x) % n
+        swap = ((a * np.maximum(x, partner) + b) >> 30) & 1
+        x = np.where(swap == 1, partner, x)
+    return x
+
+
+def permutation_test(pairs: DataFrame, people: DataFrame, attributes: list[str], draws: int = 1000, seed: str = "0", stratum: str | None = None, rounds: int = 20, local_values: int = 1 << 23) -> DataFrame:
+    """attribute, pairs, observed, mean, low, high (2.5 and 97.5 percentiles), p of the share of pairs with equal attributes, when the
+    known attributes of the graph's people (node, attributes) are shuffled ``draws`` times, within the column ``stratum`` if given.
+
+    People are numbered within attribute and stratum. A task follows the two places of a pair through all draws at once and leaves a
+    sum for each draw. It finds the attributes there in an array of all values, while these are at most ``local_values`` (of four
+    bytes); with more of them, the places are joined with the values, draw by draw."""
+    spark = pairs.sparkSession
+    seen = neighbours(pairs).select(F.col("u").alias("node")).distinct()
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes]))
+    known = people.join(seen, "node", "left_semi").select("node", (F.col(stratum).cast("string") if stratum else F.lit("")).alias("s"), each.alias("x")).select("node", "s", "x.*")
+    known = known.filter("value IS NOT NULL AND s IS NOT NULL")
+    numbered = cut(running(known, ["attribute", "s", "node"], {"g": F.lit(1)}).withColumn("g", F.col("g") - 1))
+    groups = numbered.groupBy("attribute", "s").agg(F.min("g").alias("start"), F.count(F.lit(1)).alias("n"))
+    placed = cut(numbered.join(groups, ["attribute", "s"]).select("attribute", "node", "value", "g", "start", "n"))
+    end = lambda c: placed.select("attribute", *[F.col(x).alias(y) for x, y in (("node", c), ("value", f"value_{c}"), ("g", f"g_{c}"), ("start", f"start_{c}"), ("n", f"n_{c}"))])
+    e = cut(pairs.select("u", "v").join(end("u"), "u").join(end("v"), ["attribute", "v"]))
+    real = e.groupBy("attribute").agg(F.count(F.lit(1)).alias("pairs"), F.avg((F.col("value_u") == F.col("value_v")).cast("double")).alias("observed"))
+    if placed.count() <= local_values:
+        values = placed.select("g", "value").toPandas().sort_values("g")["value"]
+        codes = spark.sparkContext.broadcast(pd.factorize(values)[0].astype(np.int32))
+
+        def run(batches):
+            keys = draw_keys(seed, draws, rounds)
+            for b in batches:
+                attribute = np.array(b.column("attribute").to_pylist(), object)
+                g, start, n = ({c: b.column(f"{x}_{c}").to_numpy() for c in "uv"} for x in ("g", "start", "n"))
+                nodes, first, where = np.unique(np.concatenate([g["u"], g["v"]]), return_index=True, return_inverse=True)
+                starts, sizes = (np.concatenate([x["u"], x["v"]])[first] for x in (start, n))
+                drawn = np.empty((len(nodes), draws), np.int32)
+                for lo in range(0, len(nodes), 64):
+                    at = slice(lo, lo + 64)
+                    drawn[at] = codes.value[starts[at, None] + shuffled(nodes[at] - starts[at], sizes[at], keys)]
+                one, other = where[: len(b)], where[len(b) :]
+                for a in set(attribute.tolist()):
+                    own = np.flatnonzero(attribute == a)
+                    same = sum(((drawn[one[part]] == drawn[other[part]]).sum(0) for part in np.array_split(own, max(1, len(own) // 512))), np.zeros(draws, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array([a] * draws), pa.array(np.arange(draws)), pa.array(same)], ["attribute", "draw", "same"])
+
+        narrow = e.select("attribute", *[f"{x}_{c}" for x in ("g", "start", "n") for c in "uv"])
+        null = narrow.mapInArrow(run, "attribute string, draw long, same long").groupBy("attribute", "draw").agg(F.sum("same").alias("same"))
+    else:
+
+        def go(batches):
+            keys = draw_keys(seed, draws, rounds)
+            for whole in batches:
+                for b in (whole.slice(i, 256) for i in range(0, len(whole), 256)):
+                    to = [b.column(f"start_{c}").to_numpy()[:, None] + shuffled(b.column(f"g_{c}").to_numpy() - b.column(f"start_{c}").to_numpy(), b.column(f"n_{c}").to_numpy(), keys) for c in "uv"]
+                    yield pa.RecordBatch.from_arrays([b.column("attribute").take(pa.array(np.repeat(np.arange(len(b)), draws))), pa.array(np.tile(np.arange(draws), len(b))), *(pa.array(t.ravel()) for t in to)], ["attribute", "draw", "gu", "gv"])
+
+        moved = e.mapInArrow(go, "attribute string, draw long, gu long, gv long")
+        value = lambda c: placed.select(F.col("g").alias(f"g{c}"), F.col("value").alias(f"value_{c}"))
+        met = moved.join(value("u"), "gu").join(value("v"), "gv")
+        null = met.groupBy("attribute", "draw").agg(F.sum((F.col("value_u") == F.col("value_v")).cast("long")).alias("same"))
+    d = null.join(real, "attribute").withColumn("share", F.col("same") / F.col("pairs"))
+    at = lambda q: F.percentile("share", F.lit(q))  # noqa: E731  over the draws
+    return d.groupBy("attribute", "pairs", "observed").agg(F.avg("share").alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"), ((F.count_if(F.col("share") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+
+
+# -- communities ---------------------------------------------------------------------------------------------------------------
+
+
+def _coin(*parts) -> Column:
+    return F.pmod(F.xxhash64(*[F.lit(p) if isinstance(p, int) else p for p in parts]), F.lit(2)) == 1
+
+
+def _moved(edges: DataFrame, part: DataFrame, twice: float, seed: int, level: int, most_rounds: int) -> tuple[DataFrame, float]:
+    """part (node, k, loop, c) after nodes have moved to the neighbouring communities that raise modularity most, and its modularity.
+
+    In a round all gains come from one join of the edges with the communities. A node moves by the toss of a coin, so that neighbours
+    don't swap places for ever; where moves made at the same time lower modularity, the best partition so far is taken back. It ends
+    when hardly any node would still move, or rounds bring nothing."""
+    spent = [cut(part)]
+    part = spent[0].select("node", "k", "loop", "c")
+    best, idle = (-1.0, part), 0
+    for turn in range(most_rounds):
+        total = part.groupBy("c").agg(F.sum("k").alias("sum"))
+        near = edges.join(part.select(F.col("node").alias("v"), F.col("c").alias("to")), "v").groupBy(F.col("u").alias("node"), "to").agg(F.sum("w").alias("w"))
+        offers = near.join(part.select("node", F.col("k").alias("_k"), F.col("c").alias("_c")), "node").join(total.withColumnsRenamed({"c": "to", "sum": "sum_to"}), "to")
+        here, value = F.col("to") == F.col("_c"), F.col("w") - F.col("_k") * F.col("sum_to") / twice
+        offers = offers.groupBy("node").agg(F.sum(F.when(here, F.col("w"))).alias("inside"), F.max(F.when(~here, value)).alias("gain"), F.max_by("to", F.when(~here, F.struct(value, F.xxhash64("to", F.lit(turn))))).alias("to"))
+        own = part.join(total, "c").join(offers, "node", "left").withColumn("inside", F.coalesce("inside", F.lit(0.0)))
+        keep = F.col("inside") - F.col("k") * (F.col("sum") - F.col("k")) / twice
+        better = F.coalesce(F.col("gain") > keep + 1e-9, F.lit(False))
+        chosen = cut(own.withColumns({"better": better, "moves": better & _coin("node", seed, level, turn)}))
+        spent.append(chosen)
+        nodes, inside, squares, wishes = chosen.agg(F.count(F.lit(1)), F.sum(F.col("inside") + 2 * F.col("loop")), F.sum(F.col("k") * F.col("sum")), F.count_if("better")).first()
+        q = inside / twice - squares / twice**2
+        idle = 0 if q > best[0] + 1e-6 else idle + 1
+        if q > best[0]:
+            best = (q, part)
+        if wishes <= nodes // 500 or idle == 2:
+            break
+        part = chosen.select("node", "k", "loop", F.when(F.col("moves"), F.col("to")).otherwise(F.col("c")).alias("c"))
+    return cut(best[1], *spent), best[0]
+
+
+def _refined(edges: DataFrame, part: DataFrame, twice: float, seed: int, level: int, most_rounds: int) -> DataFrame:
+    """part with sub, a connected part of each community, built up from single nodes.
+
+    In a round some of the single nodes that are well tied to the rest of their community join a part of it; only parts of which no
+    node leaves in this round can be joined, so every part stays connected. Among the parts that raise modularity one is drawn, the
+    likelier the more it does."""
+    inner = edges.join(part.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u").join(part.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v").filter("cu = cv").select("u", "v", "w")
+    inner = cut(inner)
+    whole = part.groupBy("c").agg(F.sum("k").alias("sum"))
+    tied = inner.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("inside"))
+    well = F.coalesce(F.col("inside"), F.lit(0.0)) >= F.col("k") * (F.col("sum") - F.col("k")) / twice
+    n = part.count()
+    sub = cut(part.join(whole, "c").join(tied, "node", "left").select("node", "k", "loop", "c", F.col("node").alias("sub"), F.lit(True).alias("alone"), well.alias("well")))
+    for turn in range(min(most_rounds, 6)):
+        leaves = F.col("alone") & F.col("well") & _coin("node", seed, level, turn, 1)
+        marked = sub.withColumn("leaves", leaves)
+        open_ = marked.filter(~F.col("leaves")).groupBy("sub").agg(F.sum("k").alias("sum"))
+        ways = inner.join(marked.filter("leaves").select(F.col("node").alias("u"), "k"), "u").join(marked.filter(~F.col("leaves")).select(F.col("node").alias("v"), "sub"), "v")
+        ways = ways.groupBy(F.col("u").alias("node"), "k", F.col("sub").alias("to")).agg(F.sum("w").alias("w")).join(open_.withColumnRenamed("sub", "to"), "to")
+        gain = F.col("w") - F.col("k") * F.col("sum") / twice
+        luck = -F.log(-F.log((F.pmod(F.xxhash64("node", "to", F.lit(seed), F.lit(turn)), F.lit(1 << 30)) + 0.5) / (1 << 30)))
+        drawn = ways.withColumn("gain", gain).filter("gain >= 0").groupBy("node").agg(F.max_by("to", F.struct(F.col("gain") / 0.01 + luck, "to")).alias("to"))
+        joined = sub.join(drawn, "node", "left")
+        met = drawn.select(F.col("to").alias("sub")).distinct().withColumn("met", F.lit(True))
+        alone = F.col("alone") & F.col("to").isNull() & F.col("met").isNull()
+        after = cut(joined.join(met, "sub", "left").select("node", "k", "loop", "c", F.coalesce("to", "sub").alias("sub"), alone.alias("alone"), "well", F.col("to").isNotNull().alias("new")))
+        joins = after.filter("new").count()
+        drop(sub)
+        sub = after
+        if joins <= n // 500 and turn % 2:
+            break
+    drop(inner)
+    return sub.select("node", "k", "loop", "c", "sub")
+
+
+def leiden(pairs: DataFrame, weight: str = "count", seed: int = 0, most_levels: int = 10, most_rounds: int = 20) -> DataFrame:
+    """node, community (its least node) of the nodes with a pair: communities of high weighted modularity, each connected.
+
+    As in the method of that name, nodes move between communities, communities are refined into connected parts, and the graph of the
+    parts, which start from the communities found, is treated in the same way, until no part moves. All of it are joins and
+    aggregations along the edges: the largest group is the list of communities next to a node."""
+    both = pairs.select("u", "v", F.col(weight).cast("double").alias("w")).filter("u <> v")
+    edges = cut(both.union(both.select("v", "u", "w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
+    twice = edges.agg(F.sum("w")).first()[0] or 0.0
+    part = edges.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")).withColumns({"loop": F.lit(0.0), "c": F.col("node")})
+    place = cut(part.select("node", F.col("node").alias("unit")))
+    best, found = -1.0, place
+    for level in range(most_levels):
+        lifted, (part, q) = part, _moved(edges, part, twice, seed, level, most_rounds) if twice else (cut(part), 0.0)
+        found = cut(place.join(part.select(F.col("node").alias("unit"), "c"), "unit").select("node", "c"), *([found, lifted] if level else []))
+        n, groups = part.agg(F.count(F.lit(1)), F.count_distinct("c")).first()
+        if groups == n or q <= best + 1e-9:
+            break
+        best = q
+        parts = cut(_refined(edges, part, twice, seed, level, most_rounds))
+        if parts.select("sub").distinct().count() == n:
+            drop(parts)
             break
-        merged: list[dict[int, float]] = [{} for _ in ids]
-        own, group = [0.0] * len(ids), [[] for _ in ids]
-        for i in range(n):
-            a = ids[part[i]]
-            own[a] += loops[i]
-            group[a] += members[i]
-            for j, w in graph[i].items():
-                b = ids[part[j]]
-                if a == b:
-                    own[a] += w / 2
-                else:
-                    merged[a][b] = merged[a].get(b, 0.0) + w
-        graph, loops, members = merged, own, group
-    least = {}
-    for i, c in enumerate(best):
-        least.setdefault(c, names[i])
-    return [(x, least[best[i]]) for i, x in enumerate(names)]
+        of = parts.select("node", "sub")
+        place = cut(place.join(of.withColumnRenamed("node", "unit"), "unit").select("node", F.col("sub").alias("unit")), place)
+        lifted = edges.join(of.toDF("u", "su"), "u").join(of.toDF("v", "sv"), "v").groupBy("su", "sv").agg(F.sum("w").alias("w"))
+        lifted = cut(lifted, edges)
+        loops = lifted.filter("su = sv").select(F.col("su").alias("node"), (F.col("w") / 2).alias("more"))
+        nodes = parts.groupBy(F.col("sub").alias("node")).agg(F.sum("k").alias("k"), F.sum("loop").alias("loop"), F.min("c").alias("c"))
+        part = cut(nodes.join(loops, "node", "left").select("node", "k", (F.col("loop") + F.coalesce("more", F.lit(0.0))).alias("loop"), "c"), part, parts)
+        edges = cut(lifted.filter("su <> sv").toDF("u", "v", "w"), lifted)
+    drop(place, part, edges)
+    least = found.groupBy("c").agg(F.min("node").alias("community"))
+    return found.join(least, "c").select("node", "community")

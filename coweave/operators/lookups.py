@@ -1,10 +1,10 @@
 """Lookups in outside services through caches: what is fetched once, found or not, is never fetched again.
 
-The services are functions of the caller's, so nothing here opens a connection by itself."""
+The services are functions of the caller's, so nothing here opens a connection by itself; ``sources.rest`` has a data source that does,
+with a budget and with answers that outlive a failed job."""
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,39 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from ..sources.rest import BudgetExhausted, Client  # noqa: F401  part of this interface
 from .linkage import wanted_keys
 from .papers import first_by
 
 
-class BudgetExhausted(RuntimeError):
-    """The service takes no more requests for now."""
-
-
-class Client:
-    """Requests with retries. send(url) gives (status, body), or raises OSError; it is None where there is no connection."""
-
-    def __init__(self, send: Callable[[str], tuple[int, object]] | None, tries: int = 5, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep):
-        self.send, self.tries, self.wait, self.sleep = send, tries, wait, sleep
-
-    def get(self, url: str):
-        """The body; None for what the service does not have, when it fails for good, and without a connection."""
-        for k in range(self.tries if self.send else 0):
-            try:
-                status, body = self.send(url)
-            except OSError:
-                status, body = 599, None
-            if status == 429:
-                raise BudgetExhausted(url)
-            if status in (401, 403):
-                raise PermissionError(url)
-            if status < 400:
-                return body
-            if status < 500:
-                return None
-            self.sleep(self.wait * 2**k)
-        return None
-
-
 def fill_cache(wanted: DataFrame, cache: DataFrame, fetch: Callable[[list], dict], key: str, per_call: int = 50) -> DataFrame:
     """key, value: the cache with the wanted keys that it lacked, fetched ``per_call`` at a time; keys that were not found have a
     null value, so that they are not asked for again. fetch gives the values of those keys that it finds."""

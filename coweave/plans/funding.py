@@ -119,25 +119,44 @@ def full(v):
 
 @query("g8_institution_summary", f"WITH {PERSON}, {FULL} SELECT institution, count(*) AS n, round(sum(total), 2) AS total, round(avg(total), 4) AS mean, round(median(total), 4) AS median, round(avg(CASE WHEN total = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share, round(sum(total) / sum(sum(total)) OVER (), 8) AS part FROM full_p GROUP BY 1")
 def g8(v):
-    a = full(v).groupBy("institution").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("t"), F.avg("total").alias("mean"), F.median("total").alias("median"), F.avg((F.col("total") == 0).cast("double")).alias("zero_share"))
+    rows = full(v)
+    a = rows.groupBy("institution").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("t"), F.avg("total").alias("mean"), F.avg((F.col("total") == 0).cast("double")).alias("zero_share"))
+    a = S.by_group(a, S.exact_median(rows, ["institution"], "total"), ["institution"])
     return a.select("institution", "n", F.round("t", 2).alias("total"), F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), F.round("zero_share", 6).alias("zero_share"), F.round(S.share_of_total(F.col("t")), 8).alias("part"))
 
 
-@query("g10_category_quartiles", f"WITH {DUR} SELECT grant_category, count(*) AS n, round(quantile_cont(amount, 0.25), 4) AS q25, round(median(amount), 4) AS q50, round(quantile_cont(amount, 0.75), 4) AS q75, count(DISTINCT teacher_id) AS people, round(avg(CASE WHEN dur > 1 THEN 1.0 ELSE 0.0 END), 6) AS multi_share FROM gd WHERE is_pi GROUP BY 1")
+_QUARTILES = "count(*) AS n, round(quantile_cont(amount, 0.25), 4) AS q25, round(median(amount), 4) AS q50, round(quantile_cont(amount, 0.75), 4) AS q75, count(DISTINCT teacher_id) AS people, round(avg(CASE WHEN dur > 1 THEN 1.0 ELSE 0.0 END), 6) AS multi_share"
+
+
+def _quartiles(rows, by):
+    a = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("teacher_id").alias("people"), F.round(F.avg((F.col("dur") > 1).cast("double")), 6).alias("multi_share"))
+    q = S.exact_quantiles(rows, [by], "amount", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return S.by_group(a, q, [by]).select(by, "n", *[F.round(c, 4).alias(c) for c in ("q25", "q50", "q75")], "people", "multi_share")
+
+
+@query("g10_category_quartiles", f"WITH {DUR} SELECT grant_category, {_QUARTILES} FROM gd WHERE is_pi GROUP BY 1")
 def g10(v):
-    a = durations(v).filter("is_pi").groupBy("grant_category")
-    q = lambda p, n: F.round(F.percentile("amount", F.lit(p)), 4).alias(n)
-    return a.agg(F.count(F.lit(1)).alias("n"), q(0.25, "q25"), q(0.5, "q50"), q(0.75, "q75"), F.count_distinct("teacher_id").alias("people"), F.round(F.avg((F.col("dur") > 1).cast("double")), 6).alias("multi_share"))
+    return _quartiles(durations(v).filter("is_pi"), "grant_category")
+
+
+@query("g10_top_and_other", f"WITH {DUR}, top AS (SELECT grant_category AS c FROM gd WHERE is_pi GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3) SELECT coalesce(c, 'other') AS kept, {_QUARTILES} FROM gd LEFT JOIN top ON c = grant_category WHERE is_pi GROUP BY 1")
+def g10_top(v):
+    """The categories with most grants, and the others as one, their people counted once."""
+    return _quartiles(S.keep_top(durations(v).filter("is_pi"), "grant_category", 3), "kept")
 
 
 @query("g19_attribute_stats", f"WITH {PERSON}, {FULL} SELECT attribute, count(*) AS n, round(avg(total), 4) AS mean, round(median(total) FILTER (total > 0), 4) AS median_positive, round(avg(CASE WHEN total = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share FROM full_p GROUP BY 1")
 def g19(v):
-    return full(v).groupBy("attribute").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("total"), 4).alias("mean"), F.round(F.median(F.when(F.col("total") > 0, F.col("total"))), 4).alias("median_positive"), F.round(F.avg((F.col("total") == 0).cast("double")), 6).alias("zero_share"))
+    rows = full(v)
+    a = rows.groupBy("attribute").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("total"), 4).alias("mean"), F.round(F.avg((F.col("total") == 0).cast("double")), 6).alias("zero_share"))
+    return S.by_group(a, S.exact_median(rows.filter("total > 0"), ["attribute"], "total", "m"), ["attribute"]).select("attribute", "n", "mean", F.round("m", 4).alias("median_positive"), "zero_share")
 
 
 @query("g26_binned_median", f"WITH {PERSON} SELECT cast(least(floor(n / 5) * 5, 40) AS BIGINT) AS bin, count(*) AS people, round(median(total), 4) AS median FROM per GROUP BY 1")
 def g26(v):
-    return persons(v).groupBy(F.least(F.floor(F.col("n") / 5) * 5, F.lit(40)).cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("people"), F.round(F.median("total"), 4).alias("median"))
+    rows = persons(v).withColumn("bin", F.least(F.floor(F.col("n") / 5) * 5, F.lit(40)).cast("bigint"))
+    a = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("people"))
+    return S.by_group(a, S.exact_median(rows, ["bin"], "total"), ["bin"]).withColumn("median", F.round("median", 4))
 
 
 @query("i1_top25", f"WITH {PERSON} SELECT teacher_id, round(total, 2) AS total FROM per ORDER BY total DESC, teacher_id LIMIT 25")
@@ -235,7 +254,8 @@ def l8(v):
 
 @query("l9_quantiles", "SELECT attribute, round(quantile_cont(value, 0.1), 4) AS q10, round(median(value), 4) AS q50, round(quantile_cont(value, 0.9), 4) AS q90 FROM persons_p GROUP BY 1")
 def l9(v):
-    return v.persons_p.groupBy("attribute").agg(*[F.round(F.percentile("value", F.lit(p)), 4).alias(n) for p, n in ((0.1, "q10"), (0.5, "q50"), (0.9, "q90"))])
+    q = S.exact_quantiles(v.persons_p, ["attribute"], "value", {"q10": 0.1, "q50": 0.5, "q90": 0.9})
+    return q.select("attribute", *[F.round(c, 4).alias(c) for c in ("q10", "q50", "q90")])
 
 
 @query("l10_shares", "SELECT attribute, round(count(*)::DOUBLE / sum(count(*)) OVER (), 8) AS part FROM persons_p GROUP BY 1")
@@ -246,7 +266,7 @@ def l10(v):
 
 @query("l11_ratio_median", f"WITH {PERSON} SELECT round(median(total / nullif(m, 0)), 4) AS median FROM per")
 def l11(v):
-    return persons(v).agg(F.round(F.median(F.col("total") / F.nullif("m", F.lit(0))), 4).alias("median"))
+    return S.exact_median(persons(v).withColumn("ratio", F.col("total") / F.nullif("m", F.lit(0))), [], "ratio").select(F.round("median", 4).alias("median"))
 
 
 @query("c15_clipped", f"WITH {PERSON} SELECT teacher_id, CASE WHEN m > 0 THEN m::DOUBLE ELSE 0.5 END AS shown, least(greatest(n, 2), 12) AS clipped FROM per")
@@ -254,13 +274,14 @@ def c15(v):
     return persons(v).select("teacher_id", F.when(F.col("m") > 0, F.col("m").cast("double")).otherwise(0.5).alias("shown"), F.least(F.greatest("n", F.lit(2)), F.lit(12)).cast("bigint").alias("clipped"))
 
 
-@query("o20_recode_rare", "WITH k AS (SELECT *, count(*) OVER (PARTITION BY institution) AS c FROM persons_p) SELECT CASE WHEN c >= 60 THEN cast(institution AS VARCHAR) ELSE 'other' END AS kept, count(*) AS n, round(median(value), 4) AS median FROM k GROUP BY 1")
+@query("o20_recode_rare", "WITH k AS (SELECT *, count(*) OVER (PARTITION BY institution) AS c FROM persons_p), g AS (SELECT CASE WHEN c >= 60 THEN cast(institution AS VARCHAR) ELSE 'other' END AS kept, count(*) AS n, median(value) AS m FROM k GROUP BY 1) SELECT kept, n, round(m, 4) AS median, row_number() OVER (ORDER BY m DESC, kept) AS place FROM g")
 def o20(v):
     from pyspark.sql import Window
 
-    size = F.count(F.lit(1)).over(Window.partitionBy("institution"))
-    k = v.persons_p.withColumn("c", size).withColumn("kept", F.when(F.col("c") >= 60, F.col("institution").cast("string")).otherwise("other"))
-    return k.groupBy("kept").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("value"), 4).alias("median"))
+    rows = S.keep_large(v.persons_p, "institution", 60)
+    a = rows.groupBy("kept").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.orderBy(F.desc("median"), "kept"))  # a row for each kept value
+    return S.by_group(a, S.exact_median(rows, ["kept"], "value"), ["kept"]).withColumn("place", place.cast("bigint")).withColumn("median", F.round("median", 4))
 
 
 @query("o21_top_values", "WITH t AS (SELECT institution, row_number() OVER (ORDER BY count(*) DESC, institution) AS rn FROM persons_p GROUP BY 1) SELECT CASE WHEN rn <= 8 THEN cast(t.institution AS VARCHAR) ELSE 'other' END AS kept, count(*) AS n FROM persons_p p JOIN t ON t.institution = p.institution GROUP BY 1")

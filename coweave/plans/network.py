@@ -46,7 +46,7 @@ def f1(v):
     return edges_of(v)
 
 
-@query("f2_project_edges", f"WITH {PROJECTS} SELECT family, year, s AS source_node_id, t AS target_node_id, cast(n AS INT) AS n_members, both_rec AS both_recorded_this_year, w1 AS weight_1n, w2 AS weight_pair FROM je")
+@query("f2_project_edges", f"WITH {PROJECTS} SELECT 'JE-' || substr(sha1(concat_ws('|', family, year, s, t)), 1, 16) AS edge_id, family, year, s AS source_node_id, t AS target_node_id, cast(n AS INT) AS n_members, both_rec AS both_recorded_this_year, w1 AS weight_1n, w2 AS weight_pair FROM je")
 def f2(v):
     return E.project_edges(v.projects_p)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import stats as S
 from ..operators import edges as E
 from ..operators import people as P
 from ..operators import viewer as W
@@ -80,12 +81,24 @@ def o22(v):
     return t.groupBy(P.relation("ie", "ia").alias("relation")).agg(F.count(F.lit(1)).alias("ties"))
 
 
-@query("g15_external_origins", f"WITH {TIES} SELECT cls, n.country, count(DISTINCT alter) AS people, count(DISTINCT paper_id) AS papers FROM dir JOIN nodes_p r ON r.node_id = ego AND r.node_type = 'roster' JOIN cls c ON c.node_id = alter JOIN nodes_p n ON n.node_id = alter WHERE cls <> 'roster' GROUP BY 1, 2")
-def g15(v):
+_ORIGINS = "FROM dir JOIN nodes_p r ON r.node_id = ego AND r.node_type = 'roster' JOIN cls c ON c.node_id = alter JOIN nodes_p n ON n.node_id = alter"
+
+
+def _origins(v):
     roster = v.nodes_p.filter("node_type = 'roster'").select(F.col("node_id").alias("ego"))
-    n = v.nodes_p.select(F.col("node_id").alias("alter"), E.node_class(v.nodes_p).alias("cls"), "country")
-    d = E.both_directions(edges_of(v)).join(roster, "ego", "left_semi").join(n, "alter").filter("cls <> 'roster'")
-    return d.groupBy("cls", "country").agg(F.count_distinct("alter").alias("people"), F.count_distinct("paper_id").alias("papers"))
+    n = v.nodes_p.select(F.col("node_id").alias("alter"), E.node_class(v.nodes_p).alias("cls"), "country", "institution")
+    return E.both_directions(edges_of(v)).join(roster, "ego", "left_semi").join(n, "alter").filter("cls <> 'roster'")
+
+
+@query("g15_external_origins", f"WITH {TIES} SELECT cls, n.country, count(DISTINCT alter) AS people, count(DISTINCT paper_id) AS papers {_ORIGINS} WHERE cls <> 'roster' GROUP BY 1, 2")
+def g15(v):
+    return _origins(v).groupBy("cls", "country").agg(F.count_distinct("alter").alias("people"), F.count_distinct("paper_id").alias("papers"))
+
+
+@query("g15_top_origins", f"WITH {TIES}, o AS (SELECT n.institution, alter, paper_id {_ORIGINS} WHERE cls <> 'roster'), top AS (SELECT institution AS i FROM o WHERE institution IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 12) SELECT coalesce(cast(i AS VARCHAR), 'other') AS kept, count(DISTINCT alter) AS people, count(DISTINCT paper_id) AS papers FROM o LEFT JOIN top ON i = institution GROUP BY 1")
+def g15_top(v):
+    """The twelve places with most coauthorships, and the others as one: people and papers counted once."""
+    return S.keep_top(_origins(v), "institution", 12).groupBy("kept").agg(F.count_distinct("alter").alias("people"), F.count_distinct("paper_id").alias("papers"))
 
 
 @query("g16_dominant_source", f"WITH {TIES}, x AS (SELECT b.institution, ego, sum(cnt) AS n FROM ties JOIN nodes_p b ON b.node_id = alter WHERE b.node_type <> 'roster' AND b.institution IS NOT NULL GROUP BY 1, 2), y AS (SELECT *, row_number() OVER (PARTITION BY institution ORDER BY n DESC, ego) AS rn, sum(n) OVER (PARTITION BY institution) AS total FROM x) SELECT institution, ego, round(n / total, 8) AS part FROM y WHERE rn = 1 AND n / total >= 0.05")

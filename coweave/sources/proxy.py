@@ -17,6 +17,9 @@ SQL = {
     "merges_p": "select lpad(cast(s_suppkey as varchar(20)), 6, '0') as from_node_id, lpad(cast(s_suppkey - 1 as varchar(20)), 6, '0') as to_node_id from {supplier} where s_suppkey % 50 = 7 and s_suppkey % 3 <> 0",
     "projects_p": "select l_partkey * 100 + cast(l_quantity as int) as family, cast(year(l_shipdate) as int) as year, lpad(cast(l_suppkey as varchar(20)), 6, '0') as member, l_returnflag as category, l_linestatus as discipline from {lineitem}",
     "grants_p": "select o_orderkey as grant_id, o_custkey as teacher_id, o_totalprice as amount, cast(year(o_orderdate) as int) as year, o_orderpriority as grant_category, o_orderstatus <> 'P' as is_pi, o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM') as research, o_orderkey % 7 = 0 as marked from {orders}",
+    "authors_g": "select l_orderkey as paper_id, lpad(cast(l_partkey as varchar(20)), 12, '0') || '-' || lpad(cast(cast(l_quantity as int) as varchar(20)), 2, '0') as node_id, min(l_linenumber) as ln from {lineitem} group by l_orderkey, l_partkey, cast(l_quantity as int)",
+    "people_g": "select lpad(cast(l_partkey as varchar(20)), 12, '0') || '-' || lpad(cast(quantity as varchar(20)), 2, '0') as node_id, case when (l_partkey + quantity) % 2 = 0 then 'roster' else 'external' end as node_type, case when quantity % 7 = 1 then null else l_partkey % 40 end as institution, p_size % 6 as country, p_brand as brand, case when quantity % 5 = 0 then null else p_type end as kind, substr(p_name, 1, 3) as field, cast(floor(p_size / 10) as int) as age, quantity % 3 as rank_group, ((l_partkey + quantity) % 2 <> 0 and quantity % 11 = 5) as unknown_place, p_retailprice + quantity as value from (select distinct l_partkey, cast(l_quantity as int) as quantity from {lineitem}) x join {part} on p_partkey = l_partkey",
+    "grants_g": "select l_orderkey as grant_id, lpad(cast(l_partkey as varchar(20)), 12, '0') || '-' || lpad(cast(cast(l_quantity as int) as varchar(20)), 2, '0') as node_id, o_totalprice as amount, o_orderstatus <> 'P' as is_pi, o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM') as research from {lineitem} join {orders} on l_orderkey = o_orderkey where l_linenumber = 1",
     "persons_p": "select c_custkey as teacher_id, c_nationkey as institution, c_mktsegment as attribute, c_acctbal as value from {customer}",
 }
 

@@ -47,21 +47,29 @@ def test_paths_and_betweenness(spark):
     pairs = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(45)})
     d = spark.createDataFrame([(f"{u:02}", f"{v:02}") for u, v in pairs], "u string, v string")
     dist, between = plain_paths([(f"{u:02}", f"{v:02}") for u, v in pairs])
-    got = G.shortest_paths(d)
-    assert {(r["s"], r["t"]): r["d"] for r in got.collect()} == dist
-    b = {r["node"]: r["betweenness"] for r in G.betweenness(d).collect()}
-    assert b.keys() == between.keys() and all(abs(b[k] - x) < 1e-9 for k, x in between.items())
+    assert tuple(G.path_statistics(d).first()) == (sum(dist.values()) / len(dist), max(dist.values()))
+    for batch_rows in (1 << 30, 500):  # all sources at once, and in batches
+        b = {r["node"]: r["betweenness"] for r in G.betweenness(d, batch_rows=batch_rows).collect()}
+        assert b.keys() == between.keys() and all(abs(b[k] - x) < 1e-9 for k, x in between.items())
+    assert tuple(G.path_statistics(d, batch_rows=500).first()) == (sum(dist.values()) / len(dist), max(dist.values()))
+    assert tuple(G.path_statistics(d.limit(0)).first()) == (None, None) and G.betweenness(d.limit(0)).count() == 0
 
 
 def test_long_chains_are_followed_to_their_end(spark):
     chain = [(f"{i:03}", f"{i + 1:03}") for i in range(59)]
     d = spark.createDataFrame(chain, "u string, v string")
-    for few in (1 << 20, 0):  # in one task, and by stars
-        assert {r["component"] for r in G.connected_components(d, local_edges=few).collect()} == {"000"}
+    assert {r["component"] for r in G.connected_components(d).collect()} == {"000"}
     rng = random.Random(6)
     edges = [(f"{a:03}", f"{b:03}") for a, b in (sorted(rng.sample(range(200), 2)) for _ in range(130))]
     e = spark.createDataFrame(edges, "u string, v string")
-    assert sorted(map(tuple, G.connected_components(e).collect())) == sorted(map(tuple, G.connected_components(e, local_edges=0).collect()))
+    above = {x: x for p in edges for x in p}
+    for _ in above:
+        for u, v in edges:
+            above[u] = above[v] = min(above[u], above[v])
+    assert dict(map(tuple, G.connected_components(e).collect())) == above
+    sizes = {c: list(above.values()).count(c) for c in set(above.values())}
+    most = min(c for c in sizes if sizes[c] == max(sizes.values()))
+    assert {x for r in G.largest_component(e).collect() for x in r} == {x for x in above if above[x] == most}
 
 
 def test_triangles_and_communities(spark):
@@ -86,12 +94,20 @@ def test_triangles_and_communities(spark):
         ("Graduate Institute of Finance 10617 Taipei", [], "Graduate Institute of Finance"),
         ("Department of Life Science National Taiwan University Taipei", [], "Department of Life Science"),
         ("Some Street 5", [], None),
+        ("Department of History, Other University, College of Law, Some University", ["someuniversity"], "College of Law"),
+        ("Some University, Ministry of Labor, Department of Work", ["someuniversity"], None),
+        ("Division of Trade, Department of Economics, Some University, Graduate Institute of Law", ["someuniversity"], "Department of Economics"),
+        ("Some University Hospital, School of Nursing, Some University", ["someuniversity"], "School of Nursing"),
+        ("Department of Economics, R.O.C.", [], "Department of Economics"),
+        ("Dept. of Public Finance and Tax New Taipei City Taiwan", [], "Dept. of Public Finance and Tax"),
+        ("國立臺灣大學經濟學系、財政研究所", [], "財政研究所"),
         (None, [], None),
         ("", [], None),
     ],
 )
-def test_units(text, variants, unit):
-    assert D.unit_in(text, variants) == unit
+def test_units(spark, text, variants, unit):
+    got = spark.range(1).select(D.unit(F.lit(text).cast("string"), F.array(*map(F.lit, variants)).cast("array<string>")).alias("unit")).first()
+    assert got["unit"] == unit
 
 
 def test_client():
