@@ -7,6 +7,7 @@ between pieces is a safe place to split, and the ids of a text are those of its
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 
@@ -46,7 +47,7 @@ def special_string(path: str) -> bytes:
 class Memo:
     """Ids of the pieces seen by this worker. Bounded: when it holds more than ``most`` pieces, only those of the batch stay."""
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 1_000_000):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -80,39 +81,36 @@ class Memo:
         """Places of the distinct pieces in start and size."""
         if len(self.at) > self.most:
             self._keep([p for p in pieces if p in self.at])
-        get = self.at.get
-        new = [p for p in pieces if get(p) is None]
-        if new:
-            self._add(new)
-        return np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        place = np.fromiter(map(self.at.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(place < 0)
+        if new.size:
+            place[new] = np.arange(len(self.at), len(self.at) + new.size)
+            self._add([pieces[i] for i in new.tolist()])
+        return place
+
+
+@functools.cache
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 def library_encode(path: str):
-    """Encoder of distinct pieces by the library, in texts of about 64 KB: pieces joined by the added token's string, at which
-    the library splits a text before anything else. Without such a token each piece is a text."""
+    """Encoder of distinct pieces by the library: by its model alone where the pieces are those of the byte-level pattern, which is all
+    that comes before the model then; else each piece as a text."""
     special = special_string(path)
 
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        tok, found, at = library(path), [np.zeros(0, np.uint32)], 0
-        end = np.array([(1 << 32) - 1], np.uint32)  # no id; stands behind each piece's ids
-        border = tok.token_to_id(special.decode()) if special else None
-        while at < len(pieces):
-            to, room = at, 1 << 16
-            while to < len(pieces) and (to == at or room > 0):
-                room -= len(pieces[to]) + 16
-                to += 1
-            part = [p.decode() for p in pieces[at:to]]
-            if border is None or special in pieces[at:to]:
-                for e in tok.encode_batch_fast(part, add_special_tokens=False):
-                    found += [np.array(e.ids, np.uint32), end]
-            else:
-                for e in tok.encode_batch_fast([special.decode().join(part)], add_special_tokens=False):
-                    ids = np.array(e.ids, np.uint32)
-                    found += [np.where(ids == border, end, ids), end]
-            at = to
-        flat = np.concatenate(found)
-        cut = np.flatnonzero(flat == end)
-        return flat[flat != end], np.diff(np.concatenate([[-1], cut])) - 1
+        tok = library(path)
+        if is_plain_byte_level(path):
+            model, chars, own = tok.model, byte_characters(), [tok.token_to_id(special.decode())] if special else []
+            ids = [own if p == special else [t.id for t in model.tokenize(p.decode("latin-1").translate(chars))] for p in pieces]
+        else:
+            ids = [e.ids for e in tok.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
 
     return encode
 
