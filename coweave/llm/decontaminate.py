@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import id_and_text, ship
+from .common import id_and_text, materialize, ship
 
 GRAM, STEP, LEAST, RARE = 3, 4, 0.5, 1000
 BLOCK_BYTES = 8 << 20
@@ -192,20 +193,25 @@ def _queries(benchmark: DataFrame, text_col: str) -> DataFrame:
     return rows.select(F.xxhash64("text").alias("item"), "text")
 
 
-def _blocks(benchmark: DataFrame, text_col: str, block_bytes: int) -> list[tuple[list, list]]:
+def _blocks(benchmark: DataFrame, text_col: str, block_bytes: int) -> Iterator[tuple[list, list, bool]]:
+    """Items and their texts, and whether more may follow; one block is in the driver at a time."""
     rows = _queries(benchmark, text_col)
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = 1 + (int(total) + 16 * int(n)) // block_bytes
-    blocks = (sorted((r["item"], r["text"]) for r in rows.filter(F.pmod("item", F.lit(parts)) == k).collect()) for k in range(parts))
-    return [([i for i, _ in b], [t for _, t in b]) for b in blocks if b]
+    for k in range(parts):
+        block = sorted((r["item"], r["text"]) for r in rows.filter(F.pmod("item", F.lit(parts)) == k).collect())  # about block_bytes
+        if block:
+            yield [i for i, _ in block], [t for _, t in block], k < parts - 1
 
 
 def _prepared(docs: DataFrame, benchmark: DataFrame, block_bytes: int, doc_col: str, text_col: str):
-    """A broadcast of the items, with seeds, for each block of the benchmark."""
+    """For each block of the benchmark a broadcast of its items, with seeds, and whether more may follow; what a block gave must be
+    written before the next one, as its broadcast goes then."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(doc_col).cast("string").alias("text"))
-    for ids, contents in _blocks(benchmark, text_col, block_bytes):
+    shared = None
+    for ids, contents, more in _blocks(benchmark, text_col, block_bytes):
         items = Items(ids, contents)
         keys = spark.sparkContext.broadcast(items.all)
 
@@ -221,14 +227,18 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, block_bytes: int, doc_col:
 
         seen = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # grams of this block at most
         items.pick(seen["gram"].to_numpy().view(np.uint64), seen["n"].to_numpy())
-        yield spark.sparkContext.broadcast(items)
+        keys.destroy()
+        if shared is not None:
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(items)
+        yield shared, more
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, score, first_word, end_word: the best passage of each contaminated pair of document row and item."""
     schema = "doc_id long, item long, score double, first_word long, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for shared in _prepared(docs, benchmark, block_bytes, text_col, item_text_col):
+    for shared, more in _prepared(docs, benchmark, block_bytes, text_col, item_text_col):
 
         def run(batches, shared=shared):
             for b in V.slices_by_bytes(batches, "text"):
@@ -237,7 +247,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, bl
                 cols = [[ids[m[0]] for m in got], [shared.value.ids[m[1]] for m in got], *([m[k] for m in got] for k in (2, 3, 4))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item", "score", "first_word", "end_word"])
 
-        out = out.unionByName(id_and_text(docs, id_col, text_col).mapInArrow(run, schema))
+        found = id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+        out = out.unionByName(materialize(found, "passages") if more else found)
     named = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.xxhash64(F.col(item_text_col).cast("string")).alias("item")).distinct()
     return out.join(named, "item").select("doc_id", "item_id", "score", "first_word", "end_word")
 
@@ -245,7 +256,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, bl
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that no item contaminates."""
     k = docs.columns.index(text_col)
-    for shared in list(_prepared(docs, benchmark, block_bytes, text_col, item_text_col)):
+    for shared, more in _prepared(docs, benchmark, block_bytes, text_col, item_text_col):
 
         def run(batches, shared=shared):
             for b in batches:
@@ -258,4 +269,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAS
                 yield b.filter(pa.array(np.concatenate([np.zeros(0, bool), *keep])))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if more:
+            docs = materialize(docs, "uncontaminated")
     return docs
