@@ -6,7 +6,9 @@ source of any size is summed before it is shuffled. From a group's sketch come t
 each within one bucket. The spread above is the larger of the distances between neighbours of these, and a ratio fails if it lies
 above the ninetieth percentile by more than SPREADS such spreads; where too low is bad as well, it also fails if it lies below the
 tenth by more than SPREADS times its distance from the median. A least spread keeps one odd word or line of a short document from
-deciding where a group has hardly any spread. Groups of under ``least_docs`` documents take the thresholds of their language, then
+deciding where a group has hardly any spread. Where under a tenth of a group's documents have any of what a rule counts, the three
+percentiles are 0 and say nothing; the sketch then speaks through the documents that have some: the limit lies halfway, on a
+logarithmic scale, between the least spread and the ninetieth percentile of these. Groups of under ``least_docs`` documents take the thresholds of their language, then
 of all documents, as their percentiles say little; the column ``level`` says which were used. Documents join the thresholds of
 their group, salted so that a source with a third of all rows is split.
 
@@ -28,6 +30,8 @@ from .common import materialize, ship
 
 GAMMA = 1.02
 SPREADS = 3.0
+#: So many documents with some of a rare thing give a percentile of their own.
+LEAST_SOME = 10
 #: Ratio, least spread, and whether too low is bad as well.
 RULES = (
     ("symbols_per_word", 0.02, False),
@@ -122,12 +126,17 @@ def thresholds(sketch: DataFrame, least_docs: int = 100) -> DataFrame:
     s = s.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy(*group)))
     value = F.when(F.col("bucket") > -100_000, F.pow(F.lit(GAMMA), F.col("bucket") - 0.5)).otherwise(0.0)
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, value)).alias(f"q{int(q * 100)}")
-    q = s.groupBy(*group).agg(F.max("all").alias("docs"), at(0.1), at(0.5), at(0.9))
+    some, without = F.col("bucket") > -100_000, F.sum(F.when(F.col("bucket") == -100_000, F.col("n")).otherwise(0)).over(Window.partitionBy(*group))
+    s = s.withColumn("without", without)
+    of_some = F.min(F.when(some & (F.col("upto") - F.col("without") >= (F.col("all") - F.col("without")) * 0.9), value)).alias("some90")
+    q = s.groupBy(*group).agg(F.max("all").alias("docs"), F.max(F.col("all") - F.col("without")).alias("some"), of_some, at(0.1), at(0.5), at(0.9))
     q = q.filter((F.col("level") == 2) | (F.col("docs") >= least_docs))
     out = []
     for name, floor, two_sided in RULES:
         below, above, this = F.col("q50") - F.col("q10"), F.col("q90") - F.col("q50"), F.col("ratio") == name
-        out.append(F.max(F.when(this, F.col("q90") + SPREADS * F.greatest(above, below, F.lit(floor)))).alias(f"high_{name}"))
+        rare = (F.col("q90") == 0) & (F.col("some") >= LEAST_SOME)
+        high = F.when(rare, F.sqrt(F.col("some90") * floor)).otherwise(F.col("q90") + SPREADS * F.greatest(above, below, F.lit(floor)))
+        out.append(F.max(F.when(this, high)).alias(f"high_{name}"))
         if two_sided:
             out.append(F.max(F.when(this, F.col("q10") - SPREADS * F.greatest(below, F.lit(floor)))).alias(f"low_{name}"))
     return q.groupBy("level", "lang", "source").agg(*out)
