@@ -64,11 +64,14 @@ def op7_token_counts(spark, sf_dir):
 
 
 def op8_language_id(spark, sf_dir):
+    from pyspark.sql import functions as F
+
     from .language_id import identify, learn_profiles
 
     docs = table(spark, sf_dir, "documents")
     profiles = learn_profiles(docs.filter(crc_mod5() != 0))
-    return identify(docs, profiles).withColumn("held_out", crc_mod5() == 0).select("doc_id", "held_out", "lang_pred", "score")
+    held_out = F.coalesce(crc_mod5() == 0, F.lit(False))  # a null id has no fold
+    return identify(docs, profiles).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op9_jaccard_join(spark, sf_dir):

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from coweave.llm import bpe_codec, class_lm, decontaminate, encoding, jaccard_join, jvm_coder, language_id, line_dedup, quality_rules, token_counts, token_files, url_filter
+from coweave.llm import bpe_codec, class_lm, decontaminate, encoding, jaccard_join, jvm_coder, language_id, line_dedup, quality_rules, queries, token_counts, token_files, url_filter
 from coweave.llm import vectext as V
 from coweave.llm.common import crc_mod5
 from coweave.llm.components import components
@@ -113,14 +113,16 @@ def test_quality_verdict_by_hand(spark):
     def text():
         w = [rng.choice(WORDS) for _ in range(rng.randint(30, 120))]
         for _ in range(rng.choice((0, 0, 1, 4, 30))):
-            w[rng.randrange(len(w))] = rng.choice(("a # b", "XX YY", "same", "\nsame line\n", "verylongwordhereindeed"))
+            w[rng.randrange(len(w))] = rng.choice(("XX YY", "same", "\nsame line\n", "verylongwordhereindeed"))
+        if rng.random() < 0.08:
+            w[0] = "a" + "#" * rng.choice((1, 2, 9, 40))
         return " ".join(w)
 
     rows = [(i, text(), rng.choice(("en",) * 8 + ("fr",) * 4 + ("it",)), rng.choice(("s1", "s1", "s1", "s2", f"s{i}", None))) for i in range(400)]
     judged = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), least_docs=60).collect()}
     over = {"symbols_per_word": ("n_symbols", "n_words"), "chars_per_word": ("word_chars", "n_words"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words"), "upper_share": ("n_upper", "word_chars"), "top_word_share": ("n_top_word", "n_words")}
     ratio = {i: {k: r[a] / r[b] if r[b] else 0.0 for k, (a, b) in over.items()} for i, r in judged.items()}
-    levels = Counter()
+    levels, rare = Counter(), Counter()
     for i, _, lang, source in rows:
         for level, same_group in (("source", lambda r: r[2:] == (lang, source)), ("language", lambda r: r[2] == lang), ("all", lambda r: True)):  # noqa: B023
             group = [ratio[r[0]] for r in rows if same_group(r)]
@@ -130,12 +132,35 @@ def test_quality_verdict_by_hand(spark):
         for k, floor, two_sided in quality_rules.RULES:
             buckets = sorted(math.ceil(math.log(g[k]) / math.log(1.02)) if g[k] > 0 else -math.inf for g in group)
             q10, q50, q90 = (1.02 ** (b - 0.5) if b > -math.inf else 0.0 for b in (buckets[math.ceil(q * len(buckets) - 1e-9) - 1] for q in (0.1, 0.5, 0.9)))
-            if ratio[i][k] > q90 + 3 * max(q90 - q50, q50 - q10, floor) or two_sided and ratio[i][k] < q10 - 3 * max(q50 - q10, floor):
+            some = [1.02 ** (b - 0.5) for b in buckets if b > -math.inf]
+            high = math.sqrt(floor * some[math.ceil(0.9 * len(some) - 1e-9) - 1]) if q90 == 0 and len(some) >= 10 else q90 + 3 * max(q90 - q50, q50 - q10, floor)
+            rare[k] += q90 == 0 and len(some) >= 10
+            if ratio[i][k] > high or two_sided and ratio[i][k] < q10 - 3 * max(q50 - q10, floor):
                 failed.append(k)
         r = judged[i]
         levels[level] += 1
         assert (r["level"], r["failed"], r["kept"]) == (level, failed, not failed and not r["base_failed"])
-    assert len(levels) == 3 and 0 < sum(bool(r["failed"]) for r in judged.values()) < 200
+    assert len(levels) == 3 and rare["symbols_per_word"] and 0 < sum(bool(r["failed"]) for r in judged.values()) < 200
+
+
+def test_quality_limits_of_rare_things_differ_by_group(spark):
+    """Symbols that few documents have: the limit comes from those that have some, in each source."""
+    def text(i, marks):
+        return " ".join([f"w{(i * 7 + k * k) % 97}" for k in range(80)] + ["#" * marks])
+
+    rows = [(1000 * s + i, text(i, often if i < 20 else 0), "en", f"s{s}") for s, often in ((0, 80), (1, 20)) for i in range(300)]
+    rows += [(5000, text(1, 9), "en", "s0"), (5001, text(1, 9), "en", "s1")]
+    judged = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    failed = {r["doc_id"]: r["failed"] for r in judged.collect()}
+    assert failed[5000] == [] and failed[5001] == ["symbols_per_word"]  # 9 / 81, where 0.14 and 0.07 are the limits
+    assert sum("symbols_per_word" in f for f in failed.values()) == 41
+
+
+def test_held_out_of_a_null_id(spark, tmp_path):
+    text = "der die das und ist nicht ein eine zu mit " * 20
+    spark.createDataFrame([(i, text, "de") for i in range(40)] + [(None, text, None)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r["held_out"] for r in queries.QUERIES["op8_language_id"](spark, str(tmp_path)).collect()]
+    assert len(got) == 41 and None not in got and sum(got) == sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(40))
 
 
 def test_url_filter(spark):
@@ -235,7 +260,8 @@ def test_decontaminate(spark, empty):
     same(got, [(0, 0), (1, 1), (1, 1), (2, 2), (None, 3), (None, 9), (5000, 4)])
     assert found.filter("doc_id = 1").first()["score"] == 1
     same([(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, bench, block_bytes=200).collect()], got)
-    same([(r["doc_id"],) for r in decontaminate.drop_contaminated(d, bench).collect()], [(3,), (4,), (5,)])
+    for block_bytes in (decontaminate.BLOCK_BYTES, 200):
+        same([(r["doc_id"],) for r in decontaminate.drop_contaminated(d, bench, block_bytes=block_bytes).collect()], [(3,), (4,), (5,)])
     assert decontaminate.contaminated(empty, bench).count() == 0
     assert decontaminate.contaminated(d, bench.filter("item_id > 100")).count() == 0
 
