@@ -4,13 +4,13 @@
    letters and length), are the elements that exchange clustering works on, so its size does not grow with the corpus.
 2. Element pairs are counted over all training texts. In one task, whose input is at most the square of the number of elements,
    elements move one by one to the class that raises the likelihood of the class bigrams most, until few move.
-3. Every other word of the table (the TABLE most frequent words) is exchanged against those classes: the classes of its
-   neighbours are counted over all training texts, and it goes where they are most likely. Words beyond the table, and words never
-   seen, stay in the class of their spelling group.
+3. Every other word is exchanged against those classes: the classes of its neighbours are counted over all training texts, and it
+   goes where they are most likely. Words never seen are in the class of their spelling group.
 4. Class bigrams are counted once more with the final classes. Transitions are smoothed towards the class frequencies; emissions
    add 0.5 to each word of a class and to one unseen word.
-5. Texts are scored where they lie. Counts and classes of the table are broadcast; counts of all other words are looked up by a
-   join on the word, whose left side is split where a word is hot.
+5. Counts and classes of the TABLE most frequent words are broadcast, and texts of such words only are scored where they lie. Other
+   texts leave a byte for each word, its class or a gap; classes and counts of the words in the gaps are looked up by a join on the
+   word, whose left side is split where a word is hot, and then the gaps are filled. The table only changes the work, not a score.
 
 Words are known by 64-bit hashes. Defined cases: a null text has the end token only; a null id neither trains nor is held out;
 without training tokens all counts are 0; of words with equal counts at the table's edge a hash picks which it holds; whole texts
@@ -23,12 +23,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as V
 from .common import materialize, ship, whole_runs
+from .packed import binary_column
 
 FREQUENT, GROUPS, CLASSES, TABLE = 4096, 256, 64, 1 << 20
 SWEEPS, PRIOR = 6, 5.0
@@ -172,7 +174,7 @@ def _most_frequent(words: DataFrame, most: int) -> Column:
 
 
 def train(docs: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, table: int = TABLE, sweeps: int = SWEEPS, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the counts (word, n) of the words that are not in its table."""
+    """The model, and counts and classes (word, n, cls) of the words that are not in its table."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -224,34 +226,34 @@ def train(docs: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, tab
     group_cls = element_cls[: GROUPS + 1]
     at, hit = place_in(often, h)
     cls = element_cls[GROUPS + 1 + at] if len(often) else np.zeros(0, np.int64)
-    rest = h[~hit]
-    if len(rest):
-        placed = materialize(_neighbours(texts, often, element_cls[GROUPS + 1 :], rest, group_cls, classes).mapInArrow(_exchanged(cc, classes), "word long, cls int"), "classes").toArrow()
-        by = np.argsort(placed["word"].to_numpy().view(np.uint64))
-        cls[~hit] = placed["cls"].to_numpy()[by]  # each word of rest occurs, so it has a row
-        cc = _class_pairs(texts, h, cls, group_cls, classes)
+    placed = _neighbours(texts, often, element_cls[GROUPS + 1 :], group_cls, classes).mapInArrow(_exchanged(cc, classes), "word long, cls int")
+    placed = materialize(placed.join(words.select("word", "n"), "word"), "classes")
+    listed = placed.filter(top).select("word", "cls").toArrow()  # the table's at most
+    cls[~hit] = listed["cls"].to_numpy()[np.argsort(listed["word"].to_numpy().view(np.uint64))]  # each word occurs, so it has neighbours
+    beyond = placed.filter(~top).select("word", "n", "cls")
+    if int(kinds) > len(often):
+        cc = _class_pairs(texts, h, cls, group_cls, beyond, classes)
     class_n, class_v = np.bincount(cls, n, classes), np.bincount(cls, minlength=classes).astype(float)
-    beyond = words.filter(~top)
-    for r in beyond.groupBy("grp").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():  # one row for each group
-        class_n[group_cls[r["grp"]]] += r["n"]
-        class_v[group_cls[r["grp"]]] += r["k"]
+    for r in beyond.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():  # one row for each class
+        class_n[r["cls"]] += r["n"]
+        class_v[r["cls"]] += r["k"]
     class_n[END] += ends
     class_v[END] += ends > 0
     model = Model(h, n, cls, group_cls, cc, ends, int(total) + ends, int(kinds) + (ends > 0), class_n, class_v)
-    return model, beyond.select("word", "n")
+    return model, beyond
 
 
-def _neighbours(texts: DataFrame, often: np.ndarray, often_cls: np.ndarray, rest: np.ndarray, group_cls: np.ndarray, classes: int) -> DataFrame:
-    """word, code, n, sorted by word: how often a word of ``rest`` stands before class code, or after class code - classes."""
-    shared = texts.sparkSession.sparkContext.broadcast((often, often_cls, rest, group_cls))
+def _neighbours(texts: DataFrame, often: np.ndarray, often_cls: np.ndarray, group_cls: np.ndarray, classes: int) -> DataFrame:
+    """word, code, n, sorted by word: how often a word that is not in ``often`` stands before class code, or after class code - classes."""
+    shared = texts.sparkSession.sparkContext.broadcast((often, often_cls, group_cls))
 
     def run(batches):
-        often, often_cls, rest, group_cls = shared.value
+        often, often_cls, group_cls = shared.value
         for b in V.slices_by_bytes(batches, "text"):
             w, group, doc = tokens(b.column("text"))
             codes, distinct, first = V.factorize(w)
             c = classes_of(distinct, group[first], often, often_cls, group_cls)[codes] if len(w) else w.astype(np.int64)
-            _, wanted = place_in(rest, distinct)
+            wanted = ~place_in(often, distinct)[1]
             last = np.ones(len(w), bool)
             last[:-1] = doc[1:] != doc[:-1]
             after = np.where(last, END, np.append(c[1:], END)[: len(c)])
@@ -286,22 +288,79 @@ def _exchanged(cc: np.ndarray, classes: int):
     return run
 
 
-def _class_pairs(texts: DataFrame, table: np.ndarray, cls: np.ndarray, group_cls: np.ndarray, classes: int) -> np.ndarray:
+#: Stands for a word whose class is looked up by a join.
+GAP = 255
+
+
+def _gaps(c: np.ndarray, codes: np.ndarray, doc: np.ndarray, hit: np.ndarray, kinds: int, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Of the words that are not in the table, by text: code of each different one and how often it stands there, ends of their
+    lists; and of texts with such words the classes of all words with GAPs, and for each gap the place of its word in the list."""
+    gap = ~hit[codes] if kinds else np.zeros(0, bool)
+    key = doc[gap] * kinds + codes[gap]
+    pair, many = np.unique(key, return_counts=True)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(pair // max(kinds, 1), minlength=docs))]).astype(np.int64)
+    at = (np.searchsorted(pair, key) - ends[doc[gap]]).astype(np.int32)
+    gaps = np.bincount(doc[gap], minlength=docs)
+    open_ = gaps > 0
+    keep = open_[doc]
+    filled = np.where(gap, GAP, c[codes] if kinds else c)[keep].astype(np.uint8)
+    sizes = np.where(open_, np.bincount(doc, minlength=docs), 0)
+    none = pa.array(~open_)
+    seq = pc.if_else(none, pa.scalar(None, pa.binary()), binary_column(filled, np.concatenate([[0], np.cumsum(sizes)])))
+    places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(gaps)]).astype(np.int32)), pa.array(at))
+    return pair % max(kinds, 1), many, ends, seq, places
+
+
+def _steps(seq: bytes, at: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Previous and next class of each token of a text, its gaps filled, both ends included."""
+    c = np.frombuffer(seq, np.uint8).astype(np.int64)
+    c[c == GAP] = cls[at]
+    return np.append(END, c), np.append(c, END)
+
+
+def _by_place(cls: Column) -> Column:
+    """Classes in the order of the words' places in their text's list."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("pos", cls.alias("cls")))), lambda x: x["cls"])
+
+
+def _class_pairs(texts: DataFrame, table: np.ndarray, cls: np.ndarray, group_cls: np.ndarray, beyond: DataFrame, classes: int) -> np.ndarray:
     """How often each class follows each over all texts."""
     shared = texts.sparkSession.sparkContext.broadcast((table, cls, group_cls))
 
     def run(batches):
-        total = np.zeros(classes * classes, np.int64)
+        total, row = np.zeros(classes * classes, np.int64), TaskContext.get().partitionId() << 40
         for b in V.slices_by_bytes(batches, "text"):
+            docs = len(b)
             w, group, doc = tokens(b.column("text"))
             codes, distinct, first = V.factorize(w)
-            c = classes_of(distinct, group[first], *shared.value)[codes] if len(w) else w.astype(np.int64)
-            prev, nxt = _sequences(c, doc, len(b))
-            total += np.bincount(prev * classes + nxt, minlength=classes * classes)
+            hit = place_in(shared.value[0], distinct)[1]
+            c = classes_of(distinct, group[first], *shared.value) if len(w) else w.astype(np.int64)
+            word, _, ends, seq, at = _gaps(c, codes, doc, hit, len(distinct), docs)
+            prev, nxt = _sequences(c[codes] if len(w) else c, doc, docs)
+            whole = np.repeat(pc.is_null(seq).to_numpy(zero_copy_only=False), np.bincount(doc, minlength=docs) + 1)
+            total += np.bincount(prev[whole] * classes + nxt[whole], minlength=classes * classes)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(distinct[word].view(np.int64)))
+            part = pa.RecordBatch.from_arrays([pa.nulls(docs, pa.int32()), pa.nulls(docs, pa.int64()), pa.array(row + np.arange(docs)), seq, at, lists], ["pair", "n", "row", "seq", "at", "words"])
+            row += docs
+            yield part.filter(pc.is_valid(seq))
+        k = classes * classes
+        empty = pa.array([[]] * k, pa.list_(pa.int32())), pa.array([[]] * k, pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(total), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), *empty], ["pair", "n", "row", "seq", "at", "words"])
+
+    def fill(batches):
+        total = np.zeros(classes * classes, np.int64)
+        for b in batches:
+            for seq, at, found in zip(b.column("seq").to_pylist(), b.column("at"), b.column("found"), strict=True):
+                prev, nxt = _steps(seq, at.values.to_numpy(), found.values.to_numpy())
+                total += np.bincount(prev * classes + nxt, minlength=classes * classes)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes * classes, dtype=np.int32)), pa.array(total)], ["pair", "n"])
 
+    coded = materialize(texts.mapInArrow(run, "pair int, n long, row long, seq binary, at array<int>, words array<long>"), "class-pairs")
+    open_ = coded.filter("row IS NOT NULL")
+    found = open_.select("row", F.posexplode("words").alias("pos", "word")).join(beyond, "word").groupBy("row").agg(_by_place(F.col("cls")).alias("found"))
+    more = open_.select("row", "seq", "at").join(found, "row").select("seq", "at", "found").mapInArrow(fill, "pair int, n long")
     out = np.zeros(classes * classes)
-    for r in texts.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # classes squared
+    for r in coded.filter("pair IS NOT NULL").select("pair", "n").union(more).groupBy("pair").agg(F.sum("n").alias("n")).collect():  # classes squared
         out[r["pair"]] = r["n"]
     return out.reshape(classes, classes)
 
@@ -328,16 +387,25 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, held_out: Column, id_c
             logs = np.where(hit, np.log10(c + 0.5), 0.0)
             listed = np.bincount(doc, logs[codes], docs_) + math.log10(m.ends + 0.5)
             known = np.bincount(doc, hit[codes], docs_).astype(np.int64) + (m.ends > 0)
-            rare = np.flatnonzero(~hit[codes])
-            pair, many = np.unique(doc[rare] * len(distinct) + codes[rare], return_counts=True) if len(distinct) else (rare, rare)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(pair // max(len(distinct), 1), minlength=docs_))]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (distinct[pair % max(len(distinct), 1)].view(np.int64), many.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(docs_)), b.column("doc_id"), b.column("held_out"), pa.array((n + 1).astype(np.int64)), pa.array(known), pa.array(listed), pa.array(step), *lists], ["row", "doc_id", "held_out", "n_tokens", "known", "listed", "step", "words", "many"])
+            word, many, ends, seq, at = _gaps(cls, codes, doc, hit, len(distinct), docs_)
+            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (distinct[word].view(np.int64), many.astype(np.int32), cls[word].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(docs_)), b.column("doc_id"), b.column("held_out"), pa.array((n + 1).astype(np.int64)), pa.array(known), pa.array(listed), pa.array(step), seq, at, *lists], ["row", "doc_id", "held_out", "n_tokens", "known", "listed", "step", "seq", "at", "words", "many", "guess"])
             row += docs_
 
+    def filled(seq: pa.Array, at: pa.Array, found: pa.Array) -> pa.Array:
+        m: Model = shared.value
+        out = []
+        for x, places, classes in zip(seq.to_pylist(), at, found, strict=True):
+            prev, nxt = _steps(x, places.values.to_numpy(), classes.values.to_numpy())
+            out.append(float((m.step[prev, nxt] - m.mass[nxt]).sum()))
+        return pa.array(out, pa.float64())
+
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    part = materialize(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, listed double, step double, words array<long>, many array<int>"), "scored")
-    left = part.select("row", F.explode(F.arrays_zip("words", "many")).alias("e")).select("row", F.col("e.words").alias("word"), F.col("e.many").alias("many"))
-    found = left.join(rest, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("many")).otherwise(0)).alias("more"), F.sum(F.col("many") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"))
-    out = part.drop("words", "many").join(found, "row", "left").withColumn("all", F.col("listed") + F.coalesce("logs", F.lit(0.0)))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("all") - F.col("n_tokens") * F.lit(model.base)).alias("base_score"), (F.col("all") + F.col("step")).alias("score"))
+    part = materialize(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, listed double, step double, seq binary, at array<int>, words array<long>, many array<int>, guess array<int>"), "scored")
+    open_ = part.filter("seq IS NOT NULL")
+    left = open_.select("row", F.posexplode(F.arrays_zip("words", "many", "guess")).alias("pos", "e")).select("row", "pos", F.col("e.words").alias("word"), F.col("e.many").alias("many"), F.col("e.guess").alias("guess"))
+    found = left.join(rest, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("many")).otherwise(0)).alias("more"), F.sum(F.col("many") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"), _by_place(F.coalesce("cls", "guess")).alias("found"))
+    whole = part.filter("seq IS NULL").select("doc_id", "held_out", "n_tokens", "known", "listed", "step")
+    more = open_.drop("words", "many", "guess").join(found, "row").withColumns({"known": F.col("known") + F.col("more"), "listed": F.col("listed") + F.col("logs"), "step": F.arrow_udf(filled, "double")("seq", "at", "found")})
+    out = whole.union(more.select(*whole.columns))
+    return out.select("doc_id", "held_out", "n_tokens", F.col("known").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("listed") - F.col("n_tokens") * F.lit(model.base)).alias("base_score"), (F.col("listed") + F.col("step")).alias("score"))
