@@ -39,6 +39,8 @@ from .components import components, least_labels
 
 SIMILARITY, SHINGLE = 0.8, 5
 COORDINATES, LIMIT, BLOCK = 96, 2048, 512
+#: Shingles of the sets of a block, 16 MB, and shared shingles that are counted at once.
+BLOCK_SHINGLES, STRIP = 1 << 21, 1 << 16
 NEAR, LINK, PAIR = 0.72, 0.42, 0.6
 RECALL, SPLIT, DEPTH = 0.9999, 2, 3
 _RNG = np.random.default_rng(20)
@@ -227,7 +229,8 @@ def exact_links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFr
     member = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").join(sets, "key")
     span = F.floor(F.log(F.size("set").cast("double")) / (math.log(1 / similarity) + 1e-9)).cast("long")  # similar sets: this one or the next
     member = materialize(member.withColumn("span", F.when(F.col("n") > BLOCK, span).otherwise(F.lit(0).cast("long"))), "members")
-    blocks = member.groupBy("root", "span").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    many, long = F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.size("set").cast("long")) / BLOCK_SHINGLES)
+    blocks = member.groupBy("root", "span").agg(F.greatest(many, long).cast("int").alias("blocks"))
     near = blocks.select("root", F.col("blocks").alias("others"), F.col("span").alias("other_span"), F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1)).alias("span"))
     rows = member.join(blocks, ["root", "span"]).withColumn("block", F.col("span") * (1 << 32) + F.pmod(F.xxhash64("key"), F.col("blocks")))
     rows = rows.join(near, ["root", "span"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others").cast("long") - 1)))
@@ -246,12 +249,19 @@ def _compare_block(key: np.ndarray, block: np.ndarray, flat: np.ndarray, sizes:
     new = np.cumsum(shared) - 1
     use = shared[code]
     code, own = new[code[use]], own[use]
-    # a bit for each shared shingle; what two sets have in common is counted 64 shingles at a time
-    bits = np.zeros((n, int(shared.sum()) // 64 + 1), np.uint64)
-    np.bitwise_or.at(bits, (own, code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))
-    both = np.zeros((n, n), np.int64)
-    for i in range(n):
-        both[i, i:] = np.bitwise_count(bits[i] & bits[i:]).sum(axis=1, dtype=np.int64)
+    # a bit for each shared shingle; what two sets have in common is counted 64 shingles at a time, and STRIP shingles at once
+    both, some = np.zeros((n, n), np.int64), int(shared.sum())
+    strips = [(code, own)]
+    if some > STRIP:
+        order = np.argsort(code, kind="stable")
+        code, own = code[order], own[order]
+        cuts = np.searchsorted(code, np.arange(0, some, STRIP))
+        strips = [(code[p:q] % STRIP, own[p:q]) for p, q in zip(cuts, [*cuts[1:], len(code)], strict=True)]
+    for c, rows in strips:
+        bits = np.zeros((n, min(STRIP, some) // 64 + 1), np.uint64)
+        np.bitwise_or.at(bits, (rows, c >> 6), np.uint64(1) << (c & 63).astype(np.uint64))
+        for i in range(n):
+            both[i, i:] += np.bitwise_count(bits[i] & bits[i:]).sum(axis=1, dtype=np.int64)
     both = np.maximum(both, both.T)
     total = (sizes[:, None] + sizes[None, :]) - both
     ok = both >= similarity * total - 1e-6

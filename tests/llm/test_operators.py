@@ -414,6 +414,29 @@ def test_short_lines(spark, tmp_path):
     same(corpus_pipeline.drop_repeated_lines(spark, d, str(tmp_path)).collect(), [(0, texts[0], 5), (1, "Read more\na b", 5), (2, "read more\n\nb a c", 5)])
 
 
+def test_blocks_of_long_sets_count_in_strips(monkeypatch):
+    """What two sets share is the same however many shingles are counted at once."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 62, 4000, dtype=np.int64)
+    sets = [np.unique(np.concatenate([base[k : k + 3000], rng.integers(1, 1 << 62, 100, dtype=np.int64)])) for k in range(0, 1000, 50)]
+    key, block, sizes = np.arange(len(sets)), np.zeros(len(sets), np.int64), np.array([len(x) for x in sets])
+    whole = jaccard_join._compare_block(key, block, np.concatenate(sets), sizes, 0.8)
+    monkeypatch.setattr(jaccard_join, "STRIP", 256)
+    strips = jaccard_join._compare_block(key, block, np.concatenate(sets), sizes, 0.8)
+    links = [sum(len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
+    assert whole.equals(strips) and whole.column("links").to_pylist() == links and 0 < sum(links) < len(sets) ** 2 - len(sets)
+
+
+def test_blocks_are_cut_by_shingles(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [rng.choice(WORDS) + str(rng.randrange(400)) for _ in range(300)]
+    rows = [(i, " ".join(w if rng.random() < 0.985 else "other" for w in base)) for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, jaccard_join.jaccard_join(d).collect()))
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 1500)
+    assert sorted(map(tuple, jaccard_join.jaccard_join(d).collect())) == plain and max(r[2] for r in plain) > 5
+
+
 def test_class_lm(docs, rows, empty):
     model, rest = class_lm.train(docs.filter(crc_mod5() != 1), frequent=40, classes=8, table=60)
     got = class_lm.score(docs, model, rest, crc_mod5() == 1).collect()
@@ -438,9 +461,12 @@ def test_class_lm_scores_by_hand(spark):
         model, rest = class_lm.train(d.filter(crc_mod5() != 1), frequent=12, classes=6, table=table)
         assert 0.5 * min(table, 70) <= len(model.table) <= 1.5 * table
 
-        def cls(w, model=model):
+        far = {r["word"]: r["cls"] for r in rest.collect()}
+        assert (table < 100) == bool(far)
+
+        def cls(w, model=model, far=far):
             h, group, _ = class_lm.tokens(pa.array([w]))
-            return int(class_lm.classes_of(h, group, model.table, model.cls, model.group_cls)[0])
+            return far.get(int(h.view(np.int64)[0]), int(class_lm.classes_of(h, group, model.table, model.cls, model.group_cls)[0]))
 
         train = [words_of(lower(t)) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
         c = Counter(w for ws in train for w in [*ws, None])
@@ -466,6 +492,18 @@ def test_class_lm_scores_by_hand(spark):
         assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
 
 
+def test_the_table_changes_no_class_and_no_score(spark):
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choice(WORDS) + (str(rng.randrange(30)) if rng.random() < 0.5 else "") for _ in range(rng.randint(0, 60)))) for i in range(200)] + [(900, None), (901, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    for table in (100_000, 150, 60):
+        model, rest = class_lm.train(d.filter(crc_mod5() != 1), frequent=30, classes=6, table=table)
+        classes = dict(zip(model.table.view(np.int64).tolist(), model.cls.tolist(), strict=True)) | {r["word"]: r["cls"] for r in rest.collect()}
+        seen.append((classes, {r["doc_id"]: (r["n_known"], round(r["base_score"], 8), round(r["score"], 8)) for r in class_lm.score(d, model, rest, crc_mod5() == 1).collect()}))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0][0]) > 500
+
+
 def test_rare_words_join_the_class_of_their_neighbours(spark):
     rng = random.Random(12)
     kinds = [[f"{k}{i}" for i in range(30)] for k in ("red", "big", "car")]
