@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
+
 #: Centre of the projection, latitude and longitude.
 CENTER = (23.7, 121.0)
 
@@ -69,23 +71,60 @@ def in_polygon(x: Column, y: Column, rings: Column) -> Column:
     return in_ring(x, y, F.get(rings, F.lit(0))) & ~F.exists(holes, lambda h: in_ring(x, y, h))
 
 
-def locate(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", most_polygons: int = 10_000) -> DataFrame:
+def cells_by_density(points: DataFrame, most: int, depth: int) -> DataFrame:
+    """cx, cy, level, ax, ay, n of each finest cell with points: the largest square around it, of those that halve from level 0 to
+    ``depth``, with at most ``most`` points in all, or the finest. points: cx, cy. Only counts are shuffled."""
+    fine = points.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+    up = fine.select("cx", "cy", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
+    up = up.withColumns({c: F.expr(f"shiftright(c{c[1]}, {depth} - level)") for c in ("ax", "ay")})
+    held = up.groupBy("level", "ax", "ay").agg(F.sum("n").alias("held"))
+    fits = up.join(held, ["level", "ax", "ay"]).filter((F.col("held") <= most) | (F.col("level") == depth))
+    return fits.groupBy("cx", "cy", "n").agg(F.min(F.struct("level", "ax", "ay", "held")).alias("c")).select("cx", "cy", "n", "c.*")
+
+
+def locate(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", most_polygons: int = 10_000, most_points: int = 100_000, depth: int = 12) -> DataFrame:
     """points with the name of the first polygon (by ord) that holds each. polygons: ord, name, rings. Boxes sort out most pairs
-    before rings are walked. The polygons are counted, and broadcast up to ``most_polygons``; beyond that cells of ten degrees
-    make the join an equi-join."""
+    before rings are walked.
+
+    The polygons are counted, and broadcast up to ``most_polygons``. Beyond that points and polygons meet in cells, large where points
+    are few and small where they are dense; a finest cell with more than ``most_points`` is dealt out further by row."""
     first = F.get("rings", F.lit(0))
     box = polygons.select("ord", "name", "rings", *[f(first[c]).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))])
     inside = (F.col(x) >= F.col("lox")) & (F.col(x) <= F.col("hix")) & (F.col(y) >= F.col("loy")) & (F.col(y) <= F.col("hiy"))
     keyed = points.withColumn("_row", F.monotonically_increasing_id())
-    if polygons.count() <= most_polygons:
-        met = keyed.join(F.broadcast(box), inside, "left")
-    else:
-        span = lambda c: F.explode(F.sequence(F.floor(F.col(f"lo{c}") / 10), F.floor(F.col(f"hi{c}") / 10)))
-        cells = box.withColumn("_cx", span("x")).withColumn("_cy", span("y"))
-        met = keyed.withColumns({"_px": F.floor(F.col(x) / 10), "_py": F.floor(F.col(y) / 10)}).join(cells, (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")) & inside, "left")
     own = points.columns
     hit = F.when(in_polygon(F.col(x), F.col(y), F.col("rings")), F.struct("ord", "name"))
-    return met.groupBy("_row", *own).agg(F.min(hit).alias("m")).select(*own, F.col("m.name").alias("place"))
+    if polygons.count() <= most_polygons:
+        met = keyed.join(F.broadcast(box), inside, "left")
+        return met.groupBy("_row", *own).agg(F.min(hit).alias("m")).select(*own, F.col("m.name").alias("place"))
+    x0, x1, y0, y1 = box.agg(F.min("lox"), F.max("hix"), F.min("loy"), F.max("hiy")).first()
+    side = 1 << depth
+
+    def cell(c, low, high):
+        """Number of the finest cell; what lies beyond the outermost polygons counts with the cells at the rim."""
+        return F.least(F.lit(side - 1), F.greatest(F.lit(0), F.floor((c - low) / ((high - low) or 1.0) * side))).cast("int")
+
+    at = cut(keyed.withColumns({"cx": F.coalesce(cell(F.col(x), x0, x1), F.lit(0)), "cy": F.coalesce(cell(F.col(y), y0, y1), F.lit(0))}))
+    cells = cut(cells_by_density(at.select("cx", "cy"), most_points, depth))
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    dense = F.broadcast(cells.filter(F.col("n") * 1024 > total).select("cx", "cy", "level", "ax", "ay", "held"))  # under 1024 rows
+    sparse = cells.filter(F.col("n") * 1024 <= total).select("cx", "cy", "level", "ax", "ay", "held")
+    placed = at.join(dense, ["cx", "cy"]).union(at.join(dense.select("cx", "cy"), ["cx", "cy"], "left_anti").join(sparse, ["cx", "cy"]).select("cx", "cy", *at.drop("cx", "cy").columns, "level", "ax", "ay", "held"))
+    salts = F.ceil(F.col("held") / most_points).cast("int")
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("_row"), salts).cast("int"))
+    # polygons and cells meet in a coarse grid first
+    span = lambda low, high: F.explode(F.sequence(low, high))
+    coarse = max(0, depth - 4)
+    boxes = box.withColumns({f"{e}c{c}": cell(F.col(f"{e}{c}"), *r) for e in ("lo", "hi") for c, r in (("x", (x0, x1)), ("y", (y0, y1)))})
+    boxes = boxes.withColumn("gx", span(F.shiftright("locx", coarse), F.shiftright("hicx", coarse))).withColumn("gy", span(F.shiftright("locy", coarse), F.shiftright("hicy", coarse)))
+    leaves = cells.select("level", "ax", "ay", salts.alias("salts")).distinct()
+    leaves = leaves.withColumns({f"{e}a{c}": F.expr(f"shiftleft(a{c} + {k}, {depth} - level) - {k}") for c in "xy" for e, k in (("lo", 0), ("hi", 1))})
+    leaves = leaves.withColumn("gx", span(F.shiftright("loax", coarse), F.shiftright("hiax", coarse))).withColumn("gy", span(F.shiftright("loay", coarse), F.shiftright("hiay", coarse)))
+    over = (F.col("locx") <= F.col("hiax")) & (F.col("hicx") >= F.col("loax")) & (F.col("locy") <= F.col("hiay")) & (F.col("hicy") >= F.col("loay"))
+    shapes = boxes.join(leaves, ["gx", "gy"]).filter(over).dropDuplicates(["ord", "name", "level", "ax", "ay"]).withColumn("salt", span(F.lit(0), F.col("salts") - 1))
+    met = placed.join(shapes.select("level", "ax", "ay", "salt", "ord", "name", "rings", "lox", "hix", "loy", "hiy"), ["level", "ax", "ay", "salt"]).filter(inside)
+    found = met.select("_row", hit.alias("m")).filter("m IS NOT NULL").groupBy("_row").agg(F.min("m").alias("m"))
+    return at.drop("cx", "cy").join(found, "_row", "left").select(*own, F.col("m.name").alias("place"))
 
 
 def ring_area(ring: Column) -> Column:

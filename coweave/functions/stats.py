@@ -156,5 +156,17 @@ def quantile_group(df: DataFrame, value: str, cuts: tuple[float, ...] = (0.25, 0
     return df.crossJoin(F.broadcast(q)).withColumn("quantile_group", F.lit(1) + step).drop(*[f"_q{i}" for i in range(len(cuts))])  # one row
 
 
+def clipped_stack(rows: DataFrame, key: str, parts: list[str], most: float) -> DataFrame:
+    """key, ord, part, value, start, shown_start, shown: the parts of each row stacked on each other, and what of them is shown where
+    the scale ends at ``most``."""
+    start, out = F.lit(0.0), []
+    for i, p in enumerate(parts):
+        end = start + F.col(p)
+        cap = lambda c: F.least(c, F.lit(float(most)))
+        out.append(F.struct(F.lit(i).alias("ord"), F.lit(p).alias("part"), F.col(p).cast("double").alias("value"), start.alias("start"), cap(start).alias("shown_start"), (cap(end) - cap(start)).alias("shown")))
+        start = end
+    return rows.select(key, F.explode(F.array(*out)).alias("s")).select(key, "s.*")
+
+
 def share_of_total(value: Column, *group: str) -> Column:
     return value / F.sum(value).over(Window.partitionBy(*group))

@@ -6,13 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import affiliations as A
-from ..functions.names import HAN
 
 # How far behind the name a line may stand, and the rank of each kind of page.
 MOST_DISTANCE = {"profile": 1500, "personal": 1500, "host_title": 1500, "list": 400}
 SOURCE_RANK = {"profile": 0, "personal": 1, "host_title": 2, "list": 3}
 
 
+ANCHORS = (2, 3, 4, 8)
+
+
+def names_on_pages(pages: DataFrame, people: DataFrame) -> DataFrame:
+    """url, name of each different name, of two characters or more and of any script, that stands in a page's text.
+
+    A name is anchored by its first characters, as many as the greatest of ANCHORS that it has; pages and names meet on equal anchors,
+    and only longer names are then looked for in the text. pages: url, text; people: name."""
+    size = F.greatest(*[F.when(F.length("name") >= n, n).otherwise(0) for n in ANCHORS])
+    names = people.select("name").distinct().withColumn("size", size).filter("size > 0").withColumn("anchor", F.substr("name", F.lit(1), F.col("size")))
+    grams = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in ANCHORS])))
+    met = pages.select("url", F.explode(grams).alias("anchor")).join(names, "anchor")
+    short = met.filter(F.length("name") == F.col("size")).select("url", "name")
+    longer = met.filter(F.length("name") > F.col("size")).join(pages.select("url", "text"), "url").filter(F.contains("text", F.col("name"))).select("url", "name")
+    return short.union(longer)
+
+
 def find_candidates(people: DataFrame, pages: DataFrame, degree_word: str, school_word: str, degree_cell: str, other: str, crowded: int = 3) -> DataFrame:
     """teacher_id, src, url, line, lines_after, other_names, rank, best rank first by (rank, url).
 
@@ -35,9 +51,7 @@ def find_candidates(people: DataFrame, pages: DataFrame, degree_word: str, schoo
     limit = F.create_map(*[F.lit(x) for pair in MOST_DISTANCE.items() for x in pair])[F.col("src")]
     found = found.filter(F.size("l") > 0).withColumn("far", F.position(first, F.col("tail")) - 1).filter(F.col("far") < limit)
 
-    # other people's names are runs of two to four Han characters of the page: an equi-join, not every name against every page
-    runs = F.explode(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?=([{HAN}]{{{n}}}))"), F.lit(1)) for n in (2, 3, 4)]))))
-    named = pages.join(found.select("url").distinct(), "url", "left_semi").select("url", runs.alias("name")).join(people.select("name").distinct(), "name")
+    named = names_on_pages(pages.join(found.select("url").distinct(), "url", "left_semi"), people)
     crowd = named.groupBy("url").agg(F.count(F.lit(1)).alias("named"))
     own = named.select("url", "name", F.lit(1).alias("self"))
     found = found.join(crowd, "url", "left").join(own, ["url", "name"], "left").withColumn("other_names", F.coalesce("named", F.lit(0)) - F.coalesce("self", F.lit(0)))

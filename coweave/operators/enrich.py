@@ -121,6 +121,33 @@ def guarded_roster_match(country: Column, code: Column, home: str = "TW") -> Col
     return F.when(country.isNull() | (country == "") | (country == home), code)
 
 
+def match_institutions(people: DataFrame, decisions: DataFrame, listed: DataFrame) -> DataFrame:
+    """node_id, kind, ids: what an author's affiliation stands for, in order of preference.
+
+    A decision on the affiliation comes first, and one of "none" ends it. Else the ids that the author's own profile lists under the
+    same name, in its order; behind them those that profiles list under it in the same country, the most frequent first; and if there
+    are none of these, the one id that the name stands for anywhere, if there is only one. people: node_id, affil, country, author_id;
+    decisions: affil, decision ("kind:value"); listed: author_id, ord, inst_id, name, country."""
+    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", " "))
+    p = people.select("node_id", plain(F.col("affil")).alias("affil"), F.coalesce("country", F.lit("")).alias("country"), "author_id").filter("affil <> ''").withColumn("key", N.institution_key(F.col("affil")))
+    d = first_by(decisions.select(plain(F.col("affil")).alias("affil"), F.coalesce("decision", F.lit("")).alias("decision")), ["affil"], F.desc("decision"))
+    decided = p.join(d, "affil").select("node_id", F.substring_index("decision", ":", 1).alias("kind"), F.array(F.regexp_replace("decision", "^[^:]*:?", "")).alias("ids"))
+    decided = decided.filter(F.col("kind").isin("roster", "ror", "wd", "ll") & (F.get("ids", F.lit(0)) != ""))
+    rest = p.join(d, "affil", "left_anti")
+
+    known = listed.filter("inst_id IS NOT NULL AND coalesce(name, '') <> ''").select("author_id", "ord", "inst_id", N.institution_key(F.col("name")).alias("key"), F.coalesce("country", F.lit("")).alias("country"))
+    ids = lambda *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, "inst_id"))), lambda x: x["inst_id"])
+    of_author = known.groupBy("author_id", "key", "inst_id").agg(F.min("ord").alias("ord")).groupBy("author_id", "key").agg(ids("ord").alias("own"))
+    often = known.groupBy("key", "country", "inst_id").agg((-F.count(F.lit(1))).alias("often"))
+    here = often.groupBy("key", "country").agg(ids("often").alias("same"))
+    anywhere = known.groupBy("key").agg(F.min("inst_id").alias("a"), F.max("inst_id").alias("z")).filter("a = z").select("key", F.array("a").alias("only"))
+    none = F.array().cast(dict(listed.dtypes)["inst_id"].join(("array<", ">")))
+    j = rest.join(of_author, ["author_id", "key"], "left").join(here, ["key", "country"], "left").join(anywhere, "key", "left")
+    found = F.array_distinct(F.concat(F.coalesce("own", none), F.coalesce("same", "only", none)))
+    matched = j.select("node_id", F.lit("oa").alias("kind"), found.cast("array<string>").alias("ids")).filter("size(ids) > 0")
+    return decided.unionByName(matched)
+
+
 def derive_grants(rows: DataFrame, page_rows: DataFrame, people: DataFrame, research: str = "專題研究計畫") -> DataFrame:
     """The grants table: raw rows (record_id, teacher_id, roc_year, grant_category, project_title, role) beside the rows of the
     person's page in the same order (ord, roc_year, project_title, role, amount_text), whether they agree, the amount, year, role

@@ -253,11 +253,11 @@ def a22(v):
     return K.match_items(papers, by_doi, hits)
 
 
-@query("a23_first_coordinates", "SELECT id, any_value(lat) AS lat, any_value(lon) AS lon FROM (SELECT c_custkey % 300 AS id, c_custkey, (c_custkey % 70)::DOUBLE + 0.5 AS lat, -(c_custkey % 90)::DOUBLE - 0.25 AS lon, row_number() OVER (PARTITION BY c_custkey % 300 ORDER BY c_custkey) AS rn FROM customer WHERE c_custkey % 7 <> 0) WHERE rn = 1 GROUP BY 1")
+@query("a23_first_coordinates", "SELECT id, any_value(lat) AS lat, any_value(lon) AS lon FROM (SELECT c_custkey // 5 AS id, c_custkey, (c_custkey % 70)::DOUBLE + 0.5 AS lat, -(c_custkey % 90)::DOUBLE - 0.25 AS lon, row_number() OVER (PARTITION BY c_custkey // 5 ORDER BY c_custkey) AS rn FROM customer WHERE c_custkey % 7 <> 0) WHERE rn = 1 GROUP BY 1")
 def a23(v):
     k = F.col("c_custkey")
     point = F.when(k % 7 == 0, "unknown").otherwise(F.concat(F.lit("Point(-"), (k % 90).cast("string"), F.lit(".25 "), (k % 70).cast("string"), F.lit(".5)")))
-    return R.first_coordinates(v.customer.select((k % 300).alias("id"), k.alias("ord"), point.alias("point")))
+    return R.first_coordinates(v.customer.select(F.floor(k / 5).alias("id"), k.alias("ord"), point.alias("point")))
 
 
 @query("a24_wanted_affiliations", "SELECT l_suppkey AS author_id, l_orderkey AS work, cast(1990 + l_linenumber AS INT) AS year FROM lineitem WHERE l_suppkey % 3 = 0 AND l_linenumber <> 2")

@@ -110,6 +110,31 @@ def g6(v):
     return out.select("teacher_id", *[F.round(F.coalesce(c, F.lit(0.0)), 2).alias(c) for c in g.columns[1:-1]], F.coalesce("n_pi", F.lit(0)).alias("n_pi"))
 
 
+_SUMS = "su AS (SELECT p.teacher_id, " + ", ".join(f"coalesce(sum(amount) FILTER (grant_category = '{c}'), 0) AS f_{c[0]}" for c in CATS) + ", coalesce(sum(amount), 0) AS funding, coalesce(sum(amount) FILTER (research), 0) AS funding_research FROM persons_p p LEFT JOIN grants_p g ON g.teacher_id = p.teacher_id AND is_pi GROUP BY 1)"
+#: The two lists of top recipients: what ranks them, the parts shown, and where the scale ends.
+STACKS = {"all": ("funding", [f"f_{c[0]}" for c in CATS], 2e6), "research": ("funding_research", ["f_1", "f_2", "f_3"], 1.5e6)}
+
+
+def _stack_sql(name: str) -> str:
+    by, parts, most = STACKS[name]
+    out = []
+    for i, p in enumerate(parts):
+        start = " + ".join(["0.0", *parts[:i]])
+        out.append(f"SELECT '{name}' AS list, teacher_id, {i} AS ord, '{p}' AS part, round({p}, 2) AS value, round({start}, 2) AS start, round(least({start}, {most}), 2) AS shown_start, round(least({start} + {p}, {most}) - least({start}, {most}), 2) AS shown FROM (SELECT * FROM su ORDER BY {by} DESC, teacher_id LIMIT 25)")
+    return " UNION ALL ".join(out)
+
+
+@query("o23_stacked_shares", f"WITH {_SUMS} {_stack_sql('all')} UNION ALL {_stack_sql('research')}")
+def o23(v):
+    """The parts of the top recipients' money, stacked, and what is shown of them where bars are cut off."""
+    t, out = g6(v), None
+    for name, (by, parts, most) in STACKS.items():
+        top = t.orderBy(F.desc(by), "teacher_id").limit(25)
+        rows = S.clipped_stack(top, "teacher_id", parts, most).select(F.lit(name).alias("list"), "teacher_id", "ord", "part", *[F.round(c, 2).alias(c) for c in ("value", "start", "shown_start", "shown")])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 FULL = "full_p AS (SELECT p.*, coalesce(per.total, 0) AS total FROM persons_p p LEFT JOIN per ON per.teacher_id = p.teacher_id)"
 
 
@@ -178,9 +203,9 @@ def i7(v):
     return top("total").intersect(top("n"))
 
 
-@query("i10_set_difference", "SELECT teacher_id FROM persons_p EXCEPT SELECT teacher_id FROM grants_p")
+@query("i10_set_difference", "SELECT teacher_id FROM persons_p EXCEPT SELECT teacher_id FROM grants_p WHERE marked")
 def i10(v):
-    return v.persons_p.select("teacher_id").subtract(v.grants_p.select("teacher_id"))
+    return v.persons_p.select("teacher_id").subtract(v.grants_p.filter("marked").select("teacher_id"))
 
 
 @query("l1_gini", f"WITH {PERSON}, {FULL}, r AS (SELECT total, row_number() OVER (ORDER BY total) AS i, count(*) OVER () AS n FROM full_p) SELECT round(sum((2 * i - n - 1) * total) / (any_value(n) * sum(total)), 8) AS gini FROM r")

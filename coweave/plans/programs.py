@@ -5,29 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compose, funding, graphs, network, people  # noqa: F401  register the parts
+from . import collab, compose, funding, graphs, network, people  # noqa: F401  register the parts
 from .registry import ORACLES, QUERIES
 
 #: Program: its tables, each a registered query with the columns that name a row and those that measure it.
 PROGRAMS: dict[str, dict[str, tuple[list[str], list[str]]]] = {
-    "fa01_top_recipients": {"i1_top25": (["teacher_id"], ["total"]), "g6_person_table": (["teacher_id"], ["f_1", "f_2", "f_3", "f_4", "f_5", "funding", "funding_research", "n_pi"]), "i7_overlap": (["teacher_id"], [])},
+    "fa01_top_recipients": {"i1_top25": (["teacher_id"], ["total"]), "g6_person_table": (["teacher_id"], ["f_1", "f_2", "f_3", "f_4", "f_5", "funding", "funding_research", "n_pi"]), "o23_stacked_shares": (["list", "teacher_id", "part"], ["value", "start", "shown_start", "shown"]), "i7_overlap": (["teacher_id"], [])},
     "fa02_concentration": {"l1_gini": ([], ["gini"]), "o27_without_top": ([], ["gini"]), "l2_top_share": ([], ["top10", "bottom50"]), "l4_lorenz_at": ([], ["cumulative"]), "h14_lorenz": (["teacher_id"], ["population", "cumulative"])},
     "fa03_institutions": {"g8_institution_summary": (["institution"], ["n", "total", "mean", "median", "zero_share", "part"])},
     "fa04_over_time": {"g11_year_category_pivot": (["active_year"], ["urgent", "high", "low"]), "g12_active_people": (["year"], ["people", "researchers"]), "h12_dense_years": (["year"], ["n"]), "h17_stacked": (["year", "grant_category"], ["n", "bottom"])},
-    "fa05_categories": {"g10_category_quartiles": (["grant_category"], ["n", "q25", "q50", "q75", "people", "multi_share"])},
+    "fa05_categories": {"g10_category_quartiles": (["grant_category"], ["n", "q25", "q50", "q75", "people", "multi_share"]), "g10_top_and_other": (["kept"], ["n", "q25", "q50", "q75", "people", "multi_share"])},
     "fa06_attributes": {"g19_attribute_stats": (["attribute"], ["n", "mean", "median_positive", "zero_share"]), "l9_quantiles": (["attribute"], ["q10", "q50", "q90"]), "o20_recode_rare": (["kept"], ["n", "median"]), "i4_topk_per_group": (["attribute", "teacher_id"], ["rank"])},
     "fa07_funding_and_output": {"l5_ols": ([], ["slope", "intercept", "r", "n"]), "i2_residual_extremes": (["teacher_id"], ["residual"]), "l7_spearman": ([], ["rho", "n"]), "g26_binned_median": (["bin"], ["people", "median"]), "l11_ratio_median": ([], ["median"])},
     "fa08_careers": {"h6_first_event": (["teacher_id", "first_category"], ["first_year"]), "h7_transition_gap": (["teacher_id"], ["start_year", "gap"]), "h8_cohort": (["teacher_id"], ["first_year"]), "h9_active_share": (["teacher_id"], ["active", "share"]), "h10_breaks": (["teacher_id", "year"], ["previous_year"])},
-    "ca01_top_collaborators": {"g7_person_collab": (["ego"], ["n_collab", "n_roster", "n_home", "n_domestic", "n_foreign", "n_unknown", "n_collab_small", "papers", "journal", "coauth", "solo"]), "o24_roster_or_external": (["node_id"], ["with_roster", "external_only"])},
-    "ca02_concentration": {"l1_gini_by_attribute": (["attribute"], ["gini"]), "l2_top_share": ([], ["top10", "bottom50"]), "h15_ccdf": (["teacher_id"], ["n", "ccdf"]), "o27_without_top": ([], ["gini"])},
-    "ca03_network_overview": {"j1_component_sizes": (["size"], ["components"]), "j3_betweenness": (["node"], ["betweenness"]), "j4_paths": ([], ["average_path", "diameter"]), "j5_transitivity": ([], ["triangles", "triples", "transitivity"]), "j6_density": ([], ["density"]), "j8_modularity": ([], ["modularity"]), "j9_community_graph": (["a", "b"], ["edges"]), "g27_top_members": (["component", "country"], ["n"]), "o29_isolates": (["node_id", "node_type"], [])},
+    "ca01_top_collaborators": {"ca01_top_lists": (["part", "key", "measure"], ["value"]), "g7_person_collab": (["ego"], ["n_collab", "n_roster", "n_home", "n_domestic", "n_foreign", "n_unknown", "n_collab_small", "papers", "journal", "coauth", "solo"])},
+    "ca02_concentration": {"ca02_measures": (["part", "key", "measure"], ["value"])},
+    "ca03_network_overview": {"j1_component_sizes": (["size"], ["components"]), "j3_betweenness": (["node"], ["betweenness"]), "j4_paths": ([], ["average_path", "diameter"]), "j5_transitivity": ([], ["triangles", "triples", "transitivity"]), "j6_density": ([], ["per_million"]), "j8_modularity": ([], ["modularity"]), "j9_community_graph": (["a", "b"], ["edges"]), "g27_top_members": (["component", "country"], ["n"]), "o29_isolates": (["node_id", "node_type"], [])},
     "ca04_institutions": {"g13_institution_matrix": (["a", "b"], ["papers"]), "g14_composition_share": (["institution", "cls"], ["n", "part"]), "o22_relation_recode": (["relation"], ["ties"]), "i12_top_cells": (["a", "b"], ["papers"])},
-    "ca05_over_time": {"g18_year_series": (["year"], ["papers", "team", "foreign_share", "roster_share"]), "f12_new_vs_repeat": (["year"], ["pairs", "new_pairs", "repeat_pairs"]), "h13_new_share": (["year"], ["new_share"])},
-    "ca06_external_origins": {"g15_external_origins": (["cls", "country"], ["people", "papers"]), "g16_dominant_source": (["institution", "ego"], ["part"]), "o26_top_institutions": (["country", "institution"], ["people", "rank"])},
-    "ca07_attributes": {"o21_top_values": (["kept"], ["n"]), "j10_homophily": ([], ["pairs", "same"]), "j11_permutation": ([], ["observed", "mean", "low", "high", "p"]), "j11_permutation_by_degree": ([], ["observed", "mean", "low", "high", "p"]), "j12_degree_bins": (["bin"], ["nodes"])},
-    "ca08_collaboration_and_output": {"l5_ols": ([], ["slope", "intercept", "r", "n"]), "l6_residual_quartiles": (["teacher_id"], ["residual", "quantile_group"]), "i2_residual_extremes": (["teacher_id"], ["residual"]), "c15_clipped": (["teacher_id"], ["shown", "clipped"])},
+    "ca05_over_time": {"g18_year_series": (["year"], ["papers", "team", "foreign_share", "roster_share"]), "f12_new_vs_repeat": (["year"], ["pairs", "new_pairs", "repeat_pairs"]), "h13_new_share": (["year"], ["new_share"]), "o27_without_top": ([], ["gini"])},
+    "ca06_external_origins": {"g15_external_origins": (["cls", "country"], ["people", "papers"]), "g15_top_origins": (["kept"], ["people", "papers"]), "g16_dominant_source": (["institution", "ego"], ["part"]), "o26_top_institutions": (["country", "institution"], ["people", "rank"])},
+    "ca07_attributes": {"o21_top_values": (["kept"], ["n"]), "j10_homophily": ([], ["pairs", "same"]), "j11_permutation": (["attribute"], ["observed", "mean", "low", "high", "p"]), "j11_permutation_by_degree": (["attribute"], ["observed", "mean", "low", "high", "p"]), "j12_degree_bins": (["bin"], ["nodes"])},
+    "ca08_collaboration_and_output": {"ca08_output": (["part", "key", "measure"], ["value"]), "c15_clipped": (["teacher_id"], ["shown", "clipped"])},
     "ca09_persistence": {"g20_tie_bins": (["cls", "bin"], ["ties"]), "f11_incident_pairs": (["u", "v"], ["count", "span"]), "i3_top_pairs": (["u", "v"], ["count", "span"]), "o25_core_collaborators": (["ego"], ["core", "part"])},
-    "ca10_funding_link": {"h16_pct_rank": (["teacher_id"], ["pct"]), "l6_residual_quartiles": (["teacher_id"], ["residual", "quantile_group"]), "l8_partial_rank": ([], ["rho"]), "j13_inside_subset": ([], ["edges"]), "d18_neighbour_percentile": (["node"], ["partners"]), "o30_partners_by_quartile": (["quantile_group"], ["partners"])},
+    "ca10_funding_link": {"ca10_grants_and_partners": (["part", "key", "measure"], ["value"]), "j13_inside_subset": ([], ["edges"]), "d18_neighbour_percentile": (["node"], ["partners"]), "o30_partners_by_quartile": (["quantile_group"], ["partners"])},
 }
 
 

@@ -78,22 +78,18 @@ def e13(v):
     return m.select("paper_id", "doi", "source_count", F.size("merged_paper_ids").cast("bigint").alias("merged"))
 
 
-_REASONS = ("x|conflicting_author_sets", "incomplete_author_list|conflicting_author_sets", "conflicting_author_sets", None, "", "publication_version_uncertain", "a|published_author_list_conflict|conflicting_author_sets|b")
-_KEPT = ("x", "incomplete_author_list", "", "", "", "publication_version_uncertain", "a|published_author_list_conflict|b")
+_BLOCKING = ", ".join(f"'{r}'" for r in C.BLOCKING_REASONS)
+_LEFT = "array_to_string(list_filter(string_split(reasons, '|'), lambda r: r <> '' AND r <> 'conflicting_author_sets'), '|')"
 
 
-def _reasons():
-    return F.get(F.array(*[F.lit(x) for x in _REASONS]), (F.col("o_orderkey") % len(_REASONS)).cast("int"))
-
-
-@query("e16_eligibility", f"SELECT o_orderkey, ([{', '.join(repr(x) for x in _KEPT)}])[1 + o_orderkey % 7] AS hold_reason, o_orderkey % 7 NOT IN (1, 5, 6) AS edge_eligible FROM orders")
+@query("e16_eligibility", f"WITH k AS (SELECT id, {_LEFT} AS hold_reason FROM raw_p) SELECT id, hold_reason, NOT list_has_any(string_split(hold_reason, '|'), [{_BLOCKING}]) AS edge_eligible FROM k")
 def e16(v):
-    return R.recompute_eligibility(v.orders.select("o_orderkey", _reasons().alias("hold_reason")), ("conflicting_author_sets",))
+    return R.recompute_eligibility(v.raw_p.select("id", F.col("reasons").alias("hold_reason")), ("conflicting_author_sets",))
 
 
-@query("c10_blocked", "SELECT o_orderkey, o_orderkey % 7 IN (1, 5, 6) AS blocked FROM orders")
+@query("c10_blocked", f"SELECT id, list_has_any(string_split(reasons, '|'), [{_BLOCKING}]) AS blocked FROM raw_p")
 def c10(v):
-    return v.orders.select("o_orderkey", C.is_blocked(_reasons()).alias("blocked"))
+    return v.raw_p.select("id", C.is_blocked(F.col("reasons")).alias("blocked"))
 
 
 @query("c11_reason_subtract", "SELECT o_orderkey, array_to_string(list_filter(string_split(o_orderpriority || '|x|' || o_orderstatus, '|'), lambda r: r NOT IN ('x', 'F')), '|') AS kept FROM orders")
@@ -101,25 +97,18 @@ def c11(v):
     return v.orders.select("o_orderkey", C.subtract_reasons(F.concat_ws("|", "o_orderpriority", F.lit("x"), "o_orderstatus"), ("x", "F")).alias("kept"))
 
 
-@query("c2_roc_year", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 IN (0, 6) THEN cast(year(o_orderdate) AS INT) ELSE -1 END AS year FROM orders")
+@query("c2_roc_year", "SELECT id, CASE WHEN regexp_full_match(roc, '[0-9]+') THEN 1911 + cast(roc AS INT) ELSE -1 END AS year FROM raw_p")
 def c2(v):
     from ..operators.grants import roc_year
 
-    y = (F.year("o_orderdate") - 1911).cast("string")
-    wide = F.translate(y, "0123456789", "０１２３４５６７８９")
-    raw = F.get(F.array(y, F.lit("x9"), F.lit(""), F.lit(None), F.concat(F.lit(" "), y), wide, F.concat(F.lit("0"), y)), (F.col("o_orderkey") % 7).cast("int"))
-    return v.orders.select("o_orderkey", raw.alias("raw"), "o_orderdate").select("o_orderkey", F.coalesce(roc_year(F.col("raw")), F.lit(-1)).alias("year"))
+    return v.raw_p.select("id", F.coalesce(roc_year(F.col("roc")), F.lit(-1)).alias("year"))
 
 
-@query("c7_role_and_mark", "SELECT o_orderkey, o_orderkey % 6 IN (0, 5) AS pi, o_orderkey % 5 IN (0, 2) AS marked FROM orders")
+@query("c7_role_and_mark", "SELECT id, coalesce(contains(role, '主持人') AND NOT contains(role, '共同'), false) AS pi, regexp_matches(title, '[(（][0-9０-９]+[/／][0-9０-９]+[)）]') AS marked FROM raw_p")
 def c7(v):
     from ..operators.grants import is_marked, is_pi
 
-    k = F.col("o_orderkey")
-    role = F.get(F.array(*[F.lit(x) for x in ("計畫主持人", "共同主持人", "研究員", None, "", " 主持人 ")]), (k % 6).cast("int"))
-    title = F.get(F.array(*[F.lit(x) for x in ("Trade (1/3)", "Trade 1/3", "Trade （２／３）", "Trade (a/b)", None)]), (k % 5).cast("int"))
-    no = F.lit(False)
-    return v.orders.select("o_orderkey", F.coalesce(is_pi(role), no).alias("pi"), F.coalesce(is_marked(title), no).alias("marked"))
+    return v.raw_p.select("id", F.coalesce(is_pi(F.col("role")), F.lit(False)).alias("pi"), is_marked(F.col("title")).alias("marked"))
 
 
 @query("m20_money", "SELECT o_orderkey, round(o_totalprice) AS amount FROM orders")
@@ -129,15 +118,15 @@ def m20(v):
     return v.orders.select("o_orderkey", money(F.concat(F.lit("NT$ "), F.format_number(F.round("o_totalprice"), 0))).alias("amount"))
 
 
-@query("e19_project_families", "WITH b AS (SELECT l_partkey % 500 AS t, cast(year(l_shipdate) AS INT) AS year, l_suppkey FROM lineitem) SELECT 'J-' || substr(sha1(year || '|' || t), 1, 12) AS project_key, 'JF-' || substr(sha1(cast(t AS VARCHAR)), 1, 12) AS project_family_key, count(DISTINCT l_suppkey) AS members, count(*) AS source_record_count FROM b GROUP BY t, year")
+@query("e19_project_families", "WITH b AS (SELECT l_partkey AS t, cast(year(l_shipdate) AS INT) AS year, l_suppkey FROM lineitem) SELECT 'J-' || substr(sha1(year || '|' || t), 1, 12) AS project_key, 'JF-' || substr(sha1(cast(t AS VARCHAR)), 1, 12) AS project_family_key, count(DISTINCT l_suppkey) AS members, count(*) AS source_record_count FROM b GROUP BY t, year")
 def e19(v):
-    rows = v.lineitem.select((F.col("l_partkey") % 500).cast("string").alias("title_key"), F.year("l_shipdate").alias("year"), F.lit("t").alias("title"), F.col("l_suppkey").alias("member"), F.col("l_returnflag").alias("category"), F.col("l_orderkey").alias("record_id"))
+    rows = v.lineitem.select(F.col("l_partkey").cast("string").alias("title_key"), F.year("l_shipdate").alias("year"), F.lit("t").alias("title"), F.col("l_suppkey").alias("member"), F.col("l_returnflag").alias("category"), F.col("l_orderkey").alias("record_id"))
     return R.build_projects(rows).select("project_key", "project_family_key", F.size("members").cast("bigint").alias("members"), "source_record_count")
 
 
-@query("e23_coappearance", "WITH v AS (SELECT l_suppkey, l_partkey % 20 AS a, count(DISTINCT l_orderkey) AS votes FROM lineitem GROUP BY 1, 2) SELECT l_suppkey AS node_id, a AS author_id, votes, CASE WHEN votes >= 2 THEN 'coappearance' ELSE 'coappearance_single' END AS method FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, a) AS rn FROM v) WHERE rn = 1")
+@query("e23_coappearance", "WITH v AS (SELECT l_suppkey, l_partkey // 50 AS a, count(DISTINCT l_orderkey) AS votes FROM lineitem GROUP BY 1, 2) SELECT l_suppkey AS node_id, a AS author_id, votes, CASE WHEN votes >= 2 THEN 'coappearance' ELSE 'coappearance_single' END AS method FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, a) AS rn FROM v) WHERE rn = 1")
 def e23(v):
-    links = v.lineitem.select(F.col("l_suppkey").alias("node_id"), (F.col("l_partkey") % 20).alias("author_id"), F.col("l_orderkey").alias("paper_id"))
+    links = v.lineitem.select(F.col("l_suppkey").alias("node_id"), F.floor(F.col("l_partkey") / 50).alias("author_id"), F.col("l_orderkey").alias("paper_id"))
     return L.coappearance(links)
 
 
@@ -274,10 +263,9 @@ def m19(v):
     return v.pages.select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("QUERY"), F.lit("page")).alias("page"))
 
 
-@query("m24_han", "SELECT p_partkey, p_partkey % 6 IN (0, 5) AS han, CASE p_partkey % 6 WHEN 0 THEN 2 WHEN 5 THEN 3 ELSE 0 END AS n FROM part")
+@query("m24_han", "SELECT id, regexp_matches(mixed, '[一-鿿]') AS han, length(regexp_replace(mixed, '[^一-鿿]', '', 'g')) AS n FROM raw_p")
 def m24(v):
-    text = F.get(F.array(*[F.lit(x) for x in ("ab經濟c", "abc", None, "", "ＡＢカナ한글", "經 濟、學")]), (F.col("p_partkey") % 6).cast("int"))
-    return v.part.select("p_partkey", N.has_han(text).alias("han"), N.han_count(text).alias("n"))
+    return v.raw_p.select("id", N.has_han(F.col("mixed")).alias("han"), N.han_count(F.col("mixed")).alias("n"))
 
 
 @query("a5_json_column", "SELECT event_id, cast(json_extract(props, '$.k') AS INT) AS k FROM events")
@@ -351,6 +339,56 @@ def d13(v):
     return X.locate(points, polygons).select("c_custkey", "place")
 
 
+_SPOTS = "pts AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 2 THEN 7.0 ELSE (l_partkey % 1000) / 10.0 END AS x, CASE WHEN l_linenumber <= 2 THEN 7.0 ELSE l_quantity END AS y FROM lineitem)"
+_AREAS = "ars AS (SELECT s_suppkey AS ord, 'a' || s_suppkey AS name, (s_suppkey * 37) % 100 + 0.05 AS cx, (s_suppkey * 13) % 50 + 0.05 AS cy, 1.5 + s_suppkey % 5 AS r FROM supplier)"
+
+
+@query("d13_dense_points", f"WITH {_SPOTS}, {_AREAS} SELECT l_orderkey, l_linenumber, x, y, min_by(name, ord) AS place FROM (SELECT DISTINCT * FROM pts) LEFT JOIN ars ON abs(x - cx) < r AND abs(y - cy) < r GROUP BY ALL")
+def d13_dense(v):
+    """Points of which a third lie in one spot, against polygons that are not broadcast: cells are as fine as the points are dense."""
+    k = F.col("s_suppkey")
+    cx, cy, r = (k * 37) % 100 + 0.05, (k * 13) % 50 + 0.05, 1.5 + k % 5
+    corners = F.array(*[F.struct((cx + a * r).alias("x"), (cy + b * r).alias("y")) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    polygons = v.supplier.select(k.alias("ord"), F.concat(F.lit("a"), k.cast("string")).alias("name"), F.array(corners).alias("rings"))
+    spot = F.col("l_linenumber") <= 2
+    points = v.lineitem.select("l_orderkey", "l_linenumber", F.when(spot, 7.0).otherwise(F.col("l_partkey") % 1000 / 10).alias("x"), F.when(spot, 7.0).otherwise(F.col("l_quantity")).alias("y")).distinct()
+    return X.locate(points, polygons, most_polygons=0, most_points=500)
+
+
+@query("m13_names_on_pages", """WITH n AS (SELECT DISTINCT substr(html, 40 + page_id % 300, 2 + page_id % 11) AS name FROM pages WHERE length(substr(html, 40 + page_id % 300, 2 + page_id % 11)) >= 2)
+ SELECT url, count(*) AS names, md5(string_agg(name, '|' ORDER BY name)) AS k FROM (SELECT DISTINCT url, html FROM pages) JOIN n ON contains(html, name) GROUP BY 1""")
+def m13(v):
+    """Pieces of pages of any script and length as names, and the pages on which they stand."""
+    from ..operators.candidates import names_on_pages
+
+    at = F.col("page_id") % 300 + 40
+    people = v.pages.select(F.substr("html", at.cast("int"), (2 + F.col("page_id") % 11).cast("int")).alias("name"))
+    found = names_on_pages(v.pages.select("url", F.col("html").alias("text")).distinct(), people).distinct()
+    return found.groupBy("url").agg(F.count(F.lit(1)).alias("names"), F.md5(F.array_join(F.array_sort(F.collect_list("name")), "|").cast("binary")).alias("k"))
+
+
+_PLACED = """li AS (SELECT DISTINCT l_suppkey AS author, l_linenumber AS ord, 'I' || (l_partkey % 60) AS id, p_name AS name, p_size % 3 AS country FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity < 4),
+ pe AS (SELECT c_custkey AS node_id, p_name AS affil, p_partkey, c_custkey % 4 AS country, c_nationkey AS author FROM customer JOIN part ON p_partkey = c_custkey),
+ de AS (SELECT DISTINCT p_name AS affil FROM part WHERE p_partkey % 400 = 0),
+ ow AS (SELECT author, name, list(id ORDER BY o, id) AS own FROM (SELECT author, name, id, min(ord) AS o FROM li GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ sa AS (SELECT name, country, list(id ORDER BY n DESC, id) AS same FROM (SELECT name, country, id, count(*) AS n FROM li GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ an AS (SELECT name, [min(id)] AS lone FROM li GROUP BY 1 HAVING count(DISTINCT id) = 1),
+ re AS (SELECT node_id, list_concat(coalesce(own, []), coalesce(same, lone, [])) AS l FROM pe LEFT JOIN ow ON ow.author = pe.author AND ow.name = affil LEFT JOIN sa ON sa.name = affil AND sa.country = pe.country LEFT JOIN an ON an.name = affil WHERE affil NOT IN (SELECT affil FROM de))"""
+
+
+@query("k9_institution_ids", f"WITH {_PLACED} SELECT node_id, 'wd' AS kind, 'Q' || affil AS ids FROM pe WHERE affil IN (SELECT affil FROM de) AND length(affil) % 2 = 0 UNION ALL SELECT node_id, 'oa', array_to_string(list_transform(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN list_position(l, l[i]) = i THEN i END), lambda i: i IS NOT NULL), lambda i: l[i]), ',') FROM re WHERE len(l) > 0")
+def k9_ids(v):
+    """Affiliations matched to institutions: by decision, the author's own, same name and country, and names with one id."""
+    from ..operators.enrich import match_institutions
+
+    lines = v.lineitem.filter("l_quantity < 4").join(v.part, F.col("p_partkey") == F.col("l_partkey"))
+    listed = lines.select(F.col("l_suppkey").alias("author_id"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("I"), (F.col("l_partkey") % 60).cast("string")).alias("inst_id"), F.col("p_name").alias("name"), (F.col("p_size") % 3).cast("string").alias("country")).distinct()
+    people = v.customer.join(v.part, F.col("p_partkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("node_id"), F.concat(F.lit(" "), F.regexp_replace("p_name", " ", "  ")).alias("affil"), (F.col("c_custkey") % 4).cast("string").alias("country"), F.col("c_nationkey").alias("author_id"))
+    decision = F.when(F.length("p_name") % 2 == 0, F.concat(F.lit("wd:Q"), "p_name")).otherwise("none")
+    decisions = v.part.filter("p_partkey % 400 = 0").select(F.col("p_name").alias("affil"), decision.alias("decision"))
+    return match_institutions(people, decisions, listed).select("node_id", "kind", F.array_join("ids", ",").alias("ids"))
+
+
 @query("k13_place_groups", "SELECT country, count(*) AS people, string_agg(name, ',' ORDER BY name) FILTER (r <= 8) AS names FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY name) AS r FROM nodes_p WHERE node_type <> 'roster') GROUP BY 1")
 def k13(v):
     n = v.nodes_p.filter("node_type <> 'roster'")
@@ -363,14 +401,39 @@ def k13(v):
 # -- checks ---------------------------------------------------------------------------------------------------
 
 
-@query("n1_constraints", f"WITH {CAPPED} SELECT 'edge_source' AS rule, (SELECT count(*) FROM pe WHERE s NOT IN (SELECT node_id FROM nodes_p)) AS violations UNION ALL SELECT 'unique_paper', (SELECT count(*) FROM (SELECT paper_id FROM papers_p GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'year_range', (SELECT count(*) FROM papers_p WHERE year NOT BETWEEN 1996 AND 2001) UNION ALL SELECT 'pair_weights', 0")
+_N1 = {
+    "edge_source": "SELECT * FROM pe WHERE s NOT IN (SELECT node_id FROM nodes_p)",
+    "edge_target": "SELECT * FROM pe WHERE t NOT IN (SELECT node_id FROM nodes_p)",
+    "author_paper": "SELECT * FROM pa_p WHERE paper_id NOT IN (SELECT paper_id FROM papers_p)",
+    "unique_paper": "SELECT paper_id FROM papers_p GROUP BY 1 HAVING count(*) > 1",
+    "unique_author": "SELECT paper_id, node_id FROM pa_p GROUP BY 1, 2 HAVING count(*) > 1",
+    "year_range": "SELECT * FROM papers_p WHERE year NOT BETWEEN 1996 AND 2001",
+    "pair_weights": "SELECT paper_id FROM pe GROUP BY 1 HAVING abs(sum(w2) - 1) > 1e-5",
+    "roster_cover": "SELECT node_id FROM nodes_p WHERE NOT (node_type = 'roster' AND institution IS NOT NULL) AND NOT (node_type <> 'roster' AND country = 0)",
+    "partition_sums": "SELECT * FROM (SELECT year, count(*) AS n FROM papers_p GROUP BY 1) a FULL JOIN (SELECT cast(year(o_orderdate) AS INT) AS year, count(*) AS m FROM orders GROUP BY 1) b ON a.year = b.year WHERE n IS DISTINCT FROM m",
+}
+
+
+def _counts(rules: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS rule, (SELECT count(*) FROM ({sql})) AS violations" for name, sql in rules.items())
+
+
+@query("n1_constraints", f"WITH {CAPPED} {_counts(_N1)}")
 def n1(v):
     e = E.paper_edges(v.papers_p, E.cap_authors(v.pa_p))
+    n = v.nodes_p
+    known, home = n.filter("node_type = 'roster' AND institution IS NOT NULL"), n.filter("node_type <> 'roster' AND country = 0")
+    years = v.orders.groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("total"))
     return V.violations({
-        "edge_source": V.dangling(e, "source_node_id", v.nodes_p, "node_id"),
+        "edge_source": V.dangling(e, "source_node_id", n, "node_id"),
+        "edge_target": V.dangling(e, "target_node_id", n, "node_id"),
+        "author_paper": V.dangling(v.pa_p, "paper_id", v.papers_p, "paper_id"),
         "unique_paper": V.repeated(v.papers_p, "paper_id"),
+        "unique_author": V.repeated(v.pa_p, "paper_id", "node_id"),
         "year_range": V.outside(v.papers_p, "year", 1996, 2001),
         "pair_weights": V.uneven_weights(e),
+        "roster_cover": V.uncovered(n, "node_id", known, home),
+        "partition_sums": V.uneven_parts(v.papers_p, "year", years, "total"),
     })
 
 
@@ -379,6 +442,34 @@ def n2(v):
     return V.dangling(v.merges_p, "to_node_id", v.nodes_p, "node_id").select("from_node_id")
 
 
-@query("b10_build_stamp", "SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+_MERGED = "mg AS (SELECT paper_id, coalesce(m.to_node_id, a.node_id) AS node_id, min(ln) AS ln FROM pa_p a LEFT JOIN merges_p m ON m.from_node_id = a.node_id GROUP BY 1, 2)"
+_N2 = {
+    "merges_applied": "SELECT * FROM mg WHERE node_id IN (SELECT from_node_id FROM merges_p)",
+    "author_node": "SELECT * FROM mg WHERE node_id NOT IN (SELECT node_id FROM nodes_p)",
+    "unique_author": "SELECT paper_id, node_id FROM mg GROUP BY 1, 2 HAVING count(*) > 1",
+    "stale_merge_target": "SELECT * FROM merges_p WHERE to_node_id NOT IN (SELECT node_id FROM nodes_p)",
+    "merged_node_stays": "SELECT * FROM nodes_p WHERE node_id IN (SELECT from_node_id FROM merges_p)",
+    "grant_person": "SELECT * FROM grants_p WHERE teacher_id NOT IN (SELECT teacher_id FROM persons_p)",
+}
+
+
+@query("n2_acceptance", f"WITH {_MERGED}, c AS ({_counts(_N2)}) SELECT CASE WHEN rule IN ('stale_merge_target', 'merged_node_stays') THEN 'warning' ELSE 'error' END AS level, rule, violations FROM c")
+def n2_acceptance(v):
+    """What must hold once decisions are applied, and what is only worth a look."""
+    merged = E.apply_merges(v.pa_p, v.merges_p)
+    errors = {
+        "merges_applied": V.not_applied(merged, "node_id", v.merges_p, "from_node_id"),
+        "author_node": V.dangling(merged, "node_id", v.nodes_p, "node_id"),
+        "unique_author": V.repeated(merged, "paper_id", "node_id"),
+        "grant_person": V.dangling(v.grants_p, "teacher_id", v.persons_p, "teacher_id"),
+    }
+    warnings = {"stale_merge_target": V.dangling(v.merges_p, "to_node_id", v.nodes_p, "node_id"), "merged_node_stays": V.not_applied(v.nodes_p, "node_id", v.merges_p, "from_node_id")}
+    return V.verdict(errors, warnings)
+
+
+_STAMPED = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regionkey", "r_name"], "supplier": ["s_suppkey", "s_name", "s_nationkey"], "customer": ["c_custkey", "c_mktsegment"], "part": ["p_partkey", "p_name", "p_size"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey"]}
+
+
+@query("b10_build_stamp", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, cast(sum(cast('0x' || substr(md5(concat_ws('|', {', '.join(c)})), 1, 8) AS BIGINT)) AS VARCHAR) AS hash FROM {t}" for t, c in _STAMPED.items()))
 def b10(v):
-    return V.stamp({"nation": v.nation, "region": v.region}).select("name", "n")
+    return V.stamp({t: getattr(v, t) for t in _STAMPED}, _STAMPED)

@@ -247,9 +247,9 @@ def m17(v):
 # -- pages ----------------------------------------------------------------------------------------------------
 
 
-@query("a13_cell_after", "WITH c AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(html, '<[^>]+>'), lambda x: trim(x, ' ')), lambda x: x <> '') AS c FROM pages), s AS (SELECT page_id, list_filter(list_transform(string_split(array_to_string(c, '|'), '|'), lambda x: trim(x, ' ')), lambda x: x <> '') AS c FROM c) SELECT page_id, c[list_position(c, 'About') + 1] AS cell FROM s WHERE list_position(c, 'About') > 0")
+@query("a13_cell_after", "WITH c AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(html, '<[^>]+>'), lambda x: trim(x, ' ')), lambda x: x <> '') AS c FROM pages), s AS (SELECT page_id, list_filter(list_transform(string_split(array_to_string(c, '|'), '|'), lambda x: trim(x, ' ')), lambda x: x <> '') AS c FROM c) SELECT page_id, c[list_position(c, 'the') + 1] AS cell FROM s WHERE list_position(c, 'the') > 0")
 def a13(v):
-    return v.pages.select("page_id", H.cell_after(F.col("html"), "About").alias("cell")).filter("cell IS NOT NULL")
+    return v.pages.select("page_id", H.cell_after(F.col("html"), "the").alias("cell")).filter("cell IS NOT NULL")
 
 
 TABLE = "th AS (SELECT p_partkey // 4 AS grp, '<table><tr><th> Brand </th><th>Size</th></tr>' || string_agg('<tr class=\"r\"><td><b>' || p_brand || '</b></td>' || CASE WHEN p_size % 6 = 0 THEN '' ELSE '<td>' || p_size || '</td>' END || '</tr>', chr(10) ORDER BY p_partkey) || '</table>' AS h, list([p_brand, cast(p_size AS VARCHAR)] ORDER BY p_partkey) FILTER (p_size % 6 <> 0) AS r FROM part GROUP BY 1)"
