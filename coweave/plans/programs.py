@@ -20,7 +20,7 @@ PROGRAMS: dict[str, dict[str, tuple[list[str], list[str]]]] = {
     "fa08_careers": {"h6_first_event": (["teacher_id", "first_category"], ["first_year"]), "h7_transition_gap": (["teacher_id"], ["start_year", "gap"]), "h8_cohort": (["teacher_id"], ["first_year"]), "h9_active_share": (["teacher_id"], ["active", "share"]), "h10_breaks": (["teacher_id", "year"], ["previous_year"])},
     "ca01_top_collaborators": {"ca01_top_lists": (["part", "key", "measure"], ["value"]), "g7_person_collab": (["ego"], ["n_collab", "n_roster", "n_home", "n_domestic", "n_foreign", "n_unknown", "n_collab_small", "papers", "journal", "coauth", "solo"])},
     "ca02_concentration": {"ca02_measures": (["part", "key", "measure"], ["value"])},
-    "ca03_network_overview": {"j1_component_sizes": (["size"], ["components"]), "j3_betweenness": (["node"], ["betweenness"]), "j4_paths": ([], ["average_path", "diameter"]), "j5_transitivity": ([], ["triangles", "triples", "transitivity"]), "j6_density": ([], ["per_million"]), "j8_modularity": ([], ["modularity"]), "j9_community_graph": (["a", "b"], ["edges"]), "g27_top_members": (["component", "country"], ["n"]), "o29_isolates": (["node_id", "node_type"], [])},
+    "ca03_network_overview": {"j1_component_sizes": (["size"], ["components"]), "j3_betweenness": (["node"], ["betweenness"]), "j4_paths": ([], ["average_path", "diameter"]), "j5_transitivity": ([], ["triangles", "triples", "transitivity"]), "j6_density": ([], ["per_million"]), "j8_modularity": ([], ["modularity"]), "j9_community_graph": (["a", "b"], ["edges"]), "g27_top_members": (["component", "country"], ["n"]), "o29_isolates": (["node_id"], ["value"])},
     "ca04_institutions": {"g13_institution_matrix": (["a", "b"], ["papers"]), "g14_composition_share": (["institution", "cls"], ["n", "part"]), "o22_relation_recode": (["relation"], ["ties"]), "i12_top_cells": (["a", "b"], ["papers"])},
     "ca05_over_time": {"g18_year_series": (["year"], ["papers", "team", "foreign_share", "roster_share"]), "f12_new_vs_repeat": (["year"], ["pairs", "new_pairs", "repeat_pairs"]), "h13_new_share": (["year"], ["new_share"]), "o27_without_top": ([], ["gini"])},
     "ca06_external_origins": {"g15_external_origins": (["cls", "country"], ["people", "papers"]), "g15_top_origins": (["kept"], ["people", "papers"]), "g16_dominant_source": (["institution", "ego"], ["part"]), "o26_top_institutions": (["country", "institution"], ["people", "rank"])},
