@@ -32,7 +32,7 @@ from . import vectext as V
 from .common import materialize, ship, whole_runs
 from .packed import binary_column
 
-FREQUENT, GROUPS, CLASSES, TABLE = 4096, 256, 64, 1 << 20
+FREQUENT, GROUPS, CLASSES, TABLE = 4096, 256, 64, 1 << 18
 SWEEPS, PRIOR = 6, 5.0
 END = 0
 
