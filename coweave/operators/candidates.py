@@ -19,10 +19,11 @@ def names_on_pages(pages: DataFrame, people: DataFrame) -> DataFrame:
     """url, name of each different name, of two characters or more and of any script, that stands in a page's text.
 
     A name is anchored by its first characters, as many as the greatest of ANCHORS that it has; pages and names meet on equal anchors,
-    and only longer names are then looked for in the text. pages: url, text; people: name."""
+    and only longer names are then looked for in the text. A match of the anchors takes a whole character, also one of two UTF-16 units.
+    pages: url, text; people: name."""
     size = F.greatest(*[F.when(F.length("name") >= n, n).otherwise(0) for n in ANCHORS])
     names = people.select("name").distinct().withColumn("size", size).filter("size > 0").withColumn("anchor", F.substr("name", F.lit(1), F.col("size")))
-    grams = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in ANCHORS])))
+    grams = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)) for n in ANCHORS])))
     met = pages.select("url", F.explode(grams).alias("anchor")).join(names, "anchor")
     short = met.filter(F.length("name") == F.col("size")).select("url", "name")
     longer = met.filter(F.length("name") > F.col("size")).join(pages.select("url", "text"), "url").filter(F.contains("text", F.col("name"))).select("url", "name")
