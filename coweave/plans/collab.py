@@ -150,7 +150,7 @@ def ca10(v):
     """Grants against partners: rank correlations, where the best funded stand in seven measures, and the partners of those with more
     or less money than their papers let expect."""
     t = table(v)
-    shares = G.betweenness(graphs.graph(v, external=False), 3).select(F.col("node").alias("ego"), F.round("betweenness", 6).alias("btw"))
+    shares = G.betweenness(graphs.pairs_of(v, False), 3, components=graphs.components_of(v, False)).select(F.col("node").alias("ego"), F.round("betweenness", 6).alias("btw"))
     t = cut(t.join(shares, "ego", "left").fillna(0.0, ["btw"]), t)
     rho = [_tidy(S.spearman(d, "funding", c), name, F.lit(""), "rho") for name, d, c in (("rho_all", t, "n_collab"), ("rho_funded", t.filter("funding > 0"), "n_collab"), ("rho_roster", t, "n_roster"))]
     top = t.orderBy(F.desc("funding"), "ego").limit(TOP)
