@@ -86,17 +86,18 @@ def locate(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", m
     """points with the name of the first polygon (by ord) that holds each. polygons: ord, name, rings. Boxes sort out most pairs
     before rings are walked.
 
-    The polygons are counted, and broadcast up to ``most_polygons``. Beyond that points and polygons meet in cells, large where points
-    are few and small where they are dense; a finest cell with more than ``most_points`` is dealt out further by row."""
+    The polygons are counted, and broadcast up to ``most_polygons``. Beyond that spots and polygons meet in cells, large where spots
+    are few and small where they are dense; a finest cell with more than ``most_points`` is dealt out further by row. A spot is a pair of
+    coordinates, which is placed once for all its points; of polygons with equal rings only the first can be the answer."""
     first = F.get("rings", F.lit(0))
-    box = polygons.select("ord", "name", "rings", *[f(first[c]).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))])
+    boxed = lambda shapes: shapes.select("ord", "name", "rings", *[f(first[c]).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))])
     inside = (F.col(x) >= F.col("lox")) & (F.col(x) <= F.col("hix")) & (F.col(y) >= F.col("loy")) & (F.col(y) <= F.col("hiy"))
-    keyed = points.withColumn("_row", F.monotonically_increasing_id())
     own = points.columns
     hit = F.when(in_polygon(F.col(x), F.col(y), F.col("rings")), F.struct("ord", "name"))
     if polygons.count() <= most_polygons:
-        met = keyed.join(F.broadcast(box), inside, "left")
+        met = points.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(boxed(polygons)), inside, "left")
         return met.groupBy("_row", *own).agg(F.min(hit).alias("m")).select(*own, F.col("m.name").alias("place"))
+    box = cut(boxed(polygons.groupBy("rings").agg(F.min(F.struct("ord", "name")).alias("f")).select("f.*", "rings")))
     x0, x1, y0, y1 = box.agg(F.min("lox"), F.max("hix"), F.min("loy"), F.max("hiy")).first()
     side = 1 << depth
 
@@ -104,7 +105,9 @@ def locate(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", m
         """Number of the finest cell; what lies beyond the outermost polygons counts with the cells at the rim."""
         return F.least(F.lit(side - 1), F.greatest(F.lit(0), F.floor((c - low) / ((high - low) or 1.0) * side))).cast("int")
 
-    at = cut(keyed.withColumns({"cx": F.coalesce(cell(F.col(x), x0, x1), F.lit(0)), "cy": F.coalesce(cell(F.col(y), y0, y1), F.lit(0))}))
+    points = cut(points)
+    spots = points.groupBy(x, y).agg(F.count(F.lit(1)).alias("here")).withColumn("_row", F.monotonically_increasing_id())
+    at = cut(spots.withColumns({"cx": F.coalesce(cell(F.col(x), x0, x1), F.lit(0)), "cy": F.coalesce(cell(F.col(y), y0, y1), F.lit(0))}))
     cells = cut(cells_by_density(at.select("cx", "cy"), most_points, depth))
     total = cells.agg(F.sum("n")).first()[0] or 0
     dense = F.broadcast(cells.filter(F.col("n") * 1024 > total).select("cx", "cy", "level", "ax", "ay", "held"))  # under 1024 rows
@@ -121,10 +124,16 @@ def locate(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", m
     leaves = leaves.withColumns({f"{e}a{c}": F.expr(f"shiftleft(a{c} + {k}, {depth} - level) - {k}") for c in "xy" for e, k in (("lo", 0), ("hi", 1))})
     leaves = leaves.withColumn("gx", span(F.shiftright("loax", coarse), F.shiftright("hiax", coarse))).withColumn("gy", span(F.shiftright("loay", coarse), F.shiftright("hiay", coarse)))
     over = (F.col("locx") <= F.col("hiax")) & (F.col("hicx") >= F.col("loax")) & (F.col("locy") <= F.col("hiay")) & (F.col("hicy") >= F.col("loay"))
-    shapes = boxes.join(leaves, ["gx", "gy"]).filter(over).dropDuplicates(["ord", "name", "level", "ax", "ay"]).withColumn("salt", span(F.lit(0), F.col("salts") - 1))
+    # what meets in several places of the coarse grid counts in the first of them
+    once = (F.col("gx") == F.shiftright(F.greatest("locx", "loax"), coarse)) & (F.col("gy") == F.shiftright(F.greatest("locy", "loay"), coarse))
+    shapes = boxes.join(leaves, ["gx", "gy"]).filter(over & once).withColumn("salt", span(F.lit(0), F.col("salts") - 1))
     met = placed.join(shapes.select("level", "ax", "ay", "salt", "ord", "name", "rings", "lox", "hix", "loy", "hiy"), ["level", "ax", "ay", "salt"]).filter(inside)
     found = met.select("_row", hit.alias("m")).filter("m IS NOT NULL").groupBy("_row").agg(F.min("m").alias("m"))
-    return at.drop("cx", "cy").join(found, "_row", "left").select(*own, F.col("m.name").alias("place"))
+    places = cut(at.join(found, "_row").select(F.col(x).alias("_x"), F.col(y).alias("_y"), "here", F.col("m.name").alias("place")))
+    here, there = points.count(), (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y"))
+    busy = F.broadcast(places.filter(F.col("here") * 1024 > here))  # under 1024 rows
+    others = points.join(busy, there, "left_anti").join(places.filter(F.col("here") * 1024 <= here), there, "left")
+    return points.join(busy, there).select(*own, "place").union(others.select(*own, "place"))
 
 
 def ring_area(ring: Column) -> Column:

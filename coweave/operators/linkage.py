@@ -17,10 +17,16 @@ def wanted_keys(wanted: DataFrame, cache: DataFrame, key: str, per_call: int = 5
     return numbered(missing, key, "_at").select(key, F.floor(F.col("_at") / per_call).cast("int").alias("batch"))
 
 
-def best_search_hit(hits: DataFrame, name: str, found: str) -> DataFrame:
-    """Of the hits of a name search with a compatible name, the best by (home country, works); ties to the least id."""
-    ok = hits.filter(compatible(F.col(name), F.col(found)))
-    return first_by(ok, ["query_id"], F.desc("is_home"), F.desc("works"), "author_id")
+def best_search_hit(searches: DataFrame, hits: DataFrame, key: str, name: str, found: str) -> DataFrame:
+    """query_id and the columns of its best hit: of the hits of a name search with a compatible name, the best by (home country, works);
+    ties to the least id. searches: query_id, key, name; hits: key, author_id, found, is_home, works. Under each key a name is compared
+    with another once, whoever bears them; the surname, which compatible names share, is a join key."""
+    surname = lambda c: F.get(c, F.size(c) - 1)
+    order = (F.desc("is_home"), F.desc("works"), "author_id")
+    best = first_by(hits, [key, found], *order).withColumn("_s", surname(F.col(found)))
+    asked = searches.select(key, name).distinct().withColumn("_s", surname(F.col(name)))
+    met = asked.join(best, [key, "_s"]).filter(compatible(F.col(name), F.col(found))).drop("_s")
+    return first_by(searches.select("query_id", key, name).join(first_by(met, [key, name], *order), [key, name]), ["query_id"], *order)
 
 
 def link_by_name(nodes: DataFrame, works: DataFrame) -> DataFrame:

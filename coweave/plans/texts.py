@@ -122,7 +122,7 @@ def a20(v):
     name = lambda k: N.name_tokens(F.concat(_pick(("ann", "a.", "bea"), k), F.lit(" Lee")))  # noqa: E731  ann and a. fit each other
     c = v.customer.select(F.col("c_custkey").alias("query_id"), (F.col("c_custkey") % 25).alias("j"), name(F.col("c_custkey")).alias("name"))
     s = v.supplier.select(F.col("s_suppkey").alias("author_id"), (F.col("s_suppkey") % 25).alias("j"), name(F.col("s_suppkey")).alias("found"), (F.col("s_nationkey") == 3).alias("is_home"), (F.col("s_suppkey") % 17).alias("works"))
-    return L.best_search_hit(c.join(s, "j"), "name", "found").select("query_id", "author_id")
+    return L.best_search_hit(c, s, "j", "name", "found").select("query_id", "author_id")
 
 
 # -- affiliations ---------------------------------------------------------------------------------------------
