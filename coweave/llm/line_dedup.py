@@ -61,7 +61,8 @@ def line_sets(texts: pa.Array, least_words: int) -> dict[str, np.ndarray]:
     if not len(h):
         e = np.zeros(0, np.int64)
         return {"doc": e, "number": e, "size": e, "key": e, "odd": e.astype(np.uint64), "tok": e.astype(np.uint64), "tok_line": e}
-    line = np.searchsorted(brk, start) + doc  # distinct for each line, as documents are as well
+    before = np.concatenate([[0], np.searchsorted(start, brk), [len(start)]])
+    line = np.repeat(np.arange(len(brk) + 1), np.diff(before)) + doc  # distinct for each line, as documents are as well
     new = np.ones(len(line), bool)
     new[1:] = line[1:] != line[:-1]
     head = np.flatnonzero(new)
@@ -70,23 +71,25 @@ def line_sets(texts: pa.Array, least_words: int) -> dict[str, np.ndarray]:
     if least_words > 1:
         keep = words[own] >= least_words
         own, h = own[keep], h[keep]
-    order = _by_line(own, h, 20)
-    own, h = own[order], h[order]
+    h = h[_by_line(own, h, 20)]  # lines stay as they are
     first = np.ones(len(h), bool)
     first[1:] = (own[1:] != own[:-1]) | (h[1:] != h[:-1])
     own, h = own[first], h[first]
-    used, own = np.unique(own, return_inverse=True)
-    at = head[used]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    cut = np.flatnonzero(new)
+    at = head[own[cut]]
     number = np.searchsorted(brk, start[at]) - np.searchsorted(brk, offs[:-1])[doc[at]]
-    size = np.bincount(own, minlength=len(used))
-    cut = np.cumsum(size) - size
+    size = np.diff(np.append(cut, len(own)))
+    own = np.repeat(np.arange(len(cut)), size)
     key = V.mix(np.add.reduceat(V.mix(h ^ _A), cut) + size.astype(np.uint64) * _B) if len(h) else h
     odd = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(50) & np.uint64(63)), cut) if len(h) else h
     return {"doc": doc[at], "number": number, "size": size, "key": key.view(np.int64), "odd": odd, "tok": h, "tok_line": own}
 
 
 def _by_line(own: np.ndarray, h: np.ndarray, drop: int, rank: np.ndarray | None = None) -> np.ndarray:
-    """Order by line, rank (under 2^16) and hash, whose lowest bits are left out where the lines' numbers fit beside the rest."""
+    """Order by line (own ascends), rank (under 2^16) and hash, whose lowest bits are left out where the lines' numbers fit beside the
+    rest; within a line, ties stay in their order."""
     if len(own) and int(own[-1]) >= 1 << 20:
         return np.lexsort((h, own) if rank is None else (h, rank, own))
     key = own.astype(np.uint64) << np.uint64(44) | h >> np.uint64(drop)
@@ -95,6 +98,18 @@ def _by_line(own: np.ndarray, h: np.ndarray, drop: int, rank: np.ndarray | None
     return np.argsort(key, kind="stable")
 
 
+def signs(tok: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
+    """256 bits of the parities of each line's set, as four words. The first two bits of a token tell its word, so its line's tokens,
+    which are sorted, lie word by word."""
+    word = line << 2 | (tok >> np.uint64(62)).astype(np.int64)
+    many = np.bincount(word, minlength=4 * lines)
+    some = np.flatnonzero(many)
+    out = np.zeros(4 * lines, np.uint64)
+    if len(some):
+        out[some] = np.bitwise_xor.reduceat(np.uint64(1) << (tok >> np.uint64(42) & np.uint64(63)), (np.cumsum(many) - many)[some])
+    return out.reshape(-1, 4)
+
+
 def prefix_length(size, similarity: float):
     """Tokens of a set, rarest first, among which every similar set has one of its own prefix."""
     return size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
@@ -112,8 +127,7 @@ def parsed(docs: DataFrame, least_words: int) -> DataFrame:
         total = np.zeros(BUCKETS, np.uint32)  # a task has fewer tokens
         for b in V.slices_by_bytes(batches, "text"):
             s = line_sets(b.column("text"), least_words)
-            bucket, many = np.unique(_bucket(s["tok"]), return_counts=True)
-            total[bucket] += many.astype(np.uint32)
+            np.add.at(total, _bucket(s["tok"]), np.uint32(1))
             _, _, lead = V.factorize(s["key"])
             head = np.zeros(len(s["key"]), bool)
             head[lead] = True
@@ -122,13 +136,10 @@ def parsed(docs: DataFrame, least_words: int) -> DataFrame:
             take = pa.array(np.concatenate([s["doc"], none]))
             tail = lambda x, kind, fill=0: pa.array(np.concatenate([x.astype(kind), np.full(len(none), fill, kind)]))
             sets = binary_column(s["tok"][head[s["tok_line"]]], np.concatenate([[0], np.cumsum(np.where(head, s["size"], 0))]))
-            cut, bit = np.cumsum(s["size"]) - s["size"], s["tok"] >> np.uint64(42) & np.uint64(255)
-            one = np.uint64(1) << (bit & np.uint64(63))
-            sign = np.stack([np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, one, np.uint64(0)), cut) if len(cut) else cut.astype(np.uint64) for k in range(4)], axis=1)
-            signs = binary_column(sign[head].ravel(), 4 * np.concatenate([[0], np.cumsum(head)]))
+            sign = binary_column(signs(s["tok"], s["tok_line"], len(head))[head].ravel(), 4 * np.concatenate([[0], np.cumsum(head)]))
             n, blank = len(take), pa.array([b""] * len(none), pa.binary())
             cols = [b.column("doc_id").take(take), b.column("text_hash").take(take), pa.array(of.astype(np.int32)).take(take), tail(s["number"], np.int32, -1), tail(s["key"], np.int64), tail(s["odd"].view(np.int64), np.int64), tail(s["size"], np.int32)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.concat_arrays([sets, blank]), pa.concat_arrays([signs, blank]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*cols, pa.concat_arrays([sets, blank]), pa.concat_arrays([sign, blank]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         at = np.flatnonzero(total)
         rec = np.empty(len(at), _COUNT)
         rec["at"], rec["n"] = at % SLAB, total[at]
@@ -185,14 +196,15 @@ def _feasible(similarity: float):
     return (F.least(sa, sb) >= F.greatest(sa, sb) * similarity - 1e-9) & (F.least(sa - F.col("a.pos"), sb - F.col("b.pos")) >= need) & (odd <= sa + sb - 2 * need)
 
 
-def meetings(r: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def meetings(r: dict[str, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of one group's postings, once for each key, that share a token and pass the same filters; the lesser key first."""
-    token, key, odd, size, pos = (np.ascontiguousarray(r[c]) for c in ("token", "key", "odd", "size", "pos"))
+    token, key, odd, size, pos = (r[c] for c in ("token", "key", "odd", "size", "pos"))
     share = (1 - similarity) / (1 + similarity)  # of both sizes, that may differ
-    alive, d, found = np.arange(len(r)), 1, [np.zeros((2, 0), np.int64)]
+    alive, d, found = np.flatnonzero(token[1:] == token[:-1]), 1, [np.zeros((2, 0), np.int64)]
     while True:
-        alive = alive[alive + d < len(r)]
-        alive = alive[token[alive] == token[alive + d]]
+        if d > 1:
+            alive = alive[alive + d < len(token)]
+            alive = alive[token[alive] == token[alive + d]]
         if not alive.size:
             break
         both = size[alive] + size[alive + d]
@@ -207,17 +219,18 @@ def meetings(r: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     return np.where(key[i] <= key[j], i, j), np.where(key[i] <= key[j], j, i)
 
 
-def merged(r: np.ndarray) -> np.ndarray:
+def merged(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """A group's postings sorted by token and key, each key once."""
+    r = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
     both = r["token"].astype(np.uint64) << np.uint64(32) | r["key"].view(np.uint64) >> np.uint64(32)
     order = np.argsort(both)
     both, keys = both[order], r["key"][order]
     if ((both[1:] == both[:-1]) & (keys[1:] != keys[:-1])).any():  # keys that agree in 32 bits may lie mixed
         order = np.lexsort((r["key"], r["token"]))
-    r = r[order]
-    new = np.ones(len(r), bool)
+    r = {c: x[order] for c, x in r.items()}
+    new = np.ones(len(order), bool)
     new[1:] = (r["key"][1:] != r["key"][:-1]) | (r["token"][1:] != r["token"][:-1]) | (r["odd"][1:] != r["odd"][:-1])
-    return r[new]
+    return r if new.all() else {c: x[new] for c, x in r.items()}
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -234,7 +247,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words
             own = np.repeat(np.arange(len(size)), size)
             n = counts.value[_bucket(tok)].astype(np.int64)
             order = _by_line(own, tok, 36, n)
-            tok, n = tok[order], n[order]
+            tok, n = tok[order], n[order]  # lines stay as they are
             start = np.cumsum(size) - size
             joins = size >= (similarity - 1e-9) * (size + 1)  # smaller sets are only similar to equal ones
             at = V.ranges(start, np.where(joins, np.minimum(prefix_length(size, similarity), size), 0))
@@ -245,35 +258,33 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in posted), *posts], [*posted, "cool", "hot"])
         V.give_back_memory()
 
-    def cards(b, column: str) -> tuple[np.ndarray, np.ndarray]:
+    def cards(b, column: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
         raw, lengths = flat_binary(b.column(column))
         rec = raw.view(_POST)
         own = np.repeat(np.arange(len(b)), lengths // _POST.itemsize)
-        out = np.empty(len(rec), _CARD)
-        out["token"], out["pos"] = rec["token"], rec["pos"]
-        out["size"], out["key"] = b.column("size").to_numpy()[own], b.column("key").to_numpy()[own]
-        out["odd"] = b.column("odd").to_numpy().view(np.uint64)[own]
-        return out, own
+        of_line = {"size": b.column("size").to_numpy(), "key": b.column("key").to_numpy(), "odd": b.column("odd").to_numpy().view(np.uint64)}
+        return {c: np.ascontiguousarray(rec[c]) if c in ("token", "pos") else of_line[c][own] for c in _CARD.names}, own
 
     def deal(groups: int):
-        def packed(r: np.ndarray) -> pa.RecordBatch:
+        def packed(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+            r = {c: np.concatenate([h[c] for h in held]) for c in _CARD.names}
             group = (V.mix(r["token"].astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
             order = np.argsort(group.astype(np.uint64) << np.uint64(32) | r["token"])
-            group, r = group[order], r[order]
+            group, r = group[order], {c: x[order] for c, x in r.items()}
             cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            cards = [pack_columns(r[p:q]) for p, q in zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True)]
+            cards = [pack_columns(r, p, q) for p, q in zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(group[cut].astype(np.int32)), pa.array(cards, pa.binary())], ["grp", "cards"])
 
         def run(batches):
             held, size = [], 0
             for b in batches:
                 held.append(cards(b, "cool")[0])
-                size += len(held[-1])
+                size += len(held[-1]["token"])
                 if size >= PACKED:
-                    yield packed(np.concatenate(held))
+                    yield packed(held)
                     held, size = [], 0
             if size:
-                yield packed(np.concatenate(held))
+                yield packed(held)
             held.clear()
             V.give_back_memory()
 
@@ -284,20 +295,20 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words
             group = t["grp"].to_numpy()
             cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             for p, q in zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True):
-                r = merged(np.concatenate([unpack_columns(x, _CARD) for x in t["cards"].slice(p, q - p).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r["key"][k])) for k in meetings(r, similarity)], ["ka", "kb"])
+                r = merged([unpack_columns(x, _CARD) for x in t["cards"].slice(p, q - p).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array(r["key"][k]) for k in meetings(r, similarity)], ["ka", "kb"])
 
     def spread(batches):
         for b in batches:
             r, own = cards(b, "hot")
             take = pa.array(own)
-            cols = [pa.array(np.ascontiguousarray(r["token"]).view(np.int32)), b.column("key").take(take), b.column("odd").take(take), b.column("size").take(take), pa.array(np.ascontiguousarray(r["pos"]))]
+            cols = [pa.array(r["token"].view(np.int32)), b.column("key").take(take), b.column("odd").take(take), b.column("size").take(take), pa.array(r["pos"])]
             place = [b.column("doc_id").fill_null(_NULL_ID).take(take), b.column("number").take(take)]
             yield pa.RecordBatch.from_arrays([*cols, *place], ["token", "key", "odd", "size", "pos", "doc", "number"])
 
     posted = ("doc_id", "number", "key", "odd", "size")
     lines = rows.filter("number >= 0").select("doc_id", "text_hash", "number", "key", "odd")
-    heads = rows.filter("length(set) > 0")
+    heads = rows.filter("length(sign) > 0")  # a set goes with its sign, which is shorter to read
     posts = materialize(heads.select(*posted, "set").mapInArrow(post, "doc_id long, number int, key long, odd long, size int, cool binary, hot binary"), "posts")
     total = posts.agg(F.coalesce(F.sum(F.length("cool")), F.lit(0))).first()[0] // _POST.itemsize
     parts = shuffle_partitions(docs.sparkSession)
@@ -324,14 +335,14 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words
 
 
 def with_keys(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """The rows whose key is in the column of ``wanted``, and few others: a bit set of fixed size picks them."""
+    """The rows whose key is in the column of ``wanted``, and few others: a bit set of fixed size picks them by their keys alone."""
     bits = rows.sparkSession.sparkContext.broadcast(bit_filter(wanted, column))
 
-    def pick(batches):
-        for b in batches:
-            yield b.filter(pa.array(in_filter(bits.value, b.column("key").to_numpy())))
+    @F.arrow_udf("boolean")
+    def wants(key: pa.Array) -> pa.Array:
+        return pa.array(in_filter(bits.value, key.to_numpy()))
 
-    return rows.mapInArrow(pick, rows.schema)
+    return rows.filter(wants("key"))
 
 
 def verified(heads: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:

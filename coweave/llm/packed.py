@@ -31,18 +31,16 @@ def flat_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, np.diff(offs)
 
 
-def pack_columns(records: np.ndarray) -> bytes:
-    """Records of a structured type, column by column and compressed, behind their number."""
-    raw = b"".join(np.ascontiguousarray(records[c]).tobytes() for c in records.dtype.names)
-    return len(records).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def pack_columns(columns: dict[str, np.ndarray], start: int, end: int) -> bytes:
+    """Records start to end, column by column and compressed, behind their number."""
+    raw = b"".join(c[start:end].tobytes() for c in columns.values())
+    return (end - start).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpack_columns(packed: bytes, kind: np.dtype) -> np.ndarray:
-    n, at = int.from_bytes(packed[:8], "little"), 0
+def unpack_columns(packed: bytes, kind: np.dtype) -> dict[str, np.ndarray]:
+    n, at, out = int.from_bytes(packed[:8], "little"), 0, {}
     raw = pa.decompress(packed[8:], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True)
-    out = np.empty(n, kind)
     for c in kind.names:
-        size = n * kind[c].itemsize
         out[c] = np.frombuffer(raw, kind[c], n, at)
-        at += size
+        at += n * kind[c].itemsize
     return out
