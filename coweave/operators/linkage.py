@@ -17,16 +17,19 @@ def wanted_keys(wanted: DataFrame, cache: DataFrame, key: str, per_call: int = 5
     return numbered(missing, key, "_at").select(key, F.floor(F.col("_at") / per_call).cast("int").alias("batch"))
 
 
-def best_search_hit(searches: DataFrame, hits: DataFrame, key: str, name: str, found: str) -> DataFrame:
+def best_search_hit(searches: DataFrame, hits: DataFrame, key: str, name: str, found: str, tokens=lambda c: c) -> DataFrame:
     """query_id and the columns of its best hit: of the hits of a name search with a compatible name, the best by (home country, works);
-    ties to the least id. searches: query_id, key, name; hits: key, author_id, found, is_home, works. Under each key a name is compared
-    with another once, whoever bears them; the surname, which compatible names share, is a join key."""
-    surname = lambda c: F.get(c, F.size(c) - 1)
+    ties to the least id. searches: query_id, key, name; hits: key, author_id, found, is_home, works. Names are token lists, or what
+    ``tokens`` makes them of. Under each key a name is cut and compared with another once, whoever bears them; the surname, which
+    compatible names share, is a join key. It is never null, else a filter on it would cut the names of all rows, and searches,
+    which may be many more than their names, are not broadcast."""
+    surname = lambda c: F.coalesce(F.get(c, F.size(c) - 1), F.lit(""))
+    cut = lambda df, c, to: df.withColumn(to, tokens(F.col(c))).withColumn("_s", surname(F.col(to)))
     order = (F.desc("is_home"), F.desc("works"), "author_id")
-    best = first_by(hits, [key, found], *order).withColumn("_s", surname(F.col(found)))
-    asked = searches.select(key, name).distinct().withColumn("_s", surname(F.col(name)))
-    met = asked.join(best, [key, "_s"]).filter(compatible(F.col(name), F.col(found))).drop("_s")
-    return first_by(searches.select("query_id", key, name).join(first_by(met, [key, name], *order), [key, name]), ["query_id"], *order)
+    asked, best = cut(searches.select(key, name).distinct(), name, "_a"), cut(first_by(hits, [key, found], *order), found, "_b")
+    met = asked.join(best, [key, "_s"]).filter(compatible(F.col("_a"), F.col("_b"))).drop("_s", "_a", "_b")
+    top = first_by(met, [key, name], *order).hint("merge")
+    return first_by(searches.select("query_id", key, name).join(top, [key, name]), ["query_id"], *order)
 
 
 def link_by_name(nodes: DataFrame, works: DataFrame) -> DataFrame:
