@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import affiliations as A
+from .lineage import cut, drop
 
 # How far behind the name a line may stand, and the rank of each kind of page.
 MOST_DISTANCE = {"profile": 1500, "personal": 1500, "host_title": 1500, "list": 400}
@@ -13,16 +17,99 @@ SOURCE_RANK = {"profile": 0, "personal": 1, "host_title": 2, "list": 3}
 
 
 ANCHORS = (2, 3, 4, 8)
+#: Names are met by as many characters at most; the multiplier of their hashes.
+WINDOW, STEP = 16, np.uint64(0x100000001B3)
+
+
+def _spread(codes: np.ndarray) -> np.ndarray:
+    return codes * np.uint64(0x9E3779B97F4A7C15)
+
+
+def name_index(names: list[str]) -> list[tuple]:
+    """By length, up to WINDOW: sorted hashes of the names' first characters, where each range of hashes starts, and the sorted names'
+    numbers and characters."""
+    wide, index = np.array([min(len(n), WINDOW) for n in names], np.int64), []
+    for size in np.unique(wide).tolist():
+        own = np.flatnonzero(wide == size)
+        codes = np.frombuffer("".join(names[i][:size] for i in own).encode("utf-32-le"), np.uint32).reshape(-1, size)
+        h = codes[:, 0].astype(np.uint64)
+        for k in range(1, size):
+            h = h * STEP + codes[:, k]
+        order = np.argsort(_spread(h), kind="stable")
+        keys, bits = _spread(h)[order], max(8, (4 * len(own)).bit_length())
+        starts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64)).astype(np.int32)
+        index.append((size, np.uint64(64 - bits), keys, starts, own[order], codes[order]))
+    return index
+
+
+def names_in(text: str, names: list[str], index: list[tuple]) -> np.ndarray:
+    """Numbers, ascending, of the names that stand in the text. Windows of the text meet names of their length, or the first
+    characters of longer ones, on equal hashes; what met is compared."""
+    x = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    h, done, found = x.astype(np.uint64), 1, [np.empty(0, np.int64)]
+    for size, shift, keys, starts, own, codes in index:
+        if size > len(x):
+            break
+        for k in range(done, size):
+            h = h[:-1] * STEP + x[k:]
+        done, mixed = size, _spread(h)
+        slot = mixed >> shift
+        at, upto, place = starts[slot], starts[slot + np.uint64(1)], np.full(len(keys), -1)
+        here = np.flatnonzero(at < upto)
+        at, upto, mixed = at[here], upto[here], mixed[here]
+        while len(here):
+            same = keys[at] == mixed
+            place[at[same]] = here[same]
+            at = at + 1
+            more = at < upto
+            here, at, upto, mixed = here[more], at[more], upto[more], mixed[more]
+        met = np.flatnonzero(place >= 0)
+        sure = (x[place[met][:, None] + np.arange(size)] == codes[met]).all(1)
+        if size == WINDOW or not sure.all():
+            sure = np.array([names[i] in text for i in own[met]], bool)
+        found.append(own[met[sure]])
+    return np.sort(np.concatenate(found))
+
+
+def names_of_pages(pages: DataFrame, people: DataFrame, local_chars: int = 1 << 23) -> DataFrame:
+    """url, names: the different names, of two characters or more and of any script, in ascending order, that stand in a page's text;
+    pages without one are left out.
+
+    Names of at most ``local_chars`` characters in all, counted beforehand, go to the pages, so no page and no pair of a page and a
+    name is shuffled. With more names, pages and names meet by joins. pages: url (which tells texts apart), text; people: name."""
+    spark = pages.sparkSession
+    names = cut(people.filter(F.length("name") >= 2).select("name").distinct())
+    if (names.agg(F.sum(F.length("name"))).first()[0] or 0) > local_chars:
+        return _met_by_anchors(pages, names).groupBy("url").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    known = sorted(r[0] for r in names.collect())
+    drop(names)
+    told = spark.sparkContext.broadcast((known, name_index(known)))
+
+    def run(batches):
+        known, index = told.value
+        words = pa.array(known, pa.string())
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, len(whole), 256)):
+                each = [names_in(t, known, index) if t else np.empty(0, np.int64) for t in b.column("text").to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(e) for e in each])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), words.take(pa.array(np.concatenate(each))))
+                yield pa.RecordBatch.from_arrays([b.column("url"), lists], ["url", "names"])
+
+    schema = StructType([pages.schema["url"], StructField("names", ArrayType(StringType()))])
+    return pages.select("url", "text").mapInArrow(run, schema).filter("size(names) > 0")
 
 
 def names_on_pages(pages: DataFrame, people: DataFrame) -> DataFrame:
-    """url, name of each different name, of two characters or more and of any script, that stands in a page's text.
+    """url, name of each different name, as in ``names_of_pages``, on a page."""
+    return names_of_pages(pages, people).select("url", F.explode("names").alias("name"))
+
 
-    A name is anchored by its first characters, as many as the greatest of ANCHORS that it has; pages and names meet on equal anchors,
-    and only longer names are then looked for in the text. A match of the anchors takes a whole character, also one of two UTF-16 units.
-    pages: url, text; people: name."""
+def _met_by_anchors(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """url, name. A name is anchored by its first characters, as many as the greatest of ANCHORS that it has; pages and names meet on
+    equal anchors, and only longer names are then looked for in the text. A match of the anchors takes a whole character, also one of
+    two UTF-16 units."""
     size = F.greatest(*[F.when(F.length("name") >= n, n).otherwise(0) for n in ANCHORS])
-    names = people.select("name").distinct().withColumn("size", size).filter("size > 0").withColumn("anchor", F.substr("name", F.lit(1), F.col("size")))
+    names = names.withColumn("size", size).withColumn("anchor", F.substr("name", F.lit(1), F.col("size")))
     grams = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)) for n in ANCHORS])))
     met = pages.select("url", F.explode(grams).alias("anchor")).join(names, "anchor")
     short = met.filter(F.length("name") == F.col("size")).select("url", "name")
