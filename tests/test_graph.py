@@ -74,6 +74,20 @@ def test_communities_of_planted_graphs(spark, groups, size, inside, outside):
     check_by_sql(edges, part, q)
 
 
+def test_communities_from_arrays(spark, monkeypatch):
+    """Large components of few nodes take no joins: connected communities, as good as planted; few edges take no stars."""
+    edges = planted(3, 8, 12, 0.6, 0.02)
+    pairs = spark.createDataFrame(edges, "u string, v string, count int")
+    stars = sorted(map(tuple, G.connected_components(pairs, 0).collect()))
+    assert sorted(map(tuple, G.connected_components(pairs).collect())) == stars
+    monkeypatch.setattr(G, "_leiden_by_joins", lambda *a: pytest.fail("joins along edges"))
+    part = dict(map(tuple, G.leiden(pairs, local_edges=0).collect()))
+    assert set(part) == {x for u, v, _ in edges for x in (u, v)}
+    q = modularity(edges, part)
+    assert q >= 0.97 * max(modularity(edges, {x: x[:2] for x in part}), climbed(edges))
+    check_by_sql(edges, part, q)
+
+
 def check_by_sql(edges, part, q):
     """Modularity and connectedness of the communities, and their names, in SQL."""
     db = duckdb.connect()
